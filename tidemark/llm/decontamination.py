@@ -40,6 +40,11 @@ def _windows(rows: DataFrame, t: str, at: str, keep: list[str]) -> DataFrame:
     return placed.select(*keep, t, at, F.explode(seeds).alias("seed")).where("seed is not null")
 
 
+def _tokenised(rows: DataFrame, id_col: str, text_col: str, id_as: str, as_: str) -> DataFrame:
+    """Ids and tokens; through a one-element explode, so that no filter above computes the tokens again."""
+    return rows.select(F.col(id_col).alias(id_as), F.explode(F.array(tokens(F.col(text_col)))).alias(as_))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -60,26 +65,26 @@ def contaminated(
     each count. Documents that repeat an id are reported under it once; rows with a null id are reported under
     null. Empty tables give an empty result. Other columns are ignored.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(item_text_col)).alias("it"))
+    items = _tokenised(benchmark, item_col, item_text_col, "item", "it")
     seeds = materialise(_windows(items, "it", "ip", ["item"]).distinct(), "seeds")
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
-    t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    hits = _windows(t, "t", "p", ["id"]).join(seeds, "seed")
+    hits = _windows(_tokenised(docs, id_col, text_col, "id", "t"), "t", "p", ["id"]).join(seeds, "seed")
     shift = F.col("p") - F.col("ip")  # document position less item position
     w = F.least(F.size("it"), F.lit(window))
     low = F.greatest(F.lit(0), -shift)
     high = F.least(F.size("it"), F.size("t") - shift) - w
     start = F.least(F.greatest(F.col("ip") - window // 4, low), high)
-    same = F.zip_with(
-        F.slice("t", F.col("start") + F.col("shift") + 1, F.col("w")), F.slice("it", F.col("start") + 1, F.col("w")), lambda x, y: x == y
-    )
-    verified = (
-        hits.select("id", "item", "t", "it", shift.alias("shift"), w.alias("w"), low.alias("low"), start.alias("start"))
-        .where(F.col("start") >= F.col("low"))
-        .select("id", "item", (F.size(F.filter(same, lambda x: x)) / F.col("w")).alias("share"))
-        .where(F.col("share") >= agree)
+    # One comparison for each place in the window, not a lambda over arrays: the hit is then decided where it
+    # arises, and no row ever holds a copy of the document's tokens.
+    same = sum(
+        (
+            ((F.lit(k) < w) & (F.get("t", start + shift + k) == F.get("it", start + k))).cast("int")
+            for k in range(1, window)
+        ),
+        (F.get("t", start + shift) == F.get("it", start)).cast("int"),
     )
+    verified = hits.where(start >= low).where(same >= agree * w).select("id", "item", (same / w).alias("share"))
     return verified.groupBy("id").agg(
         F.sort_array(F.collect_set("item")).alias("items"), F.count("*").alias("n_hits"), F.max("share").alias("best_share")
     ).withColumnRenamed("id", id_col)
