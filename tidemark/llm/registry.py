@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, packing, pii, simhash_dedup
+from tidemark.llm import decontamination, language_id, packing, paragraph_dedup, pii, quality_rules, simhash_dedup, url_filter
 
 #: Tokenizer file of the packing query; the operator takes any path.
 TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -23,6 +23,32 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The rules of the URL query, and the host names whose pages make up its list of URLs.
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+BAD_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; the list holds the canonical URLs of pages on hosts with a bad name."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
+    listed = pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, BAD_NAMES)))).select(url_filter.canonical(host, path).alias("u"))
+    return url_filter.judge(pages, listed, RULES).drop("possible")
+
+
+_OP3_SQL = r"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+u AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS u,
+    list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS bad FROM p),
+r(rule, name, start, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+    ('net/de/', 'net', '/de/', 'block'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+b AS (SELECT page_id, host, path, u, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS by_rule
+    FROM u LEFT JOIN r ON (u.host = r.name OR ends_with(u.host, '.' || r.name)) AND starts_with(u.path, r.start) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN u IN (SELECT u FROM u WHERE bad) THEN 'block' ELSE 'allow' END) AS verdict FROM b
+"""
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data in every document; the counts are those of the base spans."""
     docs = table(spark, sf_dir, "documents")
@@ -60,13 +86,32 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, the fixed limits, and the verdict of the robust outlier rule."""
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("distance")
+
+
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its paragraphs of five words or more, and those removed as near copies."""
+    docs = table(spark, sf_dir, "documents")
+    found = paragraph_dedup.duplicate_paragraphs(docs).groupBy("doc_id").agg(
+        F.count("*").alias("n_paragraphs"), F.count_if("removed").alias("n_removed"),
+        F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("number")))).alias("removed"),
+    )
+    zero = F.lit(0).cast("long")
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_paragraphs", zero).alias("n_paragraphs"), F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op4_pii, op5_language, op7_simhash, op9_packing)
+    f.__name__: f for f in (op2_decontamination, op3_urls, op4_pii, op5_language, op7_simhash, op8_quality, op9_packing, op10_paragraphs)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_urls": _OP3_SQL}
