@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans import oracle, queries
+
+QUERIES = {f.__name__: f for f in queries.ALL}
+ORACLES = oracle.ORACLES
