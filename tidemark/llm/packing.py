@@ -146,7 +146,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one sequence, longest first) with the number of sequences of each."""
+    """Patterns (lengths of one sequence, longest first) with the number of sequences of each.
+
+    Exact fillings of up to three lengths can use up the short pieces that the rest would need, so fillings of
+    at most three, two, one and no lengths are tried, and the plan with the fewest sequences is taken.
+    """
+    return min((_plan(histogram, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact fillings with sums of at most ``most`` lengths, then best fit."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -169,14 +178,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         if not gap:
             take((first,))
             continue
-        if gap <= first:
+        if most >= 1 and gap <= first:
             take((first, gap))
-        for a in range(min(first, gap - 1), (gap - 1) // 2, -1):
+        for a in range(min(first, gap - 1), (gap - 1) // 2, -1) if most >= 2 else ():
             if not left[first]:
                 break
             if left[a] and left[gap - a]:
                 take((first, a, gap - a))
-        for a in range(min(first, gap - 2), (gap - 1) // 3, -1):
+        for a in range(min(first, gap - 2), (gap - 1) // 3, -1) if most >= 3 else ():
             if not left[first]:
                 break
             if left[a]:
