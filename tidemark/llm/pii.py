@@ -245,14 +245,11 @@ def added_spans(field: Field, texts: list[str | None], base: list[list[tuple[str
 
 def labelled_texts(docs: DataFrame, text_col: str = "text") -> list[str]:
     """The labelled table: up to TRAIN_ROWS texts with a digit, least by hash, up to TRAIN_CHARS characters."""
-    rows = (
-        docs.where(F.col(text_col).rlike("[0-9@]"))
-        .select(F.substring(text_col, 1, 20_000).alias("t"))
-        .orderBy(F.xxhash64("t"), "t")
-        .limit(TRAIN_ROWS)
-        .toArrow()["t"]
-        .to_pylist()
-    )
+    open_texts = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, 20_000).alias("t"))
+    # Hashes alone find the limit, so no task gathers the texts of all partitions; copies count once.
+    last = open_texts.select("h").distinct().orderBy("h").limit(TRAIN_ROWS).agg(F.max("h")).first()[0]
+    chosen = open_texts.where(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t"))
+    rows = [t for _, t in sorted(zip(*(c.to_pylist() for c in chosen.toArrow().columns), strict=True))] if last is not None else []
     kept, size = [], 0
     for t in rows:
         size += len(t)
