@@ -111,7 +111,32 @@ _TOPS = ", ".join(f"round(sum(CASE WHEN place <= {k} THEN n ELSE 0 END) / sum(n)
 _RANKED = _EV + """, dn AS (SELECT person_id, domain, count(*) AS n FROM ev WHERE domain IS NOT NULL GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER w AS place, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY person_id) AS cs FROM dn WINDOW w AS (PARTITION BY person_id ORDER BY n DESC, domain))"""
 
+_TOPK = _TR + """, x AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY tr.us) AS rn, count(*) OVER (PARTITION BY person_id) AS t FROM (SELECT tr.*, r.us FROM tr JOIN r USING (person_id, event_id)) tr),
+tn AS (SELECT * FROM x WHERE rn <= floor(t * 0.6)), o AS (SELECT person_id, list(to_category ORDER BY n DESC, to_category) AS rk FROM (SELECT person_id, to_category, count(*) AS n FROM tn GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT person_id, from_category, list(to_category ORDER BY n DESC, to_category) AS rs FROM (SELECT person_id, from_category, to_category, count(*) AS n FROM tn GROUP BY 1, 2, 3) GROUP BY 1, 2),
+j AS (SELECT x.*, rk, coalesce(rs, rk) AS rs FROM x JOIN o USING (person_id) LEFT JOIN s USING (person_id, from_category) WHERE rn > floor(t * 0.6))"""
+
+
+def _volume(bucket: int) -> str:
+    return f"""WITH {_EV}, b AS (SELECT DISTINCT person_id, category, us // {bucket} AS bucket FROM ev), o AS (SELECT *, coalesce((SELECT min(x.us) FROM ev x WHERE x.person_id = b.person_id AND x.category = b.category
+        AND x.us >= (b.bucket + 1) * {bucket}) <= (b.bucket + 1) * {bucket} + 86400000000, false) AS y FROM b) SELECT person_id, count(*) AS n_labels, count(*) FILTER (WHERE y) AS n_positive FROM o GROUP BY 1"""
+
+
 ORACLES = {
+    "redirect_confusion": f"""WITH {_SS}, t AS (SELECT unnest([1, 2, 4, 8, 12, 24, 48]) * 3600000000 AS threshold_us), c AS (SELECT threshold_us, count(*) FILTER (WHERE gap <= threshold_us AND dwell < 10) AS tp, count(*) FILTER (WHERE gap <= threshold_us AND NOT dwell < 10) AS fp,
+        count(*) FILTER (WHERE gap > threshold_us AND dwell < 10) AS fn FROM ss, t WHERE gap IS NOT NULL GROUP BY 1) SELECT *, {_r('tp / nullif(tp + fp, 0)', 'precision')}, {_r('tp / nullif(tp + fn, 0)', 'recall')}, {_r('2 * tp / nullif(2 * tp + fp + fn, 0)', 'f1')} FROM c""",
+    "engagement_gate": f"""WITH {_SS}, v AS (SELECT *, count(dwell) OVER ({_A} ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ss WHERE dwell IS NOT NULL), d AS (SELECT person_id, count(*) AS n_dwelled FROM ev WHERE dwell IS NOT NULL GROUP BY 1),
+        m AS (SELECT person_id, count(DISTINCT session_no) AS n_sessions, count(*) AS n_labels FROM v WHERE before >= 10 GROUP BY 1) SELECT person_id, n_dwelled, coalesce(n_sessions, 0) AS n_sessions, coalesce(n_labels, 0) AS n_labels,
+        n_dwelled >= 60 AND coalesce(n_sessions, 0) >= 15 AND coalesce(n_labels, 0) >= 20 AS passed FROM d LEFT JOIN m USING (person_id)""",
+    "label_volume_day": _volume(86_400_000_000),
+    "label_volume_window": _volume(21_600_000_000),
+    "spearman_dwell": f"""WITH {_EV}, p AS (SELECT category, person_id, count(*) AS n, avg(dwell) AS d FROM ev GROUP BY 1, 2), k AS (SELECT category, rank() OVER (PARTITION BY category ORDER BY n) + (count(*) OVER (PARTITION BY category, n) - 1) / 2 AS rx,
+        rank() OVER (PARTITION BY category ORDER BY d) + (count(*) OVER (PARTITION BY category, d) - 1) / 2 AS ry FROM p) SELECT category, count(*) AS n, {_r('corr(rx, ry)', 'rho')} FROM k GROUP BY 1""",
+    "top_k_accuracy": f"""WITH {_TOPK} SELECT person_id, count(*) AS n, {_r('avg((rk[1] = to_category)::INT)', 'mode_top1')}, {_r('avg(list_contains(rk[1:2], to_category)::INT)', 'mode_topk')},
+        {_r('avg((rs[1] = to_category)::INT)', 'table_top1')}, {_r('avg(list_contains(rs[1:2], to_category)::INT)', 'table_topk')} FROM j GROUP BY 1""",
+    "retention_split": f"WITH {_EV}, m AS (SELECT max(us) - 14 * 86400000000 AS cut FROM ev) SELECT person_id, count(*) FILTER (WHERE us >= cut) AS kept, count(*) FILTER (WHERE us < cut) AS deleted FROM ev, m GROUP BY 1",
+    "coverage_gaps": f"""WITH {_EV}, a AS (SELECT person_id, us, category <> 'view' AS o, lag(category <> 'view') OVER (PARTITION BY person_id ORDER BY us) AS b FROM ev)
+        SELECT person_id, us AS from_us, (SELECT min(x.us) FROM a x WHERE x.person_id = a.person_id AND x.us > a.us AND x.o) AS to_us FROM a WHERE NOT o AND coalesce(b, true)""",
     "session_boundaries": f"WITH {_SS} SELECT person_id, event_id, session_no, session_start FROM ss",
     "session_shape": f"""WITH {_SS}, c AS (SELECT person_id, session_no, category, count(*) AS n FROM ss GROUP BY 1, 2, 3), h AS (SELECT person_id, session_no, count(*) AS k, arg_min(category, (-n, category)) AS pc,
         -sum(n / t * ln(n / t)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY person_id, session_no) AS t FROM c) GROUP BY 1, 2),

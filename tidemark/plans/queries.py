@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.columns import registrable_domain, resolve
-from tidemark.operators import distributions, evaluation, labels, models, patterns, sessions
+from tidemark.operators import distributions, evaluation, labels, models, patterns, sessions, studies
 from tidemark.sources.events import from_event_table
 
 TIMEOUT, HORIZON = 43_200, 24
@@ -216,7 +216,53 @@ def brier_bootstrap(spark, sf_dir):
     return evaluation.brier_bootstrap(predictions(spark, sf_dir), challenger="category_rate", reference="base_rate", resamples=500)
 
 
+def redirect_confusion(spark, sf_dir):
+    """A short dwell stands for a redirect: the table has no transition flags."""
+    rows = events(spark, sf_dir).withColumn("redirect", F.col("dwell_seconds") < 10)
+    return rounded(studies.redirect_confusion(rows, tuple(k * schemas.HOUR for k in (1, 2, 4, 8, 12, 24, 48))))
+
+
+def engagement_gate(spark, sf_dir):
+    made = sessioned(spark, sf_dir)
+    return studies.engagement_gate(made, labels.engaged_labels(made), visits=60, sessions=15, labels=20)
+
+
+def label_volume_day(spark, sf_dir):
+    return studies.label_volume(events(spark, sf_dir), bucket_us=schemas.DAY, horizon_hours=HORIZON)
+
+
+def label_volume_window(spark, sf_dir):
+    return studies.label_volume(events(spark, sf_dir), bucket_us=6 * schemas.HOUR, horizon_hours=HORIZON)
+
+
+def excursion_share(spark, sf_dir):
+    made = evaluation.rolling_folds(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON))
+    return rounded(studies.excursions(made, ("hoursSinceLastSeen", "eventCount30d", "priorSessionRate")))
+
+
+def spearman_dwell(spark, sf_dir):
+    """Per category, over persons: does the number of visits go with the mean dwell?"""
+    per = events(spark, sf_dir).groupBy("category", "person_id").agg(F.count("*").alias("n"), F.avg("dwell_seconds").alias("dwell"))
+    return rounded(studies.spearman(per, ["category"], "n", "dwell"))
+
+
+def top_k_accuracy(spark, sf_dir):
+    return rounded(studies.top_k(sessions.category_transitions(sessioned(spark, sf_dir))))
+
+
+def retention_split(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return studies.retention(rows, keep_days=14, now_us=rows.agg(F.max("us")).first()[0] or 0)
+
+
+def coverage_gaps(spark, sf_dir):
+    """Collection is on while events of a type other than ``view`` arrive."""
+    switches = events(spark, sf_dir).select("person_id", "us", (F.col("category") != "view").alias("on"))
+    return studies.coverage_gaps(switches)
+
+
 ALL = (
+    redirect_confusion, engagement_gate, label_volume_day, label_volume_window, excursion_share, spearman_dwell, top_k_accuracy, retention_split, coverage_gaps,
     session_boundaries, session_shape, return_labels, feature_vector_fs3, category_base_rate, visit_engaged, browsing_next_hour, calendar_blocks,
     block_volume, novelty, dormancy, category_transitions, transition_table, next_category_ranking, gap_percentiles, gap_histogram, visits_per_day,
     domain_coverage, concentration, session_spread, browsing_summary, day_of_week_rates, url_domains, unknown_rate, association_rules, basket_rules,
