@@ -16,9 +16,10 @@ from tidemark.llm.scratch import materialise
 #: White space that parts words, and the symbols that are counted.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 WINDOW = 8
-#: Transformed statistics, and the variance that is added to each so that a constant one can be inverted.
+#: Transformed statistics, and the variance that is added to each: a statistic that is constant in the core of a
+#: group can be inverted, and neither great length nor a single repeated line alone makes an outlier.
 VECTOR = ("log_words", "log_word_length", "log_symbols", "log_dup_lines")
-RIDGE = (0.25, 0.01, 0.25, 0.25)
+RIDGE = (1.0, 0.01, 0.25, 1.0)
 #: Share of a group's documents in the concentrated half, steps, and the least group that is judged.
 SHARE, STEPS, LEAST_GROUP = 0.75, 3, 40
 #: Median of the chi-squared distribution with four degrees of freedom, and the limit of distances: its tail
