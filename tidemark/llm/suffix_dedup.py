@@ -9,7 +9,10 @@ and adjacent ones with an equal prefix of 50 bytes are repeats; the least docume
 
 Only text that can repeat is sorted: in every 50-byte string, the least hash of its 24-byte substrings depends
 on the string alone, so a string that repeats shares that substring, and text around substrings that occur in
-one document only is left out. Copies of a whole text are sorted once.
+one document only is left out. Those substrings also cut each text into chunks; of equal chunks only the one of
+the least document is sorted. All strings of the others start in that document too, so they are repeats, and the
+least document that holds a string is always the first holder of the chunk around it. Near copies thus leave only
+their edited chunks in the sort.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from tidemark.llm.scratch import materialise
 #: Bytes of a repeat, of a shared substring, and of a sampled triple.
 REPEAT, ANCHOR, TRIPLE = 50, 24, 24
 _SPAN = REPEAT - ANCHOR + 1
+#: A substring ends a chunk if this divides its hash; 16 gives about 220 bytes.
+CHUNK = 16
 #: Texts are searched in pieces of so many bytes, which bounds memory.
 PIECE = 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -77,29 +82,86 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8")
 
 
+def chunks(data: bytes) -> list[tuple[int, int]]:
+    """Ranges of string starts, cut where the text itself says so; the last start is 50 bytes before the end."""
+    last = len(data) - REPEAT + 1
+    if last <= 0:
+        return []
+    place, h = anchors(data)
+    fresh = np.concatenate([[True], place[1:] > place[:-1] + 1])  # one cut at most in a run of one letter
+    cut = place[fresh & (h % np.uint64(CHUNK) == 0)]
+    edges = [0, *cut[(cut > 0) & (cut < last)].tolist(), last]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, low, high, k0, k1): each chunk's starts and the 128-bit digest of the bytes that its strings cover."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            of, low, high, digest = [], [], [], bytearray()
+            for row, text in enumerate(part.column(1).to_pylist()):
+                data = _bytes(text)
+                for x, y in chunks(data):
+                    of.append(row)
+                    low.append(x)
+                    high.append(y)
+                    digest += hashlib.blake2b(data[x : y + REPEAT - 1], digest_size=16).digest()
+            key = np.frombuffer(bytes(digest), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(of, pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64()), *(pa.array(key[:, j]) for j in (0, 1))],
+                names=["doc", "low", "high", "k0", "k1"],
+            )
+
+
+def _first_starts(n: int, later: list[dict] | None) -> np.ndarray:
+    """A text of n bytes: does each of its 50-byte strings lie in a chunk that no smaller document holds?"""
+    mine = np.ones(max(0, n - REPEAT + 1), bool)
+    for x in later or ():
+        mine[x["low"] : x["high"]] = False
+    return mine
+
+
+def _first_anchors(data: bytes, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors inside strings that start where ``mine`` is true."""
+    place, h = anchors(data)
+    total = np.concatenate([[0], np.cumsum(mine)])
+    inside = total[np.minimum(place + 1, len(mine))] > total[np.clip(place - _SPAN + 1, 0, len(mine))]
+    return place[inside], h[inside]
+
+
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            found = [np.unique(anchors(_bytes(x))[1]) for x in part.column(1).to_pylist()]
+            found = []
+            for text, later in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                data = _bytes(text)
+                mine = _first_starts(len(data), later)
+                found.append(np.unique(_first_anchors(data, mine)[1]) if mine.any() else np.zeros(0, np.uint64))
             of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "h"])
+            h = np.concatenate([np.zeros(0, np.uint64), *found])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(h.view(np.int64))], names=["doc", "h"])
 
 
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of each text around its shared substrings; columns: doc, text, shared hashes."""
+    """Stretches of each text in which strings may repeat: (doc, start, piece); all other strings are left out."""
     for batch in batches:
         of, start, piece = [], [], []
-        for row, (text, shared) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        for row, (text, later, shared) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
             data = _bytes(text)
-            place, h = anchors(data)
+            mine = _first_starts(len(data), later)
+            place, h = _first_anchors(data, mine)
             hit = place[np.isin(h, np.array(shared, np.int64).view(np.uint64))]
-            low, high = np.maximum(hit - _SPAN + 1, 0), np.minimum(hit + REPEAT, len(data))
-            new = np.concatenate([[True], low[1:] > high[:-1]]) if len(hit) else np.zeros(0, bool)
-            for a, b in zip(low[new], high[np.concatenate([new[1:], [True]])] if len(hit) else [], strict=True):
+            near = np.zeros(len(mine) + 1, np.int64)
+            np.add.at(near, np.clip(hit - _SPAN + 1, 0, len(mine)), 1)
+            np.add.at(near, np.minimum(hit + 1, len(mine)), -1)
+            wanted = np.concatenate([[False], mine & (np.cumsum(near)[:-1] > 0), [False]])
+            edge = np.nonzero(wanted[1:] != wanted[:-1])[0].tolist()
+            for x, y in zip(edge[::2], edge[1::2], strict=True):
                 of.append(row)
-                start.append(int(a))
-                piece.append(data[a:b])
+                start.append(x)
+                piece.append(data[x : y + REPEAT - 1])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(of, pa.int64())), pa.array(start, pa.int64()), pa.array(piece, pa.binary())], names=["doc", "start", "piece"]
         )
@@ -165,16 +227,25 @@ def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["way", "x", "y", "z", "doc", "place"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, places): where 50-byte strings start that also start in a text with a smaller ``doc``.
+def later_chunks(docs: DataFrame) -> DataFrame:
+    """(doc, later): the chunks of each text that a text with a smaller ``doc`` holds too, as ranges of starts."""
+    found = materialise(docs.mapInArrow(_chunk_batches, "doc long, low long, high long, k0 long, k1 long"), "chunks")
+    firsts = found.groupBy("k0", "k1").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    again = found.join(firsts, ["k0", "k1"]).where("doc > first")
+    return materialise(again.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("later")), "later")
+
+
+def repeats(docs: DataFrame, later: DataFrame) -> DataFrame:
+    """(doc, places): where other 50-byte strings start that also start in a text with a smaller ``doc``.
 
-    ``docs`` has (doc long, text), one row for each distinct text.
+    ``docs`` has (doc long, text), one row for each id; ``later`` is their :func:`later_chunks`.
     """
-    found = docs.mapInArrow(_anchor_batches, "doc long, h long")
+    judged = docs.join(later, "doc", "left").select("doc", "text", "later")
+    found = judged.mapInArrow(_anchor_batches, "doc long, h long")
     own = Window.partitionBy("h")
     shared = found.select("doc", "h", F.min("doc").over(own).alias("a"), F.max("doc").over(own).alias("b")).where("a < b")
     wanted = shared.groupBy("doc").agg(F.collect_list("h").alias("hashes"))
-    cut = docs.join(wanted, "doc").select("doc", "text", "hashes").mapInArrow(_segment_batches, "doc long, start long, piece binary")
+    cut = judged.join(wanted, "doc").select("doc", "text", "later", "hashes").mapInArrow(_segment_batches, "doc long, start long, piece binary")
     segments = materialise(cut.withColumn("seg", F.xxhash64("doc", "start")), "segments")
     triples = segments.select("seg", "piece").mapInArrow(_triple_batches, "seg long, off int, k0 long, k1 long, k2 long")
     ordered = triples.repartitionByRange("k0", "k1", "k2").sortWithinPartitions("k0", "k1", "k2")
@@ -188,28 +259,31 @@ def repeats(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc").agg(F.collect_set("place").alias("places"))
 
 
-def _kept(data: bytes, places: list[int] | None, whole: bool) -> tuple[int, int, str, list[tuple[int, int]]]:
-    if whole and len(data) >= REPEAT:
-        spans = [(0, len(data))]
-    else:
-        at = np.sort(np.array(places or [], np.int64))
-        new = np.nonzero(np.concatenate([[True], at[1:] > at[:-1] + REPEAT]))[0] if len(at) else np.zeros(0, np.int64)
-        ends = at[np.concatenate([new[1:] - 1, [len(at) - 1]])] + REPEAT if len(at) else []
-        spans = [(int(a), int(b)) for a, b in zip(at[new], ends, strict=True)]
+def _kept(data: bytes, places: list[int] | None, later: list[dict] | None) -> tuple[int, int, str, list[tuple[int, int]]]:
+    starts = ~_first_starts(len(data), later)
+    at = np.array(places or [], np.int64)
+    starts[at[at < len(starts)]] = True
+    change = np.zeros(len(data) + 1, np.int64)
+    at = np.nonzero(starts)[0]
+    change[at] += 1
+    change[at + REPEAT] -= 1
+    gone = np.concatenate([[False], np.cumsum(change)[:-1] > 0, [False]])
+    edge = np.nonzero(gone[1:] != gone[:-1])[0].tolist()
+    spans = list(zip(edge[::2], edge[1::2], strict=True))
     digest, done = hashlib.sha256(), 0
-    for a, b in spans:
-        digest.update(data[done:a])
-        done = b
+    for x, y in spans:
+        digest.update(data[done:x])
+        done = y
     digest.update(data[done:])
-    return sum(b - a for a, b in spans), len(spans), digest.hexdigest(), spans
+    return sum(y - x for x, y in spans), len(spans), digest.hexdigest(), spans
 
 
 def _result_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, places, whole in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+        for text, places, later in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
             data = _bytes(text)
-            removed, n, sha, spans = _kept(data, places, bool(whole))
+            removed, n, sha, spans = _kept(data, places, later)
             rows.append((len(data), removed, n, sha, [{"start": a, "end": b} for a, b in spans]))
         n_bytes, n_removed, n_spans, sha, spans = zip(*rows, strict=True) if rows else ([],) * 5
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -225,17 +299,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Each byte of a text that a 50-byte string covers which also starts in a text with a smaller id is removed;
     spans are the maximal removed runs of bytes. A null text is empty; texts under 50 bytes lose nothing. Of
     rows with equal texts, the one with the least id counts as first. Rows with a null id are reported and
-    neither lose bytes nor make others lose them; rows that repeat an id count as one document. An empty table
-    gives an empty result. Other columns are ignored.
+    neither lose bytes nor make others lose them; rows that repeat an id count as one document and should hold one
+    text (if not, a place that repeats in one of the texts is removed from all). An empty table gives an empty result. Other columns are ignored.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = named.where("doc is not null").select("doc", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"))
-    firsts = marks.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = materialise(marks.join(firsts.select("sha", "first"), "sha").where("doc > first").select("doc").distinct(), "copies")
-    distinct = named.where("doc is not null").join(copies, "doc", "left_anti")
-    places = materialise(repeats(distinct), "places")
-    joined = named.join(places, "doc", "left").join(copies.withColumn("whole", F.lit(True)), "doc", "left")
+    known = named.where("doc is not null")
+    later = later_chunks(known)
+    places = materialise(repeats(known, later), "places")
+    joined = named.join(places, "doc", "left").join(later, "doc", "left")
     span = "array<struct<start:long,end:long>>"
-    return joined.select("doc", "text", "places", "whole").mapInArrow(
+    return joined.select("doc", "text", "places", "later").mapInArrow(
         _result_batches, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {span}"
     ).withColumnRenamed("id", id_col)
