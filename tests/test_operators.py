@@ -141,3 +141,25 @@ def test_attention_spans(spark, tmp_path):
     got = _streamed(spark, df, attention_spans, tmp_path, "spans").collect()
     spans = sorted((r.started_us // 1_000_000, r.ended_us // 1_000_000, int(r.event_id), r.end_reason) for r in got)
     assert spans == [(0, 5, 10, "navigated"), (5, 9, 11, "tab-switch"), (12, 20, 11, "tab-closed"), (21, 1821, 12, "idle")]
+
+
+def test_platt_scaling():
+    rng = np.random.default_rng(3)
+    truth = rng.uniform(0.05, 0.95, 4000)
+    y = (rng.uniform(size=4000) < truth).astype(float)
+    stretched = 1 / (1 + ((1 - truth) / truth) ** 3)  # logits three times too steep
+    slope, offset = models.fit_platt(stretched, y)
+    assert abs(slope - 1 / 3) < 0.04 and abs(offset) < 0.12
+    assert models.fit_platt(np.array([0.2, 0.9]), np.ones(2)) == (1.0, 0.0)
+    assert models.fit_platt(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
+
+
+def test_calibration_uses_earlier_folds_only(spark):
+    rows = [(1, "a", k, k, 1 + k // 10, float(k % 3 == 0), 0.9 if k % 2 else 0.6) for k in range(30)]
+    kind = "person_id long, category string, session_no long, window_end long, fold int, y double, p double"
+    got = {r.session_no: r for r in models.calibrate(spark.createDataFrame(rows, kind)).collect()}
+    assert all(got[k].p == got[k].raw for k in range(10))
+    slope, offset = models.fit_platt(np.array([r[6] for r in rows[:10]]), np.array([r[5] for r in rows[:10]]))
+    for k in range(10, 20):
+        logit = np.log(rows[k][6] / (1 - rows[k][6]))
+        assert abs(got[k].p - 1 / (1 + np.exp(-slope * logit - offset))) < 1e-9

@@ -54,3 +54,38 @@ def backtest(folded: DataFrame, columns: tuple[str, ...], *, steps: int = 4000)
 
     kept = folded.select("person_id", "category", "session_no", "window_end", "fold", "rn", F.col("outcome").cast("double").alias("outcome"), *columns)
     return kept.groupBy("person_id").applyInPandas(run, "person_id long, category string, session_no long, window_end long, fold int, y double, p double")
+
+
+def fit_platt(p: np.ndarray, y: np.ndarray, steps: int = 2000) -> tuple[float, float]:
+    """Slope and offset of a sigmoid over logits, fitted to soft targets; (1, 0) where only one class or nothing is known."""
+    hits = int(y.sum())
+    if hits == 0 or hits == len(y):
+        return 1.0, 0.0
+    soft = np.where(y == 1, (hits + 1) / (hits + 2), 1 / (len(y) - hits + 2))
+    w, b = fit_logistic(_logit(p)[:, None], soft, steps, penalty=0.0)
+    return float(w[0]), b
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    q = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(q / (1 - q))
+
+
+def calibrate(predicted: DataFrame, *, steps: int = 2000) -> DataFrame:
+    """The predictions of :func:`backtest` with ``raw`` and ``p``: a fold is calibrated by Platt's sigmoid over the folds before it.
+
+    The first fold has nothing before it and keeps its probabilities. One person is one task's group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.rename(columns={"p": "raw"}).sort_values(["fold", "window_end", "category"]).reset_index(drop=True)
+        raw, y, fold = (pdf[c].to_numpy() for c in ("raw", "y", "fold"))
+        pdf["p"] = raw
+        for k in np.unique(fold):
+            slope, offset = fit_platt(raw[fold < k], y[fold < k], steps)
+            if (slope, offset) != (1.0, 0.0):
+                pdf.loc[fold == k, "p"] = 1 / (1 + np.exp(-np.clip(slope * _logit(raw[fold == k]) + offset, -40, 40)))
+        return pdf
+
+    kind = "person_id long, category string, session_no long, window_end long, fold int, y double, raw double, p double"
+    return predicted.groupBy("person_id").applyInPandas(run, kind)

@@ -212,6 +212,14 @@ def logistic_backtest(spark, sf_dir):
     return rounded(models.backtest(made, schemas.FS_3, steps=400))
 
 
+def platt_calibration(spark, sf_dir):
+    """Brier score of the logistic predictions of each person, raw and calibrated on the folds before."""
+    made = evaluation.rolling_folds(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON))
+    found = models.calibrate(models.backtest(made, schemas.FS_3, steps=400))
+    miss = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))
+    return rounded(found.groupBy("person_id").agg(F.count("*").alias("n"), miss("raw").alias("brier_raw"), miss("p").alias("brier_calibrated")))
+
+
 def brier_bootstrap(spark, sf_dir):
     return evaluation.brier_bootstrap(predictions(spark, sf_dir), challenger="category_rate", reference="base_rate", resamples=500)
 
@@ -267,5 +275,5 @@ ALL = (
     block_volume, novelty, dormancy, category_transitions, transition_table, next_category_ranking, gap_percentiles, gap_histogram, visits_per_day,
     domain_coverage, concentration, session_spread, browsing_summary, day_of_week_rates, url_domains, unknown_rate, association_rules, basket_rules,
     jaccard_links, cooccurrence_clusters, rolling_origin_folds, baseline_predictions, baseline_scores, reliability_curve, calibration_errors,
-    accuracy_coverage, prediction_resolution, scorecard, role_transitions, logistic_backtest, brier_bootstrap,
+    accuracy_coverage, prediction_resolution, scorecard, role_transitions, logistic_backtest, platt_calibration, brier_bootstrap,
 )
