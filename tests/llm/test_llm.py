@@ -220,6 +220,30 @@ def test_language_model(spark):
     assert pseudo_likelihood.score(docs.limit(0), pseudo_likelihood.train(docs.limit(0))).count() == 0
 
 
+def test_language_model_tells_rare_words_apart(spark):
+    rng = random.Random(5)
+    common = [f"c{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    plenty = [f"p{k}" for k in range(900)]
+    texts = [" ".join(rng.choice(common) for _ in range(60)) for _ in range(40)] + [" ".join(plenty)] * 6 + ["seldom seldom seldom rareness"]
+    docs = frame(spark, texts)
+    network = pseudo_likelihood.train(docs)
+    asked = [f"{common[0]} {w} {common[1]}" for w in ("seldom", "rareness", "unheard", "un7heard")]
+    got = {r.doc_id: r for r in pseudo_likelihood.score(frame(spark, [*asked, None, *asked]), network).collect()}
+    lone = [got[k].log_likelihood for k in range(4)]
+    assert lone[0] > lone[1] > lone[2] and lone[0] - lone[1] == pytest.approx(np.log(3))  # words of one shape, by frequency
+    assert [got[k + 5].log_likelihood for k in range(4)] == pytest.approx(lone) and got[4].per_word is None
+    n, size = network.shapes[1]
+    assert len(network.words) == 1020 and sum(x for x, _ in network.shapes.values()) == sum(w not in network.words for t in texts for w in t.split())
+    seen = [r for r in network.counts.where("shape = 1").collect() if r.word not in network.words]
+    assert (sum(r.n for r in seen), len(seen)) == (n, size)
+
+
+def test_language_model_entries_grow(spark):
+    few, many = ([" ".join(f"w{k}" for k in range(1500))] * n for n in (1, 250))  # 375,000 words: entries from 153 on
+    assert len(pseudo_likelihood.train(frame(spark, few), rounds=0).words) == 1020
+    assert len(pseudo_likelihood.train(frame(spark, many), rounds=0).words) == 1500
+
+
 # ---- 7 SimHash
 
 

@@ -4,24 +4,29 @@ The network adds the embeddings of the words in a window on either side of a mas
 a hidden layer and predicts the word in two steps, its class and its place in the class, so a prediction costs
 the square root of the vocabulary. Training covers the whole corpus: each partition fits the shared start on
 its own texts, the partitions' weights are averaged by a shuffle, and the average starts the next round.
+
+Words that are too rare for an entry of their own share the network's entry of their shape, and are then
+predicted within the shape by their frequency in the whole corpus. Those counts stay a table, which is joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import materialise
 
-#: Words on either side, size of an embedding, classes (and words in a class), words in a training step.
+#: Words on either side, size of an embedding, least number of classes (and words in a class), words in a training step.
 SIDE, SIZE, CLASSES, STEP = 2, 16, 32, 4096
-#: Frequent words have entries of their own; all others share the entry of their shape (3 entries), 0 is the edge.
-VOCABULARY = CLASSES * CLASSES - 4
+#: Of N words in the corpus, those found sqrt(N) / RARE times or more have entries of their own: at most RARE * sqrt(N),
+#: and 1,020 at least. All others share the entry of their shape (3 entries); 0 is the edge.
+RARE = 4
 #: Words are scored in pieces of so many, which bounds memory.
 PIECE = 1 << 14
 
@@ -30,6 +35,8 @@ PIECE = 1 << 14
 class Network:
     words: dict[str, int]
     weights: tuple[np.ndarray, ...]  # embeddings, hidden, hidden bias, class, class bias, word, word bias
+    counts: DataFrame  # (word, shape, n) of the whole corpus
+    shapes: dict[int, tuple[int, int]]  # occurrences and number of the words without an entry, by shape
 
 
 def split_words(text: str | None) -> list[str]:
@@ -37,13 +44,15 @@ def split_words(text: str | None) -> list[str]:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all rows."""
+    """(word, shape, n) over all rows."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.string()), pa.array(list(map(_other, seen)), pa.int8()), pa.array(list(seen.values()), pa.int64())], names=["word", "shape", "n"]
+            )
 
         for batch in rows:
             for text in batch.column(0).to_pylist():
@@ -54,7 +63,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     seen.clear()
         yield out()
 
-    return docs.select(text_col).mapInArrow(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(batches, "word string, shape byte, n long").groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
 
 
 def _other(word: str) -> int:
@@ -66,11 +75,11 @@ def ids_of(words: dict[str, int], text: str | None) -> np.ndarray:
     return np.array([get(w) or _other(w) for w in split_words(text)], np.int32)
 
 
-def _start(seed: int = 11) -> tuple[np.ndarray, ...]:
-    rng, v = np.random.default_rng(seed), CLASSES * CLASSES
+def _start(classes: int = CLASSES, seed: int = 11) -> tuple[np.ndarray, ...]:
+    rng, v = np.random.default_rng(seed), classes * classes
     normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     zero = lambda *shape: np.zeros(shape, np.float32)
-    return normal(2 * SIDE, v, SIZE), normal(SIZE, SIZE), zero(SIZE), normal(SIZE, CLASSES), zero(CLASSES), normal(CLASSES, SIZE, CLASSES), zero(CLASSES, CLASSES)
+    return normal(2 * SIDE, v, SIZE), normal(SIZE, SIZE), zero(SIZE), normal(SIZE, classes), zero(classes), normal(classes, SIZE, classes), zero(classes, classes)
 
 
 def _contexts(ids: np.ndarray) -> np.ndarray:
@@ -80,6 +89,10 @@ def _contexts(ids: np.ndarray) -> np.ndarray:
     return np.stack([wide[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE])
 
 
+def _order(ids: np.ndarray, top: int) -> np.ndarray:
+    return np.argsort(ids.astype(np.uint16) if top <= 1 << 16 else ids, kind="stable")  # short ones by radix
+
+
 def _soft(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
@@ -93,12 +106,13 @@ def _forward(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarr
     for k in range(1, len(context)):
         x = x + emb[k][context[k]]
     h = np.tanh(x @ hid + hid_b)
-    c = ids // CLASSES
-    order = np.argsort(c.astype(np.uint16), kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    classes = len(cls_b)
+    c = ids // classes
+    order = _order(c, classes)
+    bounds = np.searchsorted(c[order], np.arange(classes + 1))
     p_class = _soft(h @ cls + cls_b)
-    p_own = np.empty((len(ids), CLASSES), np.float32)
-    for k in range(CLASSES):  # the words of each class together
+    p_own = np.empty((len(ids), classes), np.float32)
+    for k in range(classes):  # the words of each class together
         rows = order[bounds[k] : bounds[k + 1]]
         if len(rows):
             p_own[rows] = _soft(h[rows] @ own[k] + own_b[k])
@@ -112,7 +126,7 @@ def log_probabilities(weights: tuple[np.ndarray, ...], ids: np.ndarray) -> np.nd
         own = ids[k : k + PIECE]
         _, _, c, _, _, p_class, p_own = _forward(weights, context[:, k : k + PIECE], own)
         rows = np.arange(len(own))
-        out[k : k + PIECE] = np.log(np.maximum(p_class[rows, c].astype(float) * p_own[rows, own % CLASSES], 1e-12))
+        out[k : k + PIECE] = np.log(np.maximum(p_class[rows, c].astype(float) * p_own[rows, own % len(weights[4])], 1e-12))
     return out
 
 
@@ -122,10 +136,10 @@ def _step(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray,
     x, h, c, order, bounds, p_class, p_own = _forward(weights, context, ids)
     rows = np.arange(len(ids))
     p_class[rows, c] -= 1
-    p_own[rows, ids % CLASSES] -= 1
+    p_own[rows, ids % len(cls_b)] -= 1
     rate = rate / len(ids)
     g_h = p_class @ cls.T
-    for k in range(CLASSES):
+    for k in range(len(cls_b)):
         sel = order[bounds[k] : bounds[k + 1]]
         if len(sel):
             g_h[sel] += p_own[sel] @ own[k].T
@@ -138,21 +152,19 @@ def _step(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray,
     hid -= rate * (x.T @ g)
     hid_b -= rate * g.sum(axis=0)
     for k in range(len(context)):
-        one = np.zeros((emb.shape[1], SIZE), np.float32)
-        by = np.argsort(context[k].astype(np.uint16), kind="stable")
+        by = _order(context[k], emb.shape[1])
         own = context[k][by]
         at = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
-        one[own[at]] = np.add.reduceat(g_x[by], at, axis=0)
-        emb[k] -= one
+        emb[k][own[at]] -= np.add.reduceat(g_x[by], at, axis=0)
 
 
 def _flat(weights: tuple[np.ndarray, ...]) -> np.ndarray:
     return np.concatenate([w.ravel() for w in weights])
 
 
-def _shaped(flat: np.ndarray) -> tuple[np.ndarray, ...]:
+def _shaped(flat: np.ndarray, like: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     out, at = [], 0
-    for w in _start():
+    for w in like:
         out.append(flat[at : at + w.size].reshape(w.shape).astype(np.float32).copy())
         at += w.size
     return tuple(out)
@@ -161,15 +173,22 @@ def _shaped(flat: np.ndarray) -> tuple[np.ndarray, ...]:
 def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float = 2.0) -> Network:
     """Fit the network to all rows.
 
-    The vocabulary is the most frequent words of all texts, by count, then by word. In a round every partition
-    takes gradient steps on all of its words. Partitions' weights are averaged by the number of their words;
-    what is gathered grows with the partitions, the model and what the driver holds do not.
+    The vocabulary is every word of all texts; the most frequent ones, by count, then by word, have entries of
+    their own, and their number grows with the corpus as RARE says. In a round every partition takes gradient
+    steps on all of its words. Partitions' weights are averaged by the number of their words. The driver holds
+    the entries only, whose number grows no faster than the root of the corpus.
     """
     spark = docs.sparkSession
-    counts = word_counts(docs, text_col)
-    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()["word"].to_pylist()
-    words = {w: k + 4 for k, w in enumerate(top)}
-    weights = _start()
+    counts = materialise(word_counts(docs, text_col), "words")
+    shapes = {r.shape: (r.n, r.words) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    frequent = counts.where(F.col("n") >= sum(n for n, _ in shapes.values()) ** 0.5 / RARE).count()
+    classes = max(CLASSES, isqrt(frequent + 3) + 1)
+    top = counts.orderBy(F.desc("n"), "word").limit(classes * classes - 4).toArrow().to_pylist()
+    for r in top:
+        n, size = shapes[r["shape"]]
+        shapes[r["shape"]] = n - r["n"], size - 1
+    words = {r["word"]: k + 4 for k, r in enumerate(top)}
+    weights = _start(classes)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((words, weights))
 
@@ -199,33 +218,60 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float
         summed = docs.select(text_col).mapInArrow(batches, "k int, w double, n long").groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w"))
         mean = materialise(summed, "weights").orderBy("k").toArrow()  # as many rows as the network has weights
         if len(mean):
-            weights = _shaped(mean["w"].to_numpy())
-    return Network(words, weights)
+            weights = _shaped(mean["w"].to_numpy(), weights)
+    return Network(words, weights, counts, shapes)
+
+
+def within_shape(network: Network) -> Column:
+    """The logarithm of a word's probability within its shape; columns: shape, word, and its count n or null.
+
+    Words of the corpus have their frequency; as in Witten and Bell's estimate, unseen ones have together as much
+    as the number of different words, and share it by length: 1 / 512 for each byte, which adds up to 1 at most.
+    """
+    seen = unseen = F.lit(0.0)
+    for shape in (1, 2, 3):
+        n, size = network.shapes.get(shape, (0, 0))
+        here = F.col("shape") == shape
+        seen = F.when(here, F.lit(-log(max(n + size, 1)))).otherwise(seen)
+        unseen = F.when(here, F.lit(log(size / (n + size)) if size else 0.0)).otherwise(unseen)
+    return F.when(F.col("n").isNotNull(), F.ln("n") + seen).otherwise(unseen - F.octet_length("word") * log(512))
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_likelihood, per_word) of each row's whole text.
 
-    log_likelihood sums the conditional log-probabilities of all words; per_word is their mean, null without
-    words (null, empty and blank texts have a sum of 0). Rows are scored one by one, repeated ones each; an
-    empty table gives an empty result. Other columns are ignored.
+    log_likelihood sums the conditional log-probabilities of all words, of those without an entry the shape's
+    and the word's within it; per_word is their mean, null without words (null, empty and blank texts have a sum
+    of 0). Rows are scored one by one, repeated ones each; an empty table gives an empty result. Other columns
+    are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared = docs.sparkSession.sparkContext.broadcast((network.words, network.weights))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        words, weights = shared.value
         for batch in rows:
-            n, total = [], []
             for at in range(0, batch.num_rows, 64):
-                ids = [ids_of(net.words, x) for x in batch.column(1).slice(at, 64).to_pylist()]
+                own = batch.slice(at, 64)
+                texts = own.column(1).to_pylist()
+                ids = [ids_of(words, x) for x in texts]
+                rare = [w for x in texts for w in split_words(x) if w not in words]
+                shape = np.concatenate([x[x < 4] for x in ids]).astype(np.int8)
+                places = np.cumsum([0, *(np.count_nonzero(x < 4) for x in ids)]).astype(np.int32)
+                rare = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(shape)], ["word", "shape"]))
                 gap = np.zeros(SIDE, np.int32)  # edges between texts, so that they are scored together
                 joined = np.concatenate([y for x in ids for y in (x, gap)])
-                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(net.weights, joined))])
+                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(weights, joined))])
                 ends = np.cumsum([len(x) + SIDE for x in ids])
-                n += [len(x) for x in ids]
-                total += [float(logs[e - SIDE] - logs[e - SIDE - len(x)]) for x, e in zip(ids, ends, strict=True)]
-            mean = [t / k if k else None for t, k in zip(total, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["id", "n_words", "log_likelihood", "per_word"])
-
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(batches, f"id {kind}, n_words long, log_likelihood double, per_word double").withColumnRenamed("id", id_col)
+                n = [len(x) for x in ids]
+                total = [float(logs[e - SIDE] - logs[e - SIDE - len(x)]) for x, e in zip(ids, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), rare], names=["id", "n_words", "own", "rare"])
+
+    scored = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(batches, f"id {kind}, n_words long, own double, rare array<struct<word: string, shape: tinyint>>")
+    scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("row", F.inline("rare")).join(network.counts.drop("shape"), "word", "left")
+    rest = rare.groupBy("row").agg(F.sum(within_shape(network)).alias("rest"))
+    total = F.col("own") + F.coalesce("rest", F.lit(0.0))
+    return scored.join(rest, "row", "left").select(
+        F.col("id").alias(id_col), "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word")
+    )
