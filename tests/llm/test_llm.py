@@ -312,6 +312,20 @@ def test_quality(spark):
     assert quality_rules.judge(frame(spark, [])).count() == 0
 
 
+def test_quality_judges_small_groups_and_repeated_lines(spark):
+    rng = random.Random(13)
+    text = lambda n: "\n".join(prose(rng, 12) for _ in range(n))
+    parts = [text(1).split("\n")[0] for _ in range(40)]
+    short = "\n".join(x for k in range(40) for x in (parts[k], f"again and again {k % 2}"))  # 38 of 80 lines repeat, no 8-word window does
+    symbols = " ".join(f"##{k}$$%%&&" * 6 for k in range(80))
+    # en/s is judged by itself, en/t with its language, fr/s with all documents
+    rows = [(k, text(rng.randrange(4, 14)), "en", "s") for k in range(60)] + [(60, short, "en", "s")]
+    rows += [(61, symbols, "en", "t"), (62, short, "en", "t"), (63, text(8), "en", "t"), (64, symbols, "fr", "s"), (65, text(8), "fr", None), (66, "a", "fr", "s")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {k for k, r in got.items() if not r.kept} == {60, 61, 62, 64, 66} and len(got) == len(rows)
+    assert not any(got[k].base_failed for k in (60, 61, 62, 64)) and all(got[k].distance is not None for k in range(66))
+
+
 def test_quality_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4))

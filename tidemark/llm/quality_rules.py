@@ -8,7 +8,7 @@ covariance. Documents far from the final estimate are rejected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import materialise
@@ -16,11 +16,11 @@ from tidemark.llm.scratch import materialise
 #: White space that parts words, and the symbols that are counted.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 WINDOW = 8
-#: Transformed statistics, and the variance that is added to each: a statistic that is constant in the core of a
-#: group can be inverted, and neither great length nor a single repeated line alone makes an outlier.
+#: Transformed statistics, and the variance that is added to each so that a constant one can be inverted. It leaves
+#: each statistic room to pass LIMIT alone: log_dup_lines is at most ln(101), whose square is 21.3.
 VECTOR = ("log_words", "log_word_length", "log_symbols", "log_dup_lines")
-RIDGE = (1.0, 0.01, 0.25, 1.0)
-#: Share of a group's documents in the concentrated half, steps, and the least group that is judged.
+RIDGE = (0.25, 0.01, 0.25, 0.25)
+#: Share of a group's documents in the concentrated half, steps, and the least group with an estimate of its own.
 SHARE, STEPS, LEAST_GROUP = 0.75, 3, 40
 #: Median of the chi-squared distribution with four degrees of freedom, and the limit of distances: its tail
 #: beyond the limit is 1e-5, which leaves room for clean documents that are not normally distributed.
@@ -127,12 +127,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows. The others are judged within
     their language and source (null is a value of its own): the squared distance, scaled so that its median is
-    the chi-squared one, must not pass LIMIT. Groups of fewer than LEAST_GROUP such documents are kept whole.
+    the chi-squared one, must not pass LIMIT. Groups of fewer than LEAST_GROUP such documents are held against
+    the estimate of all documents of their language, and if these are too few, against that of all documents.
     Null texts have no words and fail. Ties and repeated rows are judged alike; an empty table gives an empty
     result. Other columns are ignored.
     """
     keys = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (lang_col, source_col)]
-    named = docs.select(F.col(id_col).alias("id"), F.concat_ws("\u0001", *keys).alias("g"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).alias("id"), keys[0].alias("l"), F.concat_ws("\u0001", *keys).alias("g"), F.col(text_col).alias("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     share = lambda a, b: F.log1p(100.0 * F.col(a) / F.greatest(F.col(b), F.lit(1)))
     vector = (
@@ -142,16 +143,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         share("n_dup_lines", "n_lines"),
     )
     rows = materialise(
-        statistics(named, ("id", "g")).select("*", failed.alias("base_failed"), *(x.alias(c) for x, c in zip(vector, VECTOR, strict=True))), "statistics"
+        statistics(named, ("id", "l", "g")).select("*", failed.alias("base_failed"), *(x.alias(c) for x, c in zip(vector, VECTOR, strict=True))), "statistics"
     )
-    good = rows.where(~F.col("base_failed")).select("g", *VECTOR)
-    shape = robust_shapes(good)
-    scale = (
-        _with_distance(good, shape)
-        .groupBy("g")
-        .agg(F.greatest(F.percentile_approx("d2", 0.5) / CHI_MEDIAN, F.lit(1.0)).alias("scale"), F.count("*").alias("size"))
-    )
-    far = _with_distance(rows, shape.join(scale, "g").where(F.col("size") >= LEAST_GROUP).drop("scale", "size")).join(scale, "g", "left")
+    good = rows.where(~F.col("base_failed"))
+    pools = F.concat(F.lit("2"), "g"), F.concat(F.lit("1"), "l"), F.lit("0")
+    sizes = good.groupBy("l", "g").agg(F.count("*").alias("n")).withColumn("n_l", F.sum("n").over(Window.partitionBy("l")))
+    used = F.when(F.col("n") >= LEAST_GROUP, pools[0]).when(F.col("n_l") >= LEAST_GROUP, pools[1]).otherwise(pools[2])
+    used = materialise(sizes.select(F.col("g").alias("own"), used.alias("g")), "pools")
+    every = good.select(F.explode(F.array(*pools)).alias("g"), *VECTOR)
+    judged = materialise(every.join(F.broadcast(used.select("g").distinct()), "g", "left_semi"), "judged")
+    shape = robust_shapes(judged)
+    scale = _with_distance(judged, shape).groupBy("g").agg(F.greatest(F.percentile_approx("d2", 0.5) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
+    pooled = rows.withColumnRenamed("g", "own").join(used, "own", "left")
+    far = _with_distance(pooled, shape).join(scale, "g", "left")
     distance = F.col("d2") / F.col("scale")
     return far.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
