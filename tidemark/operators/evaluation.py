@@ -92,8 +92,10 @@ def brier_bootstrap(predicted: DataFrame, *, challenger: str, reference: str, re
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session_no")
         diff, n, rng = pdf["diff"].to_numpy(), pdf["n"].to_numpy(), random.Random(seed)
-        picks = np.array([[rng.randrange(len(n)) for _ in n] for _ in range(resamples)])
-        means = diff[picks].sum(axis=1) / n[picks].sum(axis=1)
+        means = np.empty(resamples)
+        for k in range(resamples):  # one resample at a time: the picks of all would take resamples x sessions
+            picks = np.fromiter((rng.randrange(len(n)) for _ in range(len(n))), np.int64, len(n))
+            means[k] = diff[picks].sum() / n[picks].sum()
         low, high = np.percentile(means, [2.5, 97.5])
         return pd.DataFrame({"person_id": [pdf["person_id"].iloc[0]], "point": [diff.sum() / n.sum()], "low": [low], "high": [high], "clusters": [len(n)]})
 

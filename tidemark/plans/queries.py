@@ -209,19 +209,19 @@ def role_transitions(spark, sf_dir):
 
 def logistic_backtest(spark, sf_dir):
     made = evaluation.rolling_folds(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON))
-    return rounded(models.backtest(made, schemas.FS_3, steps=400))
+    return rounded(models.backtest(made, schemas.FS_3))
 
 
 def platt_calibration(spark, sf_dir):
     """Brier score of the logistic predictions of each person, raw and calibrated on the folds before."""
     made = evaluation.rolling_folds(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON))
-    found = models.calibrate(models.backtest(made, schemas.FS_3, steps=400))
+    found = models.calibrate(models.backtest(made, schemas.FS_3))
     miss = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))
     return rounded(found.groupBy("person_id").agg(F.count("*").alias("n"), miss("raw").alias("brier_raw"), miss("p").alias("brier_calibrated")))
 
 
 def brier_bootstrap(spark, sf_dir):
-    return evaluation.brier_bootstrap(predictions(spark, sf_dir), challenger="category_rate", reference="base_rate", resamples=500)
+    return evaluation.brier_bootstrap(predictions(spark, sf_dir), challenger="category_rate", reference="base_rate", resamples=10_000)
 
 
 def redirect_confusion(spark, sf_dir):
