@@ -318,7 +318,7 @@ def test_quality_judges_small_groups_and_repeated_lines(spark):
     parts = [text(1).split("\n")[0] for _ in range(40)]
     short = "\n".join(x for k in range(40) for x in (parts[k], f"again and again {k % 2}"))  # 38 of 80 lines repeat, no 8-word window does
     symbols = " ".join(f"##{k}$$%%&&" * 6 for k in range(80))
-    # en/s is judged by itself, en/t with its language, fr/s with all documents
+    # en/t leans on its language, fr/s on all documents
     rows = [(k, text(rng.randrange(4, 14)), "en", "s") for k in range(60)] + [(60, short, "en", "s")]
     rows += [(61, symbols, "en", "t"), (62, short, "en", "t"), (63, text(8), "en", "t"), (64, symbols, "fr", "s"), (65, text(8), "fr", None), (66, "a", "fr", "s")]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
@@ -326,16 +326,80 @@ def test_quality_judges_small_groups_and_repeated_lines(spark):
     assert not any(got[k].base_failed for k in (60, 61, 62, 64)) and all(got[k].distance is not None for k in range(66))
 
 
-def test_quality_distance_is_mahalanobis(spark):
-    rng = np.random.default_rng(12)
-    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4))
-    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{c} double" for c in quality_rules.VECTOR))
-    n = range(4)
-    moments = rows.groupBy("g").agg(*(F.avg(c).alias(f"m_{i}") for i, c in enumerate(quality_rules.VECTOR)), *(F.covar_pop(quality_rules.VECTOR[i], quality_rules.VECTOR[j]).alias(f"c_{i}_{j}") for i in n for j in range(i + 1)))
-    got = sorted(r.d2 for r in quality_rules._with_distance(rows, quality_rules._cholesky(moments)).collect())
-    inverse = np.linalg.inv(np.cov(x.T, bias=True) + np.diag(quality_rules.RIDGE))
-    d = x - x.mean(axis=0)
-    assert np.allclose(got, sorted(np.einsum("ij,jk,ik->i", d, inverse, d)))
+def plain_estimates(pools):
+    """The estimate of each pool of vectors, by loops over numpy arrays."""
+    q = quality_rules
+    order = lambda x, at: np.sort(x)[max(0, int(np.ceil(at * len(x))) - 1)]
+    middle = {k: np.array([order(c, 0.5) for c in x.T]) for k, x in pools.items()}
+    spread = {k: np.array([1.4826 * order(np.abs(c - m), 0.5) for c, m in zip(x.T, middle[k])]) ** 2 for k, x in pools.items()}
+    out = {}
+    for k, x in pools.items():
+        rho, ended = q.PRIOR / (len(x) * q.SHARE + q.PRIOR), []
+
+        def regular(c):
+            return (1 - rho) * c + np.diag(rho * spread["0"] + q.FLOOR)
+
+        starts = [(middle[k], np.diag(spread[k])), (middle[k], np.diag(spread["0"])), (x.mean(axis=0), np.cov(x.T, bias=True).reshape(4, 4))]
+        for number, (m, c) in enumerate(starts):
+            c, before = regular(c), np.inf
+            for _ in range(q.STEPS):
+                now = np.linalg.slogdet(c)[1]
+                d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+                core = x[d2 <= order(d2, q.SHARE)]
+                m, c, before = core.mean(axis=0), regular(np.cov(core.T, bias=True).reshape(4, 4)), now
+                if not np.linalg.slogdet(c)[1] < before - 1e-6:
+                    break
+            ended.append((np.linalg.slogdet(c)[1], number, m, c))
+        out[k] = min(ended, key=lambda e: (round(e[0], 9), e[1]))[2:]
+    return out
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    q, rng = quality_rules, random.Random(12)
+
+    def text():
+        lines = [prose(rng, rng.randrange(5, 15)) for _ in range(rng.randrange(3, 14))]
+        if rng.random() < 0.2:
+            lines += lines[:1] * rng.randrange(1, 12)
+        if rng.random() < 0.2:
+            lines.append("#$%" * rng.randrange(1, 300))
+        return "\n".join(lines)
+
+    groups = [("en", "a")] * 60 + [("en", "b")] * 7 + [("fr", "a")] * 2 + [(None, None)]
+    rows = [(k, text(), *g) for k, g in enumerate(groups)]
+    got = {r.doc_id: r for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    good, vector = [], {}
+    angle = lambda part, whole, added: np.arcsin(np.sqrt(part / (max(part, whole) + added)))
+    for k, t, *g in rows:
+        n, chars, symbols, dup, repeat = plain_statistics(t)
+        if n >= 20 and 100 * repeat <= 30 * n:
+            good.append((k, *g))
+            lines = sum(1 for x in t.split("\n") if x.strip())
+            vector[k] = np.array([np.log1p(n), np.log1p(chars / n), angle(symbols, chars, 40), angle(dup, lines, 4)])
+    pools = {}
+    for k, lang, source in good:
+        for pool in ("0", f"1{lang}", f"2{lang}/{source}"):
+            pools.setdefault(pool, []).append(vector[k])
+    found = plain_estimates({k: np.array(v) for k, v in pools.items()})
+
+    def mixed(own, n, wide):
+        w = n / (n + q.POOL)
+        return w * own[0] + (1 - w) * wide[0], w * own[1] + (1 - w) * wide[1]
+
+    d2, members = {}, {}
+    for k, lang, source in good:
+        wide = mixed(found[f"1{lang}"], len(pools[f"1{lang}"]), found["0"])
+        m, c = mixed(found[f"2{lang}/{source}"], len(pools[f"2{lang}/{source}"]), wide)
+        d2[k] = (vector[k] - m) @ np.linalg.inv(c) @ (vector[k] - m)
+        members.setdefault((lang, source), []).append(k)
+    order = lambda x: sorted(x)[max(0, -(-len(x) // 2) - 1)]
+    for own in members.values():
+        median = (len(own) * order([d2[k] for k in own]) + q.POOL * order(d2.values())) / (len(own) + q.POOL)
+        for k in own:
+            want = d2[k] / max(1, median / q.CHI_MEDIAN)
+            assert np.isclose(got[k].distance, want, rtol=1e-6) and got[k].kept == (want <= q.LIMIT), k
+    assert {k for k, r in got.items() if r.base_failed} == set(range(len(rows))) - set(d2)
+    assert 0 < sum(not got[k].kept for k in d2) < len(d2) / 2
 
 
 # ---- 9 packing
