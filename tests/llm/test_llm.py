@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -447,37 +448,101 @@ def test_plan_fills_exactly_where_it_can():
 # ---- 10 paragraphs
 
 
+def plain_paragraphs(words):
+    """Ranges of words between boundaries that are the first least of the five on either side."""
+    hashes = [int(x) for x in paragraph_dedup._word_hashes(words)]
+    mix, mask = int(paragraph_dedup._MIX), (1 << 64) - 1
+    g = []
+    for x, y in zip(hashes, hashes[1:]):
+        v = (x * mix + y) & mask
+        v = ((v ^ (v >> 29)) * mix) & mask
+        g.append(v ^ (v >> 32))
+    cuts = [k + 1 for k, v in enumerate(g) if all(v < x for x in g[max(0, k - 5) : k]) and all(v <= x for x in g[k + 1 : k + 6])]
+    out = []
+    for low, high in zip([0, *cuts], [*cuts, len(words)]):
+        while low < high:
+            out.append((low, min(low + 64, high)))
+            low += 64
+    return [(a, b) for a, b in out if b - a >= 5]
+
+
 @pytest.mark.parametrize("small", [0, 32])
 def test_paragraphs_equal_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(paragraph_dedup, "SMALL_LIST", small)
     monkeypatch.setattr(paragraph_dedup, "BLOCK", 5)
     rng = random.Random(15)
-    base = [prose(rng, 60).split() for _ in range(6)]
+    base = [prose(rng, 60, 9000).split() for _ in range(6)]
 
     def line():
         own = rng.choice(base).copy()
         for _ in range(rng.randrange(3)):
             own[rng.randrange(60)] = "changed"
-        return " ".join(own)
+        at = rng.randrange(60)
+        return " ".join(own[:at]) + rng.choice(["\n", " ", "\t"]) + " ".join(own[at:]).upper()
 
-    texts = ["\n".join(rng.choice([line(), prose(rng, 30), "short line"]) for _ in range(rng.randrange(1, 5))) for _ in range(40)] + EDGES + EDGES
+    stock = prose(rng, 9)
+    texts = ["\n".join(rng.choice([line(), prose(rng, 30, 9000), "short line", stock]) for _ in range(rng.randrange(1, 5))) for _ in range(40)]
+    texts += EDGES + EDGES + ["same " * 300]
     found = []
     for d, t in enumerate(texts):
-        for k, x in enumerate((t or "").split("\n")):
-            words = x.lower().split()
-            if len(words) >= 5:
-                found.append((d, k, frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))))
+        words = (t or "").encode().lower().split()
+        for k, (a, b) in enumerate(plain_paragraphs(words)):
+            found.append((d, k, a, b, frozenset(tuple(words[i : i + 5]) for i in range(a, b - 4))))
     label = list(range(len(found)))
     for _ in found:
-        new = [min(label[j] for j, y in enumerate(found) if len(x[2] & y[2]) >= 0.8 * len(x[2] | y[2])) for x in found]
+        new = [min(label[j] for j, y in enumerate(found) if len(x[4] & y[4]) >= 0.8 * len(x[4] | y[4])) for x in found]
         if new == label:
             break
         label = new
-    got = {(r.doc_id, r.number): r.removed for r in paragraph_dedup.duplicate_paragraphs(frame(spark, texts)).collect()}
-    assert got == {(d, k): label[i] != i for i, (d, k, _) in enumerate(found)}
-    assert paragraph_dedup.duplicate_paragraphs(frame(spark, [])).count() == 0
+    want, run = {}, []
+    for i, (d, k, a, b, _) in enumerate([*found, (-1, 0, 0, 0, None)]):
+        if run and (run[-1][0] != d or i >= len(label) or label[i] == i):
+            if sum(x[3] - x[2] for x in run) >= paragraph_dedup.LEAST:
+                want.setdefault(run[0][0], []).append((run[0][2], sum(x[3] - x[2] for x in run), len(run)))
+            run = []
+        if i < len(label) and label[i] != i:
+            run.append((d, k, a, b))
+    rows = paragraph_dedup.repeated_passages(frame(spark, texts)).collect()
+    got = {r.doc_id: [tuple(x) for x in r.passages] for r in rows if r.passages}
+    assert got == want and len(want) > 10
+    assert {r.doc_id: r.n_paragraphs for r in rows} == {d: sum(x[0] == d for x in found) for d in {x[0] for x in found}}
+    assert paragraph_dedup.repeated_passages(frame(spark, [])).count() == 0
     clean = {r.doc_id: r.text for r in paragraph_dedup.deduplicate(frame(spark, texts)).collect()}
-    assert all(clean[d] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not got.get((d, k)))) for d, t in enumerate(texts))
+    for d, t in enumerate(texts):
+        if d not in want:
+            assert clean[d] == t
+        else:
+            gone = {w for first, n, _ in want[d] for w in range(first, first + n)}
+            assert clean[d].split() == [w for k, w in enumerate(t.split()) if k not in gone]
+
+
+def test_a_passage_is_found_wherever_it_stands(spark):
+    """Passages of 55 words inside otherwise different lines; stock lines of nine words stay."""
+    rng = random.Random(16)
+    passages = [prose(rng, 55, 9000).split() for _ in range(60)]
+    stock = prose(rng, 9)
+    texts = []
+    for p in passages:
+        for end in (" ", "\n"):
+            at = rng.randrange(55)
+            texts.append(" ".join([prose(rng, 40, 9000), *p[:at]]) + end + " ".join([*p[at:], prose(rng, 40, 9000)]) + f"\n{stock}")
+    texts += [f"{prose(rng, 80, 9000)}\n{stock}" for _ in range(60)]
+    found = {r.doc_id: r.passages for r in paragraph_dedup.repeated_passages(frame(spark, texts)).collect()}
+    assert sum(bool(found[2 * k + 1]) for k in range(60)) >= 54
+    assert not any(found[2 * k] for k in range(60)) and not any(found[k] for k in range(120, 180))
+
+
+def test_long_texts_cross_no_limit(spark, monkeypatch):
+    """A text far longer than a part gives the same paragraphs in one part and in many."""
+    rng = random.Random(17)
+    texts = [prose(rng, 30_000, 9000), prose(rng, 100, 9000)]
+    rows = []
+    for limit in (400_000, 64):
+        monkeypatch.setattr(paragraph_dedup, "PART", limit)
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], names=["id", "text"])
+        parts = list(paragraph_dedup._occurrence_batches(5, 2, iter([batch])))
+        rows.append([tuple(map(str, r.values())) for b in parts for r in b.to_pylist()])
+    assert rows[0] == rows[1] and len(rows[0]) > 1000
 
 
 def test_bands_are_tuned():

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import discard, materialise
 
 
+#: The links of one node are joined in so many parts, so that a hub's don't meet in one task.
+SALTS = 8
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours ``v`` of each ``u`` to the least of ``u`` and its neighbours."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))  # partial minima before the shuffle
+    parts = least.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    joined = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(parts, ["u", "part"])
     if large:
         linked = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -1,12 +1,16 @@
 """Near-duplicate paragraphs: MinHash banding, exact Jaccard, connected components.
 
-Paragraphs are lines. Each distinct paragraph enters the bands once, however often it occurs. Paragraphs that
-meet in a band are candidates; their shingle sets are compared exactly, and of each component of similar
-paragraphs the first occurrence stays.
+Paragraphs are runs of words that the text's own content cuts: a boundary between two words is a cut if the hash of
+the two is least among its neighbours, so a passage is cut alike wherever it stands and however its lines break.
+Each distinct paragraph enters the bands once, however often it occurs. Paragraphs that meet in a band are
+candidates; their shingle sets are compared exactly, and of each component of similar paragraphs the first
+occurrence stays. The others are removed where neighbours together have enough words to be a passage.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -18,11 +22,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.scratch import materialise
+from tidemark.llm.scratch import discard, materialise
 
 SHINGLE = 5
+#: A cut is least among so many boundaries on either side, which gives 6 to 64 words and 11 on average.
+NEAR, MOST = 5, 64
+#: Neighbouring repeated paragraphs are removed if they have so many words together; stock lines have fewer.
+LEAST = 15
+#: Wanted recall of pairs at the similarity itself, and hashes that bands may use.
+RECALL, HASHES = 0.99, 10
 #: Collision lists of up to so many paragraphs are joined; longer ones are compared in blocks.
 SMALL_LIST, BLOCK = 32, 1024
+#: Paragraphs are emitted after so many words, which bounds memory.
+PART = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _hash = partial(xxhash.xxh64_intdigest, seed=7)
 
@@ -41,9 +53,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Hashes of the 5-word shingles, in order; needs at least 5 words."""
-    w = np.fromiter(map(_hash, words), np.uint64, len(words))
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8").lower().split()
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hash, words), np.uint64, len(words))
+
+
+def shingles(w: np.ndarray) -> np.ndarray:
+    """Hashes of the 5-word shingles of word hashes, in order; needs at least 5."""
     n = len(w) - SHINGLE + 1
     out = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
@@ -51,12 +70,19 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def _paragraphs(text: str | None) -> Iterator[tuple[int, bytes, list[bytes]]]:
-    """(number, lower-cased words joined, words) of the lines with at least 5 words."""
-    for number, line in enumerate((text or "").split("\n")):
-        words = line.encode("utf-8").lower().split()
-        if len(words) >= SHINGLE:
-            yield number, b" ".join(words), words
+def paragraphs(w: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of words, cut by content; those under 5 words (at the ends of a text) are left out."""
+    cuts = np.zeros(0, np.int64)
+    if len(w) > 1:
+        g = _mixed(w[:-1] * _MIX + w[1:])
+        wide = np.concatenate([np.full(NEAR, ~np.uint64(0)), g, np.full(NEAR, ~np.uint64(0))])
+        sides = np.lib.stride_tricks.sliding_window_view(wide, NEAR).min(axis=1)
+        cuts = np.nonzero((g < sides[: len(g)]) & (g <= sides[NEAR + 1 : NEAR + 1 + len(g)]))[0] + 1  # the first of equal ones
+    edges = [0, *cuts.tolist(), len(w)]
+    parts = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        parts += [(k, min(k + MOST, high)) for k in range(low, high, MOST)]
+    return [(a, b) for a, b in parts if b - a >= SHINGLE]
 
 
 def _coefficients(hashes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,40 +90,51 @@ def _coefficients(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, hashes, np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, hashes, np.uint64)
 
 
-def band_keys(shingle_sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """A row of ``bands`` keys for each set."""
+def band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A row of ``bands`` keys for each set; the sets follow each other in ``flat``, from ``starts`` on."""
     a, b = _coefficients(bands * rows)
-    flat, starts = np.concatenate(shingle_sets), np.cumsum([0, *map(len, shingle_sets[:-1])])
-    least = np.stack([np.minimum.reduceat((flat * x + y) >> np.uint64(17), starts) for x, y in zip(a, b, strict=True)], axis=1)
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(starts), bands)).copy()
     for k in range(rows):
-        keys = _mixed(keys + least[:, k::rows])
+        least = [np.minimum.reduceat((flat * x + y) >> np.uint64(17), starts) for x, y in zip(a[k::rows], b[k::rows], strict=True)]
+        keys = _mixed(keys + np.stack(least, axis=1))
     return keys
 
 
 def _occurrence_batches(bands: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, number, first, n_words, h, c, bands) of each paragraph, some PART words at a time."""
     for batch in batches:
-        of, number, key, sets = [], [], [], []
+        of, number, first, length, h, c, sets = [], [], [], [], [], [], []
 
         def out() -> pa.RecordBatch:
-            keys = band_keys(sets, bands, rows).view(np.int64)
+            n = np.array([len(x) for x in sets])
+            keys = band_keys(np.concatenate(sets), np.cumsum(n) - n, bands, rows).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
             return pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(of)), pa.array(number, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), lists],
-                names=["id", "number", "h", "bands"],
+                [
+                    batch.column(0).take(pa.array(of)), *(pa.array(x, pa.int32()) for x in (number, first, length)),
+                    pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(c, np.uint32).view(np.int32)), lists,
+                ],
+                names=["id", "number", "first", "n_words", "h", "c", "bands"],
             )
 
         size = 0
         for row, text in enumerate(batch.column(1).to_pylist()):
-            for n, joined, words in _paragraphs(text):
+            words = words_of(text)
+            w = _word_hashes(words)
+            every = shingles(w) if len(w) >= SHINGLE else None
+            for k, (a, b) in enumerate(paragraphs(w)):
+                joined = b" ".join(words[a:b])
                 of.append(row)
-                number.append(n)
-                key.append(_hash(joined))
-                sets.append(shingles(words))
-                size += len(words)
-                if size > 400_000:
+                number.append(k)
+                first.append(a)
+                length.append(b - a)
+                h.append(_hash(joined))
+                c.append(zlib.crc32(joined))
+                sets.append(every[a : b - SHINGLE + 1])
+                size += b - a
+                if size > PART:
                     yield out()
-                    of, number, key, sets, size = [], [], [], [], 0
+                    of, number, first, length, h, c, sets, size = [], [], [], [], [], [], [], 0
         if of:
             yield out()
 
@@ -107,39 +144,57 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sets = [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            want = set(wanted)
-            for n, joined, words in _paragraphs(text):
-                if n in want:
-                    keys.append(_hash(joined))
-                    sets.append(np.unique(shingles(words)).view(np.int64))
+            words = words_of(text)
+            w = _word_hashes(words)
+            parts = paragraphs(w)
+            for n in set(wanted):
+                if n < len(parts):  # rows that repeat an id may have other texts
+                    a, b = parts[n]
+                    keys.append(_hash(b" ".join(words[a:b])))
+                    sets.append(np.unique(shingles(w[a:b])).view(np.int64))
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["h", "set"])
 
 
+def _near(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether each two sets reach the Jaccard similarity, by products of their incidence matrix."""
+    size, n = np.array([len(x) for x in sets]), len(sets)
+    kinds, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared = np.cumsum(count > 1) - 1  # a shingle of one set alone adds nothing
+    keep = count[at] > 1
+    row, at = row[keep], shared[at[keep]]
+    both, step = np.diag(size).astype(np.float32), max(1, (1 << 24) // n)
+    total = np.zeros((n, n), np.float32)
+    for low in range(0, int((count > 1).sum()), step):
+        own = (at >= low) & (at < low + step)
+        matrix = np.zeros((n, step), np.float32)
+        matrix[row[own], at[own] - low] = 1
+        total += matrix @ matrix.T
+    np.fill_diagonal(total, both.diagonal())
+    return total >= similarity * (size[:, None] + size[None, :] - total) - 1e-6
+
+
 def _block_links(similarity: float, group: pd.DataFrame) -> pd.DataFrame:
-    """Links that span the similar sets of one pair of blocks; members of one component are not compared again."""
+    """Links within one pair of blocks, as one star for each connected set."""
     group = group.drop_duplicates("h").sort_values("h")
-    names, sets = group["h"].to_numpy(), [frozenset(x) for x in group["set"]]
-    parts: list[list[int]] = []
-    links: list[tuple[int, int]] = []
-    for k, own in enumerate(sets):
-        joined = [k]
-        rest = []
-        for part in parts:
-            near = next((j for j in part if len(own & sets[j]) >= similarity * len(own | sets[j])), None)
-            if near is None:
-                rest.append(part)
-            else:
-                links.append((near, k))
-                joined += part
-        parts = [*rest, joined]
-    return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype="int64")
+    names, near = group["h"].to_numpy(), _near([np.asarray(x) for x in group["set"]], similarity)
+    label = np.arange(len(names))
+    while True:
+        new = np.where(near, label[None, :], len(names)).min(axis=1)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    own = label != np.arange(len(names))
+    return pd.DataFrame({"a": names[own], "b": names[label[own]]})
 
 
 def similar_links(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between distinct paragraphs: ``reps`` has (h, id, number, bands), its first occurrence."""
     posted = reps.select("h", F.explode("bands").alias("key"))
-    shared = materialise(posted.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "collisions")
+    many = materialise(posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "meetings")
+    shared = materialise(posted.join(many, "key"), "collisions")
     wanted = reps.join(shared.select("h").distinct(), "h").groupBy("id").agg(F.collect_list("number").alias("numbers"))
     sets = materialise(
         docs.join(wanted, "id").select("text", "numbers").mapInArrow(_set_batches, "h long, set array<long>").dropDuplicates(["h"]), "sets"
@@ -161,37 +216,86 @@ def similar_links(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFr
     return near.unionByName(large).distinct()
 
 
-def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """(id, number, class, removed) of every line with at least 5 words.
+def repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, least: int = LEAST
+) -> DataFrame:
+    """(id, n_paragraphs, passages) of every document with paragraphs; passages are those to remove.
 
-    ``class`` is the same for paragraphs in one component of similar ones; all but the first, by id and line
-    number, are removed. Shorter lines are never removed. Rows with a null id, null and empty texts have no
-    paragraphs. Rows that repeat an id count as one document. Empty tables give an empty result.
+    A paragraph repeats if one like it, in its component of similar ones, stands in a document with a smaller id or
+    earlier in its own. Runs of repeated neighbours with at least ``least`` words are passages, arrays of (first,
+    n_words, paragraphs): the number of the first word from 0, of the words, and of the paragraphs. The first of
+    each component is never removed; ties can't be, as ids and places differ.
+
+    Paragraphs have at least 5 words, so shorter texts, and null and empty ones, have none, and neither do rows
+    with a null id. Rows that repeat an id count as one document. Copies are those with equal 64-bit and 32-bit
+    hashes. Very long texts are emitted in parts. Empty tables give an empty result. Other columns are ignored.
     """
-    bands, rows = tune(similarity)
+    bands, rows = tune(similarity, RECALL, HASHES)
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     kind = named.schema["id"].dataType.simpleString()
-    found = materialise(named.mapInArrow(partial(_occurrence_batches, bands, rows), f"id {kind}, number int, h long, bands array<long>"), "paragraphs")
-    reps = found.groupBy("h").agg(F.min(F.struct("id", "number")).alias("at"), F.first("bands").alias("bands"))
-    reps = materialise(reps.select("h", "at.id", "at.number", "bands"), "distinct")
+    found = materialise(
+        named.mapInArrow(
+            partial(_occurrence_batches, bands, rows), f"id {kind}, number int, first int, n_words int, h long, c int, bands array<long>"
+        ),
+        "paragraphs",
+    )
+    at = F.struct("id", "number")
+    reps = found.groupBy("h").agg(F.min(F.struct("id", "number", "c")).alias("at"), F.min_by("bands", at).alias("bands"), F.count("*").alias("n"))
+    reps = materialise(reps.select("h", "at.id", "at.number", "at.c", "n", "bands"), "distinct")
     classes = connected_components(similar_links(reps, named, similarity))
-    label = reps.select("h", F.struct("id", "number").alias("at")).join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("component", "h"))
+    label = reps.select("h", "c", "n", at.alias("at")).join(classes.withColumnRenamed("node", "h"), "h", "left").where("component is not null or n > 1")
+    label = materialise(label.select("h", "c", "at", F.coalesce("component", "h").alias("class")), "labels")
     first = label.groupBy("class").agg(F.min("at").alias("first"))
-    named_class = label.join(first, "class").select("h", "class", "first")
-    return found.select("id", "number", "h").join(named_class, "h").select(
-        F.col("id").alias(id_col), "number", "class", (F.struct("id", "number") != F.col("first")).alias("removed")
+    known = label.join(first, "class").select("h", "c", "class", "first")
+    again = found.select("id", "number", F.col("first").alias("word"), "n_words", "h", "c").join(known, ["h", "c"]).where(at != F.col("first"))
+    island = F.col("number") - F.row_number().over(Window.partitionBy("id").orderBy("number"))
+    runs = (
+        again.dropDuplicates(["id", "number"])
+        .withColumn("island", island)
+        .groupBy("id", "island")
+        .agg(F.min("word").alias("first"), F.sum("n_words").cast("int").alias("n_words"), F.count("*").cast("int").alias("paragraphs"))
+        .where(F.col("n_words") >= least)
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("first", "n_words", "paragraphs"))).alias("passages"))
     )
+    every = found.groupBy("id").agg(F.countDistinct("number").alias("n_paragraphs")).join(runs, "id", "left")
+    none = F.array().cast("array<struct<first:int,n_words:int,paragraphs:int>>")
+    out = materialise(every.select(F.col("id").alias(id_col), "n_paragraphs", F.coalesce("passages", none).alias("passages")), "passages")
+    for used in (found, reps, label):
+        discard(used)
+    return out
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """``docs`` with the removed paragraphs cut out of the text; texts without any stay as they are."""
-    gone = (
-        duplicate_paragraphs(docs, id_col, text_col, similarity)
-        .where("removed")
-        .groupBy(F.col(id_col).alias("__id"))
-        .agg(F.collect_set("number").alias("__gone"))
-    )
-    kept = F.filter(F.split(text_col, "\n"), lambda x, k: ~F.array_contains("__gone", k))
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left").withColumn(
-        text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    ).select(*docs.columns)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _cut(text: str, passages: list[dict]) -> str:
+    """The text without the words of its passages; white space before them stays."""
+    data = text.encode("utf-8")
+    spans = [m.span() for m in _WORD.finditer(data)]
+    parts, done = [], 0
+    for p in passages:
+        parts.append(data[done : spans[p["first"]][0]])
+        done = spans[p["first"] + p["n_words"] - 1][1]
+    return b"".join([*parts, data[done:]]).decode("utf-8")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, least: int = LEAST) -> DataFrame:
+    """``docs`` with the words of the passages to remove cut out of the text; all other rows and columns stay.
+
+    The passages are those of :func:`repeated_passages`, which says what becomes of nulls, ties, repeats and empty
+    tables; ids should be unique here, since word numbers hold for one text.
+    """
+    gone = repeated_passages(docs, id_col, text_col, similarity, least).where(F.size("passages") > 0)
+    names, place = docs.columns, docs.columns.index(text_col)
+    own = F.col(f"`{id_col}`") == F.col("__id")
+    joined = docs.join(gone.select(F.col(id_col).alias("__id"), F.col("passages").alias("__gone")), own, "left").drop("__id")
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            cols = list(batch.columns[:-1])
+            texts = zip(cols[place].to_pylist(), batch.column(len(cols)).to_pylist(), strict=True)
+            cols[place] = pa.array([_cut(t, g) if g else t for t, g in texts], cols[place].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return joined.mapInArrow(batches, docs.schema)

@@ -103,16 +103,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document: its paragraphs of five words or more, and those removed as near copies."""
+    """A row for each document: its paragraphs, the repeated passages removed, and their paragraphs and words."""
     docs = table(spark, sf_dir, "documents")
-    found = paragraph_dedup.duplicate_paragraphs(docs).groupBy("doc_id").agg(
-        F.count("*").alias("n_paragraphs"), F.count_if("removed").alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("number")))).alias("removed"),
-    )
+    found = paragraph_dedup.repeated_passages(docs)
+    total = lambda name: F.aggregate("passages", F.lit(0).cast("long"), lambda a, x: a + x[name])
+    counts = {"n_paragraphs": F.col("n_paragraphs"), "n_removed": total("paragraphs"), "n_words_removed": total("n_words")}
+    text = F.array_join(F.transform("passages", lambda x: F.concat_ws(":", x["first"], x["n_words"])), ",")
     zero = F.lit(0).cast("long")
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_paragraphs", zero).alias("n_paragraphs"), F.coalesce("n_removed", zero).alias("n_removed"),
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+    return docs.select("doc_id").join(found.select("doc_id", *(c.alias(n) for n, c in counts.items()), text.alias("passages")), "doc_id", "left").select(
+        "doc_id", *(F.coalesce(n, zero).alias(n) for n in counts), F.coalesce("passages", F.lit("")).alias("passages")
     )
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
@@ -84,15 +84,26 @@ def _posting_key(fp: Column, number: int, triple: tuple[int, ...]) -> Column:
 
 
 def _block_links(differ: int, group: pd.DataFrame) -> pd.DataFrame:
-    """Links within one pair of blocks, as one star for each connected set."""
+    """Links within one pair of blocks, as one star for each connected set.
+
+    The shared positional bytes of each two fingerprints are tallied; only pairs that reach the minimum are verified.
+    """
     group = group.drop_duplicates("node").sort_values("node")
     node, fp = group["node"].to_numpy(), group["fp"].to_numpy().view(np.uint64)
-    label, step = np.arange(len(node)), max(1, (1 << 21) // max(1, len(node)))
+    places = np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8).T
+    a, b, step = [], [], max(1, (1 << 21) // max(1, len(node)))
+    for k in range(0, len(node), step):
+        tally = np.zeros((len(fp[k : k + step]), len(fp)), np.uint8)
+        for own in places:
+            tally += own[k : k + step, None] == own[None, :]
+        i, j = np.nonzero(tally >= 8 - differ)
+        near = np.bitwise_count(fp[k + i] ^ fp[j]) <= differ
+        a.append(k + i[near])
+        b.append(j[near])
+    a, b, label = np.concatenate(a), np.concatenate(b), np.arange(len(node))
     while True:
         new = label.copy()
-        for k in range(0, len(node), step):
-            near = np.bitwise_count(fp[k : k + step, None] ^ fp[None, :]) <= differ
-            new[k : k + step] = np.where(near, label[None, :], len(node)).min(axis=1)
+        np.minimum.at(new, a, label[b])
         new = np.minimum(new, new[new])
         if (new == label).all():
             break
@@ -106,9 +117,8 @@ def links(reps: DataFrame, differ: int = 4) -> DataFrame:
     groups = _position_groups()
     keys = F.array(*(_posting_key(F.col("fp"), k, t) for k, t in enumerate(groups)))
     posted = reps.select("node", "fp", F.explode(keys).alias("key"))
-    shared = materialise(
-        posted.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "postings"
-    )
+    many = materialise(posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "lists")
+    shared = materialise(posted.join(many, "key"), "postings")
     small = shared.where(F.col("m") <= SMALL_LIST)
     a, b = (small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "fp"))) for s in "ab")
     tally = reduce(lambda x, y: x + y, ((_byte(F.col("fp_a"), p) == _byte(F.col("fp_b"), p)).cast("int") for p in range(8)))
