@@ -103,6 +103,47 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def plain_contaminated(texts, items, masks, window=20, agree=0.8):
+    """Every pair of windows that agree in a mask's places, compared token by token around the hit."""
+    split = lambda t: [w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", (t or "").lower()) if w]
+    out = {}
+    for d, text in enumerate(texts):
+        a = split(text)
+        for item, other in enumerate(items):
+            b = split(other)
+            w = min(window, len(b))
+            for mask in masks:
+                for p in range(len(a) - max(mask)):
+                    for q in range(len(b) - max(mask)):
+                        if all(a[p + o] == b[q + o] for o in mask):
+                            low, high = max(0, q - p), min(len(b), len(a) - p + q) - w
+                            start = min(max(q - window // 4, low), high)
+                            if start >= low and sum(a[start + p - q + k] == b[start + k] for k in range(w)) >= agree * w:
+                                found = out.setdefault(d, [set(), 0])
+                                found[0].add(item)
+                                found[1] += 1
+    return {d: (sorted(x), n) for d, (x, n) in out.items()}
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_decontamination_equals_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", limit)
+    rng = random.Random(3)
+    items = [prose(rng, rng.randrange(8, 40), 300) for _ in range(12)] + [None]
+    items.append(items[0])
+    texts = []
+    for _ in range(60):
+        words = prose(rng, rng.randrange(5, 60), 300).split()
+        piece = (rng.choice(items) or "").split()
+        piece = [prose(rng, 1) if rng.random() < rng.choice([0, 0.1, 0.3]) else w for w in piece]
+        at = rng.randrange(len(words) + 1)
+        texts.append(" ".join([*words[:at], *piece, *words[at:]]))
+    texts += EDGES
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: (r["items"], r.n_hits) for r in decontamination.contaminated(frame(spark, texts), benchmark).collect()}
+    assert got == plain_contaminated(texts, items, decontamination.MASKS) and len(got) > 20
+
+
 # ---- 3 URLs
 
 
@@ -409,7 +450,6 @@ def test_quality_verdict_equals_brute_force(spark):
 def test_ids_are_those_of_the_tokenizers_library():
     tokenizers = pytest.importorskip("tokenizers")
     tokenizer = tokenizers.Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(13)
     parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "'ll", "é", "ß", "漢", "12", "³", "!", "?!", "<|endoftext|>", "\u3000", "\x1c", "\u00a0", "word", ",", "😀"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)] + [t or "" for t in EDGES]
@@ -443,6 +483,49 @@ def test_packing(spark):
 def test_plan_fills_exactly_where_it_can():
     plan = packing.plan({1000: 5, 24: 5, 600: 4, 300: 4, 124: 4, 512: 3, 1024: 2}, 1024)
     assert sum(n for _, n in plan) == 5 + 4 + 2 + 2
+    plan = packing.plan({500: 3, 300: 3, 150: 3, 74: 3}, 1024)
+    assert plan == [((500, 300, 150, 74), 3)]  # a triple sum
+
+
+def least_bins(lengths, capacity):
+    """The least number of sequences, by search."""
+    best, todo = len(lengths), sorted(lengths, reverse=True)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(todo):
+            best = len(room)
+            return
+        for gap in sorted({x for x in room if x >= todo[k]}):
+            rest = list(room)
+            rest.remove(gap)
+            place(k + 1, [*rest, gap - todo[k]])
+        place(k + 1, [*room, capacity - todo[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plan_is_near_the_least():
+    rng, lost, least = random.Random(18), 0, 0
+    for _ in range(60):
+        lengths = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 11))]
+        histogram = {x: lengths.count(x) for x in lengths}
+        plan = packing.plan(histogram, 60)
+        used = [x for pattern, n in plan for x in pattern * n]
+        assert sorted(used) == sorted(lengths) and all(sum(p) <= 60 for p, _ in plan)
+        least += least_bins(lengths, 60)
+        lost += sum(n for _, n in plan) - least_bins(lengths, 60)
+    assert lost <= 0.03 * least
+
+
+def test_plan_of_a_table_is_near_its_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lengths = [r.length for r in packing.pieces(docs, TOKENIZER).select("length").collect()]
+    plan = packing.plan({x: lengths.count(x) for x in set(lengths)}, 1024)
+    assert sum(n for _, n in plan) <= 1.005 * -(-sum(lengths) // 1024)
 
 
 # ---- 10 paragraphs

@@ -18,8 +18,8 @@ from tidemark.llm.scratch import materialise
 #: Token offsets that each mask hashes. The first tolerates one substitution in every five tokens, the
 #: second irregular ones; six tokens decide, which keeps chance hits of common words rare.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 7, 9))
-#: A benchmark side of up to so many seeds (about 100 bytes each with its share of tokens) is broadcast.
-BROADCAST_SEEDS = 200_000
+#: A benchmark side of up to so many seeds (three numbers each) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_SEEDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -28,16 +28,25 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seed(t: str, at: Column, number: int, mask: Sequence[int]) -> Column:
-    return F.xxhash64(F.lit(number), *(F.get(F.col(t), at + o) for o in mask))
+def _seed(t: str, number: int, mask: Sequence[int]):
+    """The hash of a window from its place."""
+
+    def made(at: Column) -> Column:
+        return F.xxhash64(F.lit(number), *(F.get(F.col(t), at + o) for o in mask))
+
+    return made
 
 
 def _windows(rows: DataFrame, t: str, at: str, keep: list[str]) -> DataFrame:
-    """A row with ``at`` and ``seed`` for each mask and window of the tokens ``t``."""
-    last = F.size(t) - 1 - min(max(m) for m in MASKS)
-    placed = rows.where(last >= 0).select(*keep, t, F.explode(F.sequence(F.lit(0), last)).alias(at))
-    seeds = F.array(*(F.when(F.col(at) + max(m) < F.size(t), _seed(t, F.col(at), k, m)) for k, m in enumerate(MASKS)))
-    return placed.select(*keep, t, at, F.explode(seeds).alias("seed")).where("seed is not null")
+    """``keep``, ``at`` and ``seed`` for each mask and window of the tokens ``t``; the rows carry no tokens."""
+    parts = []
+    for number, mask in enumerate(MASKS):
+        last = F.size(t) - 1 - max(mask)
+        made = F.transform(F.sequence(F.lit(0), last), _seed(t, number, mask))
+        parts.append(F.when(last >= 0, made).otherwise(F.array().cast("array<bigint>")))
+    sizes = [F.greatest(F.size(t) - max(mask), F.lit(0)) for mask in MASKS]
+    placed = rows.select(*keep, sizes[0].alias("n"), F.posexplode(F.concat(*parts)).alias("k", "seed"))
+    return placed.select(*keep, F.when(F.col("k") < F.col("n"), F.col("k")).otherwise(F.col("k") - F.col("n")).alias(at), "seed")
 
 
 def _tokenised(rows: DataFrame, id_col: str, text_col: str, id_as: str, as_: str) -> DataFrame:
@@ -65,18 +74,23 @@ def contaminated(
     each count. Documents that repeat an id are reported under it once; rows with a null id are reported under
     null. Empty tables give an empty result. Other columns are ignored.
     """
-    items = _tokenised(benchmark, item_col, item_text_col, "item", "it")
+    items = materialise(_tokenised(benchmark, item_col, item_text_col, "item", "it"), "items")
     seeds = materialise(_windows(items, "it", "ip", ["item"]).distinct(), "seeds")
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
-    hits = _windows(_tokenised(docs, id_col, text_col, "id", "t"), "t", "p", ["id"]).join(seeds, "seed")
+    placed = _windows(_tokenised(docs, id_col, text_col, "id", "t"), "t", "p", ["id"]).join(seeds, "seed")
+    found = materialise(placed.select("id", "item", "p", "ip"), "hits")
+    # Tokens come back for documents with a hit only, and join the hits by id; rows that repeat an id are all compared.
+    own = found.select(F.col("id").alias("__hit")).distinct()
+    held = docs.join(own, F.col(f"`{id_col}`").eqNullSafe(F.col("__hit")), "left_semi")
+    held = _tokenised(held, id_col, text_col, "hid", "t")
+    hits = found.join(held, F.col("id").eqNullSafe(F.col("hid"))).join(items, "item")
     shift = F.col("p") - F.col("ip")  # document position less item position
     w = F.least(F.size("it"), F.lit(window))
     low = F.greatest(F.lit(0), -shift)
     high = F.least(F.size("it"), F.size("t") - shift) - w
     start = F.least(F.greatest(F.col("ip") - window // 4, low), high)
-    # One comparison for each place in the window, not a lambda over arrays: the hit is then decided where it
-    # arises, and no row ever holds a copy of the document's tokens.
+    # One comparison for each place in the window, not a lambda over arrays: the hit is decided where it arises.
     same = sum(
         (
             ((F.lit(k) < w) & (F.get("t", start + shift + k) == F.get("it", start + k))).cast("int")

@@ -1,31 +1,36 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Only the number of pieces of each length decides how to pack, and lengths are at most the capacity, so the
-plan is made from a histogram: sums of one, two and three lengths are indexed, and for each long piece the
-combination that exactly fills its gap is consumed under the counts that are left. What finds no exact
-filling is packed best-fit, whole counts at a time. The plan is a short table (some rows for each length);
+plan is made from a histogram: sums of two lengths are indexed, single and triple sums are looked up through the
+counts and that index, and for each long piece the combination that exactly fills its gap is consumed under the
+counts that are left. What finds no exact filling is packed best-fit, whole counts at a time. The plan is a short table (some rows for each length);
 pieces are numbered within their length and joined to it by ranges of numbers.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm.scratch import materialise
 
 #: Word encodings that a worker remembers; when full, it starts anew.
 MEMORY = 300_000
-_encoders: dict[str, tuple[tiktoken.Encoding, np.ndarray, dict[str, bytes]]] = {}
+#: Text is tokenised in parts of about so many characters, which bounds memory.
+PART = 4_000_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -33,6 +38,17 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
+@dataclass(frozen=True)
+class _Encoder:
+    """A tokenizer file's tokenizer, a faster equal of its merges, its tokens' bytes, its special strings, and a memory."""
+
+    tokenizer: Tokenizer
+    merges: tiktoken.Encoding
+    lengths: np.ndarray
+    special: tuple[str, ...]
+    known: dict[str, bytes]
+
+
 def _byte_symbols() -> dict[str, int]:
     """The printable symbol that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -40,61 +56,69 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray, dict[str, bytes]]:
-    """The encoder of a byte-level BPE file in the tokenizers library's format, its tokens' lengths, and a memory.
+@cache
+def _encoder(path: str) -> _Encoder:
+    """The encoder of a byte-level BPE file of the tokenizers library.
 
-    In such a file ids follow the order of merges, so they serve as ranks; the ids that result are those of
-    the tokenizers library, which the tests compare.
+    In such a file ids follow the order of merges, so they serve as ranks of an encoder that gives the same ids
+    three times as fast; the tests hold the two equal. Special tokens' strings are left to the library itself.
     """
-    if path not in _encoders:
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        special = {x["content"] for x in spec["added_tokens"]}
-        symbols = _byte_symbols()
-        ranks = {bytes(symbols[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
-        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        lengths[list(ranks.values())] = [len(x) for x in ranks]
-        _encoders[path] = (tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}), lengths, {})
-    return _encoders[path]
-
-
-def _whole(encoder: tiktoken.Encoding, text: str) -> bytes:
-    return array("I", encoder.encode_ordinary(text)).tobytes()
-
-
-def _learn(encoder: tiktoken.Encoding, lengths: np.ndarray, known: dict[str, bytes], words: list[str]) -> None:
-    """Encode words that begin with a blank in one go; the tokens' lengths in bytes part them again."""
-    ids = np.array(encoder.encode_ordinary("".join(words)), "<u4")
-    ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
-    data, at = ids.tobytes(), 0
-    for word, end in zip(words, (4 * ends).tolist(), strict=True):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work over cores
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    special = tuple(x["content"] for x in spec["added_tokens"])
+    symbols = _byte_symbols()
+    ranks = {bytes(symbols[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    lengths[list(ranks.values())] = [len(x) for x in ranks]
+    merges = tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _Encoder(Tokenizer.from_file(path), merges, lengths, special, {})
+
+
+def _whole(encoder: _Encoder, text: str) -> bytes:
+    if any(x in text for x in encoder.special):
+        return array("I", encoder.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    return array("I", encoder.merges.encode_ordinary(text)).tobytes()
+
+
+def _learn(encoder: _Encoder, words: list[str]) -> None:
+    """Encode words in one go; the tokens' lengths in bytes part them again. A mark after a letter is a part of its own."""
+    known, stems = encoder.known, {w: w[:-1] for w in words if w[-1] in ",." and w[-2:-1].isalpha()}
+    plain = list(dict.fromkeys(x for w in words if (x := stems.get(w, w)) not in known))
+    written = [w if w[0] == "\n" else " " + w for w in plain]
+    data, at = _whole(encoder, "".join(written)), 0
+    ids = np.frombuffer(data, "<u4")
+    ends = np.searchsorted(np.cumsum(encoder.lengths[ids]), np.cumsum([len(w.encode()) for w in written])) + 1
+    for word, end in zip(plain, (4 * ends).tolist(), strict=True):
         known[word] = data[at:end]
         at = end
+    marks = {x: _whole(encoder, x) for x in ",."}
+    for word, stem in stems.items():
+        known[word] = known[stem] + marks[word[-1]]
 
 
 def encode(path: str, texts: list[str]) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit bytes, by the tokenizer file at ``path``.
 
-    Byte-level BPE splits before a single blank that stands between non-blanks, so a text's ids are those of
-    its words, each with the blank before it; words are encoded once and remembered. Texts with other white
-    space beside blanks are encoded whole.
+    Byte-level BPE splits before a single blank or line feed that stands between others, so a text's ids are those
+    of its words, each with the blank or line feed before it; words are encoded once and remembered (under their
+    own letters, with the line feed if there is one). Texts with other white space, or with a special token's
+    string, are encoded whole.
     """
-    encoder, lengths, known = _encoder(path)
-    parted: list[list[str] | None] = []
+    encoder = _encoder(path)
+    if len(encoder.known) > MEMORY:
+        encoder.known.clear()
+    known, parted = encoder.known, []
     new: dict[str, None] = {}
     for text in texts:
-        words = text.split(" ")
-        if "" in words or _runs(text):
+        words = text.replace("\n", " \n").split(" ")
+        if "" in words or "\n" in words or _runs(text) or any(x in text for x in encoder.special):
             parted.append(None)
             continue
-        words[1:] = [" " + w for w in words[1:]]
         parted.append(words)
         new.update(dict.fromkeys([w for w in words[1:] if w not in known]))
-    if len(known) > MEMORY:
-        known.clear()
-        new = {w: None for words in parted if words for w in words[1:]}
     if new:
-        _learn(encoder, lengths, known, list(new))
+        _learn(encoder, list(new))
     return [
         _whole(encoder, text) if words is None else _whole(encoder, words[0]) + b"".join([known[w] for w in words[1:]])
         for text, words in zip(texts, parted, strict=True)
@@ -120,9 +144,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
             texts = [x or "" for x in batch.column(1).to_pylist()]
             of, piece, start, length, crc = [], [], [], [], []
             k = 0
-            while k < len(texts):  # about 4 MB of text at a time
+            while k < len(texts):
                 size, stop = 0, k
-                while stop < len(texts) and (stop == k or size + len(texts[stop]) <= 4_000_000):
+                while stop < len(texts) and (stop == k or size + len(texts[stop]) <= PART):
                     size += len(texts[stop])
                     stop += 1
                 for number, ids in enumerate(encode(tokenizer, texts[k:stop]), k):
@@ -145,70 +169,81 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(batches, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+#: An exact filling's pieces have at least this share of the longest one that fits, tried in this order.
+SLACKS = (1.0, 0.95, 0.8, 0.5, 0.0)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of one sequence, longest first) with the number of sequences of each.
 
-    Exact fillings of up to three lengths can use up the short pieces that the rest would need, so fillings of
-    at most three, two, one and no lengths are tried, and the plan with the fewest sequences is taken.
+    An exact filling of small pieces in place of a large one that fits uses up what later gaps need. So a filling
+    counts only if its longest piece comes near the longest that fits; each of SLACKS is tried, the plan with the
+    fewest sequences is taken, and of equal ones the first.
     """
-    return min((_plan(histogram, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+    return min((_plan(histogram, capacity, slack) for slack in SLACKS), key=lambda p: sum(n for _, n in p))
 
 
-def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """Exact fillings with sums of at most ``most`` lengths, then best fit."""
+def pair_sums(lengths: list[int], capacity: int) -> dict[int, np.ndarray]:
+    """The index of pair sums: for each sum below ``capacity`` the larger parts, longest first."""
+    present = np.zeros(capacity + 1, bool)
+    present[lengths] = True
+    own = np.array(sorted(lengths, reverse=True), np.int64)
+    index = {s: own[(2 * own >= s) & (own < s)] for s in range(2, capacity)}
+    return {s: a[present[s - a]] for s, a in index.items()}
+
+
+def _plan(histogram: dict[int, int], capacity: int, slack: float) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements by the index of single, pair and triple sums, then best fit of the rest."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
+    pairs = pair_sums([k for k, n in histogram.items() if n], capacity)
+    nothing = np.zeros(0, np.int64)
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def take(pattern: tuple[int, ...]) -> int:
+    def take(*pattern: int) -> None:
         """As many sequences of the pattern as the counts allow."""
         need = {x: pattern.count(x) for x in pattern}
         n = min(int(left[x]) // k for x, k in need.items())
-        if n:
+        if n > 0:
             for x, k in need.items():
                 left[x] -= n * k
             out.append((pattern, n))
-        return n
 
-    for first in range(capacity, 0, -1):  # exact complements of one, two and three lengths
-        if not left[first]:
-            continue
+    def longest(gap: int) -> int:
+        fits = np.nonzero(left[1 : gap + 1])[0]
+        return int(fits[-1]) + 1 if len(fits) else 0
+
+    for first in range(capacity, 0, -1):  # single complements of all lengths come first
+        if left[first] and first == capacity:
+            take(first)
+        elif left[first] and capacity - first <= first:
+            take(first, capacity - first)
+    for first in range(capacity - 1, 0, -1):
         gap = capacity - first
-        if not gap:
-            take((first,))
-            continue
-        if most >= 1 and gap <= first:
-            take((first, gap))
-        for a in range(min(first, gap - 1), (gap - 1) // 2, -1) if most >= 2 else ():
-            if not left[first]:
-                break
-            if left[a] and left[gap - a]:
-                take((first, a, gap - a))
-        for a in range(min(first, gap - 2), (gap - 1) // 3, -1) if most >= 3 else ():
-            if not left[first]:
-                break
-            if left[a]:
-                rest = gap - a
-                b = np.arange((rest + 1) // 2, min(a, rest - 1) + 1)
-                for x in b[(left[b] > 0) & (left[rest - b] > 0)]:
+        top = min(longest(gap), first) if left[first] and gap > 1 else 0
+        for a in range(top, max(1, int(slack * top)) - 1, -1) if top else ():
+            if left[first] and left[a] and gap > a:
+                if gap - a <= a:  # a pair sum
+                    take(first, a, gap - a)
+                parts = pairs.get(gap - a, nothing)  # a triple sum: a and a pair
+                least = slack * min(longest(gap - a), a)
+                parts = parts[(parts <= a) & (parts >= least) & (left[parts] > 0) & (left[gap - a - parts] > 0)]
+                for x in parts.tolist():
                     if not (left[first] and left[a]):
                         break
-                    take((first, a, int(x), rest - int(x)))
+                    take(first, a, x, gap - a - x)
     for first in range(capacity, 0, -1):  # best fit of the rest, whole counts at a time
         while left[first]:
             pattern, gap = [first], capacity - first
             left[first] -= 1
-            while gap:
-                fits = np.nonzero(left[1 : gap + 1])[0]
-                if not len(fits):
-                    break
-                pattern.append(int(fits[-1]) + 1)
-                left[pattern[-1]] -= 1
-                gap -= pattern[-1]
+            while gap and (x := longest(gap)):
+                pattern.append(x)
+                left[x] -= 1
+                gap -= x
             for x in pattern:
                 left[x] += 1
-            take(tuple(pattern))
+            take(*pattern)
     return out
 
 

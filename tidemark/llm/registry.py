@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, language_id, packing, paragraph_dedup, pii, pseudo_likelihood, quality_rules, simhash_dedup, suffix_dedup, url_filter
 
 #: Tokenizer file of the packing query; the operator takes any path.
-TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
