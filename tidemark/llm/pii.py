@@ -1,15 +1,17 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. The field is trained on a small labelled table, drawn from the documents'
-own base spans, and decoded by Viterbi in numpy batches; it adds spans that look like personal data in their
-shape and place and that no pattern took. Base spans are never changed.
+The patterns give the base spans. The field is trained on a small labelled table of made-up sentences: personal data
+in the patterns' forms and in forms that the patterns miss, among numbers that are no personal data. It is decoded by
+Viterbi in numpy batches and adds spans that look like personal data in their shape and place and that no pattern took.
+Base spans are never changed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,18 +23,16 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the kinds, with possessive repeats where nothing is ever given back.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_PREFIX = re.compile(r"\+[0-9]{1,3}[ .-]+")
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Tokens that the field decodes: those with a digit or an @. All others are outside every span.
 _OPEN = re.compile(r"\S*[0-9@]\S*")
-#: Rows of the labelled table at most, and their characters in all.
-TRAIN_ROWS, TRAIN_CHARS = 2_000, 8_000_000
+#: Rows of the labelled table.
+TRAIN_ROWS = 3_000
 
 
 def luhn(digits: str) -> bool:
@@ -77,20 +77,32 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 _CLASS = str.maketrans({**{c: "9" for c in "0123456789"}})
 _LETTERS = re.compile(r"[^\W\d_]+")
-_PLACES = ("prev", "own", "next")
+_ENDS = "\"'.,;:!?#$%&*"
+_PLACES = ("prev", "own", "next", "coarse")
 _SHAPES = 1 << 12
 
 
 def shape(token: str) -> str:
-    """Letter runs become one letter, digits 9 (runs over four: their length in bands), marks stay."""
-    s = _LETTERS.sub("x", token[:80].translate(_CLASS))
-    return re.sub("9{5,}", lambda m: f"9*{min(8, len(m[0]) // 3)}", s)[:40]
+    """Letter runs become one letter, digits 9 (runs over four: their length in bands), marks stay.
+
+    A number of 13 to 19 digits also says whether it passes Luhn's check.
+    """
+    plain = token.translate(_CLASS)
+    s = re.sub("9{5,}", lambda m: f"9*{min(8, len(m[0]) // 3)}", _LETTERS.sub("x", plain))
+    if 13 <= plain.count("9") <= 19 and "x" not in s:
+        s += "+" if luhn("".join(c for c in token if c in "0123456789")) else "-"
+    return s
+
+
+def coarse_shape(token: str) -> str:
+    """The shape with every run of digits as one, whatever its length, and no marks at its ends."""
+    return re.sub("9+", "9", _LETTERS.sub("x", token.translate(_CLASS))).strip(_ENDS)
 
 
-def _shape_id(token: str) -> int:
+def _shape_id(token: str, of: Callable[[str], str] = shape) -> int:
     if not token:
         return 0
-    return 1 + int.from_bytes(hashlib.blake2b(shape(token).encode(), digest_size=4).digest(), "little") % (_SHAPES - 1)
+    return 1 + int.from_bytes(hashlib.blake2b(of(token).encode(), digest_size=4).digest(), "little") % (_SHAPES - 1)
 
 
 @dataclass(frozen=True)
@@ -102,7 +114,7 @@ class Field:
 
 
 def _chains(text: str) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
-    """Runs of open tokens that only white space parts, with (prev, own, next) shape ids.
+    """Runs of open tokens that only white space parts, with (prev, own, next, coarse own) shape ids.
 
     A token without digit or @ has label 0 for certain, so the chain splits there without loss.
     """
@@ -112,7 +124,8 @@ def _chains(text: str) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
         before = text[max(0, run[0][0] - 40) : run[0][0]].split()
         after = text[run[-1][1] : run[-1][1] + 40].split()
         ids = [_shape_id(before[-1] if before else ""), *(_shape_id(text[s:e]) for s, e in run), _shape_id(after[0] if after else "")]
-        return run, np.stack([ids[:-2], ids[1:-1], ids[2:]], axis=1)
+        coarse = [_shape_id(text[s:e], coarse_shape) for s, e in run]
+        return run, np.stack([ids[:-2], ids[1:-1], ids[2:], coarse], axis=1)
 
     for m in _OPEN.finditer(text):
         if run and text[run[-1][1] : m.start()].strip():
@@ -127,33 +140,105 @@ def _scores(field: Field, ids: np.ndarray) -> np.ndarray:
     return sum(field.emit[k][ids[..., k]] for k in range(len(_PLACES)))
 
 
-def _labelled(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """The text with its base spans; and once more with each phone number in its national form."""
-    spans = base_spans(text)
-    yield text, spans
-    parts, moved, done, lost = [], [], 0, 0
-    cuts = {s: s + m.end() for kind, s, e in spans if kind == "phone" and (m := _PREFIX.match(text[s:e]))}
-    for start, end in sorted(cuts.items()):
-        parts.append(text[done:start])
-        done = end
-    if cuts:
-        for kind, s, e in spans:
-            lost = sum(b - a for a, b in cuts.items() if b <= e and a < s)
-            own = cuts[s] - s if kind == "phone" and s in cuts else 0
-            moved.append((kind, s - lost, e - lost - own))
-        yield "".join([*parts, text[done:]]), moved
-
-
-def train(texts: list[str], rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> Field:
+def labelled_table(rows: int = TRAIN_ROWS, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Made-up sentences with the (kind, start, end) of their personal data, the same for one seed.
+
+    A third of the items are in the patterns' forms, a third in forms that they miss (national phone numbers, masked
+    @ and dots, cards of 15 digits or with other marks), and a third numbers that are no personal data.
+    """
+    rng = random.Random(seed)
+
+    def digits(n: int) -> str:
+        return str(rng.randrange(1, 10)) + "".join(str(rng.randrange(10)) for _ in range(n - 1))
+
+    def word() -> str:
+        return "".join(rng.choice("abcdefghiklmnoprstuvwzéüñ") for _ in range(rng.randrange(2, 10)))
+
+    def card(n: int, good: bool = True) -> str:
+        while True:
+            number = digits(n)
+            if luhn(number) == good:
+                return number
+
+    def parted(number: str, sizes: tuple[int, ...], mark: str) -> str:
+        ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+        return mark.join(number[e - n : e] for e, n in zip(ends, sizes, strict=True))
+
+    def ip(dot: str = ".") -> str:
+        return dot.join(str(rng.randrange(256)) for _ in range(4))
+
+    def name() -> str:
+        return word() + rng.choice(["", ".", "_", "-"]) + rng.choice([word(), digits(2), ""]) + rng.choice(["", "x"])
+
+    def site() -> str:
+        return rng.choice(["", "mail.", f"mail{rng.randrange(10)}."]) + word() + rng.choice([".com", ".org", ".example.com", ".de"])
+
+    four = (4, 4, 4, 4)
+    known = [
+        ("email", lambda: f"{name()}@{site()}"),
+        ("ip", ip),
+        ("card", lambda: card(16)),
+        ("card", lambda: parted(card(16), four, rng.choice(" -"))),
+        ("phone", lambda: f"+{digits(rng.randrange(1, 3))} ({rng.choice('0123456789')}{digits(2)}) {digits(3)}-{digits(4)}"),
+        ("phone", lambda: f"+{digits(2)} {digits(2)} {digits(7)}"),
+    ]
+    missed = [
+        ("phone", lambda: f"({rng.choice('0123456789')}{digits(2)}) {digits(3)}-{digits(4)}"),
+        ("phone", lambda: f"({digits(3)}){digits(3)}-{digits(4)}"),
+        ("phone", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        ("phone", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"),
+        ("phone", lambda: f"0{digits(3)}/{digits(7)}"),
+        ("email", lambda: f"{name()}[@]{site()}"),
+        ("email", lambda: f"{name()}(@){site()}"),
+        ("email", lambda: f"{name()}@[{ip()}]"),
+        ("ip", lambda: ip("[.]")),
+        ("card", lambda: parted(card(15), (4, 6, 5), rng.choice(" -"))),
+        ("card", lambda: parted(card(16), four, rng.choice("._/"))),
+    ]
+    other = [
+        lambda: f"{digits(4)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}", lambda: f"{rng.randrange(1, 29)}/{rng.randrange(1, 13)}/{digits(4)}",
+        lambda: f"{rng.randrange(10, 24)}:{rng.randrange(10, 60)}", lambda: f"${digits(2)}.{digits(2)}", lambda: f"{digits(2)}.{digits(1)}%",
+        lambda: f"{digits(1)}.{digits(1)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(1)}.{digits(2)}.{digits(1)}",
+        lambda: digits(rng.randrange(1, 13)), lambda: card(16, good=False), lambda: parted(card(16, good=False), four, rng.choice(" -")),
+        lambda: f"INV-{digits(5)}", lambda: f"{word()}{digits(2)}", lambda: f"@{word()}", lambda: f"{digits(1)}th", lambda: f"#{digits(3)}",
+        lambda: 'token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"', lambda: f"{digits(1)},{digits(3)}",
+        lambda: f"{digits(3)}-{digits(3)}", lambda: f"({digits(4)})", lambda: f"{digits(2)}-{digits(2)}", lambda: f"{digits(3)}.{digits(3)}",
+    ]
+    table = []
+    for _ in range(rows):
+        parts, spans, at = [], [], 0
+
+        def say(text: str, kind: str | None = None) -> None:
+            nonlocal at
+            if kind:
+                spans.append((kind, at, at + len(text)))
+            parts.append(text)
+            at += len(text)
+
+        for _ in range(rng.randrange(1, 5)):
+            say(" ".join(word() for _ in range(rng.randrange(0, 6))) + " ")
+            which = rng.randrange(3)
+            if which == 2:
+                say(rng.choice(other)())
+            else:
+                kind, made = rng.choice((known, missed)[which])
+                say(made(), kind)
+            say(rng.choice([" ", " ", " ", ", ", ". ", "!! ", "\n", "### "]))
+        say(word())
+        table.append(("".join(parts), spans))
+    return table
+
+
+def train(table: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4) -> Field:
     """Maximum likelihood of the label chains, by full-batch AdaGrad on forward-backward sums.
 
-    The labels are the texts' base spans; phone numbers are also shown without their country prefix.
+    ``table`` has texts with their (kind, start, end); an empty one gives a field that adds nothing.
     """
     labels = 1 + len(KINDS)
-    emit, move = np.zeros((3, _SHAPES, labels)), np.zeros((labels, labels))
+    emit, move = np.zeros((len(_PLACES), _SHAPES, labels)), np.zeros((labels, labels))
     emit[1, :, 0] = 2.0  # a shape that training never saw is outside
     by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for text, found in (x for text in texts for x in _labelled(text)):
+    for text, found in table:
         spans = [(s, e, 1 + KINDS.index(kind)) for kind, s, e in found]
         for run, ids in _chains(text):
             for k in range(0, len(run), 64):
@@ -178,7 +263,7 @@ def train(texts: list[str], rounds: int = 60, rate: float = 0.5, decay: float =
             z = _lse(fwd[:, -1], 1)
             expected = np.exp(fwd + bwd - z[:, None, None])
             diff = (np.eye(labels)[gold] - expected) / total
-            for k in range(3):
+            for k in range(len(_PLACES)):
                 np.add.at(g_emit[k], ids[..., k].ravel(), diff.reshape(-1, labels))
             for t in range(1, length):
                 pair = fwd[:, t - 1, :, None] + move + (s[:, t] + bwd[:, t])[:, None, :] - z[:, None, None]
@@ -213,6 +298,7 @@ def viterbi(field: Field, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _TRIM = "()[]{}<>\"'.,;:!?"
+_TRIM_END = "([{<>\"'.,;:!?#$%&*"
 
 
 def added_spans(field: Field, texts: list[str | None], base: list[list[tuple[str, int, int]]], margin: float = 1.0) -> list[list[tuple[str, int, int]]]:
@@ -236,29 +322,15 @@ def added_spans(field: Field, texts: list[str | None], base: list[list[tuple[str
                     if path[t] and over[t:end].min() >= margin:
                         s, e = run[t][0], run[end - 1][1]
                         piece = texts[k][s:e]
-                        s, e = s + len(piece) - len(piece.lstrip(_TRIM)), e - (len(piece) - len(piece.rstrip(_TRIM)))
+                        open_at = piece.find("(")  # an area code keeps its bracket
+                        front = _TRIM.replace("(", "") if 0 <= open_at < piece.find(")") else _TRIM
+                        s, e = s + len(piece) - len(piece.lstrip(front)), e - (len(piece) - len(piece.rstrip(_TRIM_END)))
                         if s < e and not any(a < e and b > s for _, a, b in base[k]):
                             out[k].append((KINDS[path[t] - 1], s, e))
                     t = end
     return [sorted(x, key=lambda y: (KINDS.index(y[0]), y[1])) for x in out]
 
 
-def labelled_texts(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The labelled table: up to TRAIN_ROWS texts with a digit, least by hash, up to TRAIN_CHARS characters."""
-    open_texts = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, 20_000).alias("t"))
-    # Hashes alone find the limit, so no task gathers the texts of all partitions; copies count once.
-    last = open_texts.select("h").distinct().orderBy("h").limit(TRAIN_ROWS).agg(F.max("h")).first()[0]
-    chosen = open_texts.where(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t"))
-    rows = [t for _, t in sorted(zip(*(c.to_pylist() for c in chosen.toArrow().columns), strict=True))] if last is not None else []
-    kept, size = [], 0
-    for t in rows:
-        size += len(t)
-        if size > TRAIN_CHARS:
-            break
-        kept.append(t)
-    return kept
-
-
 def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, added): arrays of (kind, start, end) for each row, over the whole text.
 
@@ -284,7 +356,8 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets, and ``length_col`` set to the new length.
 
-    Overlapping spans are merged and named by the first. Null texts stay null.
+    Overlapping spans are merged and named by the first. Null and empty texts stay as they are; rows are judged one by
+    one, so repeats and ties do not matter. An empty table gives an empty result; other columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     names, place = docs.columns, docs.columns.index(text_col)

@@ -57,7 +57,7 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN u IN (SELECT u FRO
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data in every document; the counts are those of the base spans."""
     docs = table(spark, sf_dir, "documents")
-    found = pii.find(docs, pii.train(pii.labelled_texts(docs)))
+    found = pii.find(docs, pii.train(pii.labelled_table()))
 
     def listed(col):
         return F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
