@@ -268,7 +268,7 @@ def test_language_model(spark):
     got = {r.doc_id: r for r in pseudo_likelihood.score(docs, network).collect()}
     mean = lambda ks: float(np.mean([got[k].per_word for k in ks]))
     assert mean(range(150)) > mean(range(150, 155)) and got[155].per_word is None and got[155].log_likelihood == 0
-    logs = pseudo_likelihood.log_probabilities(network.weights, pseudo_likelihood.ids_of(network.words, good[0]))
+    logs = pseudo_likelihood.log_probabilities(network.weights, pseudo_likelihood.ids_of(network.words, pseudo_likelihood.split_words(good[0])))
     assert abs(logs.sum() - got[0].log_likelihood) < 1e-3
     total = sum(np.exp(pseudo_likelihood.log_probabilities(network.weights, np.array([5, 6, w, 7, 8], np.int32)))[2] for w in range(1024))
     assert abs(total - 1) < 1e-3  # the masked word's probabilities add up to 1

@@ -11,12 +11,15 @@ predicted within the shape by their frequency in the whole corpus. Those counts
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from math import isqrt, log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,10 @@ class Network:
     shapes: dict[int, tuple[int, int]]  # occurrences and number of the words without an entry, by shape
 
 
+_DIGIT = re.compile(r"\d")
+_hash = partial(xxhash.xxh64_intdigest, seed=42)  # equals Spark's xxhash64 of a string, unsigned
+
+
 def split_words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
@@ -67,12 +74,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _other(word: str) -> int:
-    return 1 if word.isalpha() else 2 if any(c.isdigit() for c in word) else 3
+    return 1 if word.isalpha() else 2 if _DIGIT.search(word) else 3
 
 
-def ids_of(words: dict[str, int], text: str | None) -> np.ndarray:
+def ids_of(words: dict[str, int], own: list[str]) -> np.ndarray:
     get = words.get
-    return np.array([get(w) or _other(w) for w in split_words(text)], np.int32)
+    return np.array([get(w) or _other(w) for w in own], np.int32)
 
 
 def _start(classes: int = CLASSES, seed: int = 11) -> tuple[np.ndarray, ...]:
@@ -94,68 +101,73 @@ def _order(ids: np.ndarray, top: int) -> np.ndarray:
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    np.minimum(x, 60, out=x)  # beyond it, float32 sums would overflow
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
     return x
 
 
 def _forward(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray):
+    """Layers and probabilities of words that are sorted by class, so that a class's words are one slice."""
     emb, hid, hid_b, cls, cls_b, own, own_b = weights
     x = emb[0][context[0]]
     for k in range(1, len(context)):
-        x = x + emb[k][context[k]]
+        x += emb[k][context[k]]
     h = np.tanh(x @ hid + hid_b)
     classes = len(cls_b)
-    c = ids // classes
-    order = _order(c, classes)
-    bounds = np.searchsorted(c[order], np.arange(classes + 1))
+    bounds = np.searchsorted(ids, np.arange(classes + 1) * classes)
     p_class = _soft(h @ cls + cls_b)
     p_own = np.empty((len(ids), classes), np.float32)
-    for k in range(classes):  # the words of each class together
-        rows = order[bounds[k] : bounds[k + 1]]
-        if len(rows):
-            p_own[rows] = _soft(h[rows] @ own[k] + own_b[k])
-    return x, h, c, order, bounds, p_class, p_own
+    for k in range(classes):
+        a, b = bounds[k], bounds[k + 1]
+        if b > a:
+            np.matmul(h[a:b], own[k], out=p_own[a:b])
+            p_own[a:b] += own_b[k]
+    return x, h, bounds, p_class, _soft(p_own)
 
 
 def log_probabilities(weights: tuple[np.ndarray, ...], ids: np.ndarray) -> np.ndarray:
     """The natural logarithm of each word's conditional probability given both of its sides."""
-    out, context = np.empty(len(ids)), _contexts(ids)
+    out, context, classes = np.empty(len(ids)), _contexts(ids), len(weights[4])
     for k in range(0, len(ids), PIECE):
-        own = ids[k : k + PIECE]
-        _, _, c, _, _, p_class, p_own = _forward(weights, context[:, k : k + PIECE], own)
+        order = _order(ids[k : k + PIECE], classes * classes)
+        own = ids[k : k + PIECE][order]
+        _, _, _, p_class, p_own = _forward(weights, context[:, k : k + PIECE][:, order], own)
         rows = np.arange(len(own))
-        out[k : k + PIECE] = np.log(np.maximum(p_class[rows, c].astype(float) * p_own[rows, own % len(weights[4])], 1e-12))
+        found = p_class[rows, own // classes].astype(float) * p_own[rows, own % classes]
+        out[k + order] = np.log(np.maximum(found, 1e-12))
     return out
 
 
 def _step(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray, rate: float) -> None:
     """One step of stochastic gradient ascent on the words' log-probabilities, in place."""
     emb, hid, hid_b, cls, cls_b, own, own_b = weights
-    x, h, c, order, bounds, p_class, p_own = _forward(weights, context, ids)
+    classes = len(cls_b)
+    order = _order(ids, classes * classes)
+    ids, context = ids[order], context[:, order]
+    x, h, bounds, p_class, p_own = _forward(weights, context, ids)
     rows = np.arange(len(ids))
-    p_class[rows, c] -= 1
-    p_own[rows, ids % len(cls_b)] -= 1
+    p_class[rows, ids // classes] -= 1
+    p_own[rows, ids % classes] -= 1
     rate = rate / len(ids)
     g_h = p_class @ cls.T
-    for k in range(len(cls_b)):
-        sel = order[bounds[k] : bounds[k + 1]]
-        if len(sel):
-            g_h[sel] += p_own[sel] @ own[k].T
-            own[k] -= rate * (h[sel].T @ p_own[sel])
-            own_b[k] -= rate * p_own[sel].sum(axis=0)
+    for k in range(classes):
+        a, b = bounds[k], bounds[k + 1]
+        if b > a:
+            g_h[a:b] += p_own[a:b] @ own[k].T
+            own[k] -= rate * (h[a:b].T @ p_own[a:b])
+            own_b[k] -= rate * (np.ones(b - a, np.float32) @ p_own[a:b])
     cls -= rate * (h.T @ p_class)
-    cls_b -= rate * p_class.sum(axis=0)
+    cls_b -= rate * (np.ones(len(ids), np.float32) @ p_class)
     g = g_h * (1 - h * h)
     g_x = rate * (g @ hid.T)
     hid -= rate * (x.T @ g)
-    hid_b -= rate * g.sum(axis=0)
+    hid_b -= rate * (np.ones(len(ids), np.float32) @ g)
     for k in range(len(context)):
         by = _order(context[k], emb.shape[1])
-        own = context[k][by]
-        at = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
-        emb[k][own[at]] -= np.add.reduceat(g_x[by], at, axis=0)
+        own_ids = context[k][by]
+        at = np.nonzero(np.concatenate([[True], own_ids[1:] != own_ids[:-1]]))[0]
+        emb[k][own_ids[at]] -= np.add.reduceat(g_x[by], at, axis=0)
 
 
 def _flat(weights: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -201,7 +213,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float
 
             for batch in rows:
                 for text in batch.column(0).to_pylist():
-                    ids = ids_of(known, text)
+                    ids = ids_of(known, split_words(text))
                     seen += len(ids)
                     for k in range(0, len(ids), STEP):
                         waiting.append(ids[k : k + STEP])
@@ -223,7 +235,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float
 
 
 def within_shape(network: Network) -> Column:
-    """The logarithm of a word's probability within its shape; columns: shape, word, and its count n or null.
+    """The logarithm of a word's probability within its shape; columns: shape, size in bytes, and its count n or null.
 
     Words of the corpus have their frequency; as in Witten and Bell's estimate, unseen ones have together as much
     as the number of different words, and share it by length: 1 / 512 for each byte, which adds up to 1 at most.
@@ -234,7 +246,7 @@ def within_shape(network: Network) -> Column:
         here = F.col("shape") == shape
         seen = F.when(here, F.lit(-log(max(n + size, 1)))).otherwise(seen)
         unseen = F.when(here, F.lit(log(size / (n + size)) if size else 0.0)).otherwise(unseen)
-    return F.when(F.col("n").isNotNull(), F.ln("n") + seen).otherwise(unseen - F.octet_length("word") * log(512))
+    return F.when(F.col("n").isNotNull(), F.ln("n") + seen).otherwise(unseen - F.col("size") * log(512))
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,12 +265,15 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
         for batch in rows:
             for at in range(0, batch.num_rows, 64):
                 own = batch.slice(at, 64)
-                texts = own.column(1).to_pylist()
+                texts = [split_words(x) for x in own.column(1).to_pylist()]
                 ids = [ids_of(words, x) for x in texts]
-                rare = [w for x in texts for w in split_words(x) if w not in words]
+                rare = [w for x in texts for w in x if w not in words]
                 shape = np.concatenate([x[x < 4] for x in ids]).astype(np.int8)
                 places = np.cumsum([0, *(np.count_nonzero(x < 4) for x in ids)]).astype(np.int32)
-                rare = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(shape)], ["word", "shape"]))
+                keys = np.fromiter(map(_hash, rare), np.uint64, len(rare)).view(np.int64)
+                size = np.fromiter((len(w.encode()) for w in rare), np.int32, len(rare))
+                parts = [pa.array(keys), pa.array(shape), pa.array(size)]
+                rare = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays(parts, ["h", "shape", "size"]))
                 gap = np.zeros(SIDE, np.int32)  # edges between texts, so that they are scored together
                 joined = np.concatenate([y for x in ids for y in (x, gap)])
                 logs = np.concatenate([[0.0], np.cumsum(log_probabilities(weights, joined))])
@@ -267,9 +282,10 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
                 total = [float(logs[e - SIDE] - logs[e - SIDE - len(x)]) for x, e in zip(ids, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), rare], names=["id", "n_words", "own", "rare"])
 
-    scored = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(batches, f"id {kind}, n_words long, own double, rare array<struct<word: string, shape: tinyint>>")
+    scored = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(batches, f"id {kind}, n_words long, own double, rare array<struct<h: bigint, shape: tinyint, size: int>>")
     scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.inline("rare")).join(network.counts.drop("shape"), "word", "left")
+    counts = network.counts.groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n"))  # words as 64-bit numbers
+    rare = scored.select("row", F.inline("rare")).join(counts, "h", "left")
     rest = rare.groupBy("row").agg(F.sum(within_shape(network)).alias("rest"))
     total = F.col("own") + F.coalesce("rest", F.lit(0.0))
     return scored.join(rest, "row", "left").select(
