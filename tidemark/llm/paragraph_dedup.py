@@ -30,7 +30,7 @@ NEAR, MOST = 5, 64
 #: Neighbouring repeated paragraphs are removed if they have so many words together; stock lines have fewer.
 LEAST = 15
 #: Wanted recall of pairs at the similarity itself, and hashes that bands may use.
-RECALL, HASHES = 0.99, 10
+RECALL, HASHES = 0.99, 3
 #: Collision lists of up to so many paragraphs are joined; longer ones are compared in blocks.
 SMALL_LIST, BLOCK = 32, 1024
 #: Paragraphs are emitted after so many words, which bounds memory.
@@ -190,12 +190,20 @@ def _block_links(similarity: float, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": names[own], "b": names[label[own]]})
 
 
-def similar_links(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between distinct paragraphs: ``reps`` has (h, id, number, bands), its first occurrence."""
-    posted = reps.select("h", F.explode("bands").alias("key"))
-    many = materialise(posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "meetings")
-    shared = materialise(posted.join(many, "key"), "collisions")
-    wanted = reps.join(shared.select("h").distinct(), "h").groupBy("id").agg(F.collect_list("number").alias("numbers"))
+def similar_links(found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between distinct paragraphs; ``found`` has every paragraph's (h, id, number, bands).
+
+    What follows from few collisions is written before it is joined, so that Spark sees its size and shuffles neither
+    the texts nor all paragraphs for it unless it is large.
+    """
+    posted = found.select("h", F.explode("bands").alias("key"))
+    apart = posted.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")  # combined before the shuffle
+    met = materialise(apart.select("key"), "meetings")
+    shared = materialise(posted.join(met, "key").distinct(), "collisions")
+    shared = shared.join(materialise(shared.groupBy("key").agg(F.count("*").alias("m")), "lists"), "key")
+    names = materialise(shared.select("h").distinct(), "names")
+    reps = found.select("h", "id", "number").join(names, "h").groupBy("h").agg(F.min(F.struct("id", "number")).alias("at"))
+    wanted = materialise(reps.groupBy("at.id").agg(F.collect_list("at.number").alias("numbers")), "wanted")
     sets = materialise(
         docs.join(wanted, "id").select("text", "numbers").mapInArrow(_set_batches, "h long, set array<long>").dropDuplicates(["h"]), "sets"
     )
@@ -240,14 +248,13 @@ def repeated_passages(
         "paragraphs",
     )
     at = F.struct("id", "number")
-    reps = found.groupBy("h").agg(F.min(F.struct("id", "number", "c")).alias("at"), F.min_by("bands", at).alias("bands"), F.count("*").alias("n"))
-    reps = materialise(reps.select("h", "at.id", "at.number", "at.c", "n", "bands"), "distinct")
-    classes = connected_components(similar_links(reps, named, similarity))
-    label = reps.select("h", "c", "n", at.alias("at")).join(classes.withColumnRenamed("node", "h"), "h", "left").where("component is not null or n > 1")
-    label = materialise(label.select("h", "c", "at", F.coalesce("component", "h").alias("class")), "labels")
+    classes = connected_components(similar_links(found, named, similarity)).withColumnRenamed("node", "h")
+    copies = found.groupBy("h").agg(F.min(F.struct("id", "number", "c")).alias("at"), F.count("*").alias("n"))
+    label = copies.join(classes, "h", "left").where("component is not null or n > 1")
+    label = materialise(label.select("h", "at.c", F.struct("at.id", "at.number").alias("at"), F.coalesce("component", "h").alias("class")), "labels")
     first = label.groupBy("class").agg(F.min("at").alias("first"))
-    known = label.join(first, "class").select("h", "c", "class", "first")
-    again = found.select("id", "number", F.col("first").alias("word"), "n_words", "h", "c").join(known, ["h", "c"]).where(at != F.col("first"))
+    known = materialise(label.join(first, "class").select("h", "c", F.col("first").alias("before")), "known")
+    again = found.select("id", "number", F.col("first").alias("word"), "n_words", "h", "c").join(known, ["h", "c"]).where(at != F.col("before"))
     island = F.col("number") - F.row_number().over(Window.partitionBy("id").orderBy("number"))
     runs = (
         again.dropDuplicates(["id", "number"])
@@ -258,10 +265,11 @@ def repeated_passages(
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("first", "n_words", "paragraphs"))).alias("passages"))
     )
-    every = found.groupBy("id").agg(F.countDistinct("number").alias("n_paragraphs")).join(runs, "id", "left")
+    runs = materialise(runs, "runs")
+    every = found.groupBy("id").agg((F.max("number") + 1).cast("long").alias("n_paragraphs")).join(runs, "id", "left")
     none = F.array().cast("array<struct<first:int,n_words:int,paragraphs:int>>")
     out = materialise(every.select(F.col("id").alias(id_col), "n_paragraphs", F.coalesce("passages", none).alias("passages")), "passages")
-    for used in (found, reps, label):
+    for used in (found, label, known, runs):
         discard(used)
     return out
 
