@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import oracle, queries
+from tidemark.plans import oracle, queries, studies, studies_oracle
 
-QUERIES = {f.__name__: f for f in queries.ALL}
-ORACLES = oracle.ORACLES
+QUERIES = {f.__name__: f for f in (*queries.ALL, *studies.ALL)}
+ORACLES = oracle.ORACLES | studies_oracle.ORACLES
