@@ -649,6 +649,34 @@ def test_bands_are_tuned():
 # ---- pipeline
 
 
+def test_pipeline_stages_take_edge_cases(spark, tmp_path):
+    """Copies, benchmark passages and personal data go, clean rows stay; nulls, empty tables and other columns do no harm."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    items = [letters(40) for _ in range(3)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [letters(120) for _ in range(20)] + [f"{letters(30)} {items[1]} {letters(30)}", f"{letters(60)} bob@mail.example.com"]
+    texts += [texts[0], texts[1] + " end", letters(30_000), None, "", "1 2 3"]
+    docs = frame(spark, texts)
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    kept = stage["language ID"](spark, docs, str(tmp_path))
+    assert ids(kept) == list(range(25)) and kept.columns == docs.columns
+    once = stage["SimHash near-dedup"](spark, kept, str(tmp_path))
+    assert ids(once) == [*range(22), 24]
+    assert ids(stage["SimHash near-dedup"](spark, docs, str(tmp_path))) == [*range(22), 24, 25, 27]
+    clean = stage["benchmark decontamination"](spark, once, str(tmp_path))
+    assert ids(clean) == [*range(20), 21, 24]
+    hidden = {r.doc_id: r.text for r in stage["PII"](spark, clean, str(tmp_path)).collect()}
+    assert hidden[21].endswith("<email>") and all(hidden[k] == texts[k] for k in (*range(20), 24))
+    packed = stage["best-fit packing"](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in packed.collect()} == set(range(len(texts)))
+    for _, one in corpus_pipeline.STAGES:
+        assert one(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

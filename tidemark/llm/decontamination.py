@@ -106,5 +106,5 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the contaminated rows; rows with a null id stay unless null is contaminated."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__bad"))
+    bad = materialise(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__bad")), "bad")  # joined by its size
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")

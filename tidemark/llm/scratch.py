@@ -15,8 +15,11 @@ def _own_folder() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder of the session; a temporary one only in a local session that configures none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or _own_folder()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

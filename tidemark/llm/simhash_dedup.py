@@ -51,16 +51,16 @@ def simhash(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([simhash(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        prints = np.array([simhash(x, width) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp): the SimHash of each row's whole text as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_fingerprint_batches, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(partial(_fingerprint_batches, width), f"id {kind}, fp long")
 
 
 def _position_groups() -> list[tuple[int, ...]]:
@@ -141,10 +141,10 @@ def links(reps: DataFrame, differ: int = 4) -> DataFrame:
     return near.unionByName(large).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", differ: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", differ: int = 4, width: int = 4) -> DataFrame:
     """(id, fingerprint, component_id) for each row of ``docs``; ids are longs.
 
-    Fingerprints link at ``differ`` (at most 4) or fewer bits; component_id is the least id reachable.
+    Fingerprints of ``width``-word shingles link at ``differ`` (at most 4) or fewer bits; component_id is the least id reachable.
     Copies share one fingerprint and enter the index once, so no group of copies is expanded. Null and
     empty texts have fingerprint 0 and link like any other. Rows with a null id keep their place and
     take the component of their fingerprint. Repeated rows and ids give a row each; an empty table
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 <= differ <= 4:
         raise ValueError("the position groups guarantee a meeting up to 4 differing bits")
-    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
     reps = prints.groupBy("fp").agg(F.min("id").alias("node"))
     found = connected_components(links(reps.where("node is not null"), differ))
     classes = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
