@@ -545,15 +545,15 @@ def test_plan_of_a_table_is_near_its_bound(spark):
 
 
 def plain_paragraphs(words):
-    """Ranges of words between boundaries that are the first least of the five on either side."""
+    """Ranges of words between boundaries that are the first least of their neighbours."""
     hashes = [int(x) for x in paragraph_dedup._word_hashes(words)]
-    mix, mask = int(paragraph_dedup._MIX), (1 << 64) - 1
+    mix, mask, near = int(paragraph_dedup._MIX), (1 << 64) - 1, paragraph_dedup.NEAR
     g = []
     for x, y in zip(hashes, hashes[1:]):
         v = (x * mix + y) & mask
         v = ((v ^ (v >> 29)) * mix) & mask
         g.append(v ^ (v >> 32))
-    cuts = [k + 1 for k, v in enumerate(g) if all(v < x for x in g[max(0, k - 5) : k]) and all(v <= x for x in g[k + 1 : k + 6])]
+    cuts = [k + 1 for k, v in enumerate(g) if all(v < x for x in g[max(0, k - near) : k]) and all(v <= x for x in g[k + 1 : k + near + 1])]
     out = []
     for low, high in zip([0, *cuts], [*cuts, len(words)]):
         while low < high:

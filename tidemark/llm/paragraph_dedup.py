@@ -25,8 +25,8 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.scratch import discard, materialise
 
 SHINGLE = 5
-#: A cut is least among so many boundaries on either side, which gives 6 to 64 words and 11 on average.
-NEAR, MOST = 5, 64
+#: A cut is least among so many boundaries on either side, which gives 7 to 64 words and 13 on average.
+NEAR, MOST = 6, 64
 #: Neighbouring repeated paragraphs are removed if they have so many words together; stock lines have fewer.
 LEAST = 15
 #: Wanted recall of pairs at the similarity itself, and hashes that bands may use.
@@ -101,20 +101,23 @@ def band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np
 
 
 def _occurrence_batches(bands: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, number, first, n_words, h, c, bands) of each paragraph, some PART words at a time."""
+    """(id, number, first, n_words, h, c, bands, shingles) of each paragraph, some PART words at a time."""
     for batch in batches:
         of, number, first, length, h, c, sets = [], [], [], [], [], [], []
 
         def out() -> pa.RecordBatch:
             n = np.array([len(x) for x in sets])
-            keys = band_keys(np.concatenate(sets), np.cumsum(n) - n, bands, rows).view(np.int64)
+            flat, ends = np.concatenate(sets), np.cumsum(n)
+            keys = band_keys(flat, ends - n, bands, rows).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+            short = pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32))  # 32 bits tell a pair's shingles apart
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), short)
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(of)), *(pa.array(x, pa.int32()) for x in (number, first, length)),
-                    pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(c, np.uint32).view(np.int32)), lists,
+                    pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(c, np.uint32).view(np.int32)), lists, kept,
                 ],
-                names=["id", "number", "first", "n_words", "h", "c", "bands"],
+                names=["id", "number", "first", "n_words", "h", "c", "bands", "shingles"],
             )
 
         size = 0
@@ -139,23 +142,6 @@ def _occurrence_batches(bands: int, rows: int, batches: Iterator[pa.RecordBatch]
             yield out()
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, set) of the wanted paragraphs; columns: text, wanted numbers."""
-    for batch in batches:
-        keys, sets = [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text)
-            w = _word_hashes(words)
-            parts = paragraphs(w)
-            for n in set(wanted):
-                if n < len(parts):  # rows that repeat an id may have other texts
-                    a, b = parts[n]
-                    keys.append(_hash(b" ".join(words[a:b])))
-                    sets.append(np.unique(shingles(w[a:b])).view(np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["h", "set"])
-
-
 def _near(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """Whether each two sets reach the Jaccard similarity, by products of their incidence matrix."""
     size, n = np.array([len(x) for x in sets]), len(sets)
@@ -164,14 +150,14 @@ def _near(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     shared = np.cumsum(count > 1) - 1  # a shingle of one set alone adds nothing
     keep = count[at] > 1
     row, at = row[keep], shared[at[keep]]
-    both, step = np.diag(size).astype(np.float32), max(1, (1 << 24) // n)
-    total = np.zeros((n, n), np.float32)
-    for low in range(0, int((count > 1).sum()), step):
+    many = int((count > 1).sum())
+    step, total = min(max(1, (1 << 24) // n), many), np.zeros((n, n), np.float32)
+    for low in range(0, many, step or 1):
         own = (at >= low) & (at < low + step)
         matrix = np.zeros((n, step), np.float32)
         matrix[row[own], at[own] - low] = 1
         total += matrix @ matrix.T
-    np.fill_diagonal(total, both.diagonal())
+    np.fill_diagonal(total, size)
     return total >= similarity * (size[:, None] + size[None, :] - total) - 1e-6
 
 
@@ -190,23 +176,22 @@ def _block_links(similarity: float, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": names[own], "b": names[label[own]]})
 
 
-def similar_links(found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between distinct paragraphs; ``found`` has every paragraph's (h, id, number, bands).
+def similar_links(found: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between distinct paragraphs; ``found`` has every paragraph's (h, bands, shingles).
 
-    What follows from few collisions is written before it is joined, so that Spark sees its size and shuffles neither
-    the texts nor all paragraphs for it unless it is large.
+    What follows from few collisions is written before it is joined, so that Spark sees its size and doesn't shuffle
+    all paragraphs for it unless it is large. Of lists with the same paragraphs one is compared.
     """
     posted = found.select("h", F.explode("bands").alias("key"))
     apart = posted.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")  # combined before the shuffle
     met = materialise(apart.select("key"), "meetings")
-    shared = materialise(posted.join(met, "key").distinct(), "collisions")
-    shared = shared.join(materialise(shared.groupBy("key").agg(F.count("*").alias("m")), "lists"), "key")
-    names = materialise(shared.select("h").distinct(), "names")
-    reps = found.select("h", "id", "number").join(names, "h").groupBy("h").agg(F.min(F.struct("id", "number")).alias("at"))
-    wanted = materialise(reps.groupBy("at.id").agg(F.collect_list("at.number").alias("numbers")), "wanted")
-    sets = materialise(
-        docs.join(wanted, "id").select("text", "numbers").mapInArrow(_set_batches, "h long, set array<long>").dropDuplicates(["h"]), "sets"
-    )
+    every = materialise(posted.join(met, "key").distinct(), "collisions")
+    lists = every.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
+    lists = materialise(lists.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "lists")
+    shared = every.join(lists, "key")
+    names = materialise(every.select("h").distinct(), "names")
+    sets = found.select("h", "shingles").join(names, "h").dropDuplicates(["h"]).select("h", F.array_distinct("shingles").alias("set"))
+    sets = materialise(sets, "sets")
     small = shared.where(F.col("m") <= SMALL_LIST)
     pairs = small.select("key", F.col("h").alias("a")).join(small.select("key", F.col("h").alias("b")), "key").where("a < b").select("a", "b").distinct()
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("y")), "b")
@@ -243,12 +228,12 @@ def repeated_passages(
     kind = named.schema["id"].dataType.simpleString()
     found = materialise(
         named.mapInArrow(
-            partial(_occurrence_batches, bands, rows), f"id {kind}, number int, first int, n_words int, h long, c int, bands array<long>"
+            partial(_occurrence_batches, bands, rows), f"id {kind}, number int, first int, n_words int, h long, c int, bands array<long>, shingles array<int>"
         ),
         "paragraphs",
     )
     at = F.struct("id", "number")
-    classes = connected_components(similar_links(found, named, similarity)).withColumnRenamed("node", "h")
+    classes = connected_components(similar_links(found, similarity)).withColumnRenamed("node", "h")
     copies = found.groupBy("h").agg(F.min(F.struct("id", "number", "c")).alias("at"), F.count("*").alias("n"))
     label = copies.join(classes, "h", "left").where("component is not null or n > 1")
     label = materialise(label.select("h", "at.c", F.struct("at.id", "at.number").alias("at"), F.coalesce("component", "h").alias("class")), "labels")
