@@ -67,7 +67,7 @@ def fit_platt(p: np.ndarray, y: np.ndarray, steps: int = 2000) -> tuple[float, f
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
-    q = np.clip(p, 1e-6, 1 - 1e-6)
+    q = np.clip(p, 1e-9, 1 - 1e-9)
     return np.log(q / (1 - q))
 
 
