@@ -81,10 +81,12 @@ def contaminated(
     placed = _windows(_tokenised(docs, id_col, text_col, "id", "t"), "t", "p", ["id"]).join(seeds, "seed")
     found = materialise(placed.select("id", "item", "p", "ip"), "hits")
     # Tokens come back for documents with a hit only, and join the hits by id; rows that repeat an id are all compared.
-    own = found.select(F.col("id").alias("__hit")).distinct()
+    # The ids are written, so that the join goes by their size, which is small next to the texts'.
+    own = materialise(found.select(F.col("id").alias("__hit")).distinct(), "hit_ids")
     held = docs.join(own, F.col(f"`{id_col}`").eqNullSafe(F.col("__hit")), "left_semi")
     held = _tokenised(held, id_col, text_col, "hid", "t")
-    hits = found.join(held, F.col("id").eqNullSafe(F.col("hid"))).join(items, "item")
+    # Hits grow with the documents: always a merge by id, of the texts with a hit only.
+    hits = found.join(held.hint("merge"), F.col("id").eqNullSafe(F.col("hid"))).join(items, "item")
     shift = F.col("p") - F.col("ip")  # document position less item position
     w = F.least(F.size("it"), F.lit(window))
     low = F.greatest(F.lit(0), -shift)
