@@ -1,6 +1,7 @@
 """Boundary and leakage cases on small hand-made streams."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import median_of, registrable_domain, resolve, saturate
@@ -187,3 +188,30 @@ def test_bootstrap_equals_the_whole_matrix(spark):
     diff, rng = np.array([(0.5 - y) ** 2 - (p - y) ** 2 for _, _, m, p, y in rows if m == "a"]), random.Random(3)
     means = [diff[[rng.randrange(30) for _ in range(30)]].mean() for _ in range(400)]
     assert np.allclose([got.low, got.high], np.percentile(means, [2.5, 97.5]))
+
+
+def test_firefox_views(spark):
+    from tidemark.sources.events import firefox_visits
+
+    visits = spark.createDataFrame(
+        [(1, 0, 10, 1_000_000, 1), (2, 1, 11, 2_000_000, 5), (3, 2, 12, 3_000_000, 4), (4, 0, 13, 4_000_000, 7), (5, 0, 11, 5_000_000, 2), (6, 0, 14, 6_000_000, 99)],
+        "id long, from_visit long, place_id long, visit_date long, visit_type int",
+    )
+    places = spark.createDataFrame([(k, f"https://p{k}.example/") for k in range(10, 15)], "id long, url string")
+
+    def ids(**options):
+        return [(r["id"], r["transition"]) for r in firefox_visits(visits, places, **options).orderBy("id").collect()]
+
+    raw = [(1, "link"), (2, "redirect_permanent"), (3, "auto_subframe"), (4, "download"), (5, "typed"), (6, "unknown")]
+    assert ids(view="raw", exclude_subframes=False, exclude_downloads=False) == raw
+    assert ids(view="chosen") == [raw[0], raw[4], raw[5]]
+    assert ids() == [raw[1], raw[4], raw[5]]  # visit 1 was redirected on, and its page has no other visit
+    with pytest.raises(ValueError, match="unknown view"):
+        ids(view="other")
+
+
+def test_arrival_flags(spark):
+    from tidemark.functions.columns import arrival_flags
+
+    rows = spark.createDataFrame([("Typed",), ("auto_bookmark",), ("link",), ("reload",)], "t string").select("t", *(c.alias(n) for c, n in zip(arrival_flags(F.col("t")), "abc")))
+    assert {r["t"]: (r.a, r.b, r.c) for r in rows.collect()} == {"Typed": (1, 0, 0), "auto_bookmark": (0, 1, 0), "link": (0, 0, 1), "reload": (0, 0, 0)}

@@ -52,7 +52,7 @@ def registrable_domain(url: Column) -> Column:
     """The registrable domain of a web URL; null for others, addresses, local and single-label hosts."""
     authority = F.regexp_extract(url, r"^(?i:https?)://([^/?#\\]*)", 1)
     bare = F.regexp_replace(F.lower(authority), "^.*@", "")
-    name = F.regexp_replace(F.regexp_replace(bare, r":\d*$", ""), r"\.+$", "")
+    name = F.regexp_replace(F.regexp_replace(bare, r":\d*$", ""), r"^\.+|\.+$", "")
     labels, n = F.split(name, r"\."), F.size(F.split(name, r"\."))
     two = F.array_join(F.slice(labels, -2, 2), ".")
     public = two.isin(*SUFFIXES)
@@ -76,3 +76,9 @@ def resolve(domain: Column, override: Column | None = None, mapped: Column | Non
     rule = rule_category(F.lower(F.trim(domain)))
     source = F.when(override.isNotNull(), "override").when(mapped.isNotNull(), "map").when(rule.isNotNull(), "rule").otherwise("unknown")
     return F.coalesce(override, mapped, rule, F.lit("unknown")), source
+
+
+def arrival_flags(transition: Column) -> tuple[Column, Column, Column]:
+    """(typed, bookmark, link): how a visit came about, each 0 or 1, from its transition's name."""
+    core = F.lower(transition)
+    return tuple(x.cast("double") for x in (core.isin("typed", "generated", "keyword"), core.contains("bookmark"), core == "link"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.columns import registrable_domain, resolve
-from tidemark.operators import blocks, cards, evaluation, labels, patterns, rivals, sessions, studies
+from tidemark.operators import blocks, cards, distributions, evaluation, labels, patterns, rivals, sessions, studies
 from tidemark.plans.queries import HORIZON, events, folded, prediction_resolution, predictions, rounded, sessioned, table
 
 MODELS = ("base_rate", "majority_class", "time_of_day", "same_as_last")
@@ -181,9 +181,25 @@ def rule_summary(spark, sf_dir):
     return rounded(blocks.rule_summary(rules, sets))
 
 
+def gap_valley(spark, sf_dir):
+    return rounded(distributions.gap_valley(events(spark, sf_dir)))
+
+
+def kept_domains(spark, sf_dir):
+    """Domains that a person visits in both halves of the history."""
+    first, second = distributions.history_halves(events(spark, sf_dir))
+    return first.intersect(second)
+
+
+def dropped_domains(spark, sf_dir):
+    """Domains of the first half of a person's history that the second lacks."""
+    first, second = distributions.history_halves(events(spark, sf_dir))
+    return first.subtract(second)
+
+
 ALL = (
     rival_predictions, rival_scores, domain_rate, presence_rivals, threshold_choice, fold_wins, worst_cases, category_scores, multiclass_accuracy,
     topic_board, next_category_card, hub_topic, board_readiness, scorecard_accuracy, *map(_zone_blocks, blocks.KINDS), block_volume_stats,
     absorbed_boundaries, next_session_floors, label_volume_session, label_definitions, proxy_categories, counterfactual_labels, unknown_domains,
-    dwell_histogram, feature_null_shares, domain_shift, latest_events, fresh_predictions, rule_summary,
+    dwell_histogram, feature_null_shares, domain_shift, latest_events, fresh_predictions, rule_summary, gap_valley, kept_domains, dropped_domains,
 )

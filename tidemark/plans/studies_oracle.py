@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.plans.oracle import _BLOCK, _ENGAGED, _EV, _FOLD, _FS3, _GRID, _HOURS, _LB, _PRED, _RES, _SS, _TR, _URL, ORACLES as _FIRST
-from tidemark.plans.oracle import _r
+from tidemark.plans.oracle import _r, _sat
 
 
 def _folds(source: str, order: str) -> str:
@@ -136,3 +136,29 @@ ORACLES = {
         b AS (SELECT person_id, count(*) AS n_rules, max(lift) AS best_lift FROM ru GROUP BY 1), c AS (SELECT st.person_id, count(DISTINCT session_no) AS covered FROM st JOIN mu USING (person_id, session_no) JOIN (SELECT DISTINCT person_id, antecedent FROM ru) a
         ON a.person_id = st.person_id AND a.antecedent = st.category GROUP BY 1) SELECT b.person_id, n_rules, best_lift, coalesce(covered, 0) AS covered FROM b LEFT JOIN c USING (person_id)""",
 }
+
+
+ORACLES["gap_valley"] = f"""WITH {_EV}, g AS (SELECT person_id, (us - lag(us) OVER (PARTITION BY person_id ORDER BY us, event_id)) / 1000000.0::DOUBLE AS gap FROM ev),
+l AS (SELECT person_id, log10(gap) AS x FROM g WHERE gap > 0), b AS (SELECT person_id, count(*) AS n, min(x) AS lo, max(x) AS hi FROM l GROUP BY 1),
+w AS (SELECT *, (hi - lo) / 40 AS width FROM b WHERE n >= 20 AND hi - lo >= 0.5),
+k AS (SELECT person_id, least(CAST(floor((x - lo) / width) AS INT), 39) AS i, count(*) AS c FROM l JOIN w USING (person_id) GROUP BY 1, 2),
+f AS (SELECT e.person_id, e.i, coalesce(c, 0) AS c FROM (SELECT person_id, unnest(range(40))::INT AS i FROM w) e LEFT JOIN k ON k.person_id = e.person_id AND k.i = e.i),
+s AS (SELECT person_id, i, coalesce(lag(c) OVER v, c) + c + coalesce(lead(c) OVER v, c) AS s FROM f WINDOW v AS (PARTITION BY person_id ORDER BY i)),
+p AS (SELECT person_id, arg_min(i, (-s, i)) AS a, max(s) AS sa FROM s GROUP BY 1),
+q AS (SELECT person_id, any_value(a) AS a, any_value(sa) AS sa, arg_min(i, (-s, i)) AS z, max(s) AS sz FROM s JOIN p USING (person_id) WHERE abs(i - a) >= 5 GROUP BY 1),
+m AS (SELECT person_id, i, s, sa, sz, min(s) OVER (PARTITION BY person_id) AS depth FROM s JOIN q USING (person_id) WHERE i BETWEEN least(a, z) AND greatest(a, z)),
+t AS (SELECT person_id, any_value(depth) AS depth, any_value(sa) AS sa, any_value(sz) AS sz, list(i ORDER BY i) AS tied FROM m WHERE s = depth GROUP BY 1)
+SELECT b.person_id, n AS n_gaps, CASE WHEN 2 * depth < least(sa, sz) THEN round(pow(10.0::DOUBLE, lo + (tied[len(tied) // 2 + 1] + 0.5::DOUBLE) * ((hi - lo) / 40)), 6) + 0.0 END AS valley_seconds
+FROM b LEFT JOIN t USING (person_id)"""
+_HALF = f"""WITH {_EV}, mi AS (SELECT person_id, (min(us) + max(us)) // 2 AS middle FROM ev GROUP BY 1), h AS (SELECT person_id, domain, us <= middle AS early FROM ev JOIN mi USING (person_id) WHERE domain IS NOT NULL)
+SELECT person_id, domain FROM h WHERE early %s SELECT person_id, domain FROM h WHERE NOT early"""
+ORACLES["kept_domains"] = _HALF % "INTERSECT"
+ORACLES["dropped_domains"] = _HALF % "EXCEPT"
+_RATE = _sat("(np / greatest(coalesce(hf / 24, 0), 1))", 1.0)
+ORACLES["excursion_share"] = _folds(
+    _FS3[: _FS3.index("\nSELECT person_id, category")] + f""", lab AS (SELECT person_id, category, window_end, hl, n30::DOUBLE AS n30, {_RATE} AS rate FROM f)""", "window_end, category"
+) + """, u AS (SELECT person_id, fold, unnest(['hoursSinceLastSeen', 'eventCount30d', 'priorSessionRate']) AS feature, unnest([hl, n30, rate]) AS x FROM fo),
+r AS (SELECT t.person_id, t.feature, t.fold, min(x.x) AS lo, max(x.x) AS hi FROM (SELECT DISTINCT person_id, feature, fold FROM u WHERE fold > 0) t
+    JOIN u x ON x.person_id = t.person_id AND x.feature = t.feature AND x.fold < t.fold GROUP BY 1, 2, 3)
+SELECT fold, feature, count(*) AS n, count(*) FILTER (greatest(lo - x, x - hi) > 0) AS outside, round(max(greatest(lo - x, x - hi, 0) / nullif(hi - lo, 0)), 6) + 0.0 AS widest
+FROM u JOIN r USING (person_id, feature, fold) WHERE x IS NOT NULL AND lo IS NOT NULL GROUP BY 1, 2"""

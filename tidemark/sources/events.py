@@ -11,6 +11,17 @@ TRANSITIONS = ("link", "typed", "auto_bookmark", "auto_subframe", "manual_subfra
 CHAIN_END, REDIRECT = 0x20000000, 0xC0000000
 
 
+#: Firefox's visit types from 1 on, and the numbers of redirects, subframes and downloads.
+FIREFOX_TYPES = ("link", "typed", "auto_bookmark", "auto_subframe", "redirect_permanent", "redirect_temporary", "download", "manual_subframe", "reload")
+FIREFOX_REDIRECTS, FIREFOX_SUBFRAMES, FIREFOX_DOWNLOAD = (5, 6), (4, 8), 7
+VIEWS = ("shipped", "chosen", "raw")
+
+
+def known_view(view: str) -> None:
+    if view not in VIEWS:
+        raise ValueError(f"unknown view {view!r}; one of {', '.join(VIEWS)}")
+
+
 def from_event_table(events: DataFrame) -> DataFrame:
     """The driver's ``events``: user, type, JSON key and value become person, category, domain and dwell."""
     at = F.col("ts").cast("timestamp")
@@ -29,6 +40,11 @@ def transition_core(raw: Column) -> Column:
     return F.coalesce(F.get(names, raw.bitwiseAND(F.lit(255)).cast("int")), F.lit("unknown"))
 
 
+def visit_type_name(raw: Column) -> Column:
+    """The name of a Firefox visit type, in the words of the other browser's transitions."""
+    return F.coalesce(F.get(F.array(*map(F.lit, FIREFOX_TYPES)), (raw - 1).cast("int")), F.lit("unknown"))
+
+
 def is_redirect(raw: Column) -> Column:
     return raw.cast("long").bitwiseAND(F.lit(REDIRECT)) != 0
 
@@ -42,6 +58,7 @@ def is_visible(raw: Column) -> Column:
 def chromium_visits(visits: DataFrame, urls: DataFrame, view: str = "shipped") -> DataFrame:
     """Visits joined to their URLs; ``shipped`` keeps all visits of a URL with a visible one, ``chosen`` the
     chain starts that were picked, ``raw`` everything. A zero duration is an absent one."""
+    known_view(view)
     joined = visits.join(urls.select(F.col("id").alias("url"), F.col("url").alias("page")), "url")
     if view == "shipped":
         joined = joined.join(joined.where(is_visible(F.col("transition"))).select("page").distinct(), "page", "left_semi")
@@ -54,12 +71,29 @@ def chromium_visits(visits: DataFrame, urls: DataFrame, view: str = "shipped") -
     )
 
 
-def firefox_visits(visits: DataFrame, places: DataFrame) -> DataFrame:
-    """Visits joined to places, without downloads, subframes and the sources of redirects."""
-    sources = visits.where(F.col("visit_type").isin(5, 6) & (F.col("from_visit") != 0)).select(F.col("from_visit").alias("id")).distinct()
-    kept = visits.where(~F.col("visit_type").isin(4, 7, 8)).join(sources, "id", "left_anti")
-    return kept.join(places.select(F.col("id").alias("place_id"), F.col("url").alias("page")), "place_id").select(
-        "id", "page", F.timestamp_micros("visit_date").alias("visited_at"), F.col("visit_type").cast("string").alias("transition"), F.lit(None).cast("double").alias("duration_seconds")
+def firefox_visits(
+    visits: DataFrame, places: DataFrame, view: str = "shipped", *, exclude_subframes: bool = True, exclude_downloads: bool = True
+) -> DataFrame:
+    """Visits joined to places; Firefox keeps no durations.
+
+    ``shipped`` keeps all visits of a page with a visible one (no subframe, and no later redirect came from it),
+    ``chosen`` drops redirects, ``raw`` keeps everything; subframes and downloads go unless asked for.
+    """
+    known_view(view)
+    kind = F.col("visit_type")
+    joined = visits.join(places.select(F.col("id").alias("place_id"), F.col("url").alias("page")), "place_id")
+    if view == "shipped":
+        sources = visits.where(kind.isin(*FIREFOX_REDIRECTS) & (F.col("from_visit") != 0)).select(F.col("from_visit").alias("id")).distinct()
+        visible = joined.where(~kind.isin(*FIREFOX_SUBFRAMES)).join(sources, "id", "left_anti").select("page").distinct()
+        joined = joined.join(visible, "page", "left_semi")
+    elif view == "chosen":
+        joined = joined.where(~kind.isin(*FIREFOX_REDIRECTS))
+    if exclude_subframes:
+        joined = joined.where(~kind.isin(*FIREFOX_SUBFRAMES))
+    if exclude_downloads:
+        joined = joined.where(kind != FIREFOX_DOWNLOAD)
+    return joined.select(
+        "id", "page", F.timestamp_micros("visit_date").alias("visited_at"), visit_type_name(kind).alias("transition"), F.lit(None).cast("double").alias("duration_seconds")
     )
 
 
