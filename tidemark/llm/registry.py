@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, packing, paragraph_dedup, pii, pseudo_likelihood, quality_rules, simhash_dedup, suffix_dedup, url_filter
+from tidemark.llm import bpe, decontamination, language_id, packing, paragraph_dedup, pii, pseudo_likelihood, quality_rules, simhash_dedup, suffix_dedup, url_filter
 
 #: Tokenizer file of the packing query; the operator takes any path.
 TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -120,8 +120,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's token ids, and the digest of the text decoded from them."""
+    ids = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe.decode(ids, TOKENIZER).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repeats, op2_decontamination, op3_urls, op4_pii, op5_language, op6_lm_score, op7_simhash, op8_quality, op9_packing, op10_paragraphs)
+    f.__name__: f
+    for f in (
+        op1_repeats, op2_decontamination, op3_urls, op4_pii, op5_language, op6_lm_score, op7_simhash, op8_quality, op9_packing, op10_paragraphs,
+        op12_bpe,
+    )
 }
 
 ORACLES: dict[str, str] = {"op3_urls": _OP3_SQL}
