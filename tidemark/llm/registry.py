@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, language_id, packing, paragraph_dedup, pii, pseudo_likelihood, quality_rules, simhash_dedup, suffix_dedup, url_filter
+from tidemark.llm import (
+    bpe, conversations, decontamination, language_id, packing, paragraph_dedup, pii, pseudo_likelihood, quality_rules, simhash_dedup,
+    suffix_dedup, url_filter,
+)
+from tidemark.llm.scratch import materialise
 
 #: Tokenizer file of the packing query; the operator takes any path.
 TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -129,11 +133,26 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, the cheapest edits and the digest of the repaired rows of every conversation, after damage."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = conversations.damaged(given)
+    audits = materialise(conversations.audit(rows), "audits")
+    found = audits.join(conversations.digests(conversations.repair(rows, audits)).withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    every = given.select(F.col("conv_id").alias("c")).distinct()
+    joined = every.join(found, F.col("c").eqNullSafe(F.col("conv_id")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        F.col("c").alias("conv_id"), *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in numbers), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_repeats, op2_decontamination, op3_urls, op4_pii, op5_language, op6_lm_score, op7_simhash, op8_quality, op9_packing, op10_paragraphs,
-        op12_bpe,
+        op12_bpe, op13_conversations,
     )
 }
 
