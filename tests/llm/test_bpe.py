@@ -64,6 +64,8 @@ def test_nulls_repeats_empty_tables_and_other_columns(spark):
     rows = [(1, None, 5, "x"), (1, None, 5, "x"), (None, "", 6, None), (2, "a b", 7, "y")]
     got = bpe.decode(bpe.encode(spark.createDataFrame(rows, schema), TOKENIZER), TOKENIZER).collect()
     assert sorted((r.doc_id or 0, len(r.ids) // 4, r.text) for r in got) == [(0, 0, ""), (1, 0, ""), (1, 0, ""), (2, 2, "a b")]
+    both = bpe.round_trip(spark.createDataFrame(rows, schema), TOKENIZER).collect()
+    assert sorted(map(repr, both)) == sorted(map(repr, got))
     none = bpe.encode(spark.createDataFrame([], schema), TOKENIZER)
     assert none.columns == ["doc_id", "ids"] and none.count() == 0
 

@@ -17,21 +17,22 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
 #: Encodings of parts and words that a worker remembers; when full, it starts anew.
-MEMORY = 800_000
+MEMORY = 400_000
 #: Texts are split in pieces of about so many characters; a longer part is taken whole.
 PIECE = 1_000_000
 #: Parts that wait for one another, so that new ones are encoded together.
-PARTS = 400_000
+PARTS = 200_000
 #: Cells of the trees that step side by side.
 CELLS = 1 << 20
 #: Bytes of ids or texts after which a batch is handed on.
-BATCH = 32_000_000
+BATCH = 8_000_000
 
 #: Fixed value: the split of byte-level BPE into parts.
 _SPLIT = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -303,11 +304,11 @@ def decode_ids(vocab: Vocabulary, data: bytes) -> str:
     return vocab.data[place].tobytes().decode("utf-8", "replace")
 
 
-def _runs(values: list, most: int) -> Iterator[slice]:
-    """Slices of ``values`` of about ``most`` characters or bytes together, one value at least."""
+def _runs(values: pa.Array, most: int) -> Iterator[slice]:
+    """Slices of a column of strings or bytes of about ``most`` bytes together, one value at least."""
     at, size = 0, 0
-    for k, value in enumerate(values, 1):
-        size += len(value)
+    for k, n in enumerate(pc.binary_length(values).to_pylist(), 1):
+        size += n
         if size > most or k == len(values):
             yield slice(at, k)
             at, size = k, 0
@@ -325,9 +326,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer)
         for batch in rows:
-            texts = batch.column(1).to_pylist()
-            for s in _runs(texts, BATCH):
-                ids = pa.array(encode_texts(vocab, texts[s]), pa.binary())
+            for s in _runs(batch.column(1), BATCH):
+                ids = pa.array(encode_texts(vocab, batch.column(1)[s].to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s], ids], names=["id", "ids"])
 
     kind = read.schema["id"].dataType.simpleString()
@@ -341,10 +341,25 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer)
         for batch in rows:
-            ids = batch.column(1).to_pylist()
-            for s in _runs(ids, BATCH):
-                texts = pa.array([decode_ids(vocab, x) for x in ids[s]], pa.string())
+            for s in _runs(batch.column(1), BATCH):
+                texts = pa.array([decode_ids(vocab, x) for x in batch.column(1)[s].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s], batch.column(1)[s], texts], names=["id", "ids", "text"])
 
     kind = read.schema["id"].dataType.simpleString()
     return read.mapInArrow(run, f"id {kind}, ids binary, text string").withColumnRenamed("id", id_col)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text): :func:`decode` of :func:`encode`, in one worker instead of two."""
+    read = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(tokenizer)
+        for batch in rows:
+            for s in _runs(batch.column(1), BATCH):
+                ids = encode_texts(vocab, batch.column(1)[s].to_pylist())
+                texts = pa.array([decode_ids(vocab, x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s], pa.array(ids, pa.binary()), texts], names=["id", "ids", "text"])
+
+    kind = read.schema["id"].dataType.simpleString()
+    return read.mapInArrow(run, f"id {kind}, ids binary, text string").withColumnRenamed("id", id_col)

@@ -126,8 +126,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every document's token ids, and the digest of the text decoded from them."""
-    ids = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
-    return bpe.decode(ids, TOKENIZER).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
