@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    bpe, conversations, decontamination, language_id, packing, paragraph_dedup, pii, pseudo_likelihood, quality_rules, simhash_dedup,
+    bpe, collocations, conversations, decontamination, language_id, packing, paragraph_dedup, pii, pseudo_likelihood, quality_rules, simhash_dedup,
     suffix_dedup, url_filter,
 )
 from tidemark.llm.scratch import materialise
@@ -124,6 +124,33 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language of the documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_OP11_SQL = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
+w AS (SELECT lang, [x for x in regexp_split_to_array(s, '[\x20\x09]+') if x <> ''] AS w FROM piece),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+gram AS (SELECT lang, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS p
+    FROM w, (SELECT unnest(range(1, 6)) AS k)),
+f AS (SELECT lang, p, count(*) AS c, len(string_split(p, ' ')) AS k FROM gram GROUP BY lang, p HAVING count(*) >= 100),
+sub AS (SELECT lang, c, unnest([array_to_string(string_split(p, ' ')[i:i + m - 1], ' ') for i in range(1, k - m + 2)]) AS p
+    FROM f, (SELECT unnest(range(2, 5)) AS m) WHERE m < k),
+cand AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM sub WHERE sub.lang = f.lang AND sub.p = f.p AND 100 * sub.c >= 100 * f.c)),
+cut AS (SELECT lang, p, c, unnest(range(1, k)) AS j, string_split(p, ' ') AS w FROM cand),
+scored AS (SELECT cut.lang, cut.p, cut.c AS a, j, lf.c AS l, rf.c AS r, n,
+        1000::HUGEINT * cut.c * n // (lf.c::HUGEINT * rf.c) AS score
+    FROM cut JOIN total ON total.lang = cut.lang JOIN f lf ON lf.lang = cut.lang AND lf.p = array_to_string(w[1:j], ' ')
+    JOIN f rf ON rf.lang = cut.lang AND rf.p = array_to_string(w[j + 1:], ' ')),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM least)
+SELECT lang, rank, p AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every document's token ids, and the digest of the text decoded from them."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER).select(
@@ -151,8 +178,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_repeats, op2_decontamination, op3_urls, op4_pii, op5_language, op6_lm_score, op7_simhash, op8_quality, op9_packing, op10_paragraphs,
-        op12_bpe, op13_conversations,
+        op11_collocations, op12_bpe, op13_conversations,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_urls": _OP3_SQL}
+ORACLES: dict[str, str] = {"op3_urls": _OP3_SQL, "op11_collocations": _OP11_SQL}
