@@ -63,7 +63,7 @@ def made(rng, count):
     return [(k, text(), rng.choice(["en", "en", "de", None])) for k in range(count)]
 
 
-@pytest.mark.parametrize(("shard", "bits"), [(4_000_000, 1 << 25), (50, 1 << 25), (300, 64), (1, 1 << 12)])
+@pytest.mark.parametrize(("shard", "bits"), [(4_000_000, (1 << 25, 1 << 27)), (50, (1 << 25, 1 << 20)), (300, (64, 64)), (1, (1 << 12, 1 << 12))])
 def test_random_texts_equal_a_plain_loop(spark, shard, bits):
     rows = made(random.Random(shard), 120)
     assert found(spark, rows, support=6, shard=shard, bits=bits) == plain(rows, 6)

@@ -5,9 +5,10 @@ The documents are cut into shards that a task mines completely in memory. A phra
 the union of what the shards find frequent at that lowered support holds every frequent phrase. A second pass counts
 all candidates in every shard, and Spark adds the counts: they are exact.
 
-Words are counted first, so that shards look only at phrases of frequent words: beyond a hundred shards a language's
-local support falls to one, and this keeps the union small. What later passes need of the words and candidates is a
-bitmap of fixed size, whatever the corpus; its false positives cost work, not exactness.
+Words are counted first, so that shards look only at phrases of frequent words. What later passes need of the words and
+of the candidates' union are Bloom filters of fixed size, whatever the corpus: shards set bits, Spark joins them. False
+positives cost work, not exactness, as every shard counts whatever the filters let through and rare phrases go at the end.
+Beyond a hundred shards a language's local support falls to one; then the words' filter alone keeps the union small.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import discard, materialise
 
 #: Words of a shard; one document more may go beyond.
-SHARD = 4_000_000
+SHARD = 3_000_000
 #: Bytes of text that are split at once, up to the end of a piece.
 SLICE = 4_000_000
-#: Bits of the bitmap of words or phrases that a task gets: 4 MB.
-BITS = 1 << 25
+#: Bits of the filters of words (4 MB) and of candidates (16 MB).
+WORD_BITS, PHRASE_BITS = 1 << 25, 1 << 27
 #: Parts of a language's phrases when its first ones are found.
 SALT = 64
 #: Rows of a batch that a task hands on.
@@ -81,21 +83,22 @@ def _shards(rows: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[dict[s
     values: dict[str, tuple] = {}
     size, step = 0, min(shard, SLICE)
     for batch in rows:
-        columns = [c.to_pylist() for c in batch.columns]
-        texts: dict[str, list[bytes]] = defaultdict(list)
-        held = 0
-        for k, (lang, text) in enumerate(zip(columns[0], columns[1], strict=True), 1):
-            values[lang] = tuple(c[k - 1] for c in columns[2:])
-            texts[lang].append(text)
-            held += len(text)
-            if held > step or k == len(columns[0]):
-                for own, some in texts.items():
-                    for part in _slices(b"\n".join(some), step):
-                        before = shards[own].total
-                        shards[own].add(part)
-                        size += shards[own].total - before
-                texts.clear()
-                held = 0
+        lengths = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(lengths[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(lengths, before + step)))
+            columns = [c.to_pylist() for c in batch.slice(at, stop - at).columns]
+            at = stop
+            texts: dict[str, list[bytes]] = defaultdict(list)
+            for lang, text in zip(columns[0], columns[1], strict=True):
+                texts[lang].append(text)
+            values.update(zip(columns[0], zip(*columns[2:], strict=True), strict=False))
+            for lang, some in texts.items():
+                for part in _slices(b"\n".join(some), step):
+                    before = shards[lang].total
+                    shards[lang].add(part)
+                    size += shards[lang].total - before
             if size >= shard:
                 yield shards, values
                 shards.clear()
@@ -115,42 +118,46 @@ def _joined(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _bit(hashes: np.ndarray, size: int) -> np.ndarray:
-    return ((hashes * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)).astype(np.int64) % size
+def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The two bits of each hash in a filter of ``size`` bits (a power of two)."""
+    last = np.uint64(size - 1)
+    mixed = hashes * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.stack([(mixed >> np.uint64(32)) & last, (hashes ^ (hashes >> np.uint64(28))) & last]).astype(np.int64)
 
 
-def phrase_hash(lang: str, phrase: bytes) -> int:
-    """The hash that :func:`_joined` gives a phrase of the language."""
-    own = _hashes(lang, phrase.split(b" "))
-    found = own[:1]
-    for k in range(1, len(own)):
-        found = _joined(found, own[k : k + 1])
-    return int(found[0])
+def _set(hashes: np.ndarray, size: int) -> pa.RecordBatch:
+    """(place, bits): the 64-bit words of the filter that hold bits of the hashes."""
+    at = np.unique(_bits(hashes, size))
+    place, first = np.unique(at >> 6, return_index=True)
+    bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(bits.view(np.int64), pa.int64())], names=["place", "bits"])
 
 
-def bitmap(phrases: DataFrame, size: int = BITS) -> np.ndarray:
-    """``size`` bits, with those of all (lang, phrase) rows set. At most size / 64 words reach the driver."""
+def _joined_filter(parts: DataFrame, size: int) -> np.ndarray:
+    """The filter of all (place, bits) rows; at most size / 64 of them reach the driver."""
+    table = parts.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[table.column("place").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def word_filter(words: DataFrame, size: int = WORD_BITS) -> np.ndarray:
+    """The filter of all (lang, phrase) rows of one word."""
 
     def bits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(size // 8, np.uint8)
         for batch in rows:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            at = _bit(np.array([phrase_hash(lang, p.encode()) for lang, p in pairs], np.uint64), size)
-            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        words = own.view("<i8")
-        set_ = np.nonzero(words)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(set_), pa.array(words[set_])], names=["place", "bits"])
-
-    made = phrases.select("lang", "phrase").mapInArrow(bits, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits"))
-    table = made.toArrow()
-    out = np.zeros(size // 64, "<i8")
-    out[table.column("place").to_numpy()] = table.column("bits").to_numpy()
-    return out.view(np.uint8)
+            by_lang: dict[str, list[bytes]] = defaultdict(list)
+            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_lang[lang].append(word.encode())
+            for lang, some in by_lang.items():
+                yield _set(_hashes(lang, some), size)
+
+    return _joined_filter(words.select("lang", "phrase").mapInArrow(bits, "place long, bits long"), size)
 
 
 def _present(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _bit(hashes, 8 * len(bits))
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    at = _bits(hashes, 64 * len(bits))
+    return ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0).all(axis=0)
 
 
 def _grown(ids: np.ndarray, count: int, longest: int, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -161,7 +168,7 @@ def _grown(ids: np.ndarray, count: int, longest: int, keep) -> Iterator[tuple[in
     words first. A phrase counts only where both phrases that are a word shorter are kept.
     """
     kept = keep(1, np.bincount(ids[ids >= 0], minlength=count), None, np.arange(count))
-    at = np.nonzero(ids >= 0)[0]
+    at = np.nonzero(ids >= 0)[0].astype(np.int32 if len(ids) < 2**31 else np.int64)
     at = at[kept[ids[at]]]  # places where a kept phrase starts
     number, span = ids[at].astype(np.int64), max(1, count)  # and its number
     for length in range(2, longest + 1):
@@ -203,8 +210,8 @@ def _words(docs: DataFrame, shard: int) -> DataFrame:
     return docs.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _candidates(docs: DataFrame, words: Broadcast, support: int, longest: int, shard: int) -> DataFrame:
-    """(lang, phrase) of each shard's phrases of two words or more at the support lowered to the shard's share.
+def _candidates(docs: DataFrame, words: Broadcast, support: int, longest: int, shard: int, size: int) -> DataFrame:
+    """(place, bits): the union of the shards' phrases of two words or more at the support lowered to the shard's share.
 
     ``docs`` has (lang, text, total): the language's number of words beside each text.
     """
@@ -213,16 +220,20 @@ def _candidates(docs: DataFrame, words: Broadcast, support: int, longest: int, s
         for shards, values in _shards(rows, shard):
             for lang, held in shards.items():
                 ids, names = held.words()
+                hashes = _hashes(lang, names)
                 least = max(1, -(-support * held.total // max(1, values[lang][0])))
-                frequent = _present(words.value, _hashes(lang, names))
+                known = [hashes]  # of the phrases kept last
 
-                def keep(length, counts, head, tail, least=least, frequent=frequent):
-                    return (counts >= least) & frequent if length == 1 else counts >= least
+                def keep(length, counts, head, tail, least=least, hashes=hashes, known=known):
+                    if length == 1:
+                        return (counts >= least) & _present(words.value, hashes)
+                    known[0] = _joined(known[0][head], hashes[tail])[counts >= least]
+                    return counts >= least
 
-                for length, places, _ in _grown(ids, len(names), longest, keep):
-                    yield from _batches(lang, ids, names, length, places, None)
+                for _ in _grown(ids, len(names), longest, keep):
+                    yield _set(known[0], size)
 
-    return docs.mapInArrow(mine, "lang string, phrase string").distinct()
+    return docs.mapInArrow(mine, "place long, bits long")
 
 
 def _counts(docs: DataFrame, words: Broadcast, phrases: Broadcast, longest: int, shard: int) -> DataFrame:
@@ -250,12 +261,14 @@ def _counts(docs: DataFrame, words: Broadcast, phrases: Broadcast, longest: int,
 
 
 def phrases(
-    docs: DataFrame, *, support: int = 100, longest: int = 5, shard: int = SHARD, bits: int = BITS, lang_col: str = "lang", text_col: str = "text"
+    docs: DataFrame, *, support: int = 100, longest: int = 5, shard: int = SHARD,
+    bits: tuple[int, int] = (WORD_BITS, PHRASE_BITS), lang_col: str = "lang", text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, n) of every phrase of one to ``longest`` words found ``support`` times, (lang, total) of all words).
 
     Words stand within pieces; occurrences may overlap. A null language is ``und``, a null text empty. Both tables lie
-    in the shared folder. A language without words has a total of 0. ``shard`` (words) and ``bits`` change the work only.
+    in the shared folder. A language without words has a total of 0. ``shard`` (words) and ``bits`` (of the filters of words
+    and of candidates, powers of two) change the work only.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -265,13 +278,12 @@ def phrases(
     shards = -(-(totals.agg(F.sum("total")).first()[0] or 1) // shard)
     full = rows.coalesce(shards)  # full shards, so that the lowered support is as high as it can be
     known = full.join(totals, "lang")  # a row for each language, joined by its size
-    word_bits = spark.sparkContext.broadcast(bitmap(words, bits))  # so many bits, whatever the corpus
-    candidates = materialise(_candidates(known.select("lang", "text", "total"), word_bits, support, longest, shard), "candidates")
-    phrase_bits = spark.sparkContext.broadcast(bitmap(candidates, bits))
+    word_bits = spark.sparkContext.broadcast(word_filter(words, bits[0]))
+    union = _candidates(known.select("lang", "text", "total"), word_bits, support, longest, shard, bits[1])
+    phrase_bits = spark.sparkContext.broadcast(_joined_filter(union, bits[1]))
     counted = _counts(full, word_bits, phrase_bits, longest, shard).where(F.col("n") >= support)
     found = materialise(words.unionByName(counted), "phrases")
-    for table in (every, candidates):
-        discard(table)
+    discard(every)
     return found, totals
 
 
@@ -282,8 +294,8 @@ def score(a: str, n: str, left: str, right: str) -> Column:
 
 
 def collocations(
-    docs: DataFrame, *, support: int = 100, longest: int = 5, top: int = 2000, shard: int = SHARD, bits: int = BITS, lang_col: str = "lang",
-    text_col: str = "text",
+    docs: DataFrame, *, support: int = 100, longest: int = 5, top: int = 2000, shard: int = SHARD,
+    bits: tuple[int, int] = (WORD_BITS, PHRASE_BITS), lang_col: str = "lang", text_col: str = "text",
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best phrases of two words or more.
 
