@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import oracle, queries, studies, studies_oracle
+from tidemark.plans import oracle, queries, structure, structure_oracle, studies, studies_oracle
 
-QUERIES = {f.__name__: f for f in (*queries.ALL, *studies.ALL)}
-ORACLES = oracle.ORACLES | studies_oracle.ORACLES
+QUERIES = {f.__name__: f for f in (*queries.ALL, *studies.ALL, *structure.ALL)}
+ORACLES = oracle.ORACLES | studies_oracle.ORACLES | structure_oracle.ORACLES

@@ -1,10 +1,16 @@
-"""Co-occurrence: item sets, one-to-one association rules, Jaccard links and their components."""
+"""Co-occurrence: item sets, one-to-one association rules and what chance gives, Jaccard links, components, their agreement."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import clustering, sessions
+from tidemark.operators.sessions import person_order
+
+#: Seed and runs of the null rule band.
+SEED, NULL_RUNS = 20260901, 50
+
 
 def item_sets(rows: DataFrame, basket: list[str], item: str, least: int = 2) -> DataFrame:
     """The distinct items of each basket with at least ``least`` of them."""
@@ -54,3 +60,79 @@ def clusters(links: DataFrame) -> DataFrame:
         label = new.select("person_id", "u", F.col("next").alias("cluster"))
         if not moved:
             return label.select("person_id", F.col("u").alias("domain"), "cluster")
+
+
+def uniform(*parts: Column | str) -> Column:
+    """A number in (0, 1) that depends on its arguments alone: 52 bits of the MD5 digest of their texts."""
+    digest = F.md5(F.concat_ws("|", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts)))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+
+
+def null_sets(sets: DataFrame, group: list[str], basket: list[str], *, runs: int = NULL_RUNS, seed: int = SEED) -> DataFrame:
+    """(group, basket, run, items): for each run a set of each basket's size, drawn from its group's items.
+
+    Items are drawn without replacement in proportion to the baskets that hold them: the least of -ln(u) / weight are
+    the draw, u a hash of (seed, run, group, basket, item). So a set keeps its exact size.
+    """
+    weights = sets.select(*group, F.explode("items").alias("item")).groupBy(*group, "item").agg(F.count("*").alias("weight"))
+    wanted = sets.select(*group, *basket, F.size("items").alias("wanted"), F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+    keyed = wanted.join(weights, group).withColumn("key", -F.ln(uniform(F.lit(seed), "run", *group, *basket, "item")) / F.col("weight"))
+    place = F.row_number().over(Window.partitionBy(*group, *basket, "run").orderBy("key", "item"))
+    kept = keyed.withColumn("place", place).where("place <= wanted")
+    return kept.groupBy(*group, *basket, "run").agg(F.sort_array(F.collect_list("item")).alias("items"))
+
+
+def null_rule_band(
+    sets: DataFrame, group: list[str], basket: list[str], *, support: int, confidence: float, lift: float, runs: int = NULL_RUNS, seed: int = SEED,
+    level: float = 0.95,
+) -> DataFrame:
+    """(group, rules, median, low, high): each group's number of rules, and its band over runs of :func:`null_sets`.
+
+    A run without a rule counts as 0. The band's ends are rounded outwards.
+    """
+    limits = {"support": support, "confidence": confidence, "lift": lift}
+    found = association_rules(sets, group, **limits).groupBy(*group).agg(F.count("*").alias("rules"))
+    drawn = association_rules(null_sets(sets, group, basket, runs=runs, seed=seed), [*group, "run"], **limits)
+    per_run = drawn.groupBy(*group, "run").agg(F.count("*").alias("n"))
+    groups = sets.select(*group).distinct()
+    spine = groups.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    counts = spine.join(per_run, [*group, "run"], "left").select(*group, F.coalesce("n", F.lit(0).cast("long")).cast("double").alias("n"))
+    band = clustering.band(counts, group, "n", level)
+    joined = groups.join(found, group, "left").join(band, group)
+    return joined.select(
+        *group, F.coalesce("rules", F.lit(0).cast("long")).alias("rules"), "median", F.floor(F.round("low", 9)).alias("low"), F.ceil(F.round("high", 9)).alias("high")
+    )
+
+
+def half_clusters(events: DataFrame, *, timeout_seconds: float, least: int = 3, threshold: float = 0.5) -> DataFrame:
+    """(person_id, half, domain, cluster) of the first and second half of each person's events, each clustered alone."""
+    order = person_order()
+    half = F.when(F.row_number().over(order) <= F.floor(F.count("*").over(Window.partitionBy("person_id")) / 2), 1).otherwise(2)
+    halves = events.withColumn("half", half).withColumn("person_id", F.struct("person_id", "half"))  # halves never meet
+    links = jaccard_links(sessions.sessionise(halves, timeout_seconds=timeout_seconds), least=least, threshold=threshold)
+    return clusters(links).select("person_id.person_id", "person_id.half", "domain", "cluster")
+
+
+def half_agreement(halves: DataFrame) -> DataFrame:
+    """(person_id, items, agreement) over the domains that are clustered in both halves; persons with none have no row."""
+    one = lambda half, name: halves.where(F.col("half") == half).select("person_id", "domain", F.col("cluster").alias(name))
+    return clustering.agreement(one(1, "first").join(one(2, "second"), ["person_id", "domain"]), ["person_id"], "first", "second")
+
+
+def cluster_stats(events: DataFrame, *, timeout_seconds: float, least: int = 3, threshold: float = 0.5) -> DataFrame:
+    """Per person: domains, events, domains in ``least`` sessions, clusters, clustered domains, their share of the events,
+    the largest cluster and the agreement of the two halves (null without two shared domains)."""
+    sessioned = sessions.sessionise(events, timeout_seconds=timeout_seconds).where("domain is not null")
+    per_domain = sessioned.groupBy("person_id", "domain").agg(F.count("*").alias("n"), F.countDistinct("session_no").alias("sessions"))
+    found = clusters(jaccard_links(sessioned, least=least, threshold=threshold))
+    joined = per_domain.join(found, ["person_id", "domain"], "left")
+    sizes = joined.groupBy("person_id", "cluster").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.count_if(F.col("sessions") >= least).alias("clusterable"))
+    clustered = F.col("cluster").isNotNull()
+    stats = sizes.groupBy("person_id").agg(
+        F.sum("size").alias("domains"), F.sum("n").alias("events"), F.sum("clusterable").alias("clusterable_domains"), F.count("cluster").alias("clusters"),
+        F.coalesce(F.sum(F.when(clustered, F.col("size"))), F.lit(0).cast("long")).alias("clustered_domains"),
+        (F.coalesce(F.sum(F.when(clustered, F.col("n"))), F.lit(0).cast("long")) / F.sum("n")).alias("events_covered"),
+        F.coalesce(F.max(F.when(clustered, F.col("size"))), F.lit(0).cast("long")).alias("largest_cluster"),
+    )
+    agreed = half_agreement(half_clusters(events, timeout_seconds=timeout_seconds, least=least, threshold=threshold))
+    return stats.join(agreed.select("person_id", F.col("agreement").alias("half_agreement")), "person_id", "left")
