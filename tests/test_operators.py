@@ -171,7 +171,7 @@ def test_registered_models_run_in_full(spark, monkeypatch):
 
     steps, resamples = [], []
     fit, draw = models.backtest, evaluation.brier_bootstrap
-    monkeypatch.setattr(models, "backtest", lambda *a, steps=4000: steps_seen(fit(*a, steps=1), steps))
+    monkeypatch.setattr(models, "backtest", lambda *a, steps=4000, **b: steps_seen(fit(*a, steps=1, **b), steps))
     monkeypatch.setattr(evaluation, "brier_bootstrap", lambda *a, resamples=2000, **b: resamples_seen(draw(*a, resamples=1, **b), resamples))
     steps_seen, resamples_seen = (lambda found, n: (steps.append(n), found)[1]), (lambda found, n: (resamples.append(n), found)[1])
     for query in (queries.logistic_backtest, queries.platt_calibration, queries.brier_bootstrap):
@@ -179,15 +179,15 @@ def test_registered_models_run_in_full(spark, monkeypatch):
     assert steps == [4000, 4000] and resamples == [10_000]
 
 
-def test_bootstrap_equals_the_whole_matrix(spark):
-    import random
-
+def test_bootstrap_agrees_with_the_whole_matrix(spark):
     rows = [(1, k, m, (k * 7 % 10) / 10 if m == "a" else 0.5, float(k % 3 == 0)) for k in range(30) for m in ("a", "b")]
     df = spark.createDataFrame(rows, "person_id long, session_no long, model string, p double, y double")
-    got = evaluation.brier_bootstrap(df, challenger="a", reference="b", resamples=400, seed=3).first()
-    diff, rng = np.array([(0.5 - y) ** 2 - (p - y) ** 2 for _, _, m, p, y in rows if m == "a"]), random.Random(3)
-    means = [diff[[rng.randrange(30) for _ in range(30)]].mean() for _ in range(400)]
-    assert np.allclose([got.low, got.high], np.percentile(means, [2.5, 97.5]))
+    got = evaluation.brier_bootstrap(df, challenger="a", reference="b", resamples=10_000, seed=3).first()
+    diff = np.array([(0.5 - y) ** 2 - (p - y) ** 2 for _, _, m, p, y in rows if m == "a"])
+    means = diff[np.random.default_rng(3).integers(0, 30, (10_000, 30))].mean(axis=1)
+    low, high = np.percentile(means, [2.5, 97.5])
+    assert abs(got.low - low) < 0.05 * (high - low) and abs(got.high - high) < 0.05 * (high - low)
+    assert got.point == pytest.approx(diff.mean()) and got.clusters == 30
 
 
 def test_firefox_views(spark):

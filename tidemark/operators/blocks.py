@@ -67,7 +67,7 @@ def block_volume_stats(grid: DataFrame, *, trailing: int = 10, least: int = 6) -
         F.count_if(fits).alias("labels"), F.count_if(fits & (F.col("n") > F.col("median"))).alias("strict"),
         F.count_if(fits & (F.col("n") >= F.col("median"))).alias("inclusive"), F.count_if(fits & (F.col("n") == F.col("median"))).alias("ties"),
         F.count_if(fits & (F.col("median") == 0)).alias("zero_medians"), F.countDistinct(F.when(fits, F.col("category"))).alias("topics"),
-        F.countDistinct(F.when(~fits, F.col("category"))).alias("rejected_topics"),
+        F.size(F.array_except(F.collect_set(F.when(~fits, F.col("category"))), F.collect_set(F.when(fits, F.col("category"))))).cast("long").alias("rejected_topics"),
     )
 
 

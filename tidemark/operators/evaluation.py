@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import random
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import resampling
+
+#: Fixed value: the one-sided quantile of the lower bound of an accuracy.
+Z = 1.645
+
 
 def rolling_folds(labels: DataFrame, *, folds: int = 5, fraction: float = 0.4, least: int = 20, order: tuple[str, ...] = ("window_end", "category")) -> DataFrame:
     """Labels with rn, train_stop and fold (0: before the first test window). Persons with too few labels are left out.
@@ -75,31 +76,20 @@ def accuracy_coverage(predicted: DataFrame, steps: int = 50) -> DataFrame:
     cuts = F.explode(F.array(*(F.lit(0.5 + 0.5 * k / steps) for k in range(steps)))).alias("threshold")
     rows = predicted.select("model", (confidence).alias("c"), ((F.col("p") > 0.5).cast("double") == F.col("y")).alias("hit"), cuts)
     per = rows.groupBy("model", "threshold").agg(F.count_if(F.col("c") >= F.col("threshold")).alias("answered"), F.count_if((F.col("c") >= F.col("threshold")) & F.col("hit")).alias("correct"), F.count("*").alias("n"))
-    n, p, z = F.nullif("answered", F.lit(0)), F.col("correct") / F.nullif("answered", F.lit(0)), 1.96
+    n, p, z = F.nullif("answered", F.lit(0)), F.col("correct") / F.nullif("answered", F.lit(0)), Z
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     return per.select("model", "threshold", "answered", "correct", p.alias("accuracy"), (F.col("answered") / F.col("n")).alias("coverage"), low.alias("wilson"))
 
 
-def brier_bootstrap(predicted: DataFrame, *, challenger: str, reference: str, resamples: int = 2000, seed: int = 20260828) -> DataFrame:
+def brier_bootstrap(predicted: DataFrame, *, challenger: str, reference: str, resamples: int = 2000, seed: int = resampling.SEED) -> DataFrame:
     """(person_id, point, low, high, clusters): paired percentile bootstrap over sessions, positive if the challenger wins.
 
-    Spark sums each session's differences; a person's sessions are then resampled in one task.
+    Spark sums each session's differences; blocks of resamples are spread over tasks.
     """
     error = F.pow(F.col("p") - F.col("y"), 2)
     signed = F.when(F.col("model") == reference, error).when(F.col("model") == challenger, -error)
     sums = predicted.groupBy("person_id", "session_no").agg(F.sum(signed).alias("diff"), F.count_if(F.col("model") == challenger).alias("n"))
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session_no")
-        diff, n, rng = pdf["diff"].to_numpy(), pdf["n"].to_numpy(), random.Random(seed)
-        means = np.empty(resamples)
-        for k in range(resamples):  # one resample at a time: the picks of all would take resamples x sessions
-            picks = np.fromiter((rng.randrange(len(n)) for _ in range(len(n))), np.int64, len(n))
-            means[k] = diff[picks].sum() / n[picks].sum()
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({"person_id": [pdf["person_id"].iloc[0]], "point": [diff.sum() / n.sum()], "low": [low], "high": [high], "clusters": [len(n)]})
-
-    return sums.groupBy("person_id").applyInPandas(resample, "person_id long, point double, low double, high double, clusters long")
+    return resampling.intervals(sums, ["person_id"], "session_no", "diff", "n", resamples=resamples, seed=seed)
 
 
 def transition_table(changes: DataFrame, *, smoothing: float = 1.0) -> DataFrame:
@@ -120,14 +110,16 @@ def next_category_ranking(table: DataFrame, k: int = 3) -> DataFrame:
     return top.groupBy("person_id", "from_category").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "to_category"))), lambda x: x["to_category"]).alias("ranking"))
 
 
-def resolve_predictions(predictions: DataFrame, events: DataFrame, gaps: DataFrame, now_us: int) -> DataFrame:
+def resolve_predictions(predictions: DataFrame, events: DataFrame, gaps: DataFrame, now_us: int | Column) -> DataFrame:
     """Outcome of each (person_id, category, start_us, end_us): expired, hit, pending or miss, tested in that order.
 
     Expired: a coverage gap (person_id, from_us, to_us; an open one has no end) overlaps the window, or the oldest
     retained event is later than its start. Gaps and hits meet predictions on equal keys and by range.
+    ``now_us`` is a number, or a scalar subquery (``df.scalar()``).
     """
+    now_us = now_us if isinstance(now_us, Column) else F.lit(now_us)
     oldest = events.groupBy("person_id").agg(F.min("us").alias("oldest"))
-    covered = gaps.select(F.col("person_id").alias("gp"), "from_us", F.coalesce("to_us", F.lit(now_us)).alias("to_us"))
+    covered = gaps.select(F.col("person_id").alias("gp"), "from_us", F.coalesce("to_us", now_us).alias("to_us"))
     inside = (F.col("person_id") == F.col("gp")) & (F.col("from_us") < F.col("end_us")) & (F.col("to_us") > F.col("start_us"))
     gapped = predictions.join(covered, inside, "left_semi").select("person_id", "category", "start_us").distinct().withColumn("gap", F.lit(True))
     seen = events.select(F.col("person_id").alias("ep"), F.col("category").alias("ec"), "us")

@@ -166,12 +166,18 @@ def block_labels(grid: DataFrame, *, trailing: int = 10, min_prior: int = 6) ->
 
 
 def novelty(events: DataFrame, *, lookback_days: int = 30) -> DataFrame:
-    """(person_id, day, n_domains, n_new): domains of a day that the person had not visited in the days before it."""
-    seen = events.where("domain is not null").select("person_id", "domain", F.floor(F.col("us") / DAY).alias("day")).distinct()
-    before = F.lag("day").over(Window.partitionBy("person_id", "domain").orderBy("day"))
-    fresh = seen.withColumn("fresh", F.coalesce(F.col("day") - before > lookback_days, F.lit(True)))
-    first = F.min("day").over(Window.partitionBy("person_id"))
-    return fresh.withColumn("first", first).where("day > first").groupBy("person_id", "day").agg(F.count("*").alias("n_domains"), F.count_if("fresh").alias("n_new"))
+    """(person_id, day, n_domains, n_new): domains of a day that the person had not visited in the days before its first visit.
+
+    A day whose look-back holds no visit has nothing to be new against and is left out.
+    """
+    visits = events.where("domain is not null").withColumn("day", F.floor(F.col("us") / DAY))
+    days = visits.groupBy("person_id", "day").agg(F.min("us").alias("first_at"), F.max("us").alias("last_at"))
+    start = F.col("first_at") - lookback_days * DAY
+    judged = days.withColumn("before", F.lag("last_at").over(Window.partitionBy("person_id").orderBy("day"))).where(F.col("before") >= start)
+    seen = visits.groupBy("person_id", "domain", "day").agg(F.max("us").alias("last_seen"))
+    seen = seen.withColumn("seen_before", F.lag("last_seen").over(Window.partitionBy("person_id", "domain").orderBy("day")))
+    fresh = F.col("seen_before").isNull() | (F.col("seen_before") < start)
+    return seen.join(judged, ["person_id", "day"]).groupBy("person_id", "day").agg(F.count("*").alias("n_domains"), F.count_if(fresh).alias("n_new"))
 
 
 def dormancy(grid: DataFrame, *, absent: int = 2) -> DataFrame:

@@ -1,17 +1,37 @@
-"""Logistic regression per person and fold: full-batch gradient descent in a grouped pandas task."""
+"""Logistic regression per person and fold, its calibration, and nested splits of the training windows.
+
+Persons are spread over an explicit number of tasks and sorted by person and time; a task fits many (person, fold) units
+side by side, as rows of one array, so no step of the descent is spent on one unit alone.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.work import spread
+
+#: Steps of the model and of the calibration, share of a training window that calibrates, least rows for it.
+STEPS, PLATT_STEPS, CALIBRATION_SHARE, LEAST_CALIBRATION = 4000, 2000, 0.3, 30
+#: Numbers of the padded design matrices that a task fits at once.
+CELLS = 1 << 19
 
-def design(frame: pd.DataFrame, columns: tuple[str, ...]) -> np.ndarray:
-    """Feature columns, then a missing indicator for each column that may be null (all of them, in order)."""
+_KEY = ["person_id", "category", "session_no", "window_end", "fold"]
+_SCHEMA = "person_id long, category string, session_no long, window_end long, fold int, y double"
+
+
+def design(frame: pd.DataFrame, columns: tuple[str, ...], nullable: tuple[str, ...] | None = None) -> np.ndarray:
+    """Feature columns, then a missing indicator for each nullable one; by default all are. Other nulls raise ValueError."""
     raw = frame[list(columns)].to_numpy(float)
-    return np.concatenate([raw, np.isnan(raw).astype(float)], axis=1)
+    held = columns if nullable is None else nullable
+    for at, name in enumerate(columns):
+        if name not in held and np.isnan(raw[:, at]).any():
+            raise ValueError(f"{name} is null but not declared nullable")
+    return np.concatenate([raw, np.isnan(raw[:, [columns.index(c) for c in held]]).astype(float)], axis=1)
 
 
 def prepare(train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -23,47 +43,49 @@ def prepare(train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return fill, filled.mean(axis=0), np.where(scale == 0, 1.0, scale)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 4000, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias after ``steps`` steps of size 1/L from zero; the penalty of one observation spares the bias."""
-    n = len(y)
-    bound = (1 + (x * x).sum(axis=1)).sum() / (4 * n) + penalty / n
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(steps):
-        miss = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y
-        w -= (x.T @ miss + penalty * w) / n / bound
-        b -= miss.sum() / n / bound
-    return w, b
-
-
-def backtest(folded: DataFrame, columns: tuple[str, ...], *, steps: int = 4000) -> DataFrame:
-    """(person_id, category, session_no, window_end, fold, y, p) of the test rows; every person is one task's group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn").reset_index(drop=True)
-        x, y, out = design(pdf, columns), pdf["outcome"].to_numpy(float), []
-        for fold in range(1, int(pdf["fold"].max()) + 1):
-            test = (pdf["fold"] == fold).to_numpy()
-            train = (pdf["fold"] < fold).to_numpy()
-            fill, mean, scale = prepare(x[train])
-            ready = lambda m: (np.where(np.isnan(m), fill, m) - mean) / scale  # noqa: B023, E731
-            w, b = fit_logistic(ready(x[train]), y[train], steps)
-            own = pdf.loc[test, ["person_id", "category", "session_no", "window_end", "fold"]].copy()
-            own["y"], own["p"] = y[test], 1 / (1 + np.exp(-np.clip(ready(x[test]) @ w + b, -40, 40)))
-            out.append(own)
-        return pd.concat(out)
+def ready(x: np.ndarray, prepared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    fill, mean, scale = prepared
+    return (np.where(np.isnan(x), fill, x) - mean) / scale
 
-    kept = folded.select("person_id", "category", "session_no", "window_end", "fold", "rn", F.col("outcome").cast("double").alias("outcome"), *columns)
-    return kept.groupBy("person_id").applyInPandas(run, "person_id long, category string, session_no long, window_end long, fold int, y double, p double")
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-def fit_platt(p: np.ndarray, y: np.ndarray, steps: int = 2000) -> tuple[float, float]:
-    """Slope and offset of a sigmoid over logits, fitted to soft targets; (1, 0) where only one class or nothing is known."""
-    hits = int(y.sum())
-    if hits == 0 or hits == len(y):
-        return 1.0, 0.0
-    soft = np.where(y == 1, (hits + 1) / (hits + 2), 1 / (len(y) - hits + 2))
-    w, b = fit_logistic(_logit(p)[:, None], soft, steps, penalty=0.0)
-    return float(w[0]), b
+
+def fit_units(xs: list[np.ndarray], ys: list[np.ndarray], steps: int, penalty: float) -> list[tuple[np.ndarray, float]]:
+    """Weights and bias of each unit after ``steps`` steps of size 1/L from zero; units of like size step together.
+
+    The penalty of one observation spares the bias.
+    """
+    out: list[tuple[np.ndarray, float]] = [(np.zeros(0), 0.0)] * len(xs)
+    order = sorted(range(len(xs)), key=lambda u: len(ys[u]))
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and (stop - at + 1) * len(ys[order[stop]]) * xs[order[stop]].shape[1] <= CELLS:
+            stop += 1
+        some = order[at:stop]
+        longest, width = len(ys[some[-1]]), xs[some[0]].shape[1]
+        x, y, there = np.zeros((len(some), longest, width)), np.zeros((len(some), longest)), np.zeros((len(some), longest))
+        for k, u in enumerate(some):
+            x[k, : len(ys[u])], y[k, : len(ys[u])], there[k, : len(ys[u])] = xs[u], ys[u], 1.0
+        n = there.sum(axis=1)
+        bound = (there * (1 + (x * x).sum(axis=2))).sum(axis=1) / (4 * n) + penalty / n
+        rate = (1 / (n * bound))[:, None]
+        w, b, across = np.zeros((len(some), width)), np.zeros((len(some), 1)), np.ascontiguousarray(x.transpose(0, 2, 1))
+        for _ in range(steps):
+            miss = (sigmoid((x @ w[:, :, None])[:, :, 0] + b) - y) * there
+            w -= rate * ((across @ miss[:, :, None])[:, :, 0] + penalty * w)
+            b -= rate * miss.sum(axis=1, keepdims=True)
+        for k, u in enumerate(some):
+            out[u] = w[k], float(b[k, 0])
+        at = stop
+    return out
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """:func:`fit_units` of one unit."""
+    return fit_units([x], [y], steps, penalty)[0]
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -71,21 +93,156 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
-def calibrate(predicted: DataFrame, *, steps: int = 2000) -> DataFrame:
+def fit_platts(ps: list[np.ndarray], ys: list[np.ndarray], steps: int = PLATT_STEPS) -> list[tuple[float, float]]:
+    """Slope and offset of a sigmoid over each unit's logits, fitted to soft targets; (1, 0) where a class is missing."""
+    out, fits = [(1.0, 0.0)] * len(ps), []
+    for u, y in enumerate(ys):
+        hits = int(y.sum())
+        if 0 < hits < len(y):
+            fits.append((u, np.where(y == 1, (hits + 1) / (hits + 2), 1 / (len(y) - hits + 2))))
+    found = fit_units([_logit(ps[u])[:, None] for u, _ in fits], [soft for _, soft in fits], steps, 0.0)
+    for (u, _), (w, b) in zip(fits, found, strict=True):
+        out[u] = float(w[0]), b
+    return out
+
+
+def fit_platt(p: np.ndarray, y: np.ndarray, steps: int = PLATT_STEPS) -> tuple[float, float]:
+    """:func:`fit_platts` of one unit."""
+    return fit_platts([p], [y], steps)[0]
+
+
+def calibrated(p: np.ndarray, slope: float, offset: float) -> np.ndarray:
+    return p if (slope, offset) == (1.0, 0.0) else sigmoid(slope * _logit(p) + offset)
+
+
+def _persons(frames: Iterator[pd.DataFrame], width: int, copies: int) -> Iterator[list[pd.DataFrame]]:
+    """Whole persons of a sorted stream, as many at once as CELLS allow; a larger one alone.
+
+    ``copies`` of a person's rows are held while it is fitted. A person's rows are those of one group and are taken whole.
+    """
+    held: list[pd.DataFrame] = []
+    size, rest = 0, None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        rest = frame[frame["person_id"] == frame["person_id"].iloc[-1]]
+        for _, person in frame.iloc[: len(frame) - len(rest)].groupby("person_id", sort=False):
+            held.append(person.reset_index(drop=True))
+            size += len(person) * width * copies
+            if size >= CELLS:
+                yield held
+                held, size = [], 0
+        rest = rest.reset_index(drop=True)
+    if rest is not None:
+        held.append(rest)
+    if held:
+        yield held
+
+
+def _by_person(df: DataFrame, order: list[str], work, schema: str, width: int, copies: int) -> DataFrame:
+    """``work`` of lists of whole persons, spread over tasks; each person's rows come in ``order``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for persons in _persons(frames, width, copies):
+            yield work(persons)
+
+    return spread(df, "person_id").sortWithinPartitions("person_id", *order).mapInPandas(run, schema)
+
+
+def _rows(folded: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return folded.select(*_KEY, "rn", F.col("outcome").cast("double").alias("outcome"), *columns)
+
+
+def _folds(person: pd.DataFrame) -> range:
+    return range(1, int(person["fold"].max()) + 1)
+
+
+def backtest(folded: DataFrame, columns: tuple[str, ...], *, steps: int = STEPS, nullable: tuple[str, ...] | None = None) -> DataFrame:
+    """(person_id, category, session_no, window_end, fold, y, p) of the test rows; a fold trains on all earlier ones.
+
+    A null in a column that isn't ``nullable`` raises ValueError; by default every column is.
+    """
+
+    def work(persons: list[pd.DataFrame]) -> pd.DataFrame:
+        xs, ys, tests = [], [], []
+        for person in persons:
+            x, y, fold = design(person, columns, nullable), person["outcome"].to_numpy(float), person["fold"].to_numpy()
+            for k in _folds(person):
+                before, own = fold < k, fold == k
+                prepared = prepare(x[before])
+                xs.append(ready(x[before], prepared))
+                ys.append(y[before])
+                tests.append((person.loc[own, _KEY], y[own], ready(x[own], prepared)))
+        out = []
+        for (own, y, x), (w, b) in zip(tests, fit_units(xs, ys, steps, 1.0), strict=True):
+            out.append(own.assign(y=y, p=sigmoid(x @ w + b)))
+        return pd.concat(out)
+
+    return _by_person(_rows(folded, columns), ["rn"], work, f"{_SCHEMA}, p double", 2 * len(columns), 5)
+
+
+def calibrate(predicted: DataFrame, *, steps: int = PLATT_STEPS) -> DataFrame:
     """The predictions of :func:`backtest` with ``raw`` and ``p``: a fold is calibrated by Platt's sigmoid over the folds before it.
 
-    The first fold has nothing before it and keeps its probabilities. One person is one task's group.
+    The first fold has nothing before it and keeps its probabilities.
+    """
+
+    def work(persons: list[pd.DataFrame]) -> pd.DataFrame:
+        ps, ys, tests = [], [], []
+        for person in persons:
+            raw, y, fold = (person[c].to_numpy() for c in ("raw", "y", "fold"))
+            for k in np.unique(fold):
+                ps.append(raw[fold < k])
+                ys.append(y[fold < k])
+                tests.append(person[fold == k])
+        out = [own.assign(p=calibrated(own["raw"].to_numpy(), *fit)) for own, fit in zip(tests, fit_platts(ps, ys, steps), strict=True)]
+        return pd.concat(out)
+
+    given = predicted.withColumnRenamed("p", "raw")
+    return _by_person(given, ["fold", "window_end", "category"], work, f"{_SCHEMA}, raw double, p double", 1, 5)
+
+
+def calibrated_backtest(
+    folded: DataFrame, columns: tuple[str, ...], *, steps: int = STEPS, nullable: tuple[str, ...] | None = None, share: float = CALIBRATION_SHARE,
+    least: int = LEAST_CALIBRATION, include_calibration: bool = False,
+) -> DataFrame:
+    """Test rows with ``raw`` and ``p`` from a nested split of each fold's training window.
+
+    The window's first rows by time fit the model, its last ``share`` calibrate it by Platt's sigmoid; fewer than
+    ``least`` rows leave the probabilities as they are. ``part`` is ``test``, or ``calibration`` if those rows are
+    asked for, as a threshold must be chosen on them. A fold without rows to fit or to calibrate is left out.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.rename(columns={"p": "raw"}).sort_values(["fold", "window_end", "category"]).reset_index(drop=True)
-        raw, y, fold = (pdf[c].to_numpy() for c in ("raw", "y", "fold"))
-        pdf["p"] = raw
-        for k in np.unique(fold):
-            slope, offset = fit_platt(raw[fold < k], y[fold < k], steps)
-            if (slope, offset) != (1.0, 0.0):
-                pdf.loc[fold == k, "p"] = 1 / (1 + np.exp(-np.clip(slope * _logit(raw[fold == k]) + offset, -40, 40)))
-        return pdf
-
-    kind = "person_id long, category string, session_no long, window_end long, fold int, y double, raw double, p double"
-    return predicted.groupBy("person_id").applyInPandas(run, kind)
+    def work(persons: list[pd.DataFrame]) -> pd.DataFrame:
+        xs, ys, held = [], [], []
+        for person in persons:
+            x, y, fold = design(person, columns, nullable), person["outcome"].to_numpy(float), person["fold"].to_numpy()
+            for k in _folds(person):
+                before = np.nonzero(fold < k)[0]
+                cut = int(len(before) * (1 - share))
+                fit, later, own = before[:cut], before[cut:], np.nonzero(fold == k)[0]
+                if not len(fit) or not len(later):
+                    continue
+                prepared = prepare(x[fit])
+                xs.append(ready(x[fit], prepared))
+                ys.append(y[fit])
+                held.append((person, k, y, later, ready(x[later], prepared), own, ready(x[own], prepared)))
+        raw = []
+        for (*_, later_x, _, own_x), (w, b) in zip(held, fit_units(xs, ys, steps, 1.0), strict=True):
+            raw.append((sigmoid(later_x @ w + b), sigmoid(own_x @ w + b)))
+        enough = [len(later) >= least for _, _, _, later, *_ in held]
+        platts = fit_platts(
+            [p if e else p[:0] for (p, _), e in zip(raw, enough, strict=True)], [h[2][h[3]] if e else h[2][:0] for h, e in zip(held, enough, strict=True)]
+        )
+        out = []
+        for (person, k, y, later, _, own, _), (p_later, p_own), platt in zip(held, raw, platts, strict=True):
+            parts = [("test", own, p_own)] + ([("calibration", later, p_later)] if include_calibration else [])
+            for part, rows, p in parts:
+                named = person.iloc[rows][_KEY].assign(fold=k, y=y[rows], raw=p, p=calibrated(p, *platt), part=part)
+                out.append(named.assign(n_fit=int((person["fold"] < k).sum()) - len(later), n_calibration=len(later)))
+        columns_ = [*_KEY, "y", "raw", "p", "part", "n_fit", "n_calibration"]
+        return pd.concat(out)[columns_] if out else pd.DataFrame({c: [] for c in columns_})
+
+    schema = f"{_SCHEMA}, raw double, p double, part string, n_fit long, n_calibration long"
+    return _by_person(_rows(folded, columns), ["rn"], work, schema, 2 * len(columns), 5)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +65,13 @@ def fold_wins(predicted: DataFrame, challenger: str, reference: str) -> DataFram
         F.avg(F.when(F.col("model") == challenger, error)).alias("a"), F.avg(F.when(F.col("model") == reference, error)).alias("b")
     )
     counted = per.groupBy(PERSON).agg(F.count_if(F.col("a") < F.col("b")).alias("wins"), F.count("*").alias("folds"))
-    tail = F.lit(None).cast("double")
-    for folds in range(1, 11):
-        for wins in range(folds + 1):
-            p = sum(comb(folds, k) for k in range(wins, folds + 1)) / 2**folds
-            tail = F.when((F.col("folds") == folds) & (F.col("wins") == wins), p).otherwise(tail)
+    # C(folds, k) from C(folds, k - 1), added up from k = wins on
+    def step(held, k):
+        c = held["c"] * (F.col("folds") - k + 1) / k
+        return F.struct(c.alias("c"), (held["s"] + F.when(k >= F.col("wins"), c).otherwise(0.0)).alias("s"))
+
+    first = F.struct(F.lit(1.0).alias("c"), F.when(F.col("wins") == 0, 1.0).otherwise(0.0).alias("s"))
+    tail = F.aggregate(F.sequence(F.lit(1), F.col("folds").cast("int")), first, step)["s"] / F.pow(F.lit(2.0), F.col("folds"))
     return counted.withColumn("tail", tail)
 
 
@@ -89,12 +89,13 @@ def category_scores(predicted: DataFrame, *, floor: int = 20) -> DataFrame:
     return predicted.groupBy("category", "model").agg(F.count("*").alias("n"), error.alias("brier")).where(F.col("n") >= floor)
 
 
-def multiclass_accuracy(folded: DataFrame) -> DataFrame:
-    """Accuracy of global mode, transition mode and bounce-back on test folds of transitions, for each person.
+def multiclass_predictions(folded: DataFrame) -> DataFrame:
+    """The rows of the test folds of transitions with the answers global_mode, transition_table, bounce_back and constrained_mode.
 
-    The most frequent answer of all earlier folds counts, ties by name; a source that training has not seen gets the
-    global mode, and a first change bounces nowhere and is wrong. The constrained mode is the global one among
-    answers other than the source.
+    Counts are those of all earlier folds. The global mode is the most frequent answer; the transition table's is that
+    of the source, its counts smoothed towards the overall shares; ties go by name. The bounce-back is the category
+    before the source, and the constrained mode the global one among answers other than the source. What training has
+    not seen (a source, or a category to bounce back to) gets the global mode, and so does a first change.
     """
 
     def running(keys: list[str]) -> DataFrame:
@@ -106,17 +107,29 @@ def multiclass_accuracy(folded: DataFrame) -> DataFrame:
         filled = every.join(n, [*keys, "to_category", "fold"], "left").withColumn("n", F.sum("c").over(w)).where("n > 0")
         return filled.select(*keys, "to_category", "fold", "n")
 
-    best = F.min(F.struct((-F.col("n")).alias("k"), "to_category"))
+    def best(score):
+        return F.min(F.struct((-score).alias("k"), "to_category"))["to_category"]
+
     overall, conditional = running([PERSON]), running([PERSON, "from_category"])
-    mode = overall.groupBy(PERSON, "fold").agg(best["to_category"].alias("mode"))
-    table = conditional.groupBy(PERSON, "from_category", "fold").agg(best["to_category"].alias("likely"))
+    mode = overall.groupBy(PERSON, "fold").agg(best(F.col("n")).alias("global_mode"))
+    shares = overall.select(PERSON, "to_category", "fold", F.col("n").alias("m"), F.sum("n").over(Window.partitionBy(PERSON, "fold")).alias("all"))
+    smoothed = conditional.join(shares, [PERSON, "to_category", "fold"])
+    table = smoothed.groupBy(PERSON, "from_category", "fold").agg(best(F.col("n") * F.col("all") + F.col("m")).alias("likely"))
     sources = folded.select(PERSON, "from_category").distinct()
     other = overall.join(sources, PERSON).where("to_category <> from_category")
-    constrained = other.groupBy(PERSON, "from_category", "fold").agg(best["to_category"].alias("constrained"))
+    constrained = other.groupBy(PERSON, "from_category", "fold").agg(best(F.col("n")).alias("constrained"))
+    known = overall.select(PERSON, "fold", F.col("to_category").alias("previous_category"), F.lit(True).alias("known"))
     test = folded.where("fold > 0").join(mode, [PERSON, "fold"]).join(table, [PERSON, "from_category", "fold"], "left")
-    test = test.join(constrained, [PERSON, "from_category", "fold"], "left")
-    right = lambda c: F.avg(F.coalesce((c == F.col("to_category")).cast("double"), F.lit(0.0)))
-    return test.groupBy(PERSON).agg(
-        F.count("*").alias("n"), right(F.col("mode")).alias("global_mode"), right(F.coalesce("likely", "mode")).alias("transition_table"),
-        right(F.col("previous_category")).alias("bounce_back"), right(F.coalesce("constrained", "mode")).alias("constrained_mode"),
+    test = test.join(constrained, [PERSON, "from_category", "fold"], "left").join(known, [PERSON, "fold", "previous_category"], "left")
+    return test.select(
+        *folded.columns, "global_mode", F.coalesce("likely", "global_mode").alias("transition_table"),
+        F.when(F.col("known"), F.col("previous_category")).otherwise(F.col("global_mode")).alias("bounce_back"),
+        F.coalesce("constrained", "global_mode").alias("constrained_mode"),
     )
+
+
+def multiclass_accuracy(folded: DataFrame) -> DataFrame:
+    """Accuracy of the answers of :func:`multiclass_predictions`, for each person."""
+    right = lambda c: F.avg((F.col(c) == F.col("to_category")).cast("double")).alias(c)
+    names = ("global_mode", "transition_table", "bounce_back", "constrained_mode")
+    return multiclass_predictions(folded).groupBy(PERSON).agg(F.count("*").alias("n"), *map(right, names))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.sessions import person_order
@@ -71,32 +71,39 @@ def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
 def top_k(changes: DataFrame, *, k: int = 2) -> DataFrame:
     """Per person: accuracy of the most frequent answers, and of those from the same source, trained on the first 60 %.
 
-    Ties go to the first category by name; a source never seen in training falls back to the overall ranking.
+    A source ranks all answers by their counts, smoothed towards the overall shares; ties go to the first category by
+    name. A source never seen in training falls back to the overall ranking.
     """
     w = Window.partitionBy("person_id")
     split = changes.withColumn("rn", F.row_number().over(w.orderBy("us", "event_id"))).withColumn("train", F.col("rn") <= F.floor(F.count("*").over(w) * 0.6))
     train, test = split.where("train"), split.where("not train")
 
-    def ranking(keys: list[str], name: str) -> DataFrame:
-        n = train.groupBy(*keys, "to_category").agg(F.count("*").alias("n"))
-        return n.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "to_category"))), lambda s: s["to_category"]).alias(name))
-
-    joined = test.join(ranking(["person_id"], "overall"), "person_id").join(ranking(["person_id", "from_category"], "source"), ["person_id", "from_category"], "left").withColumn("source", F.coalesce("source", "overall"))
+    def ranking(counts: DataFrame, keys: list[str], score, name: str) -> DataFrame:
+        listed = F.sort_array(F.collect_list(F.struct((-score).alias("k"), "to_category")))
+        return counts.groupBy(*keys).agg(F.transform(listed, lambda s: s["to_category"]).alias(name))
+
+    overall = train.groupBy("person_id", "to_category").agg(F.count("*").alias("m")).withColumn("all", F.sum("m").over(Window.partitionBy("person_id")))
+    counts = train.groupBy("person_id", "from_category", "to_category").agg(F.count("*").alias("n"))
+    every = counts.select("person_id", "from_category").distinct().join(overall, "person_id").join(counts, ["person_id", "from_category", "to_category"], "left")
+    # in the order of (n + m / all): the smoothed probability, in whole numbers
+    by_source = ranking(every, ["person_id", "from_category"], F.coalesce("n", F.lit(0)) * F.col("all") + F.col("m"), "source")
+    joined = test.join(ranking(overall, ["person_id"], F.col("m"), "overall"), "person_id").join(by_source, ["person_id", "from_category"], "left")
+    joined = joined.withColumn("source", F.coalesce("source", "overall"))
     hit = lambda c, m: F.avg(F.array_contains(F.slice(c, 1, m), F.col("to_category")).cast("double"))
     return joined.groupBy("person_id").agg(F.count("*").alias("n"), hit("overall", 1).alias("mode_top1"), hit("overall", k).alias("mode_topk"), hit("source", 1).alias("table_top1"), hit("source", k).alias("table_topk"))
 
 
-def retention(events: DataFrame, *, keep_days: int, now_us: int) -> DataFrame:
-    """Per person: events that raw retention keeps and deletes at ``now_us``."""
+def retention(events: DataFrame, *, keep_days: int, now_us: int | Column) -> DataFrame:
+    """Per person: events that raw retention keeps and deletes at ``now_us``, a number or a scalar subquery."""
     old = F.col("us") < now_us - keep_days * DAY
     return events.groupBy("person_id").agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("deleted"))
 
 
 def coverage_gaps(switches: DataFrame) -> DataFrame:
-    """(person_id, from_us, to_us) from switches (person_id, us, on): opening twice or closing twice changes nothing.
+    """(person_id, from_us, to_us) from switches (person_id, event_id, us, on), ties by event: opening twice or closing twice changes nothing.
 
     A gap that is still open ends in null.
     """
-    w = Window.partitionBy("person_id").orderBy("us")
+    w = person_order()
     changed = switches.withColumn("before", F.lag("on").over(w)).where((F.col("on") != F.col("before")) | (F.col("before").isNull() & ~F.col("on")))
     return changed.select("person_id", F.col("us").alias("from_us"), F.lead("us").over(w).alias("to_us"), "on").where("not on").drop("on")

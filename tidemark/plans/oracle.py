@@ -43,11 +43,13 @@ v AS (SELECT page_id, regexp_replace(regexp_replace(h, ':[0-9]*$', ''), '\\.+$',
 dm AS (SELECT page_id, CASE WHEN n = 'localhost' OR ends_with(n, '.localhost') OR regexp_full_match(n, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+') OR contains(n, ':') OR starts_with(n, '[') OR len(l) < 2 OR list_contains(l, '') THEN NULL
     WHEN array_to_string(l[-2:], '.') NOT IN ({", ".join(f"'{s}'" for s in SUFFIXES)}) THEN array_to_string(l[-2:], '.') WHEN len(l) >= 3 THEN array_to_string(l[-3:], '.') END AS domain FROM w),
 cd AS (SELECT *, {_RULE_CASE} AS rule FROM dm)"""
-_RES = _LB.replace("WITH ", "") + """, z AS (SELECT min(us) AS base FROM ev), pq AS (SELECT person_id, category, window_end AS start_us, window_end + 86400000000 AS end_us FROM lb, z WHERE window_end <= base + 20 * 86400000000),
-res AS (SELECT pq.*, CASE WHEN person_id % 7 = 0 AND base + 5 * 86400000000 < end_us AND base + 6 * 86400000000 > start_us THEN 'expired'
+_RES = _LB.replace("WITH ", "") + """, z AS (SELECT max(us) AS now FROM ev), pq AS (SELECT person_id, category, window_end AS start_us, window_end + 86400000000 AS end_us FROM lb),
+sw AS (SELECT person_id, us, category <> 'view' AS o, lag(category <> 'view') OVER (PARTITION BY person_id ORDER BY us, event_id) AS b FROM ev),
+gp AS (SELECT person_id, us AS from_us, coalesce((SELECT min(x.us) FROM sw x WHERE x.person_id = sw.person_id AND x.us > sw.us AND x.o), (SELECT now FROM z)) AS to_us FROM sw WHERE NOT o AND coalesce(b, true)),
+res AS (SELECT pq.*, CASE WHEN EXISTS (SELECT 1 FROM gp WHERE gp.person_id = pq.person_id AND from_us < end_us AND to_us > start_us) THEN 'expired'
     WHEN (SELECT min(us) FROM ev x WHERE x.person_id = pq.person_id) > start_us THEN 'expired'
-    WHEN EXISTS (SELECT 1 FROM ev x WHERE x.person_id = pq.person_id AND x.category = pq.category AND x.us > start_us AND x.us <= end_us AND x.us <= base + 20 * 86400000000) THEN 'hit'
-    WHEN end_us > base + 20 * 86400000000 THEN 'pending' ELSE 'miss' END AS outcome FROM pq, z)"""
+    WHEN EXISTS (SELECT 1 FROM ev x WHERE x.person_id = pq.person_id AND x.category = pq.category AND x.us > start_us AND x.us <= end_us) THEN 'hit'
+    WHEN end_us > now THEN 'pending' ELSE 'miss' END AS outcome FROM pq, z)"""
 
 
 def _r(x: str, name: str, digits: int = 6) -> str:
@@ -112,8 +114,11 @@ _RANKED = _EV + """, dn AS (SELECT person_id, domain, count(*) AS n FROM ev WHER
 rk AS (SELECT *, row_number() OVER w AS place, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY person_id) AS cs FROM dn WINDOW w AS (PARTITION BY person_id ORDER BY n DESC, domain))"""
 
 _TOPK = _TR + """, x AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY tr.us) AS rn, count(*) OVER (PARTITION BY person_id) AS t FROM (SELECT tr.*, r.us FROM tr JOIN r USING (person_id, event_id)) tr),
-tn AS (SELECT * FROM x WHERE rn <= floor(t * 0.6)), o AS (SELECT person_id, list(to_category ORDER BY n DESC, to_category) AS rk FROM (SELECT person_id, to_category, count(*) AS n FROM tn GROUP BY 1, 2) GROUP BY 1),
-s AS (SELECT person_id, from_category, list(to_category ORDER BY n DESC, to_category) AS rs FROM (SELECT person_id, from_category, to_category, count(*) AS n FROM tn GROUP BY 1, 2, 3) GROUP BY 1, 2),
+tn AS (SELECT * FROM x WHERE rn <= floor(t * 0.6)), o0 AS (SELECT person_id, to_category, count(*) AS m FROM tn GROUP BY 1, 2),
+o AS (SELECT person_id, list(to_category ORDER BY m DESC, to_category) AS rk, sum(m) AS al FROM o0 GROUP BY 1),
+sy0 AS (SELECT f.person_id, f.from_category, o0.to_category, m, al, (SELECT count(*) FROM tn WHERE tn.person_id = f.person_id AND tn.from_category = f.from_category AND tn.to_category = o0.to_category) AS n
+    FROM (SELECT DISTINCT person_id, from_category FROM tn) f JOIN o0 USING (person_id) JOIN o USING (person_id)),
+s AS (SELECT person_id, from_category, list(to_category ORDER BY n * al + m DESC, to_category) AS rs FROM sy0 GROUP BY 1, 2),
 j AS (SELECT x.*, rk, coalesce(rs, rk) AS rs FROM x JOIN o USING (person_id) LEFT JOIN s USING (person_id, from_category) WHERE rn > floor(t * 0.6))"""
 
 
@@ -135,7 +140,7 @@ ORACLES = {
     "top_k_accuracy": f"""WITH {_TOPK} SELECT person_id, count(*) AS n, {_r('avg((rk[1] = to_category)::INT)', 'mode_top1')}, {_r('avg(list_contains(rk[1:2], to_category)::INT)', 'mode_topk')},
         {_r('avg((rs[1] = to_category)::INT)', 'table_top1')}, {_r('avg(list_contains(rs[1:2], to_category)::INT)', 'table_topk')} FROM j GROUP BY 1""",
     "retention_split": f"WITH {_EV}, m AS (SELECT max(us) - 14 * 86400000000 AS cut FROM ev) SELECT person_id, count(*) FILTER (WHERE us >= cut) AS kept, count(*) FILTER (WHERE us < cut) AS deleted FROM ev, m GROUP BY 1",
-    "coverage_gaps": f"""WITH {_EV}, a AS (SELECT person_id, us, category <> 'view' AS o, lag(category <> 'view') OVER (PARTITION BY person_id ORDER BY us) AS b FROM ev)
+    "coverage_gaps": f"""WITH {_EV}, a AS (SELECT person_id, us, category <> 'view' AS o, lag(category <> 'view') OVER (PARTITION BY person_id ORDER BY us, event_id) AS b FROM ev)
         SELECT person_id, us AS from_us, (SELECT min(x.us) FROM a x WHERE x.person_id = a.person_id AND x.us > a.us AND x.o) AS to_us FROM a WHERE NOT o AND coalesce(b, true)""",
     "session_boundaries": f"WITH {_SS} SELECT person_id, event_id, session_no, session_start FROM ss",
     "session_shape": f"""WITH {_SS}, c AS (SELECT person_id, session_no, category, count(*) AS n FROM ss GROUP BY 1, 2, 3), h AS (SELECT person_id, session_no, count(*) AS k, arg_min(category, (-n, category)) AS pc,
@@ -150,8 +155,14 @@ ORACLES = {
     "browsing_next_hour": _HOURS,
     "calendar_blocks": f"WITH {_GRID} SELECT person_id, category, day, n FROM grid",
     "block_volume": _BLOCK,
-    "novelty": f"""WITH {_EV}, d AS (SELECT DISTINCT person_id, domain, us // 86400000000 AS day FROM ev WHERE domain IS NOT NULL), f AS (SELECT person_id, min(day) AS first FROM d GROUP BY 1)
-        SELECT d.person_id, d.day, count(*) AS n_domains, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.person_id = d.person_id AND o.domain = d.domain AND o.day < d.day AND o.day >= d.day - 7)) AS n_new FROM d JOIN f ON f.person_id = d.person_id WHERE d.day > first GROUP BY 1, 2""",
+    "novelty": f"""WITH {_EV}, v AS (SELECT person_id, domain, us, us // 86400000000 AS day FROM ev WHERE domain IS NOT NULL), f AS (SELECT person_id, day, min(us) AS fa FROM v GROUP BY 1, 2),
+        jd AS (SELECT f.* FROM f WHERE EXISTS (SELECT 1 FROM v x WHERE x.person_id = f.person_id AND x.us < fa AND x.us >= fa - 7 * 86400000000)),
+        nv AS (SELECT jd.person_id, jd.day, count(*) AS n_domains, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v x WHERE x.person_id = d.person_id AND x.domain = d.domain AND x.us < fa AND x.us >= fa - 7 * 86400000000)) AS n_new
+            FROM jd JOIN (SELECT DISTINCT person_id, domain, day FROM v) d ON d.person_id = jd.person_id AND d.day = jd.day GROUP BY 1, 2) SELECT * FROM nv""",
+    "novelty_summary": f"""WITH {_EV}, v AS (SELECT person_id, domain, us, us // 86400000000 AS day FROM ev WHERE domain IS NOT NULL), f AS (SELECT person_id, day, min(us) AS fa FROM v GROUP BY 1, 2),
+        jd AS (SELECT f.* FROM f WHERE EXISTS (SELECT 1 FROM v x WHERE x.person_id = f.person_id AND x.us < fa AND x.us >= fa - 7 * 86400000000)),
+        nv AS (SELECT jd.person_id, jd.day, count(*) AS n_domains, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v x WHERE x.person_id = d.person_id AND x.domain = d.domain AND x.us < fa AND x.us >= fa - 7 * 86400000000)) AS n_new
+            FROM jd JOIN (SELECT DISTINCT person_id, domain, day FROM v) d ON d.person_id = jd.person_id AND d.day = jd.day GROUP BY 1, 2) SELECT person_id, count(*) AS labels, round(avg((n_new > 0)::INT), 6) + 0.0 AS base_rate, round(avg(n_new), 6) + 0.0 AS mean_new_domains FROM nv GROUP BY 1""",
     "dormancy": f"""WITH {_GRID}, q AS (SELECT *, sum(n) OVER ({_A} ORDER BY rn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS quiet, sum(n) OVER ({_A} ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ever FROM grid)
         SELECT person_id, count(*) AS n_dormant, count(*) FILTER (WHERE n > 0) AS n_returned FROM q WHERE quiet = 0 AND ever > 0 GROUP BY 1""",
     "category_transitions": f"WITH {_TR} SELECT * FROM tr",
@@ -184,7 +195,7 @@ ORACLES = {
     "accuracy_coverage": f"""WITH {_PRED}, t AS (SELECT 0.5::DOUBLE + 0.5::DOUBLE * k / 50 AS threshold FROM range(50) r(k)), a AS (SELECT model, threshold, count(*) FILTER (WHERE greatest(p, 1 - p) >= threshold) AS answered,
         count(*) FILTER (WHERE greatest(p, 1 - p) >= threshold AND (p > 0.5) = (y = 1)) AS correct, count(*) AS n FROM pr, t GROUP BY 1, 2), w AS (SELECT *, correct / nullif(answered, 0) AS acc FROM a)
         SELECT model, round(threshold, 6) AS threshold, answered, correct, {_r('acc', 'accuracy')}, {_r('answered / n', 'coverage')},
-        {_r('(acc + 3.8416 / (2 * nullif(answered, 0)) - 1.96 * sqrt(acc * (1 - acc) / nullif(answered, 0) + 3.8416 / (4 * nullif(answered, 0) * nullif(answered, 0)))) / (1 + 3.8416 / nullif(answered, 0))', 'wilson')} FROM w""",
+        {_r('(acc + 2.706025 / (2 * nullif(answered, 0)) - 1.645 * sqrt(acc * (1 - acc) / nullif(answered, 0) + 2.706025 / (4 * nullif(answered, 0) * nullif(answered, 0)))) / (1 + 2.706025 / nullif(answered, 0))', 'wilson')} FROM w""",
     "prediction_resolution": f"WITH {_RES} SELECT person_id, category, start_us, end_us, outcome FROM res",
     "scorecard": f"WITH {_RES} SELECT person_id, {', '.join(f'''count(*) FILTER (WHERE outcome = '{x}') AS {x}''' for x in ('hit', 'miss', 'pending', 'expired'))} FROM res GROUP BY 1",
     "role_transitions": """WITH c AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS ch FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), r0 AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.columns import registrable_domain, resolve
-from tidemark.operators import distributions, evaluation, labels, models, patterns, sessions, studies
+from tidemark.operators import distributions, evaluation, labels, models, patterns, resampling, rivals, sessions, studies
 from tidemark.sources.events import from_event_table
 
 TIMEOUT, HORIZON = 43_200, 24
@@ -72,6 +72,14 @@ def novelty(spark, sf_dir):
     return labels.novelty(events(spark, sf_dir), lookback_days=7)
 
 
+def novelty_summary(spark, sf_dir):
+    """Per person: judged days, the share with a new domain, and the mean number of new ones."""
+    made = labels.novelty(events(spark, sf_dir), lookback_days=7)
+    return rounded(made.groupBy("person_id").agg(
+        F.count("*").alias("labels"), F.avg((F.col("n_new") > 0).cast("double")).alias("base_rate"), F.avg("n_new").alias("mean_new_domains")
+    ))
+
+
 def dormancy(spark, sf_dir):
     return labels.dormancy(labels.day_grid(events(spark, sf_dir)))
 
@@ -185,16 +193,17 @@ def accuracy_coverage(spark, sf_dir):
     return rounded(evaluation.accuracy_coverage(predictions(spark, sf_dir)))
 
 
+def _gaps(rows):
+    """Collection is on while events of a type other than ``view`` arrive."""
+    return studies.coverage_gaps(rows.select("person_id", "event_id", "us", (F.col("category") != "view").alias("on")))
+
+
 def prediction_resolution(spark, sf_dir):
-    """Predictions of the return labels, settled 20 days after the first event; every seventh person has a coverage gap."""
-    spark_events = events(spark, sf_dir)
-    made = labels.return_labels(sessions.sessionise(spark_events, timeout_seconds=TIMEOUT), horizon_hours=HORIZON)
-    first = spark_events.agg(F.min("us").alias("first"))
-    base = first.first()["first"] or 0
-    now = base + 20 * schemas.DAY
-    asked = made.where(F.col("window_end") <= now).select("person_id", "category", F.col("window_end").alias("start_us"), (F.col("window_end") + HORIZON * schemas.HOUR).alias("end_us"))
-    gaps = spark_events.where("person_id % 7 = 0").select("person_id").distinct().select("person_id", F.lit(base + 5 * schemas.DAY).alias("from_us"), F.lit(base + 6 * schemas.DAY).alias("to_us"))
-    return evaluation.resolve_predictions(asked, spark_events.where(F.col("us") <= now), gaps, now)
+    """Predictions of all return labels, settled at the last event; coverage gaps are those of :func:`coverage_gaps`."""
+    rows = events(spark, sf_dir)
+    made = labels.return_labels(sessions.sessionise(rows, timeout_seconds=TIMEOUT), horizon_hours=HORIZON)
+    asked = made.select("person_id", "category", F.col("window_end").alias("start_us"), (F.col("window_end") + HORIZON * schemas.HOUR).alias("end_us"))
+    return evaluation.resolve_predictions(asked, rows, _gaps(rows), rows.agg(F.max("us")).scalar())
 
 
 def scorecard(spark, sf_dir):
@@ -209,17 +218,34 @@ def role_transitions(spark, sf_dir):
 
 def logistic_backtest(spark, sf_dir):
     made = evaluation.rolling_folds(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON))
-    return rounded(models.backtest(made, schemas.FS_3))
+    return rounded(models.backtest(made, schemas.FS_3, nullable=schemas.NULLABLE["fs_3"]))
 
 
 def platt_calibration(spark, sf_dir):
     """Brier score of the logistic predictions of each person, raw and calibrated on the folds before."""
     made = evaluation.rolling_folds(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON))
-    found = models.calibrate(models.backtest(made, schemas.FS_3))
+    found = models.calibrate(models.backtest(made, schemas.FS_3, nullable=schemas.NULLABLE["fs_3"]))
     miss = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))
     return rounded(found.groupBy("person_id").agg(F.count("*").alias("n"), miss("raw").alias("brier_raw"), miss("p").alias("brier_calibrated")))
 
 
+def calibrated_backtest(spark, sf_dir):
+    """Brier score and calibration error of each person's model before and after Platt's sigmoid, from nested 70/30 splits."""
+    made = evaluation.rolling_folds(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON))
+    found = models.calibrated_backtest(made, schemas.FS_3, nullable=schemas.NULLABLE["fs_3"]).where("category <> 'unknown'")
+    long = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(c).alias("p")) for m, c in (("raw", "raw"), ("calibrated", "p"))))).alias("s")
+    stacked = found.select("person_id", "y", "n_fit", "n_calibration", long).select("person_id", "y", "n_fit", "n_calibration", "s.model", "s.p")
+    bins = stacked.withColumn("bin", F.least(F.floor(F.col("p") * 10), F.lit(9))).groupBy("person_id", "model", "bin").agg(
+        F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("error"),
+        F.max("n_calibration").alias("n_calibration"),
+    )
+    gap = F.abs(F.col("mean_p") - F.col("rate"))
+    return rounded(bins.groupBy("person_id", "model").agg(
+        F.sum("n").alias("n"), (F.sum("error") / F.sum("n")).alias("brier"), (F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"),
+        F.max("n_calibration").alias("n_calibration"),
+    ))
+
+
 def brier_bootstrap(spark, sf_dir):
     return evaluation.brier_bootstrap(predictions(spark, sf_dir), challenger="category_rate", reference="base_rate", resamples=10_000)
 
@@ -260,13 +286,30 @@ def top_k_accuracy(spark, sf_dir):
 
 def retention_split(spark, sf_dir):
     rows = events(spark, sf_dir)
-    return studies.retention(rows, keep_days=14, now_us=rows.agg(F.max("us")).first()[0] or 0)
+    return studies.retention(rows, keep_days=14, now_us=rows.agg(F.max("us")).scalar())
 
 
 def coverage_gaps(spark, sf_dir):
-    """Collection is on while events of a type other than ``view`` arrive."""
-    switches = events(spark, sf_dir).select("person_id", "us", (F.col("category") != "view").alias("on"))
-    return studies.coverage_gaps(switches)
+    return _gaps(events(spark, sf_dir))
+
+
+def accuracy_interval(spark, sf_dir):
+    """How far the transition table's accuracy lies above the global mode's, for each person; sessions are resampled."""
+    made = evaluation.rolling_folds(sessions.category_transitions(sessioned(spark, sf_dir)), order=("us", "event_id"))
+    test = rivals.multiclass_predictions(made)
+    right = lambda c: (F.col(c) == F.col("to_category")).cast("double")
+    sums = test.groupBy("person_id", "session_no").agg(F.sum(right("transition_table") - right("global_mode")).alias("diff"), F.count("*").alias("n"))
+    rows = test.groupBy("person_id").agg(F.count("*").alias("rows"))
+    found = resampling.intervals(sums, ["person_id"], "session_no", "diff", "n").join(rows, "person_id")
+    return rounded(found.withColumn("excludes_zero", resampling.excludes_zero()).withColumn("rows_to_exclude_zero", resampling.rows_to_exclude_zero("rows")))
+
+
+def population_interval(spark, sf_dir):
+    """The mean over persons of the category rate's gain in Brier score over the base rate; persons are resampled."""
+    error = F.pow(F.col("p") - F.col("y"), 2)
+    gain = F.avg(F.when(F.col("model") == "base_rate", error)) - F.avg(F.when(F.col("model") == "category_rate", error))
+    per = predictions(spark, sf_dir).groupBy("person_id").agg(gain.alias("gain")).select(F.lit("all").alias("population"), "person_id", "gain", F.lit(1).alias("one"))
+    return rounded(resampling.intervals(per, ["population"], "person_id", "gain", "one"))
 
 
 ALL = (
@@ -276,4 +319,5 @@ ALL = (
     domain_coverage, concentration, session_spread, browsing_summary, day_of_week_rates, url_domains, unknown_rate, association_rules, basket_rules,
     jaccard_links, cooccurrence_clusters, rolling_origin_folds, baseline_predictions, baseline_scores, reliability_curve, calibration_errors,
     accuracy_coverage, prediction_resolution, scorecard, role_transitions, logistic_backtest, platt_calibration, brier_bootstrap,
+    accuracy_interval, population_interval, calibrated_backtest, novelty_summary,
 )

@@ -39,7 +39,8 @@ _COMB = "CASE folds WHEN 5 THEN [1.0, 0.96875, 0.8125, 0.5, 0.1875, 0.03125][win
 _MC = _folds(_TR + ", lab AS (SELECT * FROM (SELECT tr.*, r.us FROM tr JOIN r USING (person_id, event_id)))", "us, event_id") + """,
 gm AS (SELECT f.person_id, f.fold, x.to_category, count(*) AS n FROM (SELECT DISTINCT person_id, fold FROM fo WHERE fold > 0) f JOIN fo x ON x.person_id = f.person_id AND x.fold < f.fold GROUP BY 1, 2, 3),
 hm AS (SELECT f.person_id, f.fold, x.from_category, x.to_category, count(*) AS n FROM (SELECT DISTINCT person_id, fold FROM fo WHERE fold > 0) f JOIN fo x ON x.person_id = f.person_id AND x.fold < f.fold GROUP BY 1, 2, 3, 4),
-m AS (SELECT person_id, fold, arg_min(to_category, (-n, to_category)) AS mode FROM gm GROUP BY 1, 2), l AS (SELECT person_id, fold, from_category, arg_min(to_category, (-n, to_category)) AS likely FROM hm GROUP BY 1, 2, 3),
+m AS (SELECT person_id, fold, arg_min(to_category, (-n, to_category)) AS mode FROM gm GROUP BY 1, 2), ga AS (SELECT *, sum(n) OVER (PARTITION BY person_id, fold) AS al FROM gm),
+l AS (SELECT hm.person_id, hm.fold, hm.from_category, arg_min(hm.to_category, (-(hm.n * al + ga.n), hm.to_category)) AS likely FROM hm JOIN ga ON ga.person_id = hm.person_id AND ga.fold = hm.fold AND ga.to_category = hm.to_category GROUP BY 1, 2, 3),
 o AS (SELECT t.*, mode, likely, (SELECT arg_min(gm.to_category, (-gm.n, gm.to_category)) FROM gm WHERE gm.person_id = t.person_id AND gm.fold = t.fold AND gm.to_category <> t.from_category) AS con
     FROM fo t JOIN m USING (person_id, fold) LEFT JOIN l USING (person_id, fold, from_category))"""
 _CARD = """, sh AS (SELECT person_id, from_category, to_category AS category, event_id FROM tr WHERE to_category <> 'unknown'), bd AS (SELECT person_id, from_category, category, count(*) AS n FROM sh GROUP BY 1, 2, 3),
@@ -93,7 +94,7 @@ ORACLES = {
         SELECT person_id, model, fold, session_no, category, {_r('p', 'p')}, y, {_r('error', 'error')} FROM k WHERE place = 1""",
     "category_scores": f"WITH {_PRED} SELECT category, model, count(*) AS n, {_r('avg((p - y) * (p - y))', 'brier')} FROM pr GROUP BY 1, 2 HAVING count(*) >= 20",
     "multiclass_accuracy": f"""WITH {_MC} SELECT person_id, count(*) AS n, {_r('avg((mode = to_category)::INT)', 'global_mode')}, {_r('avg((coalesce(likely, mode) = to_category)::INT)', 'transition_table')},
-        {_r('avg(coalesce(previous_category = to_category, false)::INT)', 'bounce_back')}, {_r('avg((coalesce(con, mode) = to_category)::INT)', 'constrained_mode')} FROM o WHERE fold > 0 GROUP BY 1""",
+        {_r('avg((CASE WHEN EXISTS (SELECT 1 FROM gm WHERE gm.person_id = o.person_id AND gm.fold = o.fold AND gm.to_category = previous_category) THEN previous_category ELSE mode END = to_category)::INT)', 'bounce_back')}, {_r('avg((coalesce(con, mode) = to_category)::INT)', 'constrained_mode')} FROM o WHERE fold > 0 GROUP BY 1""",
     "topic_board": f"WITH {_TR}{_CARD} SELECT person_id, from_category, category, n, denominator, {_r('n / denominator', 'share')}, place FROM bo WHERE denominator >= 5",
     "next_category_card": f"""WITH {_TR}{_CARD}, cu AS (SELECT person_id, arg_max(to_category, run) AS cur FROM (SELECT tr.person_id, tr.to_category, r.run FROM tr JOIN r USING (person_id, event_id)) GROUP BY 1),
         t AS (SELECT person_id, count(*) AS total_changes FROM sh GROUP BY 1 HAVING count(*) >= 20), kk AS (SELECT person_id, cur, total_changes, (SELECT count(*) FROM sh WHERE sh.person_id = cu.person_id AND sh.from_category = cur) AS own FROM cu JOIN t USING (person_id)),
@@ -112,7 +113,7 @@ ORACLES = {
         w AS (SELECT *, array_agg(n) OVER (PARTITION BY person_id, category ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS win, row_number() OVER (PARTITION BY person_id, category ORDER BY rn) AS k FROM b WHERE begun),
         j AS (SELECT *, list_median(win) AS med, 2 * len(list_filter(win, lambda x: x > 0)) >= len(win) AS fits FROM w WHERE k > 6)
         SELECT person_id, count(*) FILTER (WHERE fits) AS labels, count(*) FILTER (WHERE fits AND n > med) AS strict, count(*) FILTER (WHERE fits AND n >= med) AS inclusive, count(*) FILTER (WHERE fits AND n = med) AS ties,
-        count(*) FILTER (WHERE fits AND med = 0) AS zero_medians, count(DISTINCT category) FILTER (WHERE fits) AS topics, count(DISTINCT category) FILTER (WHERE NOT fits) AS rejected_topics FROM j GROUP BY 1""",
+        count(*) FILTER (WHERE fits AND med = 0) AS zero_medians, count(DISTINCT category) FILTER (WHERE fits) AS topics, count(DISTINCT category) FILTER (WHERE NOT fits AND NOT EXISTS (SELECT 1 FROM j q WHERE q.person_id = j.person_id AND q.category = j.category AND q.fits)) AS rejected_topics FROM j GROUP BY 1""",
     "absorbed_boundaries": f"""WITH {_SS}, x AS (SELECT *, lag(session_no) OVER w AS ps, lag(category) OVER w AS pc FROM ss WINDOW w AS (PARTITION BY person_id ORDER BY us, event_id))
         SELECT person_id, count(*) AS boundaries, count(*) FILTER (WHERE pc = category) AS absorbed FROM x WHERE ps <> session_no GROUP BY 1""",
     "next_session_floors": f"""WITH sp AS ({_FIRST['session_shape']}), x AS (SELECT person_id, primary_category AS a, lead(primary_category) OVER (PARTITION BY person_id ORDER BY session_no) AS b FROM sp), y AS (SELECT * FROM x WHERE b IS NOT NULL),

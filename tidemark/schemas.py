@@ -21,3 +21,9 @@ FIRST_SEEN_HOURS, PRIOR_SESSION_RATE = 168.0, 1.0
 VISIT_COUNT, DOMAIN_COUNT, DURATION_MINUTES = 20.0, 8.0, 15.0
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000  # microseconds
+
+# The features of each set that may be null.
+NULLABLE = {
+    "fs_3": ("hoursSinceLastSeen", "firstSeenSaturation", "categoryShare30d", "priorReturnRate"), "bs_1": ("daysSinceAbove",),
+    "as_2n": ("domainDwellLevel", "prevDwellRatio"), "pr_1": ("sameHourRate7d",),
+}
