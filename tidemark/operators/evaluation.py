@@ -128,4 +128,4 @@ def resolve_predictions(predictions: DataFrame, events: DataFrame, gaps: DataFra
     key = ["person_id", "category", "start_us"]
     joined = predictions.join(oldest, "person_id", "left").join(gapped, key, "left").join(hits, key, "left")
     expired = F.col("gap").isNotNull() | F.col("oldest").isNull() | (F.col("oldest") > F.col("start_us"))
-    return joined.select(*predictions.columns, F.when(expired, "expired").when(F.col("hit"), "hit").when(F.col("end_us") > now_us, "pending").otherwise("miss").alias("outcome"))
+    return joined.select(*predictions.columns, F.when(expired, "expired").when(F.col("hit"), "hit").when(F.col("end_us") >= now_us, "pending").otherwise("miss").alias("outcome"))

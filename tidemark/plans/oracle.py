@@ -49,7 +49,7 @@ gp AS (SELECT person_id, us AS from_us, coalesce((SELECT min(x.us) FROM sw x WHE
 res AS (SELECT pq.*, CASE WHEN EXISTS (SELECT 1 FROM gp WHERE gp.person_id = pq.person_id AND from_us < end_us AND to_us > start_us) THEN 'expired'
     WHEN (SELECT min(us) FROM ev x WHERE x.person_id = pq.person_id) > start_us THEN 'expired'
     WHEN EXISTS (SELECT 1 FROM ev x WHERE x.person_id = pq.person_id AND x.category = pq.category AND x.us > start_us AND x.us <= end_us) THEN 'hit'
-    WHEN end_us > now THEN 'pending' ELSE 'miss' END AS outcome FROM pq, z)"""
+    WHEN end_us >= now THEN 'pending' ELSE 'miss' END AS outcome FROM pq, z)"""
 
 
 def _r(x: str, name: str, digits: int = 6) -> str:
