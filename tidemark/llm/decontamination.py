@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import materialise
+from tidemark.llm.scratch import free, materialise
 
 #: Token offsets that each mask hashes. The first tolerates one substitution in every five tokens, the
 #: second irregular ones; six tokens decide, which keeps chance hits of common words rare.
@@ -82,8 +82,9 @@ def contaminated(
     found = materialise(placed.select("id", "item", "p", "ip"), "hits")
     # Tokens come back for documents with a hit only, and join the hits by id; rows that repeat an id are all compared.
     # The ids are written, so that the join goes by their size, which is small next to the texts'.
-    own = materialise(found.select(F.col("id").alias("__hit")).distinct(), "hit_ids")
-    held = docs.join(own, F.col(f"`{id_col}`").eqNullSafe(F.col("__hit")), "left_semi")
+    hit = free(docs, "__hit")
+    own = materialise(found.select(F.col("id").alias(hit)).distinct(), "hit_ids")
+    held = docs.join(own, F.col(f"`{id_col}`").eqNullSafe(F.col(hit)), "left_semi")
     held = _tokenised(held, id_col, text_col, "hid", "t")
     # Hits grow with the documents: always a merge by id, of the texts with a hit only.
     hits = found.join(held.hint("merge"), F.col("id").eqNullSafe(F.col("hid"))).join(items, "item")
@@ -108,5 +109,6 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the contaminated rows; rows with a null id stay unless null is contaminated."""
-    bad = materialise(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__bad")), "bad")  # joined by its size
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    name = free(docs, "__bad")
+    bad = materialise(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias(name)), "bad")  # joined by its size
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")

@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from tidemark.llm.scratch import every_column, free
 
 #: Symbols of a trigram: letters below this stand for themselves, others are hashed into the rest.
 _PLAIN, _SYMBOLS = 592, 1024
@@ -137,7 +140,7 @@ def _decide(model: Model, text: str | None) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Each row's ``id_col`` and ``carry`` columns with ``lang_pred`` and ``score`` (0 to 1).
+    """Each row's ``id_col`` and ``carry`` columns with ``lang_pred`` and ``score`` (0 to 1), names that those may not have.
 
     ``und`` with score 0 if the text is null or has no letter, or the model knows no language. Ties go to
     the first language by name. Rows are judged one by one; repeated rows and ids give a row each.
@@ -153,8 +156,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             )
 
     cols = list(dict.fromkeys((id_col, *carry)))
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return docs.select(F.col(text_col).alias("__text"), *cols).mapInArrow(batches, f"{kept}, lang_pred string, score double")
+    schema = StructType([*(docs.schema[c] for c in cols), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.select(F.col(text_col).alias(free(docs, "__text")), *cols).mapInArrow(batches, schema)
+
+
+def keep_known(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language holds at least the share ``least`` of their trigrams; all columns, whatever their names."""
+    rows = docs.select(F.col(text_col).alias("text"), F.struct(*every_column(docs)).alias("row"))
+    judged = predict(rows, model, id_col="row").where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return judged.select("row.*")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.scratch import discard, materialise
+from tidemark.llm.scratch import discard, materialise, numbered
 
 SHINGLE = 5
 #: A cut is least among so many boundaries on either side, which gives 7 to 64 words and 13 on average.
@@ -280,9 +280,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables; ids should be unique here, since word numbers hold for one text.
     """
     gone = repeated_passages(docs, id_col, text_col, similarity, least).where(F.size("passages") > 0)
-    names, place = docs.columns, docs.columns.index(text_col)
-    own = F.col(f"`{id_col}`") == F.col("__id")
-    joined = docs.join(gone.select(F.col(id_col).alias("__id"), F.col("passages").alias("__gone")), own, "left").drop("__id")
+    plain = numbered(docs)
+    names, place = plain.columns, docs.columns.index(text_col)
+    own = F.col(names[docs.columns.index(id_col)]) == F.col("other")
+    joined = plain.join(gone.select(F.col(id_col).alias("other"), F.col("passages").alias("gone")), own, "left").drop("other")
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -291,4 +292,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols[place] = pa.array([_cut(t, g) if g else t for t, g in texts], cols[place].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(batches, docs.schema)
+    return joined.mapInArrow(batches, plain.schema).toDF(*docs.columns)

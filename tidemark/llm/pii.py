@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import numbered
+
 #: The kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the kinds, with possessive repeats where nothing is ever given back.
@@ -360,7 +362,8 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: st
     one, so repeats and ties do not matter. An empty table gives an empty result; other columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    names, place = docs.columns, docs.columns.index(text_col)
+    plain = numbered(docs)
+    names, place = plain.columns, docs.columns.index(text_col)
 
     def clean(text: str, spans: list[tuple[str, int, int]]) -> str:
         parts, done = [], 0
@@ -380,5 +383,8 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: st
             cols[place] = pa.array(new, batch.column(place).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = docs.mapInArrow(batches, docs.schema)
-    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in names else out
+    out = plain.mapInArrow(batches, plain.schema)
+    if length_col in docs.columns:
+        length = names[docs.columns.index(length_col)]
+        out = out.withColumn(length, F.length(names[place]).cast(plain.schema[length].dataType))
+    return out.toDF(*docs.columns)

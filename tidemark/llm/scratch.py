@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -22,6 +23,24 @@ def folder(spark: SparkSession) -> str:
     return shared or _own_folder()
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def every_column(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1, …: names with dots or quotes can't pass through a Python worker."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
