@@ -9,11 +9,10 @@ and gives an empty result for an empty table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, language_id, packing, pii, simhash_dedup
 from tidemark.llm.registry import TOKENIZER, table
-from tidemark.llm.scratch import materialise
+from tidemark.llm.scratch import every_column, materialise
 
 #: A document stays if its language holds at least this corrected share of its trigrams.
 LEAST_SCORE = 0.5
@@ -25,8 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no letters and go. Rows are judged one by one: repeats and ties each, null ids too.
     """
     model = language_id.train(docs.where(~language_id.held_out()))
-    judged = language_id.predict(docs, model, carry=tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return language_id.keep_known(docs, model, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = simhash_dedup.near_duplicates(docs, width=5)
     gone = materialise(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")  # joined by its size
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*every_column(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark; null, empty and short texts hold none."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +61,8 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: SQL can't express the trained models and the tokenizer; the tests hold run() against brute force.
+#: SQL can't express the trained models and the tokenizer; the tests hold run() to its stages, and each stage's operator
+#: to brute force or a plain loop where it has one.
 ORACLE_SQL = None
 
 
