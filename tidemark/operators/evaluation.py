@@ -129,3 +129,26 @@ def resolve_predictions(predictions: DataFrame, events: DataFrame, gaps: DataFra
     joined = predictions.join(oldest, "person_id", "left").join(gapped, key, "left").join(hits, key, "left")
     expired = F.col("gap").isNotNull() | F.col("oldest").isNull() | (F.col("oldest") > F.col("start_us"))
     return joined.select(*predictions.columns, F.when(expired, "expired").when(F.col("hit"), "hit").when(F.col("end_us") >= now_us, "pending").otherwise("miss").alias("outcome"))
+
+
+def eligibility(sessioned: DataFrame, labels_: DataFrame, *, visits: int, sessions: int, labels: int) -> DataFrame:
+    """(person_id, visits, sessions, labels, reason) of every person: the first quantity that falls short, null if none does.
+
+    The quantities say nothing about scores; exclusions are rows, so that they can be counted.
+    """
+    seen = sessioned.groupBy("person_id").agg(F.count("*").alias("visits"), F.countDistinct("session_no").alias("sessions"))
+    made = labels_.groupBy("person_id").agg(F.count("*").alias("labels"))
+    joined = seen.join(made, "person_id", "left").withColumn("labels", F.coalesce("labels", F.lit(0).cast("long")))
+    short = F.when(F.col("visits") < visits, "visits").when(F.col("sessions") < sessions, "sessions").when(F.col("labels") < labels, "labels")
+    return joined.select("person_id", "visits", "sessions", "labels", short.alias("reason"))
+
+
+def measured(eligible: DataFrame, predicted: DataFrame, *, challenger: str, reference: str) -> DataFrame:
+    """The eligible persons with test rows: ``test_rows``, ``base_rate`` and ``gain``, the reference's Brier score less the challenger's."""
+    error = F.pow(F.col("p") - F.col("y"), 2)
+    of = lambda model: F.avg(F.when(F.col("model") == model, error))
+    per = predicted.groupBy("person_id").agg(
+        F.count_if(F.col("model") == reference).alias("test_rows"), F.avg(F.when(F.col("model") == reference, F.col("y"))).alias("base_rate"),
+        (of(reference) - of(challenger)).alias("gain"),
+    )
+    return eligible.join(per, "person_id")
