@@ -126,3 +126,49 @@ def test_empty_input(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert models.backtest(none, COLUMNS).collect() == []
     assert models.calibrated_backtest(none, COLUMNS).collect() == []
+
+
+def test_budgets_are_snapshots_of_one_descent(folded):
+    made = models.budgets(folded, COLUMNS, (5, 20, 60), nullable=("b",)).collect()
+    got = {(r.person_id, r.session_no, r.steps): r.p for r in made}
+    for steps in (5, 60):
+        own = {(r.person_id, r.session_no): r.p for r in models.backtest(folded, COLUMNS, steps=steps, nullable=("b",)).collect()}
+        assert len(own) * 3 == len(got) and all(got[(*k, steps)] == pytest.approx(p, abs=1e-12) for k, p in own.items())
+
+
+def advanced(folded, held, chunk, **options):
+    options = {"feature_set": "f1", "total": 50, "nullable": ("b",)} | options
+    return models.advance(folded, held, COLUMNS, chunk=chunk, **options)
+
+
+def test_chunks_equal_one_training(spark, folded):
+    none = spark.createDataFrame([], models.MODEL)
+    whole = {r.person_id: r for r in advanced(folded, none, 50).collect()}
+    held = none
+    for steps in (20, 40, 50, 50):
+        held = advanced(folded, held, 20).checkpoint()
+        assert {(r.steps, r.settled) for r in held.collect()} == {(steps, steps == 50)}
+    for r in held.collect():
+        assert np.allclose(r.weights, whole[r.person_id].weights, atol=1e-12) and r.bias == pytest.approx(whole[r.person_id].bias)
+        assert r.n_rows == whole[r.person_id].n_rows
+
+
+def test_new_rows_and_other_feature_sets_start_anew(spark, folded):
+    held = advanced(folded, spark.createDataFrame([], models.MODEL), 50).checkpoint()
+    fewer = folded.where("person_id <> 2 or rn > 3")
+    again = {r.person_id: (r.steps, r.n_rows) for r in advanced(fewer, held, 10).collect()}
+    assert again.pop(2)[0] == 10 and {s for s, _ in again.values()} == {50}
+    assert {r.steps for r in advanced(folded, held, 10, feature_set="f2").collect()} == {10}
+    assert advanced(folded.where("person_id = 1"), held, 10).count() == 1
+
+
+def test_scores_are_those_of_the_models(spark, rows, folded):
+    held = advanced(folded, spark.createDataFrame([], models.MODEL), 50)
+    got = {(r.person_id, r.session_no): r.p for r in models.score(folded, held.where("person_id < 8"), COLUMNS, ("b",)).collect()}
+    assert all(p is None for (who, _), p in got.items() if who == 8)
+    for person in (0, 4):
+        x, y, _ = matrices(rows, person, ("b",))
+        train, _ = standard(x, x)
+        w, b = plain_fit(train, y, 50, 1.0)
+        for k, row in enumerate(train):
+            assert got[person, k] == pytest.approx(1 / (1 + np.exp(-(row @ w + b))), abs=1e-9)

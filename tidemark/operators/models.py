@@ -52,37 +52,50 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_units(xs: list[np.ndarray], ys: list[np.ndarray], steps: int, penalty: float) -> list[tuple[np.ndarray, float]]:
-    """Weights and bias of each unit after ``steps`` steps of size 1/L from zero; units of like size step together.
+def descents(
+    xs: list[np.ndarray], ys: list[np.ndarray], at: list[tuple[int, ...]], penalty: float, starts: list[tuple[np.ndarray, float]] | None = None
+) -> list[list[tuple[np.ndarray, float]]]:
+    """Each unit's weights and bias after the numbers of steps in ``at`` (ascending), from zero or from ``starts``.
 
-    The penalty of one observation spares the bias.
+    Steps have size 1/L; the penalty of one observation spares the bias. Units of like size and like length of descent
+    step together, so where a unit's rows stand in the batch changes nothing.
     """
-    out: list[tuple[np.ndarray, float]] = [(np.zeros(0), 0.0)] * len(xs)
-    order = sorted(range(len(xs)), key=lambda u: len(ys[u]))
-    at = 0
-    while at < len(order):
-        stop = at + 1
-        while stop < len(order) and (stop - at + 1) * len(ys[order[stop]]) * xs[order[stop]].shape[1] <= CELLS:
+    out: list[list[tuple[np.ndarray, float]]] = [[] for _ in xs]
+    order = sorted(range(len(xs)), key=lambda u: (at[u], len(ys[u])))
+    first = 0
+    while first < len(order):
+        stop = first + 1
+        while stop < len(order) and at[order[stop]] == at[order[first]] and (stop - first + 1) * len(ys[order[stop]]) * xs[order[stop]].shape[1] <= CELLS:
             stop += 1
-        some = order[at:stop]
-        longest, width = len(ys[some[-1]]), xs[some[0]].shape[1]
+        some = order[first:stop]
+        longest, width = max(1, len(ys[some[-1]])), xs[some[0]].shape[1]
         x, y, there = np.zeros((len(some), longest, width)), np.zeros((len(some), longest)), np.zeros((len(some), longest))
+        w, b = np.zeros((len(some), width)), np.zeros((len(some), 1))
         for k, u in enumerate(some):
             x[k, : len(ys[u])], y[k, : len(ys[u])], there[k, : len(ys[u])] = xs[u], ys[u], 1.0
+            if starts is not None:
+                w[k], b[k, 0] = starts[u]
         n = there.sum(axis=1)
         bound = (there * (1 + (x * x).sum(axis=2))).sum(axis=1) / (4 * n) + penalty / n
-        rate = (1 / (n * bound))[:, None]
-        w, b, across = np.zeros((len(some), width)), np.zeros((len(some), 1)), np.ascontiguousarray(x.transpose(0, 2, 1))
-        for _ in range(steps):
-            miss = (sigmoid((x @ w[:, :, None])[:, :, 0] + b) - y) * there
-            w -= rate * ((across @ miss[:, :, None])[:, :, 0] + penalty * w)
-            b -= rate * miss.sum(axis=1, keepdims=True)
-        for k, u in enumerate(some):
-            out[u] = w[k], float(b[k, 0])
-        at = stop
+        rate, across = (1 / (n * bound))[:, None], np.ascontiguousarray(x.transpose(0, 2, 1))
+        done = 0
+        for want in at[some[0]]:
+            for _ in range(want - done):
+                miss = (sigmoid((x @ w[:, :, None])[:, :, 0] + b) - y) * there
+                w -= rate * ((across @ miss[:, :, None])[:, :, 0] + penalty * w)
+                b -= rate * miss.sum(axis=1, keepdims=True)
+            done = want
+            for k, u in enumerate(some):
+                out[u].append((w[k].copy(), float(b[k, 0])))
+        first = stop
     return out
 
 
+def fit_units(xs: list[np.ndarray], ys: list[np.ndarray], steps: int, penalty: float) -> list[tuple[np.ndarray, float]]:
+    """Weights and bias of each unit after ``steps`` steps from zero."""
+    return [found[0] for found in descents(xs, ys, [(steps,)] * len(xs), penalty)]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = 1.0) -> tuple[np.ndarray, float]:
     """:func:`fit_units` of one unit."""
     return fit_units([x], [y], steps, penalty)[0]
@@ -158,28 +171,39 @@ def _folds(person: pd.DataFrame) -> range:
     return range(1, int(person["fold"].max()) + 1)
 
 
+def _tests(persons: list[pd.DataFrame], columns: tuple[str, ...], nullable: tuple[str, ...] | None) -> tuple[list, list, list]:
+    """Prepared training rows, their outcomes, and (keys, outcomes, prepared rows) of the test, for each person and fold."""
+    xs, ys, tests = [], [], []
+    for person in persons:
+        x, y, fold = design(person, columns, nullable), person["outcome"].to_numpy(float), person["fold"].to_numpy()
+        for k in _folds(person):
+            before, own = fold < k, fold == k
+            prepared = prepare(x[before])
+            xs.append(ready(x[before], prepared))
+            ys.append(y[before])
+            tests.append((person.loc[own, _KEY], y[own], ready(x[own], prepared)))
+    return xs, ys, tests
+
+
 def backtest(folded: DataFrame, columns: tuple[str, ...], *, steps: int = STEPS, nullable: tuple[str, ...] | None = None) -> DataFrame:
     """(person_id, category, session_no, window_end, fold, y, p) of the test rows; a fold trains on all earlier ones.
 
     A null in a column that isn't ``nullable`` raises ValueError; by default every column is.
     """
+    return budgets(folded, columns, (steps,), nullable=nullable).drop("steps")
+
+
+def budgets(folded: DataFrame, columns: tuple[str, ...], steps: tuple[int, ...], *, nullable: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of :func:`backtest` for each number of ``steps`` (ascending): snapshots of one descent, so a sweep is one training."""
 
     def work(persons: list[pd.DataFrame]) -> pd.DataFrame:
-        xs, ys, tests = [], [], []
-        for person in persons:
-            x, y, fold = design(person, columns, nullable), person["outcome"].to_numpy(float), person["fold"].to_numpy()
-            for k in _folds(person):
-                before, own = fold < k, fold == k
-                prepared = prepare(x[before])
-                xs.append(ready(x[before], prepared))
-                ys.append(y[before])
-                tests.append((person.loc[own, _KEY], y[own], ready(x[own], prepared)))
+        xs, ys, tests = _tests(persons, columns, nullable)
         out = []
-        for (own, y, x), (w, b) in zip(tests, fit_units(xs, ys, steps, 1.0), strict=True):
-            out.append(own.assign(y=y, p=sigmoid(x @ w + b)))
+        for (own, y, x), found in zip(tests, descents(xs, ys, [tuple(steps)] * len(xs), 1.0), strict=True):
+            out += [own.assign(y=y, steps=n, p=sigmoid(x @ w + b)) for n, (w, b) in zip(steps, found, strict=True)]
         return pd.concat(out)
 
-    return _by_person(_rows(folded, columns), ["rn"], work, f"{_SCHEMA}, p double", 2 * len(columns), 5)
+    return _by_person(_rows(folded, columns), ["rn"], work, f"{_SCHEMA}, steps long, p double", 2 * len(columns), 5)
 
 
 def calibrate(predicted: DataFrame, *, steps: int = PLATT_STEPS) -> DataFrame:
@@ -246,3 +270,69 @@ def calibrated_backtest(
 
     schema = f"{_SCHEMA}, raw double, p double, part string, n_fit long, n_calibration long"
     return _by_person(_rows(folded, columns), ["rn"], work, schema, 2 * len(columns), 5)
+
+
+#: A model in training: what it was made from, how far it is, and its numbers; ``settled`` once it has all its steps.
+MODEL = (
+    "person_id long, feature_set string, n_rows long, steps long, settled boolean, fill array<double>, mean array<double>, scale array<double>, "
+    "weights array<double>, bias double"
+)
+
+
+def advance(
+    rows: DataFrame, held: DataFrame, columns: tuple[str, ...], *, feature_set: str, chunk: int, total: int = STEPS, nullable: tuple[str, ...] | None = None
+) -> DataFrame:
+    """The MODEL rows of all persons after at most ``chunk`` more steps of those that aren't settled.
+
+    ``rows``: person_id, category, window_end, outcome and the columns; ``held``: earlier MODEL rows, or none. A model
+    goes on from its own numbers, so chunks give what one training gives. It starts anew if the number of its rows has
+    changed, or if it is of another feature set, whose numbers would fall on the wrong columns. A person without rows
+    has no model.
+    """
+    names = [part.split(" ")[0] for part in MODEL.split(", ")]
+    state = held.where(F.col("feature_set") == feature_set).select(*names)
+
+    def work(persons: list[pd.DataFrame]) -> pd.DataFrame:
+        xs, ys, at, starts, kept = [], [], [], [], []
+        for person in persons:
+            own, before = person[person["n_rows"].isna()], person[person["n_rows"].notna()]
+            if not len(own):
+                continue
+            x, y = design(own, columns, nullable), own["outcome"].to_numpy(float)
+            old = before.iloc[0] if len(before) and int(before["n_rows"].iloc[0]) == len(own) else None
+            if old is None:
+                prepared, done, start = prepare(x), 0, (np.zeros(x.shape[1]), 0.0)
+            else:
+                prepared = tuple(np.array(old[c], float) for c in ("fill", "mean", "scale"))
+                done, start = int(old["steps"]), (np.array(old["weights"], float), float(old["bias"]))
+            xs.append(ready(x, prepared))
+            ys.append(y)
+            at.append((max(0, min(chunk, total - done)),))
+            starts.append(start)
+            kept.append((int(own["person_id"].iloc[0]), len(own), done, prepared))
+        out = []
+        for (who, n, done, prepared), (more,), found in zip(kept, at, descents(xs, ys, at, 1.0, starts), strict=True):
+            w, b = found[0]
+            out.append((who, feature_set, n, done + more, done + more >= total, *(p.tolist() for p in prepared), w.tolist(), b))
+        return pd.DataFrame(out, columns=names)
+
+    kept = rows.select("person_id", "category", "window_end", F.col("outcome").cast("double").alias("outcome"), *columns)
+    both = kept.unionByName(state, allowMissingColumns=True)
+    return _by_person(both, ["window_end", "category"], work, MODEL, 2 * len(columns), 3)
+
+
+def score(rows: DataFrame, models: DataFrame, columns: tuple[str, ...], nullable: tuple[str, ...] | None = None) -> DataFrame:
+    """``rows`` with ``p`` by their person's MODEL row, in column expressions; persons without a model have a null p."""
+    held = columns if nullable is None else nullable
+    raw = F.array(*(F.col(c).cast("double") for c in columns), *(F.col(c).isNull().cast("double") for c in held))
+    own = models.select("person_id", F.struct("fill", "mean", "scale", "weights", "bias").alias("__m"))
+    joined = rows.join(own, "person_id", "left").withColumn("__x", raw)
+    at = F.sequence(F.lit(0), F.lit(len(columns) + len(held) - 1))
+
+    def term(i):
+        x = F.coalesce(F.get("__x", i), F.get("__m.fill", i))
+        return (x - F.get("__m.mean", i)) / F.get("__m.scale", i) * F.get("__m.weights", i)
+
+    z = F.aggregate(F.transform(at, term), F.lit(0.0), lambda a, t: a + t) + F.col("__m.bias")
+    p = F.when(F.col("__m").isNotNull(), 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0)))))
+    return joined.withColumn("p", p).drop("__m", "__x")

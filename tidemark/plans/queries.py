@@ -246,6 +246,23 @@ def calibrated_backtest(spark, sf_dir):
     ))
 
 
+def convergence_budget(spark, sf_dir):
+    """Brier score and log loss over all persons' test rows after so many steps, from one training."""
+    made = evaluation.rolling_folds(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON))
+    found = models.budgets(made, schemas.FS_3, (500, 1000, 2000, 4000), nullable=schemas.NULLABLE["fs_3"]).where("category <> 'unknown'")
+    q = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
+    loss = -(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))
+    return rounded(found.groupBy("steps").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), F.avg(loss).alias("log_loss")))
+
+
+def resumed_models(spark, sf_dir):
+    """Every person's model of all labels, trained in two chunks with the table of models between them."""
+    rows = labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON)
+    options = {"feature_set": "fs_3", "chunk": 1000, "total": 2000, "nullable": schemas.NULLABLE["fs_3"]}
+    held = models.advance(rows, spark.createDataFrame([], models.MODEL), schemas.FS_3, **options).checkpoint()
+    return rounded(models.advance(rows, held, schemas.FS_3, **options).select("person_id", "n_rows", "steps", "settled", "bias"))
+
+
 def brier_bootstrap(spark, sf_dir):
     return evaluation.brier_bootstrap(predictions(spark, sf_dir), challenger="category_rate", reference="base_rate", resamples=10_000)
 
@@ -319,5 +336,6 @@ ALL = (
     domain_coverage, concentration, session_spread, browsing_summary, day_of_week_rates, url_domains, unknown_rate, association_rules, basket_rules,
     jaccard_links, cooccurrence_clusters, rolling_origin_folds, baseline_predictions, baseline_scores, reliability_curve, calibration_errors,
     accuracy_coverage, prediction_resolution, scorecard, role_transitions, logistic_backtest, platt_calibration, brier_bootstrap,
-    accuracy_interval, population_interval, calibrated_backtest, novelty_summary,
+    accuracy_interval, population_interval, calibrated_backtest, novelty_summary, convergence_budget,
+    resumed_models,
 )
