@@ -215,3 +215,21 @@ def test_arrival_flags(spark):
 
     rows = spark.createDataFrame([("Typed",), ("auto_bookmark",), ("link",), ("reload",)], "t string").select("t", *(c.alias(n) for c, n in zip(arrival_flags(F.col("t")), "abc")))
     assert {r["t"]: (r.a, r.b, r.c) for r in rows.collect()} == {"Typed": (1, 0, 0), "auto_bookmark": (0, 1, 0), "link": (0, 0, 1), "reload": (0, 0, 0)}
+
+
+def test_a_return_at_the_very_instant_is_not_yet_known(spark):
+    day = 24 * 60
+    rows = sessions.sessionise(stream(spark, [(0, "a"), (day, "a"), (4 * day, "a")]), timeout_seconds=1800)
+    got = labels.return_features(rows, horizon_hours=24).orderBy("session_no").collect()
+    assert [(r.outcome, r.priorReturnRate) for r in got] == [(True, None), (False, 0.0), (False, 0.5)]
+
+
+def test_accuracy_coverage_equals_a_count_for_each_threshold(spark):
+    rng = np.random.default_rng(4)
+    rows = [("m" if k % 3 else "n", float(p), float(rng.random() < p)) for k, p in enumerate(rng.random(300))] + [("m", 0.5, 1.0), ("m", 0.75, 1.0), ("m", 0.0, 0.0)]
+    got = {(r.model, round(r.threshold, 9)): (r.answered, r.correct) for r in evaluation.accuracy_coverage(spark.createDataFrame(rows, "model string, p double, y double")).collect()}
+    assert len(got) == 100
+    for (model, _), k in zip(got, range(100), strict=True):
+        cut = 0.5 + 0.5 * (k % 50) / 50
+        own = [(max(p, 1 - p) >= cut, (p > 0.5) == (y == 1)) for m, p, y in rows if m == model]
+        assert got[model, round(cut, 9)] == (sum(a for a, _ in own), sum(a and h for a, h in own))

@@ -72,10 +72,20 @@ def calibration_errors(curve: DataFrame) -> DataFrame:
 
 def accuracy_coverage(predicted: DataFrame, steps: int = 50) -> DataFrame:
     """(model, threshold, answered, correct, accuracy, coverage, wilson): answers whose confidence reaches the threshold."""
-    confidence = F.greatest("p", 1 - F.col("p"))
-    cuts = F.explode(F.array(*(F.lit(0.5 + 0.5 * k / steps) for k in range(steps)))).alias("threshold")
-    rows = predicted.select("model", (confidence).alias("c"), ((F.col("p") > 0.5).cast("double") == F.col("y")).alias("hit"), cuts)
-    per = rows.groupBy("model", "threshold").agg(F.count_if(F.col("c") >= F.col("threshold")).alias("answered"), F.count_if((F.col("c") >= F.col("threshold")) & F.col("hit")).alias("correct"), F.count("*").alias("n"))
+    confidence, hit = F.greatest("p", 1 - F.col("p")), (F.col("p") > 0.5).cast("double") == F.col("y")
+    cuts = F.array(*(F.lit(0.5 + 0.5 * k / steps) for k in range(steps)))
+    # a prediction is counted once, at the number of thresholds that it reaches; those of a threshold are a running sum
+    reached = predicted.select("model", F.size(F.filter(cuts, lambda t: confidence >= t)).alias("reached"), hit.alias("hit"))
+    counted = reached.groupBy("model", "reached").agg(F.count("*").alias("c"), F.count_if("hit").alias("h"))
+    places = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("reached")
+    spine = counted.select("model").distinct().select("model", places).join(counted, ["model", "reached"], "left")
+    w = Window.partitionBy("model").orderBy(F.desc("reached")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.lit(0).cast("long")
+    summed = spine.select(
+        "model", "reached", F.coalesce(F.sum("c").over(w), zero).alias("answered"), F.coalesce(F.sum("h").over(w), zero).alias("correct"),
+        F.sum("c").over(Window.partitionBy("model")).alias("n"),
+    )
+    per = summed.where("reached > 0").withColumn("threshold", F.get(cuts, F.col("reached") - 1))
     n, p, z = F.nullif("answered", F.lit(0)), F.col("correct") / F.nullif("answered", F.lit(0)), Z
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     return per.select("model", "threshold", "answered", "correct", p.alias("accuracy"), (F.col("answered") / F.col("n")).alias("coverage"), low.alias("wilson"))

@@ -48,11 +48,14 @@ def return_features(sessioned: DataFrame, *, horizon_hours: float) -> DataFrame:
         F.sum("is_event").over(every.rangeBetween(-30 * DAY, -1)).alias("all30"),
     ).where("is_event = 0")
     resolved = Window.partitionBy("person_id", "category").orderBy("window_end").rangeBetween(Window.unboundedPreceding, -horizon)
-    # The last return may land at the very instant of the label; it is then not yet known (strictly before).
-    pending = labels.withColumn("done", F.struct("next_us", "window_end"))
-    prior = pending.withColumn("prior", F.collect_list(F.struct("next_us", "outcome")).over(resolved))
-    known = F.filter("prior", lambda x: x["outcome"] & (x["next_us"] < F.col("window_end")))
-    joined = prior.select("*", F.size("prior").alias("n_prior"), F.size(known).alias("n_returned")).drop("prior", "done").join(framed.drop("is_event"), ["person_id", "category", "session_no", "window_end"])
+    # The last return may land at the very instant of the label; it is then not yet known (strictly before). Only the
+    # label before, exactly a horizon old, can have it.
+    last = Window.partitionBy("person_id", "category").orderBy("session_no")
+    landing = F.lag(F.col("outcome")).over(last) & (F.lag("next_us").over(last) == F.col("window_end")) & (F.lag("window_end").over(last) == F.col("window_end") - horizon)
+    prior = labels.withColumn("n_prior", F.count("*").over(resolved)).withColumn(
+        "n_returned", F.coalesce(F.sum(F.col("outcome").cast("int")).over(resolved), F.lit(0)) - F.coalesce(landing.cast("int"), F.lit(0))
+    )
+    joined = prior.join(framed.drop("is_event"), ["person_id", "category", "session_no", "window_end"])
     at = F.timestamp_micros("window_end")
     first_hours = (F.col("window_end") - F.col("first")) / HOUR
     zero = F.lit(0.0)
