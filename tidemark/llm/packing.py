@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.scratch import materialise
 
 #: Word encodings that a worker remembers; when full, it starts anew.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Text is tokenised in parts of about so many characters, which bounds memory.
 PART = 4_000_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
