@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import registrable_domain
 from tidemark.operators import blocks, calendars, evaluation, labels
-from tidemark.plans.queries import events, predictions, rounded, sessioned
+from tidemark.plans.queries import events, predictions, rounded, sessioned, table
+from tidemark.sources.categories import categorised
 
 #: The zone of a person is that of their number modulo four; blocks of a week need less history than days.
 ZONES = ("UTC", "America/New_York", "Asia/Kolkata", "Europe/Berlin")
@@ -70,4 +72,13 @@ def panel_measurement(spark, sf_dir):
     return rounded(evaluation.measured(gate, predictions(spark, sf_dir), challenger="category_rate", reference="base_rate"))
 
 
-ALL = (zoned_grid, zoned_block_volume, zoned_volume_stats, zoned_dormancy, zoned_novelty, local_day_visits, eligibility, panel_measurement)
+def resolved_layers(spark, sf_dir):
+    """Pages by category and the layer that gave it: the map holds the domains of two pages or more, every ninth page overrides."""
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("person_id"), registrable_domain(F.col("url")).alias("domain"))
+    known = rows.where("domain is not null")
+    mapped = known.groupBy("domain").agg(F.count("*").alias("n")).where("n >= 2").select("domain", F.lit("shared").alias("category"))
+    chosen = known.where("person_id % 9 = 0").select("person_id", "domain", F.when(F.col("person_id") % 2 == 0, "own").otherwise("").alias("category"))
+    return categorised(rows, mapped, chosen).groupBy("category", "layer").agg(F.count("*").alias("n"))
+
+
+ALL = (resolved_layers, zoned_grid, zoned_block_volume, zoned_volume_stats, zoned_dormancy, zoned_novelty, local_day_visits, eligibility, panel_measurement)

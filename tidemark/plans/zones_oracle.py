@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.oracle import _LB, _PRED
+from tidemark.plans.oracle import _LB, _PRED, _URL
 
 _LOCAL = """le AS (SELECT user_id AS person_id, epoch_us(ts) AS us, event_type AS category, json_extract_string(props, '$.k') AS domain, ['UTC', 'America/New_York', 'Asia/Kolkata', 'Europe/Berlin'][user_id % 4 + 1] AS zone,
     timezone(['UTC', 'America/New_York', 'Asia/Kolkata', 'Europe/Berlin'][user_id % 4 + 1], timezone('UTC', ts::TIMESTAMP)) AS wall FROM events),
@@ -23,6 +23,9 @@ _GATE = _LB + """, gs AS (SELECT person_id, count(*) AS visits, count(DISTINCT s
 ga AS (SELECT gs.*, coalesce(labels, 0) AS labels, CASE WHEN visits < 60 THEN 'visits' WHEN sessions < 20 THEN 'sessions' WHEN coalesce(labels, 0) < 45 THEN 'labels' END AS reason FROM gs LEFT JOIN gl USING (person_id))"""
 
 ORACLES = {
+    "resolved_layers": f"""WITH {_URL}, mp AS (SELECT domain FROM cd WHERE domain IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+        y AS (SELECT CASE WHEN cd.domain IS NOT NULL AND page_id % 18 = 0 THEN 'override' WHEN mp.domain IS NOT NULL THEN 'map' WHEN rule IS NOT NULL THEN 'rule' ELSE 'unknown' END AS layer, rule FROM cd LEFT JOIN mp ON mp.domain = cd.domain)
+        SELECT CASE layer WHEN 'override' THEN 'own' WHEN 'map' THEN 'shared' WHEN 'rule' THEN rule ELSE 'unknown' END AS category, layer, count(*) AS n FROM y GROUP BY 1, 2""",
     "zoned_grid": f"WITH {_CELLS} SELECT person_id, kind, day, rn, category, n FROM gr",
     "zoned_block_volume": f"""WITH {_JUDGED} SELECT person_id, kind, category, day, n > med AS outcome, round(win[-1] / (med + 1.0::DOUBLE), 6) + 0.0 AS "lastRatio", round(med::DOUBLE / (med + 5.0::DOUBLE), 6) + 0.0 AS "medianLevel",
         round(act / len(win), 6) + 0.0 AS "activeRate10", round(coalesce(list_sum(win) / nullif(list_sum(tow), 0), 0), 6) + 0.0 AS "topicShare10" FROM fi WHERE fits""",
