@@ -233,3 +233,17 @@ def test_accuracy_coverage_equals_a_count_for_each_threshold(spark):
         cut = 0.5 + 0.5 * (k % 50) / 50
         own = [(max(p, 1 - p) >= cut, (p > 0.5) == (y == 1)) for m, p, y in rows if m == model]
         assert got[model, round(cut, 9)] == (sum(a for a, _ in own), sum(a and h for a, h in own))
+
+
+def test_feature_sets_and_their_migration(spark):
+    from tidemark import schemas
+
+    assert [a for a, b in zip(schemas.FS_2, schemas.FS_3, strict=True) if a != b] == ["hoursSinceFirstSeen", "priorSessionCount"]
+    assert schemas.design_columns("fs_3")[14:] == tuple(f"{n}__missing" for n in schemas.NULLABLE["fs_3"])
+    with pytest.raises(ValueError, match="unknown feature set"):
+        schemas.feature_names("fs_9")
+    rows = spark.createDataFrame([("a", 24.0, 2.0), ("b", None, 0.0), ("c", 5.0, None), ("d", 2400.0, 5.0)], "k string, hoursSinceFirstSeen double, priorSessionCount double")
+    got = {r.k: (r.firstSeenSaturation, r.priorSessionRate) for r in labels.migrate_features(rows).collect()}
+    assert got == {"a": (24 / 192, pytest.approx(2 / 3)), "b": (None, 0.0), "d": (2400 / 2568, pytest.approx(0.05 / 1.05))}
+    assert labels.migrate_features(rows).columns == ["k", "firstSeenSaturation", "priorSessionRate"]
+    assert tuple(labels.migration_counts(rows).first()) == (4, 3, 1)

@@ -29,8 +29,11 @@ def return_labels(sessioned: DataFrame, *, horizon_hours: float) -> DataFrame:
     ).withColumn("n_categories", F.count("*").over(ends))
 
 
-def return_features(sessioned: DataFrame, *, horizon_hours: float) -> DataFrame:
-    """return_labels with the columns of fs_3. Label instants join the event stream as probes; range frames end 1 µs before."""
+def return_features(sessioned: DataFrame, *, horizon_hours: float, feature_set: str = "fs_3") -> DataFrame:
+    """return_labels with the columns of a feature set, fs_3 or fs_2. Label instants join the event stream as probes; range frames end 1 µs before."""
+    names = S.feature_names(feature_set)
+    if feature_set not in ("fs_2", "fs_3"):
+        raise ValueError(f"{feature_set} has no columns of return labels")
     horizon = int(horizon_hours * HOUR)
     labels = return_labels(sessioned, horizon_hours=horizon_hours)
     probes = labels.select("person_id", "category", F.col("window_end").alias("us"), F.col("session_no"), F.lit(0).alias("is_event"))
@@ -59,17 +62,45 @@ def return_features(sessioned: DataFrame, *, horizon_hours: float) -> DataFrame:
     at = F.timestamp_micros("window_end")
     first_hours = (F.col("window_end") - F.col("first")) / HOUR
     zero = F.lit(0.0)
-    return joined.select(
-        "person_id", "category", "session_no", "window_end", "outcome",
-        ((F.col("window_end") - F.col("last")) / HOUR).alias("hoursSinceLastSeen"), saturate(first_hours, S.FIRST_SEEN_HOURS).alias("firstSeenSaturation"),
+    made = joined.select(
+        "person_id", "category", "session_no", "window_end", "outcome", first_hours.alias("hoursSinceFirstSeen"),
+        F.col("n_prior").cast("double").alias("priorSessionCount"),
+        ((F.col("window_end") - F.col("last")) / HOUR).alias("hoursSinceLastSeen"),
         F.coalesce("n7", zero).cast("double").alias("eventCount7d"), F.coalesce("n30", zero).cast("double").alias("eventCount30d"),
         F.col("days7").cast("double").alias("daysSeen7d"), F.col("sessions7").cast("double").alias("sessionCount7d"),
         (F.coalesce("n30", zero) / F.nullif(F.col("all30"), F.lit(0))).alias("categoryShare30d"),
         (F.col("n_returned") / F.nullif(F.col("n_prior"), F.lit(0))).alias("priorReturnRate"),
-        saturate(F.col("n_prior") / F.greatest(F.coalesce(first_hours / 24, zero), F.lit(1.0)), S.PRIOR_SESSION_RATE).alias("priorSessionRate"),
         F.col("n_session").cast("double").alias("sessionEventCount"), F.col("n_categories").cast("double").alias("sessionCategoryCount"),
         F.col("n_in_session").cast("double").alias("categoryEventsInSession"), F.hour(at).cast("double").alias("hourOfDay"), F.weekday(at).cast("double").alias("dayOfWeek"),
     )
+    full = made.withColumn("firstSeenSaturation", _first_seen_saturation()).withColumn("priorSessionRate", _prior_session_rate())
+    return full.select("person_id", "category", "session_no", "window_end", "outcome", *names)
+
+
+def _first_seen_saturation():
+    return saturate(F.col("hoursSinceFirstSeen"), S.FIRST_SEEN_HOURS)
+
+
+def _prior_session_rate():
+    days = F.greatest(F.coalesce(F.col("hoursSinceFirstSeen") / 24, F.lit(0.0)), F.lit(1.0))
+    return saturate(F.col("priorSessionCount") / days, S.PRIOR_SESSION_RATE)
+
+
+def migrate_features(rows: DataFrame) -> DataFrame:
+    """Rows of fs_2 as rows of fs_3: two columns that grow without bound give way to their saturated forms, in their places.
+
+    Rows without ``priorSessionCount`` were written by no version of the features and are left out; count them by
+    :func:`migration_counts`. Other columns stay.
+    """
+    made = rows.where("priorSessionCount is not null").withColumn("firstSeenSaturation", _first_seen_saturation())
+    swapped = {"hoursSinceFirstSeen": "firstSeenSaturation", "priorSessionCount": "priorSessionRate"}
+    return made.withColumn("priorSessionRate", _prior_session_rate()).select(*(swapped.get(c, c) for c in rows.columns))
+
+
+def migration_counts(rows: DataFrame) -> DataFrame:
+    """One row: (found, migrated, skipped) of :func:`migrate_features`."""
+    known = F.count("priorSessionCount")
+    return rows.agg(F.count("*").alias("found"), known.alias("migrated"), (F.count("*") - known).alias("skipped"))
 
 
 def engaged_labels(sessioned: DataFrame, *, trailing: int = 20, min_prior: int = 10) -> DataFrame:

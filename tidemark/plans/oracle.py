@@ -94,6 +94,9 @@ _FS3 = f"""WITH {_LB}, f AS (SELECT lb.*, (lb.window_end - (SELECT max(x.us) {_I
 SELECT person_id, category, session_no, window_end, outcome, {_r('hl', '"hoursSinceLastSeen"')}, {_r(_sat('hf', 168.0), '"firstSeenSaturation"')}, n7::DOUBLE AS "eventCount7d", n30::DOUBLE AS "eventCount30d", d7::DOUBLE AS "daysSeen7d",
 s7::DOUBLE AS "sessionCount7d", {_r('n30 / nullif(a30, 0)', '"categoryShare30d"')}, {_r('nr / nullif(np, 0)', '"priorReturnRate"')}, {_r(_sat('(np / greatest(coalesce(hf / 24, 0), 1))', 1.0), '"priorSessionRate"')},
 n_session::DOUBLE AS "sessionEventCount", n_categories::DOUBLE AS "sessionCategoryCount", n_in::DOUBLE AS "categoryEventsInSession", ((window_end // 3600000000) % 24)::DOUBLE AS "hourOfDay", ((window_end // 86400000000 + 3) % 7)::DOUBLE AS "dayOfWeek" FROM f"""
+_FS2 = _FS3.replace(_r(_sat("hf", 168.0), '"firstSeenSaturation"'), _r("hf", '"hoursSinceFirstSeen"')).replace(
+    _r(_sat("(np / greatest(coalesce(hf / 24, 0), 1))", 1.0), '"priorSessionRate"'), 'np::DOUBLE AS "priorSessionCount"'
+)
 _HOURS = f"""WITH {_EV}, h AS (SELECT person_id, us // 3600000000 AS hour, count(*) AS n, max(us) AS lu FROM ev GROUP BY 1, 2), sp AS (SELECT person_id, min(hour) AS lo, max(hour) AS hi FROM h GROUP BY 1),
 gr AS (SELECT person_id, lo, hi, hour, n, lu, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS act FROM (SELECT person_id, lo, hi, unnest(generate_series(lo, hi)) AS hour FROM sp) LEFT JOIN h USING (person_id, hour)),
 f AS (SELECT *, max(lu) OVER (PARTITION BY person_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, coalesce(lag(n) OVER (PARTITION BY person_id ORDER BY hour), 0) AS n1,
@@ -150,6 +153,8 @@ ORACLES = {
         {_r(_sat('dur / 60', 15.0), '"durationLevel"')}, {_r('1 - d / n', '"repeatRate"')}, {_r('CASE WHEN k < 2 THEN 0 ELSE h / ln(k) END', 'evenness')} FROM a JOIN h USING (person_id, session_no)""",
     "return_labels": f"WITH {_LB} SELECT person_id, category, session_no, window_end, outcome FROM lb",
     "feature_vector_fs3": _FS3,
+    "migrated_features": _FS3,
+    "feature_vector_fs2": _FS2,
     "category_base_rate": f"WITH {_LB} SELECT category, count(*) AS n, {_r('avg(outcome::INT)', 'rate')} FROM lb GROUP BY 1",
     "visit_engaged": _ENGAGED,
     "browsing_next_hour": _HOURS,

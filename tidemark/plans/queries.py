@@ -46,6 +46,15 @@ def feature_vector_fs3(spark, sf_dir):
     return rounded(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON))
 
 
+def feature_vector_fs2(spark, sf_dir):
+    return rounded(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON, feature_set="fs_2"))
+
+
+def migrated_features(spark, sf_dir):
+    """Rows of the older feature set carried to the newer one: those that it would have made."""
+    return rounded(labels.migrate_features(labels.return_features(sessioned(spark, sf_dir), horizon_hours=HORIZON, feature_set="fs_2")))
+
+
 def category_base_rate(spark, sf_dir):
     made = labels.return_labels(sessioned(spark, sf_dir), horizon_hours=HORIZON)
     y = F.col("outcome").cast("double")
@@ -337,5 +346,5 @@ ALL = (
     jaccard_links, cooccurrence_clusters, rolling_origin_folds, baseline_predictions, baseline_scores, reliability_curve, calibration_errors,
     accuracy_coverage, prediction_resolution, scorecard, role_transitions, logistic_backtest, platt_calibration, brier_bootstrap,
     accuracy_interval, population_interval, calibrated_backtest, novelty_summary, convergence_budget,
-    resumed_models,
+    resumed_models, feature_vector_fs2, migrated_features,
 )
