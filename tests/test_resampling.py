@@ -84,3 +84,22 @@ def test_rows_to_exclude_zero(spark):
 
 def test_empty_input(spark):
     assert found(spark, []) == {}
+
+
+def test_width_ladder_on_common_rows(spark):
+    from tidemark.operators import evaluation
+
+    rng, rows = np.random.default_rng(2), []
+    for k in range(200):
+        y, base = float(rng.random() < 0.5), float(rng.random())
+        for model, p in (("shipped", base), ("near", min(1.0, base + 0.01)), ("far", float(rng.random()))):
+            if not (model == "near" and k >= 150):  # near lacks some rows
+                rows.append((1, k % 5, k, "a", k, model, p, y))
+    df = spark.createDataFrame(rows, "person_id long, fold int, session_no long, category string, window_end long, model string, p double, y double")
+    got = {r.against: r for r in evaluation.width_ladder(df, "shipped", resamples=2000).collect()}
+    assert (got["near"].rows, got["far"].rows) == (150, 200) and got["near"].width < got["far"].width / 5
+    own = {k: (p - y) ** 2 for _, _, k, _, _, m, p, y in rows if m == "shipped"}
+    far = np.array([(p - y) ** 2 - own[k] for _, _, k, _, _, m, p, y in rows if m == "far"])
+    draws = far[np.random.default_rng(1).integers(0, 200, (10_000, 200))].mean(axis=1)
+    low, high = np.percentile(draws, [2.5, 97.5])
+    assert got["far"].point == pytest.approx(far.mean()) and abs(got["far"].width - (high - low)) < 0.1 * (high - low)

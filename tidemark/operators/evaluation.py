@@ -162,3 +162,20 @@ def measured(eligible: DataFrame, predicted: DataFrame, *, challenger: str, refe
         (of(reference) - of(challenger)).alias("gain"),
     )
     return eligible.join(per, "person_id")
+
+
+def width_ladder(predicted: DataFrame, shipped: str, *, resamples: int = resampling.RESAMPLES) -> DataFrame:
+    """(person_id, against, rows, point, low, high, width): each other model's Brier score less the shipped one's on common rows.
+
+    Rows are resampled, not clusters: the ladder asks how much an interval narrows as two models share more, and a
+    handful of clusters would hide that. A row counts for a rung if both models predict it.
+    """
+    key = ["person_id", "fold", "session_no", "category"]
+    error = F.pow(F.col("p") - F.col("y"), 2)
+    own = predicted.where(F.col("model") == shipped).select(*key, error.alias("own"))
+    other = predicted.where(F.col("model") != shipped).select(*key, F.col("model").alias("against"), error.alias("error"))
+    paired = other.join(own, key).select(
+        "person_id", "against", F.struct("fold", "session_no", "category").alias("row"), (F.col("error") - F.col("own")).alias("diff"), F.lit(1).alias("one")
+    )
+    found = resampling.intervals(paired, ["person_id", "against"], "row", "diff", "one", resamples=resamples)
+    return found.select("person_id", "against", F.col("clusters").alias("rows"), "point", "low", "high", (F.col("high") - F.col("low")).alias("width"))

@@ -25,6 +25,11 @@ def rival_predictions(spark, sf_dir):
     return rounded(_rivals(spark, sf_dir).select("person_id", "category", "session_no", "fold", *MODELS))
 
 
+def rivals_and_rates(spark, sf_dir):
+    """Long predictions of the rivals and of the category rate."""
+    return evaluation.long_predictions(_rivals(spark, sf_dir), MODELS[1:]).unionByName(predictions(spark, sf_dir))
+
+
 def rival_scores(spark, sf_dir):
     return rounded(evaluation.scores(evaluation.long_predictions(_rivals(spark, sf_dir), MODELS)))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import registrable_domain
 from tidemark.operators import blocks, calendars, evaluation, labels
 from tidemark.plans.queries import events, predictions, rounded, sessioned, table
+from tidemark.plans.studies import rivals_and_rates
 from tidemark.sources.categories import categorised
 
 #: The zone of a person is that of their number modulo four; blocks of a week need less history than days.
@@ -72,6 +73,12 @@ def panel_measurement(spark, sf_dir):
     return rounded(evaluation.measured(gate, predictions(spark, sf_dir), challenger="category_rate", reference="base_rate"))
 
 
+def width_ladder(spark, sf_dir):
+    """How wide the interval of each rival against the category rate is, on each person's common test rows."""
+    made = rivals_and_rates(spark, sf_dir)
+    return rounded(evaluation.width_ladder(made, "category_rate"))
+
+
 def resolved_layers(spark, sf_dir):
     """Pages by category and the layer that gave it: the map holds the domains of two pages or more, every ninth page overrides."""
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("person_id"), registrable_domain(F.col("url")).alias("domain"))
@@ -81,4 +88,4 @@ def resolved_layers(spark, sf_dir):
     return categorised(rows, mapped, chosen).groupBy("category", "layer").agg(F.count("*").alias("n"))
 
 
-ALL = (resolved_layers, zoned_grid, zoned_block_volume, zoned_volume_stats, zoned_dormancy, zoned_novelty, local_day_visits, eligibility, panel_measurement)
+ALL = (resolved_layers, width_ladder, zoned_grid, zoned_block_volume, zoned_volume_stats, zoned_dormancy, zoned_novelty, local_day_visits, eligibility, panel_measurement)
