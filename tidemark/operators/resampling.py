@@ -21,6 +21,8 @@ from tidemark.operators.work import spread
 SEED, RESAMPLES, LEVEL = 20260828, 10_000, 0.95
 #: Resamples of a unit of work, and clusters of a chunk. Both settle which random numbers are drawn.
 BLOCK, CHUNK = 500, 4096
+#: Units whose sums a task hands on together.
+UNITS = 64
 
 _MASK = 2**64 - 1
 
@@ -76,16 +78,18 @@ def intervals(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a unit at a time: its sums are the result's largest part
-                row = batch.slice(k, 1)
-                one = {c: row.column(row.schema.get_field_index(c))[0].as_py() for c in ("key", "place", "sizes", "total", "weight", "block")}
-                count = min(block, resamples - one["block"] * block)
-                draws = shares(one["sizes"], one["place"], count, seed, one["key"], one["block"])
-                sums = drawn(np.array(one["total"]), np.array(one["weight"]), draws, seed, one["key"], one["block"], one["place"])
-                kept = [row.column(row.schema.get_field_index(c)) for c in (*by, "block", "place")]
-                listed = (pa.array([x.tolist()], pa.list_(pa.float64())) for x in sums)
-                yield pa.RecordBatch.from_arrays([*kept, *listed], names=[*by, "block", "place", "totals", "weights"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, UNITS):
+                batch = whole.slice(at, UNITS)
+                column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+                totals, weights = [], []
+                for key, place, sizes, total, weight, number in zip(*(column(c).to_pylist() for c in ("key", "place", "sizes", "total", "weight", "block")), strict=True):
+                    draws = shares(sizes, place, min(block, resamples - number * block), seed, key, number)
+                    sums = drawn(np.array(total), np.array(weight), draws, seed, key, number, place)
+                    totals.append(sums[0])
+                    weights.append(sums[1])
+                made = (pa.array(x, pa.list_(pa.float64())) for x in (totals, weights))
+                yield pa.RecordBatch.from_arrays([*(column(c) for c in (*by, "block", "place")), *made], names=[*by, "block", "place", "totals", "weights"])
 
     keys = ", ".join(f"`{c}` {units.schema[c].dataType.simpleString()}" for c in by)
     made = spread(units, *by, "block", "place").mapInArrow(run, f"{keys}, block int, place long, totals array<double>, weights array<double>")
