@@ -10,12 +10,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
     components, decontamination, language_id, packing, paragraph_dedup, pii, pseudo_likelihood, quality_rules, simhash_dedup, suffix_dedup, url_filter,
 )
 from tidemark.llm.registry import RULES, TOKENIZER, op3_urls
+from tidemark.llm.scratch import TEXTS, batches_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, doc string"
 
@@ -688,6 +690,37 @@ def test_pipeline_stages_take_edge_cases(spark, tmp_path):
         assert one(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_whole_texts_travel_in_small_batches(spark, monkeypatch):
+    key, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    plain = DataFrameWriter.parquet
+
+    def write(self, *args, **kwargs):
+        sizes.append(int(spark.conf.get(key)))
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    docs = frame(spark, ["one two three", None] * 3)
+    for stage in (
+        lambda: packing.pack(docs, TOKENIZER), lambda: simhash_dedup.near_duplicates(docs),
+        lambda: language_id.keep_known(docs, language_id.train(docs), 0.5), lambda: pii.redact(docs, pii.train(pii.labelled_table(50), rounds=1)),
+    ):
+        sizes.clear()
+        stage()
+        assert TEXTS in sizes
+        assert spark.conf.get(key) == before
+    with batches_of(spark, 10**6):  # never more than the session's own
+        assert spark.conf.get(key) == before
+
+
+def test_packing_loads_the_library_tokenizer_only_for_special_strings():
+    packing._library.cache_clear()
+    packing.encode(TOKENIZER, ["some text, and more", "", "two\n\nlines"])
+    assert not packing._library.cache_info().currsize
+    special = packing._encoder(TOKENIZER).special[0]
+    assert packing.encode(TOKENIZER, [f"a {special} b"]) and packing._library.cache_info().currsize
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

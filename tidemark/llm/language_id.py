@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.scratch import every_column, free
+from tidemark.llm.scratch import TEXTS, free, materialise, numbered
 
 #: Symbols of a trigram: letters below this stand for themselves, others are hashed into the rest.
 _PLAIN, _SYMBOLS = 592, 1024
@@ -48,24 +48,23 @@ def _trigrams(text: str) -> Iterator[np.ndarray]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count trigrams for each language, over as many texts at a time as fit PIECE characters."""
+    """Count trigrams for each language, over texts of about 8 * PIECE characters in all at a time."""
 
     def rows(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
         grams, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
+    parts: dict[str, list[np.ndarray]] = {}
+    size = 0
     for batch in batches:
-        parts: dict[str, list[np.ndarray]] = {}
-        size: dict[str, int] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for grams in _trigrams(text or ""):
                 parts.setdefault(lang, []).append(grams)
-                size[lang] = size.get(lang, 0) + len(grams)
-                if size[lang] > 8 * PIECE:
-                    yield rows(lang, parts.pop(lang))
-                    size[lang] = 0
-        for lang, own in parts.items():
-            yield rows(lang, own)
+                size += len(grams)
+                if size > 8 * PIECE:
+                    yield from map(rows, parts, parts.values())
+                    parts, size = {}, 0
+    yield from map(rows, parts, parts.values())
 
 
 @dataclass(frozen=True)
@@ -99,6 +98,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
+    counts = materialise(counts, "trigrams", TEXTS)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
     kept = shares.where(F.col("share") >= least_share)
@@ -162,9 +162,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_known(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language holds at least the share ``least`` of their trigrams; all columns, whatever their names."""
-    rows = docs.select(F.col(text_col).alias("text"), F.struct(*every_column(docs)).alias("row"))
-    judged = predict(rows, model, id_col="row").where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return judged.select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by train()
+    plain, place = numbered(docs), docs.columns.index(text_col)  # a text travels once
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [_decide(shared.value, x) for x in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return materialise(plain.mapInArrow(batches, plain.schema), "known", TEXTS).toDF(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id"):

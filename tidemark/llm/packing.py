@@ -20,17 +20,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.scratch import materialise
+from tidemark.llm.scratch import TEXTS, materialise
 
 #: Word encodings that a worker remembers; when full, it starts anew.
 MEMORY = 200_000
-#: Text is tokenised in parts of about so many characters, which bounds memory.
-PART = 4_000_000
+#: Text is tokenised in parts of about so many bytes, which bounds memory.
+PART = 1_000_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -40,9 +41,9 @@ _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s
 
 @dataclass(frozen=True)
 class _Encoder:
-    """A tokenizer file's tokenizer, a faster equal of its merges, its tokens' bytes, its special strings, and a memory."""
+    """A tokenizer file, a faster equal of its merges, its tokens' bytes, its special strings, and a memory."""
 
-    tokenizer: Tokenizer
+    path: str
     merges: tiktoken.Encoding
     lengths: np.ndarray
     special: tuple[str, ...]
@@ -63,7 +64,6 @@ def _encoder(path: str) -> _Encoder:
     In such a file ids follow the order of merges, so they serve as ranks of an encoder that gives the same ids
     three times as fast; the tests hold the two equal. Special tokens' strings are left to the library itself.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work over cores
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     special = tuple(x["content"] for x in spec["added_tokens"])
@@ -72,12 +72,19 @@ def _encoder(path: str) -> _Encoder:
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     lengths[list(ranks.values())] = [len(x) for x in ranks]
     merges = tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _Encoder(Tokenizer.from_file(path), merges, lengths, special, {})
+    return _Encoder(path, merges, lengths, special, {})
+
+
+@cache
+def _library(path: str) -> Tokenizer:
+    """The library's own tokenizer; loaded only where a special token's string occurs."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work over cores
+    return Tokenizer.from_file(path)
 
 
 def _whole(encoder: _Encoder, text: str) -> bytes:
     if any(x in text for x in encoder.special):
-        return array("I", encoder.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", _library(encoder.path).encode(text, add_special_tokens=False).ids).tobytes()
     return array("I", encoder.merges.encode_ordinary(text)).tobytes()
 
 
@@ -141,15 +148,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            column, sizes = batch.column(1), pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             of, piece, start, length, crc = [], [], [], [], []
             k = 0
-            while k < len(texts):
+            while k < len(sizes):
                 size, stop = 0, k
-                while stop < len(texts) and (stop == k or size + len(texts[stop]) <= PART):
-                    size += len(texts[stop])
+                while stop < len(sizes) and (stop == k or size + sizes[stop] <= PART):
+                    size += sizes[stop]
                     stop += 1
-                for number, ids in enumerate(encode(tokenizer, texts[k:stop]), k):
+                texts = [x or "" for x in column.slice(k, stop - k).to_pylist()]
+                for number, ids in enumerate(encode(tokenizer, texts), k):
                     ids += end
                     n = len(ids) // 4
                     at, no, cut = 0, 0, n % capacity or capacity
@@ -269,7 +277,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     Equal lengths are dealt in any order. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces", TEXTS)
     # Numbers within a length come from counts for each group of rows, so no length meets in one task.
     held = cut.withColumn("part", F.xxhash64("id", "piece", "ids_crc32").bitwiseAND(F.lit(1023)))
     counts = held.groupBy("length", "part").agg(F.count("*").alias("n"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import numbered
+from tidemark.llm.scratch import TEXTS, materialise, numbered
 
 #: The kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -383,7 +383,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: st
             cols[place] = pa.array(new, batch.column(place).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = plain.mapInArrow(batches, plain.schema)
+    out = materialise(plain.mapInArrow(batches, plain.schema), "redacted", TEXTS)
     if length_col in docs.columns:
         length = names[docs.columns.index(length_col)]
         out = out.withColumn(length, F.length(names[place]).cast(plain.schema[length].dataType))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.scratch import materialise
+from tidemark.llm.scratch import TEXTS, materialise
 
 #: Shingles are hashed in chunks of so many, which bounds memory for very long texts.
 CHUNK = 1 << 15
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 <= differ <= 4:
         raise ValueError("the position groups guarantee a meeting up to 4 differing bits")
-    prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints", TEXTS)
     reps = prints.groupBy("fp").agg(F.min("id").alias("node"))
     found = connected_components(links(reps.where("node is not null"), differ))
     classes = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
