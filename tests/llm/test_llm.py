@@ -271,6 +271,39 @@ def test_language(spark):
 # ---- 6 language model
 
 
+def test_network_equals_plain_softmax_and_gradient():
+    rng = np.random.default_rng(3)
+    weights = tuple(rng.normal(0, 0.4, w.shape).astype(np.float32) for w in pseudo_likelihood._start(4))
+    ids = rng.integers(0, 16, 40).astype(np.int32)
+    context = pseudo_likelihood._contexts(ids)
+
+    def plain(emb, hid, cls, own):
+        out = []
+        for t, w in enumerate(ids):
+            h = np.append(np.tanh(np.append(sum(emb[k][context[k][t]] for k in range(len(context))), 1) @ hid), 1)
+            logs = [z - np.log(np.exp(z).sum()) for z in (h @ cls, h @ own[w // 4])]
+            out.append(logs[0][w // 4] + logs[1][w % 4])
+        return np.array(out)
+
+    exact = [w.astype(float) for w in weights]
+    assert np.allclose(pseudo_likelihood.log_probabilities(weights, ids), plain(*exact), atol=1e-4)
+    stepped = tuple(w.copy() for w in weights)
+    pseudo_likelihood._step(stepped, context, ids, 1.0)
+    for w, new, old in zip(exact, stepped, weights, strict=True):
+        for at in rng.choice(w.size, 25, replace=False):
+            kept, w.flat[at] = w.flat[at], w.flat[at] + 1e-5
+            up = plain(*exact).mean()
+            w.flat[at] = kept - 1e-5
+            slope, w.flat[at] = (up - plain(*exact).mean()) / 2e-5, kept
+            assert abs((new - old).flat[at] - slope) < 2e-4
+
+
+def test_occurrences_are_not_sorted_for_their_counts(spark, capsys):
+    docs = frame(spark, ["one two three", "two three four", None])
+    pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).explain()
+    assert "ShuffledHashJoin" in capsys.readouterr().out
+
+
 def test_language_model(spark):
     rng = random.Random(9)
     pairs = {f"k{k}": f"v{k}" for k in range(30)}

@@ -12,9 +12,10 @@ predicted within the shape by their frequency in the whole corpus. Those counts
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from itertools import repeat
 from math import isqrt, log
 
 import numpy as np
@@ -37,13 +38,12 @@ PIECE = 1 << 14
 @dataclass(frozen=True)
 class Network:
     words: dict[str, int]
-    weights: tuple[np.ndarray, ...]  # embeddings, hidden, hidden bias, class, class bias, word, word bias
+    weights: tuple[np.ndarray, ...]  # embeddings, hidden, class, word; biases are the last rows
     counts: DataFrame  # (word, shape, n) of the whole corpus
     shapes: dict[int, tuple[int, int]]  # occurrences and number of the words without an entry, by shape
 
 
 _DIGIT = re.compile(r"\d")
-_hash = partial(xxhash.xxh64_intdigest, seed=42)  # equals Spark's xxhash64 of a string, unsigned
 
 
 def split_words(text: str | None) -> list[str]:
@@ -54,7 +54,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, shape, n) over all rows."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -63,8 +63,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for batch in rows:
             for text in batch.column(0).to_pylist():
-                for w in split_words(text):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(split_words(text))
                 if len(seen) > 200_000:
                     yield out()
                     seen.clear()
@@ -78,15 +77,15 @@ def _other(word: str) -> int:
 
 
 def ids_of(words: dict[str, int], own: list[str]) -> np.ndarray:
-    get = words.get
-    return np.array([get(w) or _other(w) for w in own], np.int32)
+    return np.array([k or _other(w) for k, w in zip(map(words.get, own), own, strict=True)], np.int32)
 
 
 def _start(classes: int = CLASSES, seed: int = 11) -> tuple[np.ndarray, ...]:
+    """Embeddings and three layers; the last row of a layer is its bias."""
     rng, v = np.random.default_rng(seed), classes * classes
     normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    zero = lambda *shape: np.zeros(shape, np.float32)
-    return normal(2 * SIDE, v, SIZE), normal(SIZE, SIZE), zero(SIZE), normal(SIZE, classes), zero(classes), normal(classes, SIZE, classes), zero(classes, classes)
+    biased = lambda *shape: np.concatenate([normal(*shape), np.zeros((*shape[:-2], 1, shape[-1]), np.float32)], axis=-2)
+    return normal(2 * SIDE, v, SIZE), biased(SIZE, SIZE), biased(SIZE, classes), biased(classes, SIZE, classes)
 
 
 def _contexts(ids: np.ndarray) -> np.ndarray:
@@ -100,74 +99,75 @@ def _order(ids: np.ndarray, top: int) -> np.ndarray:
     return np.argsort(ids.astype(np.uint16) if top <= 1 << 16 else ids, kind="stable")  # short ones by radix
 
 
-def _soft(x: np.ndarray) -> np.ndarray:
-    np.minimum(x, 60, out=x)  # beyond it, float32 sums would overflow
+def _exp(x: np.ndarray) -> np.ndarray:
+    """Exponentials in place; returns their sum in each row."""
+    if x.size and x.max() > 60:  # beyond it, float32 sums would overflow
+        np.minimum(x, 60, out=x)
     np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
-    return x
+    return x @ np.ones(x.shape[1], np.float32)
 
 
 def _forward(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray):
-    """Layers and probabilities of words that are sorted by class, so that a class's words are one slice."""
-    emb, hid, hid_b, cls, cls_b, own, own_b = weights
-    x = emb[0][context[0]]
+    """Layers (with a one for the bias), and the slice of each class: words are sorted by class."""
+    emb, hid, _, own = weights
+    x, h = np.ones((2, len(ids), SIZE + 1), np.float32)
+    total = emb[0].take(context[0], axis=0)
     for k in range(1, len(context)):
-        x += emb[k][context[k]]
-    h = np.tanh(x @ hid + hid_b)
-    classes = len(cls_b)
-    bounds = np.searchsorted(ids, np.arange(classes + 1) * classes)
-    p_class = _soft(h @ cls + cls_b)
-    p_own = np.empty((len(ids), classes), np.float32)
-    for k in range(classes):
-        a, b = bounds[k], bounds[k + 1]
-        if b > a:
-            np.matmul(h[a:b], own[k], out=p_own[a:b])
-            p_own[a:b] += own_b[k]
-    return x, h, bounds, p_class, _soft(p_own)
+        total += emb[k].take(context[k], axis=0)
+    x[:, :SIZE] = total
+    h[:, :SIZE] = np.tanh(x @ hid)
+    classes = len(own)
+    edges = np.searchsorted(ids, np.arange(classes + 1) * classes).tolist()
+    slices = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+    return x, h, slices
 
 
 def log_probabilities(weights: tuple[np.ndarray, ...], ids: np.ndarray) -> np.ndarray:
     """The natural logarithm of each word's conditional probability given both of its sides."""
-    out, context, classes = np.empty(len(ids)), _contexts(ids), len(weights[4])
+    out, context, classes = np.empty(len(ids)), _contexts(ids), len(weights[3])
     for k in range(0, len(ids), PIECE):
         order = _order(ids[k : k + PIECE], classes * classes)
         own = ids[k : k + PIECE][order]
-        _, _, _, p_class, p_own = _forward(weights, context[:, k : k + PIECE][:, order], own)
-        rows = np.arange(len(own))
-        found = p_class[rows, own // classes].astype(float) * p_own[rows, own % classes]
+        _, h, slices = _forward(weights, context[:, k : k + PIECE][:, order], own)
+        found = np.empty(len(own))
+        for c, at in slices:  # a class at a time, which stays in the processor's cache
+            e_class, e_own = h[at] @ weights[2], h[at] @ weights[3][c]
+            sums = _exp(e_class).astype(float) * _exp(e_own)
+            found[at] = e_class[:, c].astype(float) * e_own[np.arange(len(sums)), own[at] - c * classes] / sums
         out[k + order] = np.log(np.maximum(found, 1e-12))
     return out
 
 
 def _step(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray, rate: float) -> None:
     """One step of stochastic gradient ascent on the words' log-probabilities, in place."""
-    emb, hid, hid_b, cls, cls_b, own, own_b = weights
-    classes = len(cls_b)
+    emb, hid, cls, own = weights
+    classes = len(own)
     order = _order(ids, classes * classes)
     ids, context = ids[order], context[:, order]
-    x, h, bounds, p_class, p_own = _forward(weights, context, ids)
-    rows = np.arange(len(ids))
-    p_class[rows, ids // classes] -= 1
-    p_own[rows, ids % classes] -= 1
-    rate = rate / len(ids)
-    g_h = p_class @ cls.T
-    for k in range(classes):
-        a, b = bounds[k], bounds[k + 1]
-        if b > a:
-            g_h[a:b] += p_own[a:b] @ own[k].T
-            own[k] -= rate * (h[a:b].T @ p_own[a:b])
-            own_b[k] -= rate * (np.ones(b - a, np.float32) @ p_own[a:b])
-    cls -= rate * (h.T @ p_class)
-    cls_b -= rate * (np.ones(len(ids), np.float32) @ p_class)
-    g = g_h * (1 - h * h)
-    g_x = rate * (g @ hid.T)
-    hid -= rate * (x.T @ g)
-    hid_b -= rate * (np.ones(len(ids), np.float32) @ g)
+    x, h, slices = _forward(weights, context, ids)
+    g_class, g_own = h @ cls, np.empty((len(ids), classes), np.float32)
+    for k, at in slices:
+        np.matmul(h[at], own[k], out=g_own[at])
+    rows, rate = np.arange(len(ids)), np.float32(rate / len(ids))
+    for g, at in ((g_class, ids // classes), (g_own, ids % classes)):  # gradients, with the rate in them
+        g *= (rate / _exp(g))[:, None]
+        g[rows, at] -= rate
+    g_h, part = g_class @ cls[:SIZE].T, np.empty((len(ids), SIZE), np.float32)
+    for k, at in slices:
+        g, layer = g_own[at], own[k]
+        np.matmul(g, layer[:SIZE].T, out=part[at])
+        layer -= h[at].T @ g
+    g_h += part
+    cls -= h.T @ g_class
+    top = h[:, :SIZE]
+    g = g_h * (1 - top * top)
+    g_x = g @ hid[:SIZE].T
+    hid -= x.T @ g
     for k in range(len(context)):
         by = _order(context[k], emb.shape[1])
         own_ids = context[k][by]
         at = np.nonzero(np.concatenate([[True], own_ids[1:] != own_ids[:-1]]))[0]
-        emb[k][own_ids[at]] -= np.add.reduceat(g_x[by], at, axis=0)
+        emb[k][own_ids[at]] -= np.add.reduceat(g_x.take(by, axis=0), at, axis=0)
 
 
 def _flat(weights: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -270,8 +270,9 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
                 rare = [w for x in texts for w in x if w not in words]
                 shape = np.concatenate([x[x < 4] for x in ids]).astype(np.int8)
                 places = np.cumsum([0, *(np.count_nonzero(x < 4) for x in ids)]).astype(np.int32)
-                keys = np.fromiter(map(_hash, rare), np.uint64, len(rare)).view(np.int64)
-                size = np.fromiter((len(w.encode()) for w in rare), np.int32, len(rare))
+                written = list(map(str.encode, rare))
+                keys = np.fromiter(map(xxhash.xxh64_intdigest, written, repeat(42)), np.uint64, len(rare)).view(np.int64)  # equals Spark's xxhash64 of a string
+                size = np.fromiter(map(len, written), np.int32, len(rare))
                 parts = [pa.array(keys), pa.array(shape), pa.array(size)]
                 rare = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays(parts, ["h", "shape", "size"]))
                 gap = np.zeros(SIDE, np.int32)  # edges between texts, so that they are scored together
@@ -285,7 +286,8 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     scored = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(batches, f"id {kind}, n_words long, own double, rare array<struct<h: bigint, shape: tinyint, size: int>>")
     scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     counts = network.counts.groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n"))  # words as 64-bit numbers
-    rare = scored.select("row", F.inline("rare")).join(counts, "h", "left")
+    # Hashed, since sorting the occurrences costs more than the join; a partition's counts are few beside its occurrences.
+    rare = scored.select("row", F.inline("rare")).join(counts.hint("shuffle_hash"), "h", "left")
     rest = rare.groupBy("row").agg(F.sum(within_shape(network)).alias("rest"))
     total = F.col("own") + F.coalesce("rest", F.lit(0.0))
     return scored.join(rest, "row", "left").select(
