@@ -31,7 +31,7 @@ from tidemark.llm.scratch import TEXTS, materialise
 #: Word encodings that a worker remembers; when full, it starts anew.
 MEMORY = 200_000
 #: Text is tokenised in parts of about so many bytes, which bounds memory.
-PART = 1_000_000
+PART = 4_000_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
