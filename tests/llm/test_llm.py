@@ -87,6 +87,38 @@ def test_repeats_equal_brute_force(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("many", [3, 10_000])
+def test_repeats_around_shared_anchors(spark, monkeypatch, many):
+    """One phrase in many contexts, also within a text; strings keyed one by one; periodic texts; rows that share an id."""
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    rng = random.Random(9)
+    phrase, words = "the quick brown fox jumps over the lazy dog again", ["up", "down", "left", "right"]
+    texts = [" ".join(f"{rng.choice(words)} {rng.choice(words)} {phrase} {rng.choice(words)}" for _ in range(rng.randrange(1, 5))) for _ in range(80)]
+    texts += ["ab" * 90, "ab" * 70 + "c" + "ab" * 30, "x" + "abc" * 40, "abc" * 30]
+    docs = frame(spark, texts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs.union(docs.where("doc_id % 7 = 0"))).collect()}
+    assert got == brute_repeats(texts)
+
+
+def test_repeats_sort_stretches_not_positions(spark):
+    """A row for each stretch is sorted, once for equal ones of a batch; the texts are shuffled once, later reads reuse that."""
+    rng = random.Random(10)
+    shared = prose(rng, 200)
+    texts = [f"{prose(rng, 3)} {shared[:k]} {prose(rng, 3)}" for k in range(300, 900, 20)] + ["Is onhe. " * 400]
+    codes = [suffix_dedup._code(suffix_dedup.anchors(t.encode())[1], 1).tolist() for t in texts]
+    batch = pa.RecordBatch.from_pylist([{"doc": d, "text": t, "later": None, "shared": c} for d, (t, c) in enumerate(zip(texts, codes, strict=True))])
+    found = [r for part in suffix_dedup._stretch_batches(1, iter([batch])) for r in part.to_pylist()]
+    size = lambda r: r["at"] if r["piece"] is None else len(r["piece"]) - 49
+    starts = sorted((r["doc"], s) for r in found for k in r["starts"] for s in range(k, k + size(r)))
+    assert starts == [(d, s) for d, t in enumerate(texts) for s in range(len(t) - 49)]  # each string once
+    assert len(found) * 8 < len(starts)
+    sent = [r["piece"] for r in found if r["piece"]]
+    assert len(sent) == len(set(sent))
+    plan = suffix_dedup.remove_repeats(frame(spark, texts))
+    plan.collect()
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2
+
+
 # ---- 2 decontamination
 
 
