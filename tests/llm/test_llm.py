@@ -330,6 +330,30 @@ def test_network_equals_plain_softmax_and_gradient():
             assert abs((new - old).flat[at] - slope) < 2e-4
 
 
+def test_counts_that_tasks_hold_score_as_joined_ones(spark, monkeypatch):
+    """Words without an entry score alike whether a task holds their count or a join brings it; few occurrences are joined."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["w", "x-", "7y"]) + str(int(1.8 ** (rng.random() * 14))) + rng.choice(["", "é"]) for _ in range(80)) for _ in range(150)]
+    docs, asked = frame(spark, [*texts, *EDGES]), frame(spark, [*texts, *EDGES, "w1 never7 seen- éver", None])
+    scores, joined, real = [], [], pseudo_likelihood.materialise
+
+    def spied(df, name, *args):
+        out = real(df, name, *args)
+        if name == "scored":
+            joined.append(out.selectExpr("sum(size(rare))").head()[0])
+        return out
+
+    monkeypatch.setattr(pseudo_likelihood, "materialise", spied)
+    for common in (0, 50, 100_000):
+        monkeypatch.setattr(pseudo_likelihood, "COMMON", common)
+        network = pseudo_likelihood.train(docs, rounds=0)
+        assert len(network.words) == 1020 and len(network.common) == min(common, network.counts.count() - 1020)
+        scores.append({r.doc_id: (r.n_words, r.log_likelihood) for r in pseudo_likelihood.score(asked, network).collect()})
+    assert joined[0] > joined[1] > joined[2] == 3
+    for other in scores[1:]:
+        assert other.keys() == scores[0].keys() and all(other[k][0] == n and abs(other[k][1] - x) < 1e-6 for k, (n, x) in scores[0].items())
+
+
 def test_occurrences_are_not_sorted_for_their_counts(spark, capsys):
     docs = frame(spark, ["one two three", "two three four", None])
     pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).explain()

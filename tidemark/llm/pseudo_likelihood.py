@@ -6,7 +6,8 @@ the square root of the vocabulary. Training covers the whole corpus: each partit
 its own texts, the partitions' weights are averaged by a shuffle, and the average starts the next round.
 
 Words that are too rare for an entry of their own share the network's entry of their shape, and are then
-predicted within the shape by their frequency in the whole corpus. Those counts stay a table, which is joined.
+predicted within the shape by their frequency in the whole corpus. Those counts stay a table, which is joined; tasks hold
+those of the most frequent of these words, as they make up most occurrences.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import accumulate, chain, compress, repeat
 from math import isqrt, log
 
 import numpy as np
@@ -31,6 +32,8 @@ SIDE, SIZE, CLASSES, STEP = 2, 16, 32, 4096
 #: Of N words in the corpus, those found sqrt(N) / RARE times or more have entries of their own: at most RARE * sqrt(N),
 #: and 1,020 at least. All others share the entry of their shape (3 entries); 0 is the edge.
 RARE = 4
+#: Words without an entry whose counts tasks hold: the most frequent ones.
+COMMON = 100_000
 #: Words are scored in pieces of so many, which bounds memory.
 PIECE = 1 << 14
 
@@ -41,6 +44,7 @@ class Network:
     weights: tuple[np.ndarray, ...]  # embeddings, hidden, class, word; biases are the last rows
     counts: DataFrame  # (word, shape, n) of the whole corpus
     shapes: dict[int, tuple[int, int]]  # occurrences and number of the words without an entry, by shape
+    common: list[tuple[str, int, int]]  # (word, shape, n) of the most frequent words without an entry
 
 
 _DIGIT = re.compile(r"\d")
@@ -76,8 +80,18 @@ def _other(word: str) -> int:
     return 1 if word.isalpha() else 2 if _DIGIT.search(word) else 3
 
 
-def ids_of(words: dict[str, int], own: list[str]) -> np.ndarray:
-    return np.array([k or _other(w) for k, w in zip(map(words.get, own), own, strict=True)], np.int32)
+def codes(words: dict[str, int], common: list[tuple[str, int, int]]) -> dict[str, int]:
+    """Entries of words, and -(4 * place + shape) of those in ``common``."""
+    return {w: -(4 * k + shape) for k, (w, shape, _) in enumerate(common)} | words
+
+
+def codes_of(coded: dict[str, int], own: list[str]) -> np.ndarray:
+    return np.array([k or _other(w) for k, w in zip(map(coded.get, own), own, strict=True)], np.int32)
+
+
+def ids_of(coded: dict[str, int], own: list[str]) -> np.ndarray:
+    found = codes_of(coded, own)
+    return np.where(found < 0, -found & 3, found)
 
 
 def _start(classes: int = CLASSES, seed: int = 11) -> tuple[np.ndarray, ...]:
@@ -188,24 +202,30 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float
     The vocabulary is every word of all texts; the most frequent ones, by count, then by word, have entries of
     their own, and their number grows with the corpus as RARE says. In a round every partition takes gradient
     steps on all of its words. Partitions' weights are averaged by the number of their words. The driver holds
-    the entries only, whose number grows no faster than the root of the corpus.
+    the entries, whose number grows no faster than the root of the corpus, the words in ``common``, and how many words
+    have each count.
     """
     spark = docs.sparkSession
     counts = materialise(word_counts(docs, text_col), "words")
-    shapes = {r.shape: (r.n, r.words) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    frequent = counts.where(F.col("n") >= sum(n for n, _ in shapes.values()) ** 0.5 / RARE).count()
-    classes = max(CLASSES, isqrt(frequent + 3) + 1)
-    top = counts.orderBy(F.desc("n"), "word").limit(classes * classes - 4).toArrow().to_pylist()
+    sizes = counts.groupBy("n", "shape").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
+    shapes = {shape: tuple(sum(x) for x in zip(*((r.n * r.words, r.words) for r in sizes if r.shape == shape), strict=True)) for shape in {r.shape for r in sizes}}
+    least = sum(n for n, _ in shapes.values()) ** 0.5 / RARE
+    classes = max(CLASSES, isqrt(sum(r.words for r in sizes if r.n >= least) + 3) + 1)
+    entries = classes * classes - 4
+    reach = [r.n for r, before in zip(sizes, accumulate((r.words for r in sizes), initial=0), strict=False) if before < entries + COMMON]
+    top = counts.where(F.col("n") >= min(reach, default=0)).orderBy(F.desc("n"), "word").limit(entries + COMMON).toArrow().to_pylist()
+    common = [(r["word"], r["shape"], r["n"]) for r in top[entries:]]
+    top = top[:entries]
     for r in top:
         n, size = shapes[r["shape"]]
         shapes[r["shape"]] = n - r["n"], size - 1
     words = {r["word"]: k + 4 for k, r in enumerate(top)}
     weights = _start(classes)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((words, weights))
+        shared = spark.sparkContext.broadcast((words, common, weights))
 
         def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, first = shared.value
+            known, first = codes(*shared.value[:2]), shared.value[2]
             own, waiting, size, steps, seen = tuple(w.copy() for w in first), [], 0, 0, 0
 
             def step(ids: list[np.ndarray]) -> None:
@@ -231,7 +251,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float
         mean = materialise(summed, "weights").orderBy("k").toArrow()  # as many rows as the network has weights
         if len(mean):
             weights = _shaped(mean["w"].to_numpy(), weights)
-    return Network(words, weights, counts, shapes)
+    return Network(words, weights, counts, shapes, common)
 
 
 def within_shape(network: Network) -> Column:
@@ -257,19 +277,28 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     of 0). Rows are scored one by one, repeated ones each; an empty table gives an empty result. Other columns
     are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((network.words, network.weights))
+    mass = {shape: log(max(n + size, 1)) for shape, (n, size) in network.shapes.items()}
+    within = np.array([log(n) - mass[shape] for _, shape, n in network.common])  # as within_shape has it
+    shared = docs.sparkSession.sparkContext.broadcast((network.words, network.common, within, network.weights))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = shared.value
+        words, common, within, weights = shared.value
+        coded = codes(words, common)
         for batch in rows:
             for at in range(0, batch.num_rows, 64):
                 own = batch.slice(at, 64)
                 texts = [split_words(x) for x in own.column(1).to_pylist()]
-                ids = [ids_of(words, x) for x in texts]
-                rare = [w for x in texts for w in x if w not in words]
-                shape = np.concatenate([x[x < 4] for x in ids]).astype(np.int8)
-                places = np.cumsum([0, *(np.count_nonzero(x < 4) for x in ids)]).astype(np.int32)
+                every = list(chain.from_iterable(texts))
+                flat, ends = codes_of(coded, every), np.cumsum([0, *map(len, texts)])
+                held, bare = flat < 0, (flat > 0) & (flat < 4)
+                rest = np.zeros(len(flat) + 1)
+                rest[1:][held] = within[-flat[held] >> 2]
+                rest = np.diff(np.cumsum(rest)[ends])
+                rare = list(compress(every, bare.tolist()))
+                shape = flat[bare].astype(np.int8)
+                places = np.concatenate([[0], np.cumsum(bare)])[ends].astype(np.int32)
+                ids = np.split(np.where(held, -flat & 3, flat), ends[1:-1])
                 written = list(map(str.encode, rare))
                 keys = np.fromiter(map(xxhash.xxh64_intdigest, written, repeat(42)), np.uint64, len(rare)).view(np.int64)  # equals Spark's xxhash64 of a string
                 size = np.fromiter(map(len, written), np.int32, len(rare))
@@ -280,7 +309,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
                 logs = np.concatenate([[0.0], np.cumsum(log_probabilities(weights, joined))])
                 ends = np.cumsum([len(x) + SIDE for x in ids])
                 n = [len(x) for x in ids]
-                total = [float(logs[e - SIDE] - logs[e - SIDE - len(x)]) for x, e in zip(ids, ends, strict=True)]
+                total = [float(logs[e - SIDE] - logs[e - SIDE - len(x)] + more) for x, e, more in zip(ids, ends, rest, strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), rare], names=["id", "n_words", "own", "rare"])
 
     scored = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(batches, f"id {kind}, n_words long, own double, rare array<struct<h: bigint, shape: tinyint, size: int>>")
