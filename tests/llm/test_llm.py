@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     components, decontamination, language_id, packing, paragraph_dedup, pii, pseudo_likelihood, quality_rules, simhash_dedup, suffix_dedup, url_filter,
 )
-from tidemark.llm.registry import RULES, TOKENIZER, op3_urls
+from tidemark.llm.registry import RULES, TOKENIZER, op3_urls, op6_lm_score
 from tidemark.llm.scratch import TEXTS, batches_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, doc string"
@@ -360,6 +360,30 @@ def test_occurrences_are_not_sorted_for_their_counts(spark, capsys):
     assert "ShuffledHashJoin" in capsys.readouterr().out
 
 
+def test_texts_are_coded_once_for_training_and_scoring(spark, monkeypatch, tmp_path):
+    """The query reads texts for the counts and for the entries; scores equal those of training and scoring apart."""
+    rng = random.Random(13)
+    texts = [" ".join(f"{rng.choice('ab-')}{int(1.5 ** (rng.random() * 20))}" for _ in range(rng.choice([3, 90, 9000]))) for _ in range(60)]
+    frame(spark, [*texts, *EDGES]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    reads, real = [], pseudo_likelihood.materialise
+
+    def spied(df, name, *args):
+        if any("documents.parquet" in f for f in df.inputFiles()):
+            reads.append(name)
+        return real(df, name, *args)
+
+    monkeypatch.setattr(pseudo_likelihood, "materialise", spied)
+    monkeypatch.setattr(pseudo_likelihood, "COMMON", 50)
+    out = op6_lm_score(spark, str(tmp_path))
+    assert len(reads) == 2 and not any("documents.parquet" in f for f in out.inputFiles())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    apart = {r.doc_id: r for r in pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).collect()}
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(apart) == len(texts) + len(EDGES)
+    assert all(got[k].n_words == len((t or "").lower().split()) == apart[k].n_words for k, t in enumerate([*texts, *EDGES]))
+    assert all(got[k].log_likelihood == pytest.approx(r.log_likelihood, abs=1e-3) for k, r in apart.items())
+
+
 def test_language_model(spark):
     rng = random.Random(9)
     pairs = {f"k{k}": f"v{k}" for k in range(30)}

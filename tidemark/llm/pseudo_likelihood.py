@@ -8,6 +8,8 @@ its own texts, the partitions' weights are averaged by a shuffle, and the averag
 Words that are too rare for an entry of their own share the network's entry of their shape, and are then
 predicted within the shape by their frequency in the whole corpus. Those counts stay a table, which is joined; tasks hold
 those of the most frequent of these words, as they make up most occurrences.
+
+Texts are split and looked up once: a table of their entries as numbers serves training and scoring.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import accumulate, chain, compress, repeat
 from math import isqrt, log
 
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import materialise
+from tidemark.llm.scratch import discard, materialise
 
 #: Words on either side, size of an embedding, least number of classes (and words in a class), words in a training step.
 SIDE, SIZE, CLASSES, STEP = 2, 16, 32, 4096
@@ -86,7 +88,10 @@ def codes(words: dict[str, int], common: list[tuple[str, int, int]]) -> dict[str
 
 
 def codes_of(coded: dict[str, int], own: list[str]) -> np.ndarray:
-    return np.array([k or _other(w) for k, w in zip(map(coded.get, own), own, strict=True)], np.int32)
+    found = np.fromiter(map(coded.get, own, repeat(0)), np.int32, len(own))
+    none = np.flatnonzero(found == 0)
+    found[none] = [_other(own[k]) for k in none.tolist()]
+    return found
 
 
 def ids_of(coded: dict[str, int], own: list[str]) -> np.ndarray:
@@ -104,32 +109,45 @@ def _start(classes: int = CLASSES, seed: int = 11) -> tuple[np.ndarray, ...]:
 
 def _contexts(ids: np.ndarray) -> np.ndarray:
     """The words on either side of each word; 0 beyond the ends."""
-    wide = np.concatenate([np.zeros(SIDE, np.int32), ids, np.zeros(SIDE, np.int32)])
+    wide = np.concatenate([gap := np.zeros(SIDE, ids.dtype), ids, gap])
     n = len(ids)
     return np.stack([wide[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE])
 
 
+def _kind(top: int) -> type:
+    """The type of numbers below ``top``."""
+    return np.uint16 if top <= 1 << 16 else np.int32
+
+
+def _joined(texts: list[np.ndarray]) -> np.ndarray:
+    """Texts in a row, an edge after each, so that they are handled together."""
+    gap = np.zeros(SIDE, np.uint16)
+    return np.concatenate([y for x in texts for y in (x, gap)])
+
+
 def _order(ids: np.ndarray, top: int) -> np.ndarray:
-    return np.argsort(ids.astype(np.uint16) if top <= 1 << 16 else ids, kind="stable")  # short ones by radix
+    return np.argsort(ids.astype(_kind(top), copy=False), kind="stable")  # short ones by radix
 
 
-def _exp(x: np.ndarray) -> np.ndarray:
-    """Exponentials in place; returns their sum in each row."""
+def _exp(x: np.ndarray) -> None:
+    """Exponentials in place."""
     if x.size and x.max() > 60:  # beyond it, float32 sums would overflow
         np.minimum(x, 60, out=x)
     np.exp(x, out=x)
-    return x @ np.ones(x.shape[1], np.float32)
 
 
 def _forward(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray):
-    """Layers (with a one for the bias), and the slice of each class: words are sorted by class."""
+    """Layers (with a one for the bias), and the slice of each class: words are sorted by class.
+
+    From the hidden layer on, a word is a column: sums over it and factors of it then run along memory.
+    """
     emb, hid, _, own = weights
-    x, h = np.ones((2, len(ids), SIZE + 1), np.float32)
+    x, h = np.ones((len(ids), SIZE + 1), np.float32), np.ones((SIZE + 1, len(ids)), np.float32)
     total = emb[0].take(context[0], axis=0)
     for k in range(1, len(context)):
         total += emb[k].take(context[k], axis=0)
     x[:, :SIZE] = total
-    h[:, :SIZE] = np.tanh(x @ hid)
+    np.tanh(hid.T @ x.T, out=h[:SIZE])
     classes = len(own)
     edges = np.searchsorted(ids, np.arange(classes + 1) * classes).tolist()
     slices = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
@@ -143,11 +161,13 @@ def log_probabilities(weights: tuple[np.ndarray, ...], ids: np.ndarray) -> np.nd
         order = _order(ids[k : k + PIECE], classes * classes)
         own = ids[k : k + PIECE][order]
         _, h, slices = _forward(weights, context[:, k : k + PIECE][:, order], own)
-        found = np.empty(len(own))
+        found, place = np.empty(len(own)), own % classes
         for c, at in slices:  # a class at a time, which stays in the processor's cache
-            e_class, e_own = h[at] @ weights[2], h[at] @ weights[3][c]
-            sums = _exp(e_class).astype(float) * _exp(e_own)
-            found[at] = e_class[:, c].astype(float) * e_own[np.arange(len(sums)), own[at] - c * classes] / sums
+            e_class, e_own = weights[2].T @ h[:, at], weights[3][c].T @ h[:, at]
+            _exp(e_class)
+            _exp(e_own)
+            sums = e_class.sum(axis=0).astype(float) * e_own.sum(axis=0)
+            found[at] = e_class[c].astype(float) * e_own[place[at], np.arange(len(sums))] / sums
         out[k + order] = np.log(np.maximum(found, 1e-12))
     return out
 
@@ -159,29 +179,33 @@ def _step(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray,
     order = _order(ids, classes * classes)
     ids, context = ids[order], context[:, order]
     x, h, slices = _forward(weights, context, ids)
-    g_class, g_own = h @ cls, np.empty((len(ids), classes), np.float32)
+    both = np.empty((2 * classes, len(ids)), np.float32)
+    g_class, g_own = both[:classes], both[classes:]
+    np.matmul(cls.T, h, out=g_class)
     for k, at in slices:
-        np.matmul(h[at], own[k], out=g_own[at])
-    rows, rate = np.arange(len(ids)), np.float32(rate / len(ids))
+        np.matmul(own[k].T, h[:, at], out=g_own[:, at])
+    _exp(both)
+    rate = np.float32(rate / len(ids))
     for g, at in ((g_class, ids // classes), (g_own, ids % classes)):  # gradients, with the rate in them
-        g *= (rate / _exp(g))[:, None]
-        g[rows, at] -= rate
-    g_h, part = g_class @ cls[:SIZE].T, np.empty((len(ids), SIZE), np.float32)
+        g *= rate / g.sum(axis=0)
+        g[at, np.arange(len(ids))] -= rate
+    g_h, part = cls[:SIZE] @ g_class, np.empty((SIZE, len(ids)), np.float32)
     for k, at in slices:
-        g, layer = g_own[at], own[k]
-        np.matmul(g, layer[:SIZE].T, out=part[at])
-        layer -= h[at].T @ g
+        g, layer = g_own[:, at], own[k]
+        np.matmul(layer[:SIZE], g, out=part[:, at])
+        layer -= h[:, at] @ g.T
     g_h += part
-    cls -= h.T @ g_class
-    top = h[:, :SIZE]
-    g = g_h * (1 - top * top)
-    g_x = g @ hid[:SIZE].T
-    hid -= x.T @ g
+    cls -= h @ g_class.T
+    top = h[:SIZE]
+    g_h *= 1 - top * top
+    g_x = g_h.T @ hid[:SIZE].T
+    hid -= x.T @ g_h.T
     for k in range(len(context)):
         by = _order(context[k], emb.shape[1])
-        own_ids = context[k][by]
-        at = np.nonzero(np.concatenate([[True], own_ids[1:] != own_ids[:-1]]))[0]
-        emb[k][own_ids[at]] -= np.add.reduceat(g_x.take(by, axis=0), at, axis=0)
+        own_ids = context[k].take(by)
+        at = np.flatnonzero(np.concatenate([[True], own_ids[1:] != own_ids[:-1]]))
+        pairs = g_x.take(by, axis=0).view(np.complex64)  # two numbers are added at once
+        emb[k][own_ids[at]] -= np.add.reduceat(pairs, at, axis=0).view(np.float32)
 
 
 def _flat(weights: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -196,16 +220,13 @@ def _shaped(flat: np.ndarray, like: tuple[np.ndarray, ...]) -> tuple[np.ndarray,
     return tuple(out)
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float = 2.0) -> Network:
-    """Fit the network to all rows.
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Network:
+    """The network before its training.
 
-    The vocabulary is every word of all texts; the most frequent ones, by count, then by word, have entries of
-    their own, and their number grows with the corpus as RARE says. In a round every partition takes gradient
-    steps on all of its words. Partitions' weights are averaged by the number of their words. The driver holds
-    the entries, whose number grows no faster than the root of the corpus, the words in ``common``, and how many words
-    have each count.
+    Its vocabulary is every word of all texts; the most frequent ones, by count, then by word, have entries of
+    their own, and their number grows with the corpus as RARE says. The driver holds the entries, whose number grows
+    no faster than the root of the corpus, the words in ``common``, and how many words have each count.
     """
-    spark = docs.sparkSession
     counts = materialise(word_counts(docs, text_col), "words")
     sizes = counts.groupBy("n", "shape").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
     shapes = {shape: tuple(sum(x) for x in zip(*((r.n * r.words, r.words) for r in sizes if r.shape == shape), strict=True)) for shape in {r.shape for r in sizes}}
@@ -219,21 +240,71 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float
     for r in top:
         n, size = shapes[r["shape"]]
         shapes[r["shape"]] = n - r["n"], size - 1
-    words = {r["word"]: k + 4 for k, r in enumerate(top)}
-    weights = _start(classes)
+    return Network({r["word"]: k + 4 for k, r in enumerate(top)}, _start(classes), counts, shapes, common)
+
+
+def encode(docs: DataFrame, network: Network, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_words, ids, held, rare) of each row's whole text.
+
+    ids are its words' entries as bytes of ``_kind``; held sums the logarithms that ``within_shape`` gives the words in
+    ``common``, and rare has a row for each word without an entry or a count here.
+    """
+    mass = {shape: log(max(n + size, 1)) for shape, (n, size) in network.shapes.items()}
+    within = np.array([log(n) - mass[shape] for _, shape, n in network.common])  # as within_shape has it
+    shared = docs.sparkSession.sparkContext.broadcast((network.words, network.common, within))
+    kind, number = docs.schema[id_col].dataType.simpleString(), _kind(network.weights[0].shape[1])
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, common, within = shared.value
+        coded = codes(words, common)
+        for batch in rows:
+            for at in range(0, batch.num_rows, 64):
+                own = batch.slice(at, 64)
+                texts = [split_words(x) for x in own.column(1).to_pylist()]
+                every, n = list(chain.from_iterable(texts)), list(map(len, texts))
+                flat, ends = codes_of(coded, every), np.cumsum([0, *n])
+                held, bare = flat < 0, (flat > 0) & (flat < 4)
+                rest = np.zeros(len(flat) + 1)
+                rest[1:][held] = within[-flat[held] >> 2]
+                rest = np.diff(np.cumsum(rest)[ends])
+                rare = list(compress(every, bare.tolist()))
+                shape = flat[bare].astype(np.int8)
+                places = np.concatenate([[0], np.cumsum(bare)])[ends].astype(np.int32)
+                ids = np.split(np.where(held, -flat & 3, flat).astype(number), ends[1:-1])
+                written = list(map(str.encode, rare))
+                keys = np.fromiter(map(xxhash.xxh64_intdigest, written, repeat(42)), np.uint64, len(rare)).view(np.int64)  # equals Spark's xxhash64 of a string
+                size = np.fromiter(map(len, written), np.int32, len(rare))
+                parts = [pa.array(keys), pa.array(shape), pa.array(size)]
+                rare = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays(parts, ["h", "shape", "size"]))
+                ids = pa.array([x.tobytes() for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), ids, pa.array(rest), rare], names=["id", "n_words", "ids", "held", "rare"])
+
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(
+        batches, f"id {kind}, n_words long, ids binary, held double, rare array<struct<h: bigint, shape: tinyint, size: int>>"
+    )
+
+
+def fit(coded: DataFrame, network: Network, rounds: int = 1, rate: float = 2.0) -> Network:
+    """Train the network on the ids of a table by :func:`encode`.
+
+    In a round every partition takes gradient steps on all of its words. Partitions' weights are averaged by the
+    number of their words.
+    """
+    weights, number = network.weights, _kind(network.weights[0].shape[1])
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((words, common, weights))
+        shared = coded.sparkSession.sparkContext.broadcast(weights)
 
         def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, first = codes(*shared.value[:2]), shared.value[2]
-            own, waiting, size, steps, seen = tuple(w.copy() for w in first), [], 0, 0, 0
+            own, waiting, size, steps, seen = tuple(w.copy() for w in shared.value), [], 0, 0, 0
 
-            def step(ids: list[np.ndarray]) -> None:
-                _step(own, np.concatenate([_contexts(x) for x in ids], axis=1), np.concatenate(ids), rate / (1 + steps / 200) ** 0.5)
+            def step(texts: list[np.ndarray]) -> None:
+                ids = _joined(texts)
+                words = ids > 0
+                _step(own, _contexts(ids)[:, words], ids[words], rate / (1 + steps / 200) ** 0.5)
 
             for batch in rows:
                 for text in batch.column(0).to_pylist():
-                    ids = ids_of(known, split_words(text))
+                    ids = np.frombuffer(text, number)
                     seen += len(ids)
                     for k in range(0, len(ids), STEP):
                         waiting.append(ids[k : k + STEP])
@@ -247,11 +318,22 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float
                 flat = _flat(own).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), seen, np.int64))], names=["k", "w", "n"])
 
-        summed = docs.select(text_col).mapInArrow(batches, "k int, w double, n long").groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w"))
+        summed = coded.select("ids").mapInArrow(batches, "k int, w double, n long").groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w"))
         mean = materialise(summed, "weights").orderBy("k").toArrow()  # as many rows as the network has weights
         if len(mean):
             weights = _shaped(mean["w"].to_numpy(), weights)
-    return Network(words, weights, counts, shapes, common)
+    return replace(network, weights=weights)
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float = 2.0) -> Network:
+    """Fit the network to all rows: :func:`vocabulary`, then :func:`fit`."""
+    network = vocabulary(docs, text_col)
+    if not rounds:
+        return network
+    coded = materialise(encode(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), network, "id", "text"), "coded")
+    fitted = fit(coded, network, rounds, rate)
+    discard(coded)
+    return fitted
 
 
 def within_shape(network: Network) -> Column:
@@ -269,56 +351,51 @@ def within_shape(network: Network) -> Column:
     return F.when(F.col("n").isNotNull(), F.ln("n") + seen).otherwise(unseen - F.col("size") * log(512))
 
 
-def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log_likelihood, per_word) of each row's whole text.
-
-    log_likelihood sums the conditional log-probabilities of all words, of those without an entry the shape's
-    and the word's within it; per_word is their mean, null without words (null, empty and blank texts have a sum
-    of 0). Rows are scored one by one, repeated ones each; an empty table gives an empty result. Other columns
-    are ignored.
-    """
-    mass = {shape: log(max(n + size, 1)) for shape, (n, size) in network.shapes.items()}
-    within = np.array([log(n) - mass[shape] for _, shape, n in network.common])  # as within_shape has it
-    shared = docs.sparkSession.sparkContext.broadcast((network.words, network.common, within, network.weights))
-    kind = docs.schema[id_col].dataType.simpleString()
+def _score(coded: DataFrame, network: Network, id_col: str) -> DataFrame:
+    shared, number = coded.sparkSession.sparkContext.broadcast(network.weights), _kind(network.weights[0].shape[1])
+    kind = coded.schema["id"].dataType.simpleString()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, common, within, weights = shared.value
-        coded = codes(words, common)
+        weights = shared.value
         for batch in rows:
             for at in range(0, batch.num_rows, 64):
                 own = batch.slice(at, 64)
-                texts = [split_words(x) for x in own.column(1).to_pylist()]
-                every = list(chain.from_iterable(texts))
-                flat, ends = codes_of(coded, every), np.cumsum([0, *map(len, texts)])
-                held, bare = flat < 0, (flat > 0) & (flat < 4)
-                rest = np.zeros(len(flat) + 1)
-                rest[1:][held] = within[-flat[held] >> 2]
-                rest = np.diff(np.cumsum(rest)[ends])
-                rare = list(compress(every, bare.tolist()))
-                shape = flat[bare].astype(np.int8)
-                places = np.concatenate([[0], np.cumsum(bare)])[ends].astype(np.int32)
-                ids = np.split(np.where(held, -flat & 3, flat), ends[1:-1])
-                written = list(map(str.encode, rare))
-                keys = np.fromiter(map(xxhash.xxh64_intdigest, written, repeat(42)), np.uint64, len(rare)).view(np.int64)  # equals Spark's xxhash64 of a string
-                size = np.fromiter(map(len, written), np.int32, len(rare))
-                parts = [pa.array(keys), pa.array(shape), pa.array(size)]
-                rare = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays(parts, ["h", "shape", "size"]))
-                gap = np.zeros(SIDE, np.int32)  # edges between texts, so that they are scored together
-                joined = np.concatenate([y for x in ids for y in (x, gap)])
-                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(weights, joined))])
-                ends = np.cumsum([len(x) + SIDE for x in ids])
-                n = [len(x) for x in ids]
-                total = [float(logs[e - SIDE] - logs[e - SIDE - len(x)] + more) for x, e, more in zip(ids, ends, rest, strict=True)]
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), rare], names=["id", "n_words", "own", "rare"])
-
-    scored = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(batches, f"id {kind}, n_words long, own double, rare array<struct<h: bigint, shape: tinyint, size: int>>")
-    scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+                texts = [np.frombuffer(x, number) for x in own.column(3).to_pylist()]
+                n = np.array(list(map(len, texts)))
+                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(weights, _joined(texts)))])
+                ends = np.cumsum(n + SIDE) - SIDE
+                total = logs[ends] - logs[ends - n] + own.column(4).to_numpy()
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(total)], names=["row", "id", "n_words", "own"])
+
+    scored = coded.select("row", "id", "n_words", "ids", "held").mapInArrow(batches, f"row long, id {kind}, n_words long, own double")
     counts = network.counts.groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n"))  # words as 64-bit numbers
     # Hashed, since sorting the occurrences costs more than the join; a partition's counts are few beside its occurrences.
-    rare = scored.select("row", F.inline("rare")).join(counts.hint("shuffle_hash"), "h", "left")
+    rare = coded.select("row", F.inline("rare")).join(counts.hint("shuffle_hash"), "h", "left")
     rest = rare.groupBy("row").agg(F.sum(within_shape(network)).alias("rest"))
     total = F.col("own") + F.coalesce("rest", F.lit(0.0))
     return scored.join(rest, "row", "left").select(
         F.col("id").alias(id_col), "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word")
     )
+
+
+def _coded(docs: DataFrame, network: Network, id_col: str, text_col: str) -> DataFrame:
+    """:func:`encode`, written once, with a number for each row."""
+    return materialise(encode(docs, network, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "scored")
+
+
+def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, log_likelihood, per_word) of each row's whole text.
+
+    log_likelihood sums the conditional log-probabilities of all words, of those without an entry the shape's
+    and the word's within it; per_word is their mean, null without words (null, empty and blank texts have a sum
+    of 0). Rows are scored one by one, repeated ones each; an empty table gives an empty result. Other columns
+    are ignored.
+    """
+    return _score(_coded(docs, network, id_col, text_col), network, id_col)
+
+
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`score` of all rows under the network that :func:`train` fits to them; texts are split and looked up once."""
+    network = vocabulary(docs, text_col)
+    coded = _coded(docs, network, id_col, text_col)
+    return _score(coded, fit(coded, network), id_col)
