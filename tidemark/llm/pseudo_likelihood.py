@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import accumulate, chain, compress, repeat
 from math import isqrt, log
@@ -64,7 +64,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array(list(map(_other, seen)), pa.int8()), pa.array(list(seen.values()), pa.int64())], names=["word", "shape", "n"]
+                [pa.array(list(seen), pa.string()), pa.array(_shapes(seen), pa.int8()), pa.array(list(seen.values()), pa.int64())], names=["word", "shape", "n"]
             )
 
         for batch in rows:
@@ -75,11 +75,14 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     seen.clear()
         yield out()
 
-    return docs.select(text_col).mapInArrow(batches, "word string, shape byte, n long").groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
+    rows = docs.select(text_col).mapInArrow(batches, "word string, shape byte, n long")
+    rows = rows.repartition("word")  # tasks have counted: counting again before the shuffle costs more than the rows that it saves
+    return rows.groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
 
 
-def _other(word: str) -> int:
-    return 1 if word.isalpha() else 2 if _DIGIT.search(word) else 3
+def _shapes(words: Iterable[str]) -> list[int]:
+    digit = _DIGIT.search
+    return [1 if w.isalpha() else 2 if digit(w) else 3 for w in words]
 
 
 def codes(words: dict[str, int], common: list[tuple[str, int, int]]) -> dict[str, int]:
@@ -90,7 +93,7 @@ def codes(words: dict[str, int], common: list[tuple[str, int, int]]) -> dict[str
 def codes_of(coded: dict[str, int], own: list[str]) -> np.ndarray:
     found = np.fromiter(map(coded.get, own, repeat(0)), np.int32, len(own))
     none = np.flatnonzero(found == 0)
-    found[none] = [_other(own[k]) for k in none.tolist()]
+    found[none] = _shapes(map(own.__getitem__, none.tolist()))
     return found
 
 
@@ -137,17 +140,18 @@ def _exp(x: np.ndarray) -> None:
 
 
 def _forward(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray):
-    """Layers (with a one for the bias), and the slice of each class: words are sorted by class.
+    """Inputs, the hidden layer (with a one for the bias), and the slice of each class: words are sorted by class.
 
     From the hidden layer on, a word is a column: sums over it and factors of it then run along memory.
     """
     emb, hid, _, own = weights
-    x, h = np.ones((len(ids), SIZE + 1), np.float32), np.ones((SIZE + 1, len(ids)), np.float32)
-    total = emb[0].take(context[0], axis=0)
+    x, h = emb[0].take(context[0], axis=0), np.empty((SIZE + 1, len(ids)), np.float32)
     for k in range(1, len(context)):
-        total += emb[k].take(context[k], axis=0)
-    x[:, :SIZE] = total
-    np.tanh(hid.T @ x.T, out=h[:SIZE])
+        x += emb[k].take(context[k], axis=0)
+    top, h[SIZE] = h[:SIZE], 1
+    np.matmul(hid[:SIZE].T, x.T, out=top)
+    top += hid[SIZE][:, None]
+    np.tanh(top, out=top)
     classes = len(own)
     edges = np.searchsorted(ids, np.arange(classes + 1) * classes).tolist()
     slices = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
@@ -188,7 +192,7 @@ def _step(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray,
     rate = np.float32(rate / len(ids))
     for g, at in ((g_class, ids // classes), (g_own, ids % classes)):  # gradients, with the rate in them
         g *= rate / g.sum(axis=0)
-        g[at, np.arange(len(ids))] -= rate
+        g.reshape(-1)[at.astype(np.intp) * len(ids) + np.arange(len(ids))] -= rate
     g_h, part = cls[:SIZE] @ g_class, np.empty((SIZE, len(ids)), np.float32)
     for k, at in slices:
         g, layer = g_own[:, at], own[k]
@@ -199,7 +203,8 @@ def _step(weights: tuple[np.ndarray, ...], context: np.ndarray, ids: np.ndarray,
     top = h[:SIZE]
     g_h *= 1 - top * top
     g_x = g_h.T @ hid[:SIZE].T
-    hid -= x.T @ g_h.T
+    hid[:SIZE] -= x.T @ g_h.T
+    hid[SIZE] -= g_h.sum(axis=1)
     for k in range(len(context)):
         by = _order(context[k], emb.shape[1])
         own_ids = context[k].take(by)
@@ -247,7 +252,7 @@ def encode(docs: DataFrame, network: Network, id_col: str, text_col: str) -> Dat
     """(id, n_words, ids, held, rare) of each row's whole text.
 
     ids are its words' entries as bytes of ``_kind``; held sums the logarithms that ``within_shape`` gives the words in
-    ``common``, and rare has a row for each word without an entry or a count here.
+    ``common``, and rare has a row for each word without an entry or a count here: its hash, and 4 times its bytes plus shape.
     """
     mass = {shape: log(max(n + size, 1)) for shape, (n, size) in network.shapes.items()}
     within = np.array([log(n) - mass[shape] for _, shape, n in network.common])  # as within_shape has it
@@ -268,19 +273,17 @@ def encode(docs: DataFrame, network: Network, id_col: str, text_col: str) -> Dat
                 rest[1:][held] = within[-flat[held] >> 2]
                 rest = np.diff(np.cumsum(rest)[ends])
                 rare = list(compress(every, bare.tolist()))
-                shape = flat[bare].astype(np.int8)
                 places = np.concatenate([[0], np.cumsum(bare)])[ends].astype(np.int32)
                 ids = np.split(np.where(held, -flat & 3, flat).astype(number), ends[1:-1])
                 written = list(map(str.encode, rare))
                 keys = np.fromiter(map(xxhash.xxh64_intdigest, written, repeat(42)), np.uint64, len(rare)).view(np.int64)  # equals Spark's xxhash64 of a string
-                size = np.fromiter(map(len, written), np.int32, len(rare))
-                parts = [pa.array(keys), pa.array(shape), pa.array(size)]
-                rare = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays(parts, ["h", "shape", "size"]))
+                look = 4 * np.fromiter(map(len, written), np.int64, len(rare)) + flat[bare]
+                rare = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays([pa.array(keys), pa.array(look)], ["h", "look"]))
                 ids = pa.array([x.tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), ids, pa.array(rest), rare], names=["id", "n_words", "ids", "held", "rare"])
 
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(
-        batches, f"id {kind}, n_words long, ids binary, held double, rare array<struct<h: bigint, shape: tinyint, size: int>>"
+        batches, f"id {kind}, n_words long, ids binary, held double, rare array<struct<h: bigint, look: bigint>>"
     )
 
 
@@ -371,6 +374,7 @@ def _score(coded: DataFrame, network: Network, id_col: str) -> DataFrame:
     counts = network.counts.groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n"))  # words as 64-bit numbers
     # Hashed, since sorting the occurrences costs more than the join; a partition's counts are few beside its occurrences.
     rare = coded.select("row", F.inline("rare")).join(counts.hint("shuffle_hash"), "h", "left")
+    rare = rare.withColumns({"shape": F.col("look").bitwiseAND(3), "size": F.shiftright("look", 2)})
     rest = rare.groupBy("row").agg(F.sum(within_shape(network)).alias("rest"))
     total = F.col("own") + F.coalesce("rest", F.lit(0.0))
     return scored.join(rest, "row", "left").select(
