@@ -45,6 +45,20 @@ def test_a_hub_that_refers_all_visits(spark):
     assert set(judged(spark, rows).values()) == {"kept"}  # a zero referrer is none
 
 
+def test_only_hubs_are_copied_and_referrers_are_not_broadcast(spark):
+    rows = [(1, 1, None, 5, END, WEB), *((1, k, 1, 5 + k, END, WEB) for k in range(2, 60)), *((2, k, k - 1, k * k, END, WEB) for k in range(2, 60))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    times = df.groupBy("person_id", "visit_id").agg(F.max("us").alias("__at"))
+    hubs = spark.createDataFrame([(1, 1, True)], "__p long, __v long, __hub boolean")
+    assert imports._copied(times, hubs, 16).count() == len(rows) + 15
+    want = {(p, v, us - (5 if p == 1 else f * f)) for p, v, f, us, _, _ in rows if f and (p, f) != (2, 1)}
+    for hub in (10, 10_000):
+        made = imports.with_gap(df, hub=hub)
+        assert {(r.person_id, r.visit_id, r.gap) for r in made.where("gap is not null").collect()} == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "sequence(0, 15)" not in plan  # no table of 16 times the visits, which looks small enough to broadcast
+
+
 def test_crosstab_comparison_and_scores(spark):
     rows = [(1, 1, None, 10, END, WEB), (1, 2, 1, 20, END | HOP, "https://b.example/"), (1, 3, 99, 30, END | HOP, "https://c.example/"), (1, 4, 1, 15, END, "https://d.example/")]
     df = spark.createDataFrame(rows, SCHEMA)
