@@ -168,6 +168,30 @@ def test_two_modes_stand_above_both_nulls_and_one_mode_does_not(spark):
     assert steady[1] == 1.0 and steady[2] < 1.0
 
 
+def test_a_sweep_in_one_task_equals_the_tables_of_draws(spark, points):
+    known = points.select("g", F.col("id"), "x").checkpoint()
+    swept = known.withColumn("k", F.explode(F.array(F.lit(2), F.lit(3))))
+    near = lambda a, b: a == b or (None not in (a, b) and a == pytest.approx(b, abs=1e-9))
+
+    def same(one, two, keys, values):
+        a, b = ({tuple(r[c] for c in keys): tuple(r[c] for c in values) for r in df.collect()} for df in (one, two))
+        assert a.keys() == b.keys() and all(near(x, y) for key in a for x, y in zip(a[key], b[key], strict=True))
+
+    same(clustering.swept_silhouettes(known, ["g"], "id", (2, 3)), clustering.silhouettes(swept, ["g", "k"], "id", "k"), ["g", "k"], ["n", "silhouette"])
+    same(clustering.swept_stability(known, ["g"], "id", (2, 3), runs=3), clustering.stability(swept, ["g", "k"], "id", "k", runs=3), ["g", "k"], ["stability", "runs"])
+    made = clustering.permuted(known, ["g"], "id", 3).withColumn("null", F.lit("permuted")).unionByName(
+        clustering.gaussian(known, ["g"], "id", 3, 3).withColumn("null", F.lit("gaussian"))
+    ).withColumn("k", F.explode(F.array(F.lit(2), F.lit(3))))
+    by = ["g", "k", "null"]
+    plain = clustering.band(clustering.silhouettes(made, [*by, "run"], "id", "k"), by, "silhouette")
+    bands = clustering.null_bands(known, ["g"], "id", (2, 3), 3, runs=3)
+    same(bands, plain, by, ["median", "low", "high", "runs"])
+    # a group beyond the size goes by its blocks and has a row too
+    same(clustering.swept_silhouettes(known, ["g"], "id", (2, 3), size=50), clustering.silhouettes(swept, ["g", "k"], "id", "k"), ["g", "k"], ["n", "silhouette"])
+    plan = bands._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # no table of groups, runs and k that looks small enough to broadcast
+
+
 def test_agreement_equals_enumeration(spark):
     rng = random.Random(6)
     rows = [(g, i, rng.randrange(3), rng.choice("xyz")) for g, n in ((1, 30), (2, 2), (3, 1)) for i in range(n)]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.work import spread
+
 #: Seed, restarts, runs of the nulls and of stability, share of a subsample, most iterations.
 SEED, RESTARTS, NULL_RUNS, STABILITY_RUNS, FRACTION, ITERATIONS = 20260902, 10, 50, 25, 0.8, 100
 #: Rows of a block, and numbers of the distances that a task works on at once.
@@ -41,18 +43,23 @@ def _uniform(seed: int, groups: np.ndarray, draw: int, restarts: int, rows: np.n
 
 def _squares(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """(fits, rows, clusters) squared distances of (fits, rows, width) to (fits, clusters, width)."""
-    return ((x[:, :, None, :] - centroids[:, None, :, :]) ** 2).sum(axis=3)
+    total, planes = np.zeros((len(x), centroids.shape[1], x.shape[1])), np.ascontiguousarray(x.transpose(2, 0, 1))
+    for axis, plane in enumerate(planes):  # no array has all four dimensions, and rows lie side by side
+        away = plane[:, None, :] - centroids[:, :, axis, None]
+        total += np.multiply(away, away, out=away)
+    return total.transpose(0, 2, 1)
 
 
-def _seed_keys(x: np.ndarray, centroids: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _seed_keys(x: np.ndarray, centroids: np.ndarray, u: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Exponential keys of the rows, weighted by the squared distance to the nearest centroid, and unweighted ones.
 
     The least key of all rows is a draw in proportion to the weights; where all weights are 0, the unweighted one counts.
+    ``near``: those distances, if they are known.
     """
     plain = -np.log(u)
     if not centroids.shape[1]:
         return plain, plain
-    near = _squares(x, centroids).min(axis=2)
+    near = _squares(x, centroids).min(axis=2) if near is None else near
     with np.errstate(divide="ignore"):
         return np.where(near > 0, plain / near, np.inf), plain
 
@@ -60,12 +67,15 @@ def _seed_keys(x: np.ndarray, centroids: np.ndarray, u: np.ndarray) -> tuple[np.
 def _partial(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(counts, sums, inertia, farthest) of each fit; the farthest row is (distance, x), of equal ones the first."""
     squares = _squares(x, centroids)
-    label = squares.argmin(axis=2)
     near = squares.min(axis=2)
-    member = (label[:, :, None] == np.arange(centroids.shape[1])).astype(float)
+    hit, free = squares.transpose(0, 2, 1) == near[:, None, :], np.ones(near.shape, bool)
+    for cluster in range(hit.shape[1]):  # of equal distances the first
+        hit[:, cluster] &= free
+        free &= ~hit[:, cluster]
+    member = hit.astype(float)
     top, every = near.argmax(axis=1), np.arange(len(near))
     far = np.concatenate([near[every, top][:, None], x[every, top]], axis=1)
-    return member.sum(axis=1), member.transpose(0, 2, 1) @ x, near.sum(axis=1), far
+    return member.sum(axis=2), member @ x, near.sum(axis=1), far
 
 
 def _moved(counts: np.ndarray, sums: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -78,11 +88,12 @@ def _fit(x: np.ndarray, rows: np.ndarray, groups: np.ndarray, k: int, restarts:
     """(inertia, centroids) of the best restart, the first of equal ones, of groups of one block and one size."""
     n_groups, n, width = x.shape
     each = np.repeat(x, restarts, axis=0) if n_groups > 1 else np.broadcast_to(x, (restarts, n, width))
-    every, centroids = np.arange(len(each)), np.zeros((len(each), 0, width))
+    every, centroids, near = np.arange(len(each)), np.zeros((len(each), 0, width)), np.full((len(each), n), np.inf)
     for draw in range(k):
-        keys, plain = _seed_keys(each, centroids, _uniform(seed, groups, draw, restarts, rows))
+        keys, plain = _seed_keys(each, centroids, _uniform(seed, groups, draw, restarts, rows), near)
         pick = np.where(np.isfinite(keys).any(axis=1), keys.argmin(axis=1), plain.argmin(axis=1))
         centroids = np.concatenate([centroids, each[every, pick][:, None, :]], axis=1)
+        near = np.minimum(near, _squares(each, centroids[:, -1:])[:, :, 0])
     moving = every
     for _ in range(iterations):
         counts, sums, _, far = _partial(each[moving], centroids[moving])
@@ -418,15 +429,160 @@ def band(runs: DataFrame, by: list[str], value: str, level: float = 0.95) -> Dat
     return runs.groupBy(*by).agg(cut(0.5, "median"), cut(tail, "low"), cut(1 - tail, "high"), F.count(value).alias("runs"))
 
 
+def _sized(points: DataFrame, by: list[str], size: int) -> tuple[DataFrame, DataFrame | None]:
+    """``points`` of groups of up to ``size`` rows, which a task may hold, and those of larger ones; None if there are none."""
+    large = points.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > size).select(*by)
+    if large.isEmpty():
+        return points, None
+    return points.join(large, by, "left_anti"), points.join(large, by, "left_semi")
+
+
+def _packed(points: DataFrame, by: list[str], row: str) -> DataFrame:
+    """(by, ids, rows, x) of each group in the order of the rows' hashes, as :func:`blocked` has it, spread over tasks."""
+    held = points.select(*by, F.col(row).alias("id"), F.xxhash64(row).alias("h"), "x")
+    rows = held.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("h", "id", "x"))).alias("r"))
+    return spread(rows, *by).select(*by, F.col("r.id").alias("ids"), F.col("r.h").alias("rows"), F.flatten("r.x").alias("x"))
+
+
+def _hashed(*parts: Column | str) -> Column:
+    """A hash of ``parts`` and the id, for each of a group's ids."""
+    return F.transform("ids", lambda i: F.xxhash64(*parts, i))
+
+
+def _over_sizes(packed: DataFrame, by: list[str], ks: list[int], restarts: int, work, value: str) -> DataFrame:
+    """(by, k, n, ``value``): ``work(cells, k, x)`` of groups of one size side by side, for each k that they have rows for.
+
+    ``cells`` maps the list columns to (groups, …) arrays and ``x`` is (groups, rows, width). A value that is no number
+    is null. ``groups`` of ``packed`` has random seeds for each k in turn.
+    """
+    lists = [c for c, kind in packed.dtypes if kind in ("array<bigint>", "array<double>") and c != "ids" and c not in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in (*by, *lists)}
+            parts = {c: (columns[c].offsets.to_numpy(), columns[c].values.to_numpy()) for c in lists}
+            sizes = np.diff(parts["rows"][0])
+            for n in np.unique(sizes).tolist():
+                places = np.nonzero(sizes == n)[0]
+                step = max(1, CELLS // (n * max(restarts * max(ks), n)))
+                for at in range(0, len(places), step):
+                    some = places[at : at + step]
+                    cells = {c: np.stack([values[offsets[p] : offsets[p + 1]] for p in some]) for c, (offsets, values) in parts.items()}
+                    own = [columns[c].take(pa.array(some)) for c in by]
+                    ready = None
+                    for number, k in enumerate(ks):
+                        if k > n:
+                            continue
+                        ready, found = work(cells | {"groups": cells["groups"].reshape(len(some), -1, len(ks))[:, :, number]}, k, ready)
+                        made = pa.array(found, pa.float64(), mask=np.isnan(found))
+                        yield pa.RecordBatch.from_arrays([*own, pa.array([k] * len(some), pa.int32()), pa.array([n] * len(some), pa.int64()), made], names=[*by, "k", "n", value])
+
+    return packed.select(*by, *lists).mapInArrow(run, f"{_keys(packed, by)}, k int, n long, {value} double")
+
+
+def _labels(x: np.ndarray, rows: np.ndarray, groups: np.ndarray, k: int, restarts: int, seed: int, iterations: int) -> np.ndarray:
+    """(groups, rows): the nearest centroid of each row in the best fit of its group."""
+    return _squares(x, _fit(x, rows, groups, k, restarts, seed, iterations)[1]).argmin(axis=2)
+
+
+def _mean_widths(x: np.ndarray, labels: np.ndarray, k: int, distances: np.ndarray | None) -> np.ndarray:
+    """The mean silhouette width of each group; no number if under two clusters hold rows."""
+    member = (labels[:, :, None] == np.arange(k)).astype(float)
+    counts = member.sum(axis=1)
+    sums = np.stack([_distance_sums(one, one, own, k) for one, own in zip(x, labels, strict=True)]) if distances is None else distances @ member
+    size = np.take_along_axis(counts, labels, axis=1)
+    own = np.take_along_axis(sums, labels[:, :, None], axis=2)[:, :, 0] / np.maximum(size - 1, 1)
+    others = (counts[:, None, :] > 0) & (member == 0)
+    other = np.where(others, sums / np.maximum(counts, 1)[:, None, :], np.inf).min(axis=2)
+    widest = np.maximum(own, other)
+    with np.errstate(invalid="ignore"):
+        widths = np.where((size < 2) | (widest == 0), 0.0, (other - own) / np.where(widest == 0, 1.0, widest))
+    return np.where((counts > 0).sum(axis=1) < 2, np.nan, widths.mean(axis=1))
+
+
+def _scored(packed: DataFrame, by: list[str], ks: list[int], drawn, *, restarts: int = RESTARTS, seed: int = SEED, iterations: int = ITERATIONS) -> DataFrame:
+    """(by, k, n, silhouette): fit, labels and widths of a group in one task; ``drawn(cells)`` gives its (rows' hashes, x)."""
+
+    def work(cells: dict, k: int, ready: tuple | None) -> tuple:
+        if ready is None:
+            rows, x = drawn(cells)
+            # what all k share; a large group's distances go slice by slice
+            ready = rows, x, np.sqrt(_squares(x, x)) if x.shape[1] <= 1024 else None
+        rows, x, distances = ready
+        labels = _labels(x, rows, cells["groups"][:, 0], k, restarts, seed, iterations)
+        return ready, _mean_widths(x, labels, k, distances)
+
+    return _over_sizes(packed, by, ks, restarts, work, "silhouette")
+
+
+def _as_they_are(cells: dict) -> tuple[np.ndarray, np.ndarray]:
+    return cells["rows"], cells["x"].reshape(*cells["rows"].shape, -1)
+
+
+def _permuted_cells(cells: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`permuted` gives: each column in the order of its hashes, then the places in the order of theirs."""
+    rows, x = _as_they_are(cells)
+    order = cells["order"].reshape(len(x), -1, x.shape[1]).argsort(axis=2, kind="stable").transpose(0, 2, 1)
+    places = cells["places"].argsort(axis=1, kind="stable")
+    return np.take_along_axis(cells["places"], places, axis=1), np.take_along_axis(np.take_along_axis(x, order, axis=1), places[:, :, None], axis=1)
+
+
+def _gaussian_cells(cells: dict, ridge: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`gaussian` gives, from the standard normal numbers ``z`` of each column."""
+    rows, x = _as_they_are(cells)
+    mean = x.mean(axis=1, keepdims=True)
+    off, width = x - mean, x.shape[2]
+    covariance, factor = off.transpose(0, 2, 1) @ off / x.shape[1], np.zeros((len(x), width, width))
+    for j in range(width):
+        factor[:, j, j] = np.sqrt(np.maximum(covariance[:, j, j] - (factor[:, j, :j] ** 2).sum(axis=1), ridge))
+        for i in range(j + 1, width):
+            factor[:, i, j] = (covariance[:, i, j] - (factor[:, i, :j] * factor[:, j, :j]).sum(axis=1)) / factor[:, j, j]
+    z = cells["z"].reshape(len(x), width, -1)
+    return rows, mean + (factor @ z).transpose(0, 2, 1)
+
+
+def _seeds(ks: list[int], by: list[str], *after: Column | str) -> Column:
+    return F.array(*(F.xxhash64(*by, F.lit(k), *after) for k in ks)).alias("groups")
+
+
+def swept_silhouettes(points: DataFrame, by: list[str], row: str, ks: Iterable[int], *, size: int = BLOCK, **options) -> DataFrame:
+    """(by, k, n, silhouette) of a fresh fit of each group for each of ``ks``; a group of up to ``size`` rows is read once."""
+    ks = list(ks)
+    small, large = _sized(points, by, size)
+    found = _scored(_packed(small, by, row).select("*", _seeds(ks, by)), by, ks, _as_they_are, **options)
+    if large is None:
+        return found
+    swept = large.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    return found.unionByName(silhouettes(swept, [*by, "k"], row, "k", size=size, **options))
+
+
+def _null_silhouettes(points: DataFrame, by: list[str], row: str, ks: list[int], width: int, runs: int, seed: int, **options) -> DataFrame:
+    """(by, run, k, n, silhouette, null) of groups that a task may hold: it draws the nulls itself from hashes made here."""
+    each = _packed(points, by, row).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    columns, key = range(width), [*by, "run"]
+    places = F.transform(F.sequence(F.lit(1), F.size("ids")), lambda p: F.xxhash64(p.cast(points.schema[row].dataType))).alias("places")
+    order = F.flatten(F.array(*(_hashed(F.lit(seed), "run", F.lit(c)) for c in columns))).alias("order")
+    numbers = lambda c: F.transform("ids", lambda i: _normal(F.lit(seed), F.lit(c), "run", i, *by))
+    normal = F.flatten(F.array(*map(numbers, columns))).alias("z")
+    mixed = each.select(*key, "ids", "rows", "x", order, places, _seeds(ks, by, F.lit("permuted"), "run"))
+    drawn = each.select(*key, "ids", "rows", "x", normal, _seeds(ks, by, F.lit("gaussian"), "run"))
+    made = {"permuted": _scored(mixed, key, ks, _permuted_cells, seed=seed, **options), "gaussian": _scored(drawn, key, ks, _gaussian_cells, seed=seed, **options)}
+    return made["permuted"].withColumn("null", F.lit("permuted")).unionByName(made["gaussian"].withColumn("null", F.lit("gaussian")))
+
+
 def null_bands(
-    points: DataFrame, by: list[str], row: str, ks: Iterable[int], width: int, *, runs: int = NULL_RUNS, seed: int = SEED, **options
+    points: DataFrame, by: list[str], row: str, ks: Iterable[int], width: int, *, runs: int = NULL_RUNS, seed: int = SEED, size: int = BLOCK, **options
 ) -> DataFrame:
     """(by, k, null, median, low, high, runs): the silhouette's band over permuted columns and over one normal."""
-    made = permuted(points, by, row, runs, seed).withColumn("null", F.lit("permuted")).unionByName(
-        gaussian(points, by, row, width, runs, seed).withColumn("null", F.lit("gaussian"))
-    )
-    swept = made.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    scored = silhouettes(swept, [*by, "k", "null", "run"], row, "k", seed=seed, **options)
+    ks = list(ks)
+    small, large = _sized(points, by, size)
+    scored = _null_silhouettes(small, by, row, ks, width, runs, seed, **options)
+    if large is not None:
+        made = permuted(large, by, row, runs, seed).withColumn("null", F.lit("permuted")).unionByName(
+            gaussian(large, by, row, width, runs, seed).withColumn("null", F.lit("gaussian"))
+        )
+        swept = made.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+        scored = scored.unionByName(silhouettes(swept, [*by, "k", "null", "run"], row, "k", seed=seed, size=size, **options))
     return band(scored, [*by, "k", "null"], "silhouette")
 
 
@@ -467,6 +623,49 @@ def stability(
     return agreement(shared, [*by, "run"], "left", "right").groupBy(*by).agg(F.avg("agreement").alias("stability"), F.count("agreement").alias("runs"))
 
 
+def swept_stability(
+    points: DataFrame, by: list[str], row: str, ks: Iterable[int], *, runs: int = STABILITY_RUNS, fraction: float = FRACTION, seed: int = SEED,
+    size: int = BLOCK, restarts: int = RESTARTS, iterations: int = ITERATIONS,
+) -> DataFrame:
+    """(by, k, stability, runs) of :func:`stability` for each of ``ks``; both subsamples of a run of a small group are one task's."""
+    ks = list(ks)
+    small, large = _sized(points, by, size)
+    each = _packed(small, by, row).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    order = F.flatten(F.array(*(_hashed(F.lit(seed), "run", F.lit(half)) for half in (1, 2)))).alias("order")
+    groups = F.array(*(F.xxhash64(*by, F.lit(k), "run", F.lit(half)) for half in (1, 2) for k in ks)).alias("groups")
+
+    def work(cells: dict, k: int, ready: None) -> tuple:
+        rows, x = _as_they_are(cells)
+        n, member, held = x.shape[1], [], []
+        taken = max(k, int(np.floor(n * fraction)))
+        order = cells["order"].reshape(len(x), 2, n).argsort(axis=2, kind="stable")
+        for half in (0, 1):
+            kept = np.sort(order[:, half, :taken], axis=1)  # in the order of the rows' hashes again
+            labels = _labels(
+                np.take_along_axis(x, kept[:, :, None], axis=1), np.take_along_axis(rows, kept, axis=1), cells["groups"][:, half], k, restarts, seed, iterations
+            )
+            of = np.full((len(x), n), -1)
+            np.put_along_axis(of, kept, labels, axis=1)
+            member.append((of[:, :, None] == np.arange(k)).astype(float))
+            held.append(of >= 0)
+        both = held[0] & held[1]
+        cell = (member[0] * both[:, :, None]).transpose(0, 2, 1) @ member[1]
+        choose = lambda c: c * (c - 1) / 2
+        pairs = choose(both.sum(axis=1).astype(float))
+        same = pairs - choose(cell.sum(axis=2)).sum(axis=1) - choose(cell.sum(axis=1)).sum(axis=1) + 2 * choose(cell).sum(axis=(1, 2))
+        return None, np.where(pairs > 0, same / np.where(pairs > 0, pairs, 1.0), np.nan)
+
+    key = [*by, "run"]
+    made = _over_sizes(each.select(*key, "ids", "rows", "x", order, groups), key, ks, restarts, work, "agreement")
+    found = made.groupBy(*by, "k").agg(F.avg("agreement").alias("stability"), F.count("agreement").alias("runs"))
+    if large is None:
+        return found
+    swept = large.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    return found.unionByName(
+        stability(swept, [*by, "k"], row, "k", runs=runs, fraction=fraction, seed=seed, size=size, restarts=restarts, iterations=iterations)
+    )
+
+
 def profiles(points: DataFrame, found: DataFrame, by: list[str], row: str, features: tuple[str, ...]) -> DataFrame:
     """(by, cluster, n, share, mean of each feature) of the clusters of :func:`assignments`, in the features' own units."""
     joined = points.join(found, [*by, row])

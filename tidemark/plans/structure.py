@@ -29,12 +29,11 @@ def _shapes(spark, sf_dir) -> DataFrame:
 def session_types(spark, sf_dir):
     """Per person and k: silhouette, its bands over permuted columns and over one normal, stability, and both verdicts."""
     points = _shapes(spark, sf_dir).select("person_id", "session_no", "x").checkpoint()
-    swept = points.withColumn("k", F.explode(F.array(*map(F.lit, SWEEP))))
     by = ["person_id", "k"]
-    own = clustering.silhouettes(swept, by, "session_no", "k")
+    own = clustering.swept_silhouettes(points, ["person_id"], "session_no", SWEEP)
     nulls = clustering.null_bands(points, ["person_id"], "session_no", SWEEP, len(SHAPE), runs=NULL_RUNS)
-    band = lambda name: nulls.where(F.col("null") == name).select(*by, *(F.col(c).alias(f"{name}_{c}") for c in ("median", "low", "high")))
-    steady = clustering.stability(swept, by, "session_no", "k", runs=STABILITY_RUNS).select(*by, "stability")
+    band = lambda name: nulls.where(F.col("null") == name).select(*by, *(F.col(c).alias(f"{name}_{c}") for c in ("median", "low", "high"))).hint("merge")
+    steady = clustering.swept_stability(points, ["person_id"], "session_no", SWEEP, runs=STABILITY_RUNS).select(*by, "stability").hint("merge")
     joined = own.join(band("permuted"), by).join(band("gaussian"), by).join(steady, by)
     above = {f"above_{n}": F.coalesce(F.col("silhouette") > F.col(f"{n}_high"), F.lit(False)) for n in ("permuted", "gaussian")}
     return rounded(joined.withColumns(above))
