@@ -51,6 +51,28 @@ def test_one_chunk_equals_the_same_draws_in_a_loop(spark, rows):
     assert np.allclose([got.low, got.high], np.percentile(ratios, [2.5, 97.5]))
 
 
+def test_a_small_key_is_resampled_by_one_task_with_the_same_draws(rows):
+    for key, block in (("a", 500), ("b", 300), ("one", 500)):
+        t, w = (np.array([float(r[i]) for r in rows if r[0] == key]) for i in (2, 3))
+        for weight in (w, np.ones(len(w))):
+            want = []
+            for number, count in enumerate([block] * (1000 // block) + [1000 % block] * (1000 % block > 0)):
+                total, by = resampling.drawn(t, weight, np.full(count, len(t)), 5, 77, number, 0)
+                want += (total / by).tolist()
+            assert np.allclose(resampling.ratios(t, weight, 1000, 5, 77, block), want, rtol=1e-12, atol=1e-12)
+    ordered = np.sort(np.random.default_rng(1).normal(size=101))
+    assert np.allclose([resampling.between(ordered, f) for f in (0.0, 0.025, 0.5, 1.0)], np.percentile(ordered, [0, 2.5, 50, 100]))
+
+
+def test_resamples_are_not_shuffled(spark, rows):
+    made = resampling.intervals(spark.createDataFrame(rows, SCHEMA), ["k"], "c", "t", "w", resamples=1000, chunk=60)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(" not in plan and plan.count("MapInArrow") == 2  # no copy of the clusters for each block
+    got = {r.k: r for r in made.collect()}
+    assert {k: r.clusters for k, r in got.items()} == {"a": 40, "b": 300, "one": 1}
+    assert all(got[k].low < got[k].point < got[k].high for k in ("a", "b"))
+
+
 def test_reruns_and_partitions_change_nothing(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     one = sorted(map(tuple, resampling.intervals(df.coalesce(1), ["k"], "c", "t", "w", resamples=700, chunk=16).collect()))
