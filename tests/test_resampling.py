@@ -108,6 +108,22 @@ def test_empty_input(spark):
     assert found(spark, []) == {}
 
 
+def test_brier_bootstrap_shuffles_no_resamples(spark):
+    from tidemark.operators import evaluation
+
+    rng, rows = np.random.default_rng(6), []
+    for person in range(3):
+        for k in range(60):
+            y = float(rng.random() < 0.5)
+            rows += [(person, k % 5, k, "a", k, model, float(rng.random()), y) for model in ("new", "old")]
+    df = spark.createDataFrame(rows, "person_id long, fold int, session_no long, category string, window_end long, model string, p double, y double")
+    made = evaluation.brier_bootstrap(df, challenger="new", reference="old", resamples=1000)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(" not in plan and "block" not in plan and plan.count("MapInArrow") == 1
+    got = made.collect()
+    assert len(got) == 3 and all(r.low < r.point < r.high for r in got)
+
+
 def test_width_ladder_on_common_rows(spark):
     from tidemark.operators import evaluation
 
