@@ -63,6 +63,29 @@ def made(rng, count):
     return [(k, text(), rng.choice(["en", "en", "de", None])) for k in range(count)]
 
 
+@pytest.mark.parametrize("shard", [1, 40, 300])
+def test_summed_candidates_equal_a_plain_loop(spark, shard):
+    rows = made(random.Random(7 + shard), 120)
+    assert found(spark, rows, support=6, shard=shard, summed=0) == plain(rows, 6)
+
+
+def test_many_shards_leave_only_frequent_candidates(spark):
+    rows = made(random.Random(3), 200)
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(lang, 'und') AS lang", "cast(text AS binary) AS text").repartition(30)
+    words = collocations._words(docs, 40).where("phrase is not null and n >= 30")
+    held = spark.sparkContext.broadcast(collocations.word_filter(words))
+    sums = collocations._sums(docs, held, 5, 40)
+    one = {r.h: r.n for r in sums.groupBy("h").agg({"n": "sum"}).toDF("h", "n").collect()}
+    own = {r.phrase: r.n for r in collocations.phrases(docs, support=30, shard=40, summed=0)[0].where("phrase like '% %'").collect()}
+    pairs = collocations._joined_filter(collocations._frequent(sums, 30, 1 << 20), 1 << 20)
+    bits = sum(int(x).bit_count() for x in pairs)
+    assert 0 < bits <= 2 * sum(n >= 30 for n in one.values()) < 2 * len(one) and own
+    # the union of all shards' candidates at the lowered support, one, holds far more
+    total = docs.withColumn("total", collocations.F.lit(10**9))
+    everything = collocations._joined_filter(collocations._candidates(total, held, 30, 5, 40, 1 << 20), 1 << 20)
+    assert bits < sum(int(x).bit_count() for x in everything) / 2
+
+
 @pytest.mark.parametrize(("shard", "bits"), [(4_000_000, (1 << 25, 1 << 27)), (50, (1 << 25, 1 << 20)), (300, (64, 64)), (1, (1 << 12, 1 << 12))])
 def test_random_texts_equal_a_plain_loop(spark, shard, bits):
     rows = made(random.Random(shard), 120)

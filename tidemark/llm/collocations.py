@@ -8,7 +8,9 @@ all candidates in every shard, and Spark adds the counts: they are exact.
 Words are counted first, so that shards look only at phrases of frequent words. What later passes need of the words and
 of the candidates' union are Bloom filters of fixed size, whatever the corpus: shards set bits, Spark joins them. False
 positives cost work, not exactness, as every shard counts whatever the filters let through and rare phrases go at the end.
-Beyond a hundred shards a language's local support falls to one; then the words' filter alone keeps the union small.
+With many shards a language's local support falls to one, and the union would hold every phrase of frequent words. Then
+every phrase counts as a shard's candidate, and the shards' counts, added by the phrases' hashes, leave those that reach
+``support``: pairs first, then what consists of such pairs. Phrases of one hash add up, so none is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from tidemark.llm.scratch import discard, materialise
 SHARD = 3_000_000
 #: Bytes of text that are split at once, up to the end of a piece.
 SLICE = 4_000_000
+#: Shards beyond which candidates' counts are added before the union: half a hundred, where the lowered support nears one.
+SUMMED = 50
 #: Bits of the filters of words (4 MB) and of candidates (16 MB).
 WORD_BITS, PHRASE_BITS = 1 << 25, 1 << 27
 #: Parts of a language's phrases when its first ones are found.
@@ -236,6 +240,48 @@ def _candidates(docs: DataFrame, words: Broadcast, support: int, longest: int, s
     return docs.mapInArrow(mine, "place long, bits long")
 
 
+def _sums(docs: DataFrame, words: Broadcast, longest: int, shard: int, pairs: Broadcast | None = None) -> DataFrame:
+    """(h, n): hashes and counts in a shard of all pairs of frequent words; given ``pairs``, of the longer phrases made of those."""
+
+    def mine(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shards, _ in _shards(rows, shard):
+            for held in shards.items():
+                ids, names = held[1].words()
+                hashes = _hashes(held[0], names)
+                known, made = [hashes], []
+
+                def keep(length, counts, head, tail, hashes=hashes, known=known, made=made):
+                    if length == 1:
+                        return _present(words.value, hashes)
+                    known[0] = _joined(known[0][head], hashes[tail])
+                    if length == 2 and pairs is not None:
+                        kept = _present(pairs.value, known[0])
+                        known[0] = known[0][kept]
+                        return kept
+                    made.append((known[0], counts))
+                    return np.ones(len(counts), bool)
+
+                for _ in _grown(ids, len(names), 2 if pairs is None else longest, keep):
+                    for own, counts in made:
+                        for k in range(0, len(own), ROWS):
+                            columns = [pa.array(own[k : k + ROWS].view(np.int64)), pa.array(counts[k : k + ROWS], pa.int64())]
+                            yield pa.RecordBatch.from_arrays(columns, names=["h", "n"])
+                    made.clear()
+
+    return docs.mapInArrow(mine, "h long, n long")
+
+
+def _frequent(sums: DataFrame, support: int, size: int) -> DataFrame:
+    """(place, bits): the filter's bits of the hashes whose counts add up to ``support``."""
+
+    def bits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield _set(batch.column(0).to_numpy().view(np.uint64), size)
+
+    # a shard has each hash once, so sums before the exchange would save nothing
+    return sums.repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("h").mapInArrow(bits, "place long, bits long")
+
+
 def _counts(docs: DataFrame, words: Broadcast, phrases: Broadcast, longest: int, shard: int) -> DataFrame:
     """(lang, phrase, n): exact counts of all candidates, and of what else the bitmaps let through."""
 
@@ -262,13 +308,13 @@ def _counts(docs: DataFrame, words: Broadcast, phrases: Broadcast, longest: int,
 
 def phrases(
     docs: DataFrame, *, support: int = 100, longest: int = 5, shard: int = SHARD,
-    bits: tuple[int, int] = (WORD_BITS, PHRASE_BITS), lang_col: str = "lang", text_col: str = "text",
+    bits: tuple[int, int] = (WORD_BITS, PHRASE_BITS), summed: int = SUMMED, lang_col: str = "lang", text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, n) of every phrase of one to ``longest`` words found ``support`` times, (lang, total) of all words).
 
     Words stand within pieces; occurrences may overlap. A null language is ``und``, a null text empty. Both tables lie
-    in the shared folder. A language without words has a total of 0. ``shard`` (words) and ``bits`` (of the filters of words
-    and of candidates, powers of two) change the work only.
+    in the shared folder. A language without words has a total of 0. ``shard`` (words), ``bits`` (of the filters of words
+    and of candidates, powers of two) and ``summed`` (shards) change the work only.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -277,10 +323,15 @@ def phrases(
     totals = materialise(every.where("phrase is null").select("lang", F.col("n").alias("total")), "totals")
     shards = -(-(totals.agg(F.sum("total")).first()[0] or 1) // shard)
     full = rows.coalesce(shards)  # full shards, so that the lowered support is as high as it can be
-    known = full.join(totals, "lang")  # a row for each language, joined by its size
     word_bits = spark.sparkContext.broadcast(word_filter(words, bits[0]))
-    union = _candidates(known.select("lang", "text", "total"), word_bits, support, longest, shard, bits[1])
-    phrase_bits = spark.sparkContext.broadcast(_joined_filter(union, bits[1]))
+    if shards > summed:
+        pairs = _joined_filter(_frequent(_sums(full, word_bits, longest, shard), support, bits[1]), bits[1])
+        longer = _sums(full, word_bits, longest, shard, spark.sparkContext.broadcast(pairs))
+        union = pairs | _joined_filter(_frequent(longer, support, bits[1]), bits[1])
+    else:
+        known = full.join(totals, "lang")  # a row for each language, joined by its size
+        union = _joined_filter(_candidates(known.select("lang", "text", "total"), word_bits, support, longest, shard, bits[1]), bits[1])
+    phrase_bits = spark.sparkContext.broadcast(union)
     counted = _counts(full, word_bits, phrase_bits, longest, shard).where(F.col("n") >= support)
     found = materialise(words.unionByName(counted), "phrases")
     discard(every)
@@ -295,7 +346,7 @@ def score(a: str, n: str, left: str, right: str) -> Column:
 
 def collocations(
     docs: DataFrame, *, support: int = 100, longest: int = 5, top: int = 2000, shard: int = SHARD,
-    bits: tuple[int, int] = (WORD_BITS, PHRASE_BITS), lang_col: str = "lang", text_col: str = "text",
+    bits: tuple[int, int] = (WORD_BITS, PHRASE_BITS), summed: int = SUMMED, lang_col: str = "lang", text_col: str = "text",
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best phrases of two words or more.
 
@@ -304,7 +355,7 @@ def collocations(
     digits. Phrases that always stand within one longer frequent phrase are dropped. Ties in score go by a, then by
     the phrase's bytes. An empty table, or one without frequent phrases, gives no rows.
     """
-    found, totals = phrases(docs, support=support, longest=longest, shard=shard, bits=bits, lang_col=lang_col, text_col=text_col)
+    found, totals = phrases(docs, support=support, longest=longest, shard=shard, bits=bits, summed=summed, lang_col=lang_col, text_col=text_col)
     size = F.size(F.split("phrase", " "))
     held = found.where(size > 1)
 
