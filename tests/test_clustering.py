@@ -203,6 +203,25 @@ def test_agreement_equals_enumeration(spark):
         assert got[g] == (len(own), None if want is None else pytest.approx(want))
 
 
+def test_a_held_null_band_equals_the_table_of_draws(spark, monkeypatch):
+    from tidemark.operators import patterns
+
+    rng = random.Random(11)
+    rows = [(g, k, sorted(rng.sample("abcdé中", rng.randrange(2, 5)))) for g, n in ((1, 40), (2, 25), (3, 1)) for k in range(n)]
+    sets = spark.createDataFrame(rows, "g long, s long, items array<string>")
+    limits = {"support": 3, "confidence": 0.3, "lift": 1.0, "runs": 12}
+    held = patterns.null_rule_band(sets, ["g"], ["s"], **limits)
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan  # no row for each set, run and item
+    got = sorted(map(tuple, held.collect()))
+    for most in (0, 100):
+        monkeypatch.setattr(patterns, "HELD", most)
+        assert sorted(map(tuple, patterns.null_rule_band(sets, ["g"], ["s"], **limits).collect())) == got
+    assert [r[0] for r in got] == [1, 2, 3] and got[0][1] > 0 and got[2][1:] == (0, 0.0, 0, 0)
+    monkeypatch.setattr(patterns, "CELLS", 1)
+    assert sorted(map(tuple, patterns.null_rule_band(sets, ["g"], ["s"], **limits).collect())) == got
+
+
 def test_empty_input(spark):
     none = spark.createDataFrame([], "g long, id long, x array<double>")
     assert clustering.silhouettes(none, ["g"], "id", 2).collect() == []

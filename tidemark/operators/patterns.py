@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import clustering, sessions
 from tidemark.operators.sessions import person_order
+from tidemark.operators.work import spread
 
 #: Seed and runs of the null rule band.
 SEED, NULL_RUNS = 20260901, 50
+#: Items in the sets of a group whose null a task draws itself, and numbers that it works on at once.
+HELD, CELLS = 4096, 1 << 20
 
 
 def item_sets(rows: DataFrame, basket: list[str], item: str, least: int = 2) -> DataFrame:
@@ -91,6 +99,67 @@ def null_rule_band(
     A run without a rule counts as 0. The band's ends are rounded outwards.
     """
     limits = {"support": support, "confidence": confidence, "lift": lift}
+    large = sets.groupBy(*group).agg(F.sum(F.size("items")).alias("__n")).where(F.col("__n") > HELD).select(*group)
+    if large.isEmpty():
+        return _held_band(sets, group, basket, runs, seed, level, limits)
+    held = _held_band(sets.join(large, group, "left_anti"), group, basket, runs, seed, level, limits)
+    return held.unionByName(_drawn_band(sets.join(large, group, "left_semi"), group, basket, runs, seed, level, limits))
+
+
+def _held_band(sets: DataFrame, group: list[str], basket: list[str], runs: int, seed: int, level: float, limits: dict) -> DataFrame:
+    """:func:`null_rule_band` of groups that a task may hold: it draws the sets of :func:`null_sets` and counts their rules."""
+    name = F.concat_ws("|", *(F.col(c).cast("string") for c in (*group, *basket)))
+    rows = sets.groupBy(*group).agg(F.collect_list(F.struct(name.alias("name"), F.col("items").cast("array<string>").alias("items"))).alias("sets"))
+    tail = 50 * (1 - level)
+
+    def rules(chosen: np.ndarray) -> np.ndarray:
+        """The rules of each run; ``chosen`` is (runs, sets, items)."""
+        member = chosen.astype(float)
+        single, pair = member.sum(axis=1), member.transpose(0, 2, 1) @ member
+        with np.errstate(divide="ignore", invalid="ignore"):
+            confidence = pair / single[:, :, None]
+            lift = confidence * chosen.shape[1] / single[:, None, :]
+            good = (pair >= limits["support"]) & (confidence >= limits["confidence"]) & (lift >= limits["lift"])
+        good[:, range(pair.shape[1]), range(pair.shape[1])] = False
+        return good.sum(axis=(1, 2))
+
+    def of(held: list[dict]) -> tuple[int, float, float, float]:
+        items = sorted({i for s in held for i in s["items"]}, key=str.encode)
+        if not items:
+            return 0, 0.0, 0.0, 0.0
+        at = {item: k for k, item in enumerate(items)}
+        own = np.zeros((1, len(held), len(items)), bool)
+        for k, s in enumerate(held):
+            own[0, k, [at[i] for i in s["items"]]] = True
+        weight, wanted = own[0].sum(axis=0), own[0].sum(axis=1)
+        ends, names = [i.encode() for i in items], [f"{s['name']}|".encode() if s["name"] else b"" for s in held]
+        step, counts = max(1, CELLS // own.size), []
+        for first in range(1, runs + 1, step):
+            some = range(first, min(first + step, runs + 1))
+            heads = [f"{seed}|{run}|".encode() + n for run in some for n in names]
+            digest = np.frombuffer(b"".join([hashlib.md5(h + end, usedforsecurity=False).digest()[:8] for h in heads for end in ends]), ">u8")
+            u = ((digest >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
+            order = (-np.log(u).reshape(len(some), len(held), -1) / weight).argsort(axis=2, kind="stable")
+            chosen = np.zeros(order.shape, bool)
+            np.put_along_axis(chosen, order, np.broadcast_to(np.arange(len(items)) < wanted[None, :, None], order.shape), axis=2)
+            counts.append(rules(chosen))
+        drawn = np.percentile(np.concatenate(counts), [50, tail, 100 - tail])
+        return int(rules(own)[0]), *map(float, drawn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [of(held) for held in batch.column(batch.schema.get_field_index("sets")).to_pylist()]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in group]
+            values = [pa.array([m[k] for m in made], pa.float64() if k else pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, *values], names=[*group, "rules", "median", "low", "high"])
+
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in group)
+    found = spread(rows, *group).mapInArrow(run, f"{keys}, rules long, median double, low double, high double")
+    return found.select(*group, "rules", "median", F.floor(F.round("low", 9)).alias("low"), F.ceil(F.round("high", 9)).alias("high"))
+
+
+def _drawn_band(sets: DataFrame, group: list[str], basket: list[str], runs: int, seed: int, level: float, limits: dict) -> DataFrame:
+    """:func:`null_rule_band` of groups of any size, from a table of the drawn sets."""
     found = association_rules(sets, group, **limits).groupBy(*group).agg(F.count("*").alias("rules"))
     drawn = association_rules(null_sets(sets, group, basket, runs=runs, seed=seed), [*group, "run"], **limits)
     per_run = drawn.groupBy(*group, "run").agg(F.count("*").alias("n"))
